@@ -11,9 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from critica.functions import critic as cr
 from critica.functions import text as tx
 from critica.functions.common import ustrip
 from critica.operators import metrics as mt
+from critica.sources import fixtures as fx
 from critica.sources import io
 from critica.sources.tables import table
 
@@ -103,11 +105,108 @@ def flagship_composite_by_turn(spark, sf):
                                  F.max("composite_score").alias("max_composite"))
 
 
+# ---------------------------------------------------------------- critic replies
+def _feedback(spark, sf):
+    return cr.parse_feedback(fx.critic_replies(spark, sf), raw="raw_response")
+
+
+def c1_strip_fences(spark, sf):
+    return fx.critic_replies(spark, sf).select("doc_id", cr.strip_fences("raw_response").alias("stripped"))
+
+
+def c2_extract_json_object(spark, sf):
+    r = fx.critic_replies(spark, sf)
+    return r.select("doc_id", cr.extract_json_object(cr.strip_fences("raw_response")).alias("extracted"))
+
+
+def c3_parse_feedback(spark, sf):
+    fb = _feedback(spark, sf)
+    return fb.select(
+        "doc_id", "feedback.score", "feedback.raw_llm_score", "feedback.confidence",
+        "feedback.verdict", "parse_ok",
+        *[F.size(f"feedback.{n}").cast("bigint").alias(f"n_{n}") for n in cr.LIST_FIELDS])
+
+
+def c4_safe_list(spark, sf):
+    fb = _feedback(spark, sf)
+    return fb.select("doc_id", *[F.array_join(f"feedback.{n}", "|").alias(n) for n in cr.LIST_FIELDS])
+
+
+def c5_safe_float(spark, sf):
+    return _feedback(spark, sf).select("doc_id", "feedback.raw_llm_score", "feedback.confidence")
+
+
+def c6_apply_penalties(spark, sf):
+    return _feedback(spark, sf).select("doc_id", "feedback.score")
+
+
+def c7_normalize_verdict(spark, sf):
+    return _feedback(spark, sf).select("doc_id", "feedback.verdict")
+
+
+def c8_fallback_feedback(spark, sf):
+    fb = _feedback(spark, sf).filter(~F.col("parse_ok"))
+    return fb.select("doc_id", "feedback.score", "feedback.confidence", "feedback.verdict",
+                     F.array_join("feedback.improvement_actions", "|").alias("improvement_actions"))
+
+
+def c9_verdict_from_score(spark, sf):
+    return _feedback(spark, sf).select("doc_id", cr.verdict_from_score("feedback.score").alias("score_band"))
+
+
+def c10_issue_flags(spark, sf):
+    return _feedback(spark, sf).select(
+        "doc_id", cr.has_hallucinations().alias("has_hallucinations"),
+        cr.has_critical_issues().alias("has_critical_issues"),
+        cr.total_issue_count().cast("bigint").alias("total_issue_count"))
+
+
+def c11_issues_long(spark, sf):
+    out = cr.issues_long(_feedback(spark, sf), ["doc_id"])
+    return out.withColumn("position", F.col("position").cast("bigint"))
+
+
+def c12_judge_parse(spark, sf):
+    j = fx.judge_replies(spark, sf).select("doc_id", cr.judge_parse("raw_response").alias("j"))
+    return j.select("doc_id", "j.factual_accuracy", "j.hallucinations_detected", "j.parse_ok")
+
+
+def c13_critique_json_parse_raw(spark, sf):
+    v = fx.critic_replies(spark, sf).select("doc_id", cr.critique_json_or_raw("raw_response").alias("v"))
+    return v.select("doc_id", F.try_variant_get("v", "$.raw", "string").isNotNull().alias("is_raw"),
+                    F.size(F.json_object_keys(F.to_json("v"))).cast("bigint").alias("n_keys"))
+
+
+def f1_quality_met(spark, sf):
+    return _feedback(spark, sf).select("doc_id", cr.quality_met().alias("quality_met"))
+
+
+def f2_needs_grounding(spark, sf):
+    return _feedback(spark, sf).select("doc_id", cr.needs_grounding(enabled=True).alias("needs_grounding"))
+
+
+def a5_verdict_histogram(spark, sf):
+    fb = _feedback(spark, sf)
+    return fb.groupBy(F.col("feedback.verdict").alias("verdict")).agg(F.count(F.lit(1)).alias("n_replies"))
+
+
+def a5_issue_distribution(spark, sf):
+    issues = cr.issues_long(_feedback(spark, sf), ["doc_id"])
+    return issues.groupBy("category").agg(F.count(F.lit(1)).alias("n_issues"),
+                                          F.count_distinct("doc_id").alias("n_replies"))
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for name in ("s1_read_queries", "s3_cap_samples", "s6_qa_pairs", "m1_tokens", "m2_sentences",
                  "m3_counts", "m4_has_structure", "m5_avg_sentence_length", "m6_lexical_diversity",
                  "m7_coverage", "m8_composite", "m9_evaluate_answer", "m10_evaluate_pipeline",
-                 "flagship_composite_by_turn"):
+                 "flagship_composite_by_turn",
+                 "c1_strip_fences", "c2_extract_json_object", "c3_parse_feedback", "c4_safe_list",
+                 "c5_safe_float", "c6_apply_penalties", "c7_normalize_verdict",
+                 "c8_fallback_feedback", "c9_verdict_from_score", "c10_issue_flags",
+                 "c11_issues_long", "c12_judge_parse", "c13_critique_json_parse_raw",
+                 "f1_quality_met", "f2_needs_grounding", "a5_verdict_histogram",
+                 "a5_issue_distribution"):
         out[name] = globals()[name]
     return out

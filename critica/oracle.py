@@ -137,7 +137,123 @@ SELECT turn, count(*) AS n_pairs, avg(composite_score) AS mean_composite,
     return out
 
 
+# ---------------------------------------------------------------- critic fixture
+def _band(x: str) -> str:
+    return (f"(CASE WHEN {x} >= 8.5 THEN 'excellent' WHEN {x} >= 6.5 THEN 'good' "
+            f"WHEN {x} >= 4.0 THEN 'acceptable' ELSE 'poor' END)")
+
+
+def _rank(x: str) -> str:
+    return f"(CASE {x} WHEN 'poor' THEN 0 WHEN 'acceptable' THEN 1 WHEN 'good' THEN 2 WHEN 'excellent' THEN 3 END)"
+
+
+def _joined(prefix: str, n: str) -> str:
+    return f"array_to_string(list_transform(range(1, {n} + 1), lambda k: '{prefix} ' || k || ' of doc ' || doc_id), '|')"
+
+
+def critic_expected_cte() -> str:
+    """Expected parse of every fixture reply, computed from doc_id (no parser)."""
+    from critica.functions.critic import FALLBACK_ACTION
+    from critica.sources.fixtures import (N_ACTIONS, N_FACTUAL, N_HALLUCINATIONS, N_LOGICAL,
+                                          N_MISSING)
+    fb = _q(FALLBACK_ACTION)
+    return f"""
+cx_base AS (
+  SELECT doc_id, n_chars, {N_HALLUCINATIONS} AS h, {N_FACTUAL} AS f, {N_LOGICAL} AS l,
+         {N_MISSING} AS m, {N_ACTIONS} AS na, doc_id % 5 = 4 AS bad,
+         (n_chars % 101) / {D(10.0)} AS raw,
+         CASE WHEN doc_id % 3 = 0 THEN {D(0.5)} ELSE least((doc_id % 13) / {D(10.0)}, {D(1.0)}) END AS conf,
+         CASE doc_id % 8 WHEN 0 THEN 'poor' WHEN 1 THEN 'acceptable' WHEN 2 THEN 'good'
+              WHEN 3 THEN 'excellent' WHEN 4 THEN 'poor' WHEN 5 THEN 'good' ELSE NULL END AS v_in
+  FROM documents),
+cx_pen AS (
+  SELECT *, greatest({D(0.0)}, raw - ({D(0.0)} + least(h * {D(2.0)}, {D(5.0)}) + least(f * {D(1.5)}, {D(4.0)})
+         + least(l * {D(1.0)}, {D(3.0)}) + least(m * {D(0.5)}, {D(2.0)}))) AS p FROM cx_base),
+cx_v AS (
+  SELECT *, CASE WHEN v_in IS NULL THEN {_band('p')}
+                 WHEN abs({_rank('v_in')} - {_rank(_band('p'))}) > 1 THEN {_band('p')}
+                 ELSE v_in END AS v_out FROM cx_pen),
+cx AS (
+  SELECT doc_id,
+    CASE WHEN bad THEN {D(3.0)} ELSE {RND('p', 2)} END AS score,
+    CASE WHEN bad THEN {D(3.0)} ELSE {RND('raw', 2)} END AS raw_llm_score,
+    CASE WHEN bad THEN {D(0.2)} ELSE {RND('conf', 3)} END AS confidence,
+    CASE WHEN bad THEN 'poor' ELSE v_out END AS verdict,
+    NOT bad AS parse_ok,
+    CASE WHEN bad THEN 0 ELSE f END AS n_factual_errors,
+    CASE WHEN bad THEN 0 ELSE h END AS n_hallucinations,
+    CASE WHEN bad THEN 0 ELSE m END AS n_missing_concepts,
+    CASE WHEN bad THEN 0 ELSE l END AS n_logical_flaws,
+    CASE WHEN bad THEN 1 ELSE na + 1 END AS n_improvement_actions,
+    CASE WHEN bad THEN '' ELSE {_joined('factual error', 'f')} END AS factual_errors,
+    CASE WHEN bad THEN '' ELSE {_joined('hallucination', 'h')} END AS hallucinations,
+    CASE WHEN bad THEN '' ELSE {_joined('missing concept', 'm')} END AS missing_concepts,
+    CASE WHEN bad THEN '' ELSE {_joined('logical flaw', 'l')} END AS logical_flaws,
+    CASE WHEN bad THEN {fb}
+         ELSE array_to_string(list_append(list_transform(range(1, na + 1),
+              lambda k: 'action ' || k || ' of doc ' || doc_id), '42'), '|') END AS improvement_actions
+  FROM cx_v)"""
+
+
+def critic_sql() -> dict[str, str]:
+    from critica.functions.critic import FALLBACK_ACTION, FENCE, JSON_OBJECT
+    from critica.sources.fixtures import critic_replies_sql
+    raw = f"WITH r AS ({critic_replies_sql()})"
+    strip = USTRIP(f"regexp_replace(raw_response, {_q(FENCE)}, '\\1', 'g')")
+    cte = "WITH " + critic_expected_cte()
+    fb = _q(FALLBACK_ACTION)
+    issues = f"""{cte},
+cats AS (
+  SELECT doc_id, 'hallucinations' AS category, '[!]' AS marker, h AS n, 'hallucination' AS prefix, bad FROM cx_base
+  UNION ALL SELECT doc_id, 'factual_errors', '[x]', f, 'factual error', bad FROM cx_base
+  UNION ALL SELECT doc_id, 'logical_flaws', '[~]', l, 'logical flaw', bad FROM cx_base
+  UNION ALL SELECT doc_id, 'missing_concepts', '[ ]', m, 'missing concept', bad FROM cx_base
+  UNION ALL SELECT doc_id, 'improvement_actions', '>>', na, 'action', bad FROM cx_base),
+il AS (
+  SELECT doc_id, category, CAST(k AS BIGINT) AS position, marker, prefix || ' ' || k || ' of doc ' || doc_id AS item
+  FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM cats WHERE NOT bad)
+  UNION ALL SELECT doc_id, 'improvement_actions', na + 1, '>>', '42' FROM cx_base WHERE NOT bad
+  UNION ALL SELECT doc_id, 'improvement_actions', 1, '>>', {fb} FROM cx_base WHERE bad)"""
+    return {
+        "c1_strip_fences": f"{raw} SELECT doc_id, {strip} AS stripped FROM r",
+        "c2_extract_json_object": f"""{raw}, s AS (SELECT doc_id, {strip} AS t FROM r)
+SELECT doc_id, coalesce(nullif(regexp_extract(t, {_q(JSON_OBJECT)}, 0), ''), t) AS extracted FROM s""",
+        "c3_parse_feedback": f"""{cte} SELECT doc_id, score, raw_llm_score, confidence, verdict, parse_ok,
+  CAST(n_factual_errors AS BIGINT) AS n_factual_errors, CAST(n_hallucinations AS BIGINT) AS n_hallucinations,
+  CAST(n_missing_concepts AS BIGINT) AS n_missing_concepts, CAST(n_logical_flaws AS BIGINT) AS n_logical_flaws,
+  CAST(n_improvement_actions AS BIGINT) AS n_improvement_actions FROM cx""",
+        "c4_safe_list": f"""{cte} SELECT doc_id, factual_errors, hallucinations, missing_concepts, logical_flaws,
+  improvement_actions FROM cx""",
+        "c5_safe_float": f"{cte} SELECT doc_id, raw_llm_score, confidence FROM cx",
+        "c6_apply_penalties": f"{cte} SELECT doc_id, score FROM cx",
+        "c7_normalize_verdict": f"{cte} SELECT doc_id, verdict FROM cx",
+        "c8_fallback_feedback": f"""{cte} SELECT doc_id, score, confidence, verdict, improvement_actions
+FROM cx WHERE NOT parse_ok""",
+        "c9_verdict_from_score": f"{cte} SELECT doc_id, {_band('score')} AS score_band FROM cx",
+        "c10_issue_flags": f"""{cte} SELECT doc_id, n_hallucinations > 0 AS has_hallucinations,
+  (n_hallucinations > 0 OR n_factual_errors > 0) AS has_critical_issues,
+  CAST(n_factual_errors + n_hallucinations + n_logical_flaws + n_missing_concepts AS BIGINT) AS total_issue_count FROM cx""",
+        "c11_issues_long": f"{issues} SELECT doc_id, category, position, marker, item FROM il",
+        "c12_judge_parse": f"""
+WITH j AS (SELECT doc_id, n_chars, doc_id % 3 = 2 OR doc_id % 7 = 5 AS bad FROM documents)
+SELECT doc_id,
+  CASE WHEN bad THEN {D(5.0)} ELSE least((n_chars % 121) / {D(10.0)}, {D(10.0)}) END AS factual_accuracy,
+  CASE WHEN bad THEN false ELSE doc_id % 4 IN (0, 2) END AS hallucinations_detected,
+  NOT bad AS parse_ok FROM j""",
+        "c13_critique_json_parse_raw": """
+SELECT doc_id, doc_id % 5 = 4 AS is_raw,
+  CAST(CASE WHEN doc_id % 5 = 4 THEN 1 WHEN doc_id % 3 = 0 THEN 7 ELSE 8 END AS BIGINT) AS n_keys FROM documents""",
+        "f1_quality_met": f"""{cte} SELECT doc_id, (n_hallucinations = 0 AND n_factual_errors = 0
+  AND score >= 7.0 AND verdict IN ('good', 'excellent')) AS quality_met FROM cx""",
+        "f2_needs_grounding": f"""{cte} SELECT doc_id, (n_hallucinations > 0 OR n_factual_errors > 0) AS needs_grounding FROM cx""",
+        "a5_verdict_histogram": f"{cte} SELECT verdict, count(*) AS n_replies FROM cx GROUP BY verdict",
+        "a5_issue_distribution": f"""{issues} SELECT category, count(*) AS n_issues, count(DISTINCT doc_id) AS n_replies
+FROM il GROUP BY category""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(metrics_sql())
+    out.update(critic_sql())
     return out

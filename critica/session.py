@@ -35,6 +35,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     if master:
         builder = builder.master(master)
     builder = builder.config("spark.ui.enabled", "false")
+    if master and master.startswith("local"):
+        # Local mode runs every task in the driver JVM; the 1g default is too small.
+        builder = builder.config("spark.driver.memory", os.environ.get("CRITICA_DRIVER_MEMORY", "16g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in _DEFAULTS.items():
