@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from critica.functions import critic as cr
 from critica.functions import text as tx
 from critica.functions.common import ustrip
+from critica.config import DEFAULT_LOOP, LoopConfig
 from critica.operators import metrics as mt
+from critica.operators import trajectory as tj
 from critica.sources import fixtures as fx
 from critica.sources import io
 from critica.sources.tables import table
@@ -196,6 +198,90 @@ def a5_issue_distribution(spark, sf):
                                           F.count_distinct("doc_id").alias("n_replies"))
 
 
+# ---------------------------------------------------------------- trajectories
+LOOP_USER10 = LoopConfig(max_iterations=10)
+
+
+def _annotated(spark, sf, cfg=DEFAULT_LOOP, run_divisor=100):
+    rows = fx.trajectory_iterations(table(spark, sf, "events"), cfg, run_divisor)
+    return tj.annotate(rows, cfg)
+
+
+def _traj(spark, sf, cfg=DEFAULT_LOOP, run_divisor=100):
+    return tj.truncate_at_exit(_annotated(spark, sf, cfg, run_divisor))
+
+
+def _hist_text(c):
+    return F.array_join(F.transform(c, lambda x: F.format_string("%.3f", x)), ",")
+
+
+def w1_improvement_delta(spark, sf):
+    return _annotated(spark, sf).select("run_id", "iteration", "improvement_delta")
+
+
+def w2_is_stagnated(spark, sf):
+    return _annotated(spark, sf).select("run_id", "iteration", "is_stagnated")
+
+
+def w3_recent_deltas(spark, sf):
+    a = _annotated(spark, sf)
+    return a.select("run_id", "iteration", F.size("recent_deltas").cast("bigint").alias("n_recent"),
+                    _hist_text("recent_deltas").alias("recent_deltas"))
+
+
+def w4_exit_reason_at(spark, sf):
+    return _annotated(spark, sf).select("run_id", "iteration", "exit_reason")
+
+
+def w5_truncate_at_exit(spark, sf):
+    return _traj(spark, sf).select("run_id", "iteration", "score", "exit_reason")
+
+
+def w6_strict_mode(spark, sf):
+    return _traj(spark, sf).select("run_id", "iteration", "strict_mode")
+
+
+def w7_progress_label(spark, sf):
+    return _annotated(spark, sf).select("run_id", "iteration", "progress")
+
+
+def _rollup_out(r):
+    return r.select("run_id", F.col("total_iterations").cast("bigint").alias("total_iterations"),
+                    "exit_reason", "converged", "final_answer", "final_score",
+                    _hist_text("score_history").alias("score_history"))
+
+
+def a1_run_rollup(spark, sf):
+    return _rollup_out(tj.run_rollup(_traj(spark, sf)))
+
+
+def a1_run_rollup_user10(spark, sf):
+    """A1 with run_id = user_id and max_iterations 10 (longer trajectories)."""
+    return _rollup_out(tj.run_rollup(_traj(spark, sf, LOOP_USER10, None)))
+
+
+def a2_total_gain(spark, sf):
+    return tj.run_rollup(_traj(spark, sf)).select("run_id", "total_gain")
+
+
+def j6_active_runs(spark, sf):
+    out = tj.active_runs(_traj(spark, sf))
+    return out.select("run_id", F.col("iterations_so_far").cast("bigint").alias("iterations_so_far"),
+                      F.col("next_iteration").cast("bigint").alias("next_iteration"))
+
+
+def x1_non_monotonic_runs(spark, sf):
+    return tj.non_monotonic_runs(_traj(spark, sf))
+
+
+def x2_persistent_hallucination(spark, sf):
+    return tj.persistent_hallucination(_traj(spark, sf))
+
+
+def x5_stagnation_rate(spark, sf):
+    return tj.stagnation_rate(tj.run_rollup(_traj(spark, sf)))
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for name in ("s1_read_queries", "s3_cap_samples", "s6_qa_pairs", "m1_tokens", "m2_sentences",
@@ -207,6 +293,11 @@ def queries() -> dict[str, Query]:
                  "c8_fallback_feedback", "c9_verdict_from_score", "c10_issue_flags",
                  "c11_issues_long", "c12_judge_parse", "c13_critique_json_parse_raw",
                  "f1_quality_met", "f2_needs_grounding", "a5_verdict_histogram",
-                 "a5_issue_distribution"):
+                 "a5_issue_distribution",
+                 "w1_improvement_delta", "w2_is_stagnated", "w3_recent_deltas",
+                 "w4_exit_reason_at", "w5_truncate_at_exit", "w6_strict_mode",
+                 "w7_progress_label", "a1_run_rollup", "a1_run_rollup_user10", "a2_total_gain",
+                 "j6_active_runs", "x1_non_monotonic_runs", "x2_persistent_hallucination",
+                 "x5_stagnation_rate"):
         out[name] = globals()[name]
     return out

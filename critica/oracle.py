@@ -252,8 +252,84 @@ FROM il GROUP BY category""",
     }
 
 
+# ---------------------------------------------------------------- trajectories
+def traj_cte(max_iter: int = 3, p: int = 2, min_delta: float = 0.3, by_day: bool = True) -> str:
+    """Trajectory fixture + W1-W7 in DuckDB; yields ``ann`` (all rows) and ``traj`` (truncated)."""
+    run = "user_id * 100 + day(ts)" if by_day else "user_id"
+    return f"""
+ev AS (SELECT {run} AS run_id, ts, event_id, event_type, value FROM events),
+rk AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS iteration FROM ev),
+it AS (SELECT run_id, iteration, event_id, value, least(value / {D(10.0)}, {D(10.0)}) AS score,
+              event_type = 'error' AS has_hallucination, event_type = 'signup' AS has_factual_error,
+              'answer ' || CAST(event_id AS VARCHAR) AS answer
+       FROM rk WHERE iteration <= {max_iter}),
+it2 AS (SELECT *, {_band('score')} AS verdict,
+               {RND('score - lag(score) OVER (PARTITION BY run_id ORDER BY iteration)', 3)} AS recorded_delta
+        FROM it),
+st AS (SELECT *, coalesce(recorded_delta, {D(0.0)}) AS improvement_delta,
+         (count(recorded_delta) OVER w >= {p} AND max(recorded_delta) OVER w < {min_delta}) AS is_stagnated,
+         list(recorded_delta) OVER w AS recent_deltas
+       FROM it2 WINDOW w AS (PARTITION BY run_id ORDER BY iteration ROWS BETWEEN {p - 1} PRECEDING AND CURRENT ROW)),
+ann AS (SELECT *,
+          CASE WHEN NOT has_hallucination AND NOT has_factual_error AND score >= 7.0
+                    AND verdict IN ('good', 'excellent') THEN 'converged'
+               WHEN is_stagnated THEN 'stagnated'
+               WHEN iteration >= {max_iter} THEN 'exhausted' END AS exit_reason,
+          CASE WHEN improvement_delta >= 0.3 THEN 'improving'
+               WHEN improvement_delta < 0.3 AND iteration > 1 THEN 'stagnant' ELSE 'first' END AS progress
+        FROM st),
+fx AS (SELECT *, min(CASE WHEN exit_reason IS NOT NULL THEN iteration END) OVER (PARTITION BY run_id) AS first_exit FROM ann),
+kept AS (SELECT * FROM fx WHERE first_exit IS NULL OR iteration <= first_exit),
+traj AS (SELECT *, has_hallucination
+                 AND coalesce(lag(has_hallucination) OVER (PARTITION BY run_id ORDER BY iteration), false)
+                 AND exit_reason IS NULL AS strict_mode FROM kept),
+rollup AS (SELECT run_id, max(iteration) AS total_iterations,
+             coalesce(arg_max(exit_reason, iteration), 'pending') AS exit_reason,
+             arg_max(answer, iteration) AS final_answer, arg_max(score, iteration) AS final_score,
+             arg_min(score, iteration) AS first_score,
+             arg_max(has_hallucination, iteration) AS final_has_hallucination,
+             sum(value) AS latency_s,
+             array_to_string(list_transform(list(score ORDER BY iteration), lambda x: printf('%.3f', x)), ',') AS score_history
+           FROM traj GROUP BY run_id)"""
+
+
+def trajectory_sql() -> dict[str, str]:
+    t = "WITH " + traj_cte()
+    t10 = "WITH " + traj_cte(max_iter=10, by_day=False)
+    roll = """SELECT run_id, CAST(total_iterations AS BIGINT) AS total_iterations, exit_reason,
+  exit_reason = 'converged' AS converged, final_answer, final_score, score_history FROM rollup"""
+    return {
+        "w1_improvement_delta": f"{t} SELECT run_id, iteration, improvement_delta FROM ann",
+        "w2_is_stagnated": f"{t} SELECT run_id, iteration, is_stagnated FROM ann",
+        "w3_recent_deltas": f"""{t} SELECT run_id, iteration, CAST(len(list_filter(recent_deltas, lambda x: x IS NOT NULL)) AS BIGINT) AS n_recent,
+  array_to_string(list_transform(list_filter(recent_deltas, lambda x: x IS NOT NULL), lambda x: printf('%.3f', x)), ',') AS recent_deltas FROM ann""",
+        "w4_exit_reason_at": f"{t} SELECT run_id, iteration, exit_reason FROM ann",
+        "w5_truncate_at_exit": f"{t} SELECT run_id, iteration, score, exit_reason FROM traj",
+        "w6_strict_mode": f"{t} SELECT run_id, iteration, strict_mode FROM traj",
+        "w7_progress_label": f"{t} SELECT run_id, iteration, progress FROM ann",
+        "a1_run_rollup": f"{t} {roll}",
+        "a1_run_rollup_user10": f"{t10} {roll}",
+        "a2_total_gain": f"{t} SELECT run_id, {RND('final_score - first_score', 2)} AS total_gain FROM rollup",
+        "j6_active_runs": f"""{t} SELECT run_id, CAST(max(iteration) AS BIGINT) AS iterations_so_far,
+  CAST(max(iteration) + 1 AS BIGINT) AS next_iteration FROM traj GROUP BY run_id
+  HAVING count(exit_reason) = 0""",
+        "x1_non_monotonic_runs": f"""{t} SELECT run_id, CAST(sum(CASE WHEN recorded_delta < 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_drops,
+  min(recorded_delta) AS worst_drop FROM traj GROUP BY run_id HAVING bool_or(recorded_delta < 0)""",
+        "x2_persistent_hallucination": f"""{t},
+isl AS (SELECT *, sum(CASE WHEN has_hallucination THEN 0 ELSE 1 END) OVER (PARTITION BY run_id ORDER BY iteration
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM traj),
+s AS (SELECT run_id, grp, count(*) AS n FROM isl WHERE has_hallucination GROUP BY run_id, grp)
+SELECT run_id, max(n) AS longest_streak, count(*) AS n_streaks FROM s GROUP BY run_id HAVING max(n) >= 2""",
+        "x5_stagnation_rate": f"""{t} SELECT count(*) AS n_runs,
+  CAST(sum(CASE WHEN exit_reason = 'stagnated' THEN 1 ELSE 0 END) AS BIGINT) AS n_stagnated,
+  avg(CASE WHEN exit_reason = 'stagnated' THEN 1.0 ELSE 0.0 END) AS stagnation_rate,
+  avg(CASE WHEN exit_reason = 'stagnated' THEN 3 - total_iterations END) AS mean_iterations_saved FROM rollup""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(metrics_sql())
     out.update(critic_sql())
+    out.update(trajectory_sql())
     return out
