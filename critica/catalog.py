@@ -15,10 +15,12 @@ from critica.functions import critic as cr
 from critica.functions import text as tx
 from critica.functions.common import ustrip
 from critica.config import DEFAULT_LOOP, LoopConfig
+from critica.operators import benchmark as bm
 from critica.operators import metrics as mt
 from critica.operators import trajectory as tj
 from critica.sources import fixtures as fx
 from critica.sources import io
+from critica.session import scratch_path
 from critica.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -282,6 +284,48 @@ def x5_stagnation_rate(spark, sf):
     return tj.stagnation_rate(tj.run_rollup(_traj(spark, sf)))
 
 
+# ---------------------------------------------------------------- benchmark results
+def _results(spark, sf):
+    return fx.benchmark_results(table(spark, sf, "events"))
+
+
+def j1_plan_runs(spark, sf):
+    qa = _qa(spark, sf).select("conv_id", "turn", "query")
+    return bm.plan_runs(qa).select("conv_id", "turn", "system_name")
+
+
+def u1_stack_results(spark, sf):
+    return _results(spark, sf).select(
+        "system_name", "query", "run_id", "iterations_used", "latency_s", "pipeline_critic_score",
+        "hallucination_count", "factual_accuracy", "exit_reason")
+
+
+def a3_system_summary(spark, sf):
+    return bm.system_summary(_results(spark, sf))
+
+
+def a4_exit_distribution(spark, sf):
+    return bm.exit_distribution(_results(spark, sf))
+
+
+def j2_improvement_vs_baseline(spark, sf):
+    return bm.improvement_vs_baseline(bm.system_summary(_results(spark, sf)))
+
+
+def w8_best_marker(spark, sf):
+    return bm.best_marker(bm.system_summary(_results(spark, sf)))
+
+
+def s5_write_report(spark, sf):
+    """Write results / summaries / improvements under the shared checkpoint folder and read
+    the summaries back (the written table cuts the lineage)."""
+    res = _results(spark, sf)
+    summ = bm.system_summary(res)
+    paths = io.write_report(res, summ, bm.improvement_vs_baseline(summ),
+                            scratch_path(spark, "report"), fmt="parquet")
+    return spark.read.parquet(paths["summaries"])
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for name in ("s1_read_queries", "s3_cap_samples", "s6_qa_pairs", "m1_tokens", "m2_sentences",
@@ -298,6 +342,8 @@ def queries() -> dict[str, Query]:
                  "w4_exit_reason_at", "w5_truncate_at_exit", "w6_strict_mode",
                  "w7_progress_label", "a1_run_rollup", "a1_run_rollup_user10", "a2_total_gain",
                  "j6_active_runs", "x1_non_monotonic_runs", "x2_persistent_hallucination",
-                 "x5_stagnation_rate"):
+                 "x5_stagnation_rate",
+                 "j1_plan_runs", "u1_stack_results", "a3_system_summary", "a4_exit_distribution",
+                 "j2_improvement_vs_baseline", "w8_best_marker", "s5_write_report"):
         out[name] = globals()[name]
     return out

@@ -100,7 +100,9 @@ def run_rollup(traj: DataFrame) -> DataFrame:
         F.max_by("score", IT).alias("final_score"),
         F.min_by("score", IT).alias("first_score"),
         F.max_by("has_hallucination", IT).alias("final_has_hallucination"),
-        F.sum("value").alias("latency_s") if "value" in traj.columns else F.lit(None).alias("latency_s"),
+        # exact decimal sum: the result cannot depend on the order rows arrive in
+        (F.sum(F.col("value").cast("decimal(18,2)")).cast("double") if "value" in traj.columns
+         else F.lit(None).cast("double")).alias("latency_s"),
         hist.alias("score_history"),
     )
     exit_reason = F.coalesce(F.col("__exit"), F.lit("pending"))

@@ -288,7 +288,7 @@ rollup AS (SELECT run_id, max(iteration) AS total_iterations,
              arg_max(answer, iteration) AS final_answer, arg_max(score, iteration) AS final_score,
              arg_min(score, iteration) AS first_score,
              arg_max(has_hallucination, iteration) AS final_has_hallucination,
-             sum(value) AS latency_s,
+             CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS latency_s,
              array_to_string(list_transform(list(score ORDER BY iteration), lambda x: printf('%.3f', x)), ',') AS score_history
            FROM traj GROUP BY run_id)"""
 
@@ -327,9 +327,70 @@ SELECT run_id, max(n) AS longest_streak, count(*) AS n_streaks FROM s GROUP BY r
     }
 
 
+# ---------------------------------------------------------------- benchmark results
+def results_cte() -> str:
+    sys_case = ("CASE CAST(floor(run_id / 100) AS BIGINT) % 4 WHEN 0 THEN 'A_Baseline' "
+                "WHEN 1 THEN 'B_LLM_Critic' WHEN 2 THEN 'C_Learned_Critic' ELSE 'D_Browser_Augmented' END")
+    return traj_cte() + f""",
+rr AS (SELECT *, {sys_case} AS system_name, 'day ' || CAST(run_id % 100 AS VARCHAR) AS query FROM rollup),
+results AS (
+  SELECT system_name, query, run_id, CAST(0 AS BIGINT) AS iterations_used, latency_s,
+         final_score AS pipeline_critic_score,
+         CAST(CASE WHEN final_has_hallucination THEN 1 ELSE 0 END AS BIGINT) AS hallucination_count,
+         final_score AS factual_accuracy, 'baseline' AS exit_reason FROM rr WHERE system_name = 'A_Baseline'
+  UNION ALL
+  SELECT system_name, query, run_id, CAST(total_iterations AS BIGINT), latency_s, final_score,
+         CAST(CASE WHEN final_has_hallucination THEN 1 ELSE 0 END AS BIGINT), final_score, exit_reason
+  FROM rr WHERE system_name <> 'A_Baseline'),
+summ AS (
+  SELECT system_name, count(*) AS query_count,
+    {RND('CAST(sum(CAST(factual_accuracy AS DECIMAL(28,6))) AS DOUBLE) / count(*)', 3)} AS avg_factual_accuracy,
+    {RND('avg(CASE WHEN hallucination_count > 0 THEN 1.0 ELSE 0.0 END)', 3)} AS hallucination_rate,
+    {RND('CAST(sum(CAST(pipeline_critic_score AS DECIMAL(28,6))) AS DOUBLE) / count(*)', 3)} AS avg_critic_score,
+    {RND('CAST(sum(CAST(iterations_used AS DECIMAL(28,6))) AS DOUBLE) / count(*)', 2)} AS avg_iterations,
+    {RND('CAST(sum(CAST(latency_s AS DECIMAL(28,6))) AS DOUBLE) / count(*)', 3)} AS avg_latency_s,
+    {RND("avg(CASE WHEN exit_reason = 'converged' THEN 1.0 ELSE 0.0 END)", 3)} AS convergence_rate
+  FROM results GROUP BY system_name),
+lng AS (
+  SELECT system_name, 'avg_factual_accuracy' AS metric, avg_factual_accuracy AS value, true AS hb FROM summ
+  UNION ALL SELECT system_name, 'hallucination_rate', hallucination_rate, false FROM summ
+  UNION ALL SELECT system_name, 'avg_critic_score', avg_critic_score, true FROM summ
+  UNION ALL SELECT system_name, 'avg_iterations', avg_iterations, false FROM summ
+  UNION ALL SELECT system_name, 'avg_latency_s', avg_latency_s, false FROM summ
+  UNION ALL SELECT system_name, 'convergence_rate', convergence_rate, true FROM summ)"""
+
+
+def benchmark_sql() -> dict[str, str]:
+    r = "WITH " + results_cte()
+    keys = ("CASE metric WHEN 'avg_factual_accuracy' THEN 'factual_accuracy_pct' "
+            "WHEN 'hallucination_rate' THEN 'hallucination_rate_pct' WHEN 'avg_critic_score' THEN 'critic_score_pct' "
+            "WHEN 'avg_iterations' THEN 'iterations_pct' WHEN 'avg_latency_s' THEN 'latency_pct' "
+            "ELSE 'convergence_rate_pct' END")
+    summ_cols = """system_name, query_count, avg_factual_accuracy, hallucination_rate, avg_critic_score,
+  avg_iterations, avg_latency_s, convergence_rate"""
+    return {
+        "j1_plan_runs": f"""WITH {QA_PAIRS} SELECT conv_id, turn, s.system_name FROM qa CROSS JOIN
+  (VALUES ('A_Baseline'), ('B_LLM_Critic'), ('C_Learned_Critic'), ('D_Browser_Augmented')) AS s(system_name)""",
+        "u1_stack_results": f"""{r} SELECT system_name, query, run_id, iterations_used, latency_s, pipeline_critic_score,
+  hallucination_count, factual_accuracy, exit_reason FROM results""",
+        "a3_system_summary": f"{r} SELECT {summ_cols} FROM summ",
+        "s5_write_report": f"{r} SELECT {summ_cols} FROM summ",
+        "a4_exit_distribution": f"""{r}, c AS (SELECT system_name, exit_reason, count(*) AS n_runs FROM results GROUP BY 1, 2)
+SELECT system_name, exit_reason, n_runs, n_runs / sum(n_runs) OVER (PARTITION BY system_name) AS share FROM c""",
+        "j2_improvement_vs_baseline": f"""{r}, b AS (SELECT metric, value AS base_value FROM lng WHERE system_name = 'A_Baseline')
+SELECT l.system_name || '_vs_A_Baseline' AS comparison, l.system_name, {keys.replace('metric', 'l.metric')} AS improvement,
+  {RND("(CASE WHEN l.hb THEN l.value - b.base_value ELSE b.base_value - l.value END) / greatest(abs(b.base_value), 0.01) * 100.0", 1)} AS pct
+FROM lng l JOIN b ON l.metric = b.metric WHERE l.system_name <> 'A_Baseline'""",
+        "w8_best_marker": f"""{r} SELECT system_name, metric, value,
+  (abs(value - CASE WHEN hb THEN max(value) OVER (PARTITION BY metric) ELSE min(value) OVER (PARTITION BY metric) END) < 1e-9
+   AND count(*) OVER (PARTITION BY metric) > 1) AS is_best FROM lng""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(metrics_sql())
     out.update(critic_sql())
     out.update(trajectory_sql())
+    out.update(benchmark_sql())
     return out

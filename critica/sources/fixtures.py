@@ -135,3 +135,17 @@ def trajectory_iterations(events: DataFrame, cfg: LoopConfig = DEFAULT_LOOP,
         F.concat(F.lit("answer "), F.col("event_id").cast("string")).alias("answer"),
         "value",
     )
+
+
+def benchmark_results(events: DataFrame, cfg: LoopConfig = DEFAULT_LOOP) -> DataFrame:
+    """Runs fixture: trajectory runs rolled up (A1); system by user_id % 4, query = day of month;
+    factual accuracy = last score; latency = sum of ``value`` over the critiques that ran."""
+    from critica.operators import benchmark as bm
+    from critica.operators import trajectory as tj
+
+    roll = tj.run_rollup(tj.trajectories(trajectory_iterations(events, cfg), cfg))
+    user = F.floor(F.col("run_id") / 100)
+    system = F.element_at(F.array(*[F.lit(s) for s in bm.SYSTEMS]), (user % 4 + 1).cast("int"))
+    roll = roll.withColumn("system_name", system).withColumn(
+        "query", F.concat(F.lit("day "), (F.col("run_id") % 100).cast("string")))
+    return bm.results_from_rollup(roll)
