@@ -15,7 +15,9 @@ from critica.functions import critic as cr
 from critica.functions import text as tx
 from critica.functions.common import ustrip
 from critica.config import DEFAULT_LOOP, LoopConfig
+from critica.functions.html import html_to_text, truncate_text
 from critica.operators import benchmark as bm
+from critica.operators import evidence as ev
 from critica.operators import metrics as mt
 from critica.operators import trajectory as tj
 from critica.sources import fixtures as fx
@@ -326,6 +328,46 @@ def s5_write_report(spark, sf):
     return spark.read.parquet(paths["summaries"])
 
 
+# ---------------------------------------------------------------- evidence
+def t1_html_to_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", html_to_text("html").alias("text"))
+
+
+def k2_truncate_text(spark, sf):
+    return table(spark, sf, "pages").select(
+        "page_id", truncate_text(html_to_text("html")).alias("content"))
+
+
+def _evidence(spark, sf):
+    qa = _qa(spark, sf).select("conv_id", "turn", "query")
+    return ev.retrieve_evidence(qa, ["conv_id", "turn"], table(spark, sf, "pages"), k=2)
+
+
+def k1_top_k_per_query(spark, sf):
+    ranked, _ = _evidence(spark, sf)
+    return ranked.select("conv_id", "turn", "page_id", "shared", F.col("rank").cast("bigint").alias("rank"))
+
+
+def j3_retrieve_evidence(spark, sf):
+    _, evid = _evidence(spark, sf)
+    return evid.select(
+        "conv_id", "turn", F.size("pages").cast("bigint").alias("n_pages"),
+        F.array_join(F.transform("pages", lambda p: p.getField("url")), "|").alias("urls"),
+        F.aggregate(F.transform("pages", lambda p: F.length(p.getField("content"))), F.lit(0),
+                    lambda a, b: a + b).cast("bigint").alias("content_chars"))
+
+
+def x3_retrieval_failure_rate(spark, sf):
+    _, evid = _evidence(spark, sf)
+    return ev.retrieval_failures(evid)
+
+
+def j4_heldout_overlap(spark, sf):
+    out = ev.heldout_overlap(table(spark, sf, "benchmark").select("item_id", "text"),
+                             table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("item_id", "doc_id", "shared", "n_item_keywords", "containment")
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for name in ("s1_read_queries", "s3_cap_samples", "s6_qa_pairs", "m1_tokens", "m2_sentences",
@@ -344,6 +386,8 @@ def queries() -> dict[str, Query]:
                  "j6_active_runs", "x1_non_monotonic_runs", "x2_persistent_hallucination",
                  "x5_stagnation_rate",
                  "j1_plan_runs", "u1_stack_results", "a3_system_summary", "a4_exit_distribution",
-                 "j2_improvement_vs_baseline", "w8_best_marker", "s5_write_report"):
+                 "j2_improvement_vs_baseline", "w8_best_marker", "s5_write_report",
+                 "t1_html_to_text", "k2_truncate_text", "k1_top_k_per_query",
+                 "j3_retrieve_evidence", "x3_retrieval_failure_rate", "j4_heldout_overlap"):
         out[name] = globals()[name]
     return out

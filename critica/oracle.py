@@ -387,10 +387,69 @@ FROM lng l JOIN b ON l.metric = b.metric WHERE l.system_name <> 'A_Baseline'""",
     }
 
 
+# ---------------------------------------------------------------- evidence
+def HTML_TEXT(x: str) -> str:
+    from critica.functions.html import ENTITIES, SCRIPT_STYLE, TAG
+    t = f"regexp_replace({x}, {_q(SCRIPT_STYLE)}, ' ', 'g')"
+    t = f"regexp_replace({t}, {_q(TAG)}, ' ', 'g')"
+    for ent, rep in ENTITIES:
+        t = f"replace({t}, {_q(ent)}, {_q(rep)})"
+    t = f"regexp_replace({t}, {_q(WS_CLASS + '+')}, ' ', 'g')"
+    return USTRIP(t)
+
+
+def TRUNC(x: str, n: int = 1800) -> str:
+    return (f"(CASE WHEN length({USTRIP(x)}) > {n} THEN substring({USTRIP(x)}, 1, {n}) || chr(10) || "
+            f"'[... truncated ...]' ELSE {USTRIP(x)} END)")
+
+
+def _stop_cte(post: str, corpus: str, frac: float, min_df: int, name: str) -> str:
+    return f"""{name} AS (SELECT kw FROM {post} GROUP BY kw HAVING count(*) >
+   greatest({D(float(min_df))}, floor((SELECT count(*) FROM {corpus}) * {D(frac)})))"""
+
+
+def evidence_sql() -> dict[str, str]:
+    base = f"""WITH {QA_PAIRS},
+cp0 AS (SELECT page_id, url, {HTML_TEXT('html')} AS text FROM pages),
+cp AS (SELECT page_id, url, text, {TRUNC('text')} AS content FROM cp0 WHERE length(text) > 0),
+pp AS (SELECT DISTINCT page_id, unnest({KEYWORDS('text')}) AS kw FROM cp),
+qp AS (SELECT DISTINCT conv_id, turn, unnest({KEYWORDS('query')}) AS kw FROM qa),
+{_stop_cte('pp', 'cp', 0.05, 10, 'stop')},
+sc AS (SELECT conv_id, turn, page_id, count(*) AS shared FROM qp JOIN pp USING (kw)
+       WHERE kw NOT IN (SELECT kw FROM stop) GROUP BY ALL HAVING count(*) >= 2),
+ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY shared DESC, page_id) AS rank FROM sc)
+           WHERE rank <= 2),
+rk AS (SELECT ranked.*, cp.url, cp.content FROM ranked JOIN cp USING (page_id)),
+evid AS (SELECT qa.conv_id, qa.turn, count(rk.page_id) AS n_pages,
+           coalesce(string_agg(rk.url, '|' ORDER BY rk.rank), '') AS urls,
+           coalesce(sum(length(rk.content)), 0) AS content_chars
+         FROM qa LEFT JOIN rk ON qa.conv_id = rk.conv_id AND qa.turn = rk.turn GROUP BY qa.conv_id, qa.turn)"""
+    j4 = f"""WITH ip AS (SELECT DISTINCT item_id, unnest({KEYWORDS('text')}) AS kw FROM benchmark),
+dp AS (SELECT DISTINCT doc_id, unnest({KEYWORDS('text')}) AS kw FROM documents),
+{_stop_cte('dp', 'documents', 0.1, 10, 'stop')},
+sizes AS (SELECT item_id, count(*) AS n_item_keywords FROM ip WHERE kw NOT IN (SELECT kw FROM stop) GROUP BY item_id),
+sc AS (SELECT item_id, doc_id, count(*) AS shared FROM ip JOIN dp USING (kw)
+       WHERE kw NOT IN (SELECT kw FROM stop) GROUP BY ALL)
+SELECT item_id, doc_id, shared, n_item_keywords, shared / n_item_keywords AS containment
+FROM sc JOIN sizes USING (item_id) WHERE shared / n_item_keywords >= 0.8"""
+    return {
+        "t1_html_to_text": f"SELECT page_id, {HTML_TEXT('html')} AS text FROM pages",
+        "k2_truncate_text": f"SELECT page_id, {TRUNC(HTML_TEXT('html'))} AS content FROM pages",
+        "k1_top_k_per_query": f"{base} SELECT conv_id, turn, page_id, shared, CAST(rank AS BIGINT) AS rank FROM ranked",
+        "j3_retrieve_evidence": f"""{base} SELECT conv_id, turn, CAST(n_pages AS BIGINT) AS n_pages, urls,
+  CAST(content_chars AS BIGINT) AS content_chars FROM evid""",
+        "x3_retrieval_failure_rate": f"""{base} SELECT count(*) AS n_triggered,
+  CAST(sum(CASE WHEN n_pages = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_failures,
+  avg(CASE WHEN n_pages = 0 THEN 1.0 ELSE 0.0 END) AS failure_rate FROM evid""",
+        "j4_heldout_overlap": j4,
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(metrics_sql())
     out.update(critic_sql())
     out.update(trajectory_sql())
     out.update(benchmark_sql())
+    out.update(evidence_sql())
     return out
