@@ -16,7 +16,9 @@ from critica.functions import text as tx
 from critica.functions.common import ustrip
 from critica.config import DEFAULT_LOOP, LoopConfig
 from critica.functions.html import html_to_text, truncate_text
+from critica.functions import prompts as pr
 from critica.operators import benchmark as bm
+from critica.operators import training as tr
 from critica.operators import evidence as ev
 from critica.operators import metrics as mt
 from critica.operators import trajectory as tj
@@ -368,6 +370,103 @@ def j4_heldout_overlap(spark, sf):
     return out.select("item_id", "doc_id", "shared", "n_item_keywords", "containment")
 
 
+# ---------------------------------------------------------------- prompts / training data
+def t2_generation_prompt(spark, sf):
+    return _qa(spark, sf).select("conv_id", "turn", pr.generation_prompt("query").alias("prompt"))
+
+
+def t3_critic_prompt(spark, sf):
+    return _qa(spark, sf).select("conv_id", "turn", pr.critic_prompt("query", "answer").alias("prompt"))
+
+
+def t4_refine_prompt(spark, sf):
+    fb = _feedback(spark, sf).select("doc_id", "feedback")
+    docs = table(spark, sf, "documents").select("doc_id", tr.first_line("text").alias("query"),
+                                                F.col("text").alias("answer"))
+    j = docs.join(fb, "doc_id")
+    return j.select("doc_id", pr.refine_prompt("query", "answer", "feedback",
+                                               (F.col("doc_id") % 2) == 1).alias("prompt"))
+
+
+def t5_judge_prompt(spark, sf):
+    return _qa(spark, sf).select("conv_id", "turn", pr.judge_prompt("query", "answer").alias("prompt"))
+
+
+def t6_corruption_prompt(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return d.select("doc_id", pr.corruption_index("doc_id", F.lit(1)).alias("template_index"),
+                    pr.corruption_prompt("text", "doc_id", F.lit(1)).alias("prompt"))
+
+
+def t7_pair_text(spark, sf):
+    return _qa(spark, sf).select("conv_id", "turn", pr.pair_text("query", "answer").alias("text"))
+
+
+def _records(spark, sf):
+    return tr.training_records(table(spark, sf, "documents"), table(spark, sf, "labels"),
+                               _feedback(spark, sf))
+
+
+def t8_sft_text(spark, sf):
+    r = _records(spark, sf).select("doc_id", pr.sft_text("query", "answer", "feedback").alias("text"))
+    resp = F.try_parse_json(F.substring_index("text", pr.RESPONSE_MARKER, -1))
+    return r.select(
+        "doc_id",
+        F.concat(F.substring_index("text", pr.RESPONSE_MARKER, 1), F.lit(pr.RESPONSE_MARKER)).alias("prompt"),
+        F.array_join(F.json_object_keys(F.substring_index("text", pr.RESPONSE_MARKER, -1)), ",").alias("keys"),
+        F.try_variant_get(resp, "$.score", "double").alias("score"),
+        F.try_variant_get(resp, "$.verdict", "string").alias("verdict"),
+        F.size(F.try_variant_get(resp, "$.hallucinations", "array<string>")).cast("bigint").alias("n_hallucinations"))
+
+
+def t9_mask_labels(spark, sf):
+    r = _records(spark, sf).select("doc_id", pr.sft_text("query", "answer", "feedback").alias("text"))
+    m = r.select("doc_id", pr.mask_labels("text", 512).alias("m"))
+    lab = F.col("m.labels")
+    return m.select(
+        "doc_id", F.size("m.input_ids").cast("bigint").alias("n_input_ids"),
+        F.size(F.filter(lab, lambda x: x == -100)).cast("bigint").alias("n_masked"),
+        (F.element_at("m.input_ids", -1) == pr.EOS_ID).alias("ends_with_eos"),
+        F.aggregate(F.filter(lab, lambda x: x != -100), F.lit(0).cast("bigint"),
+                    lambda a, b: a + b).alias("label_sum"))
+
+
+def d1_expand_corruptions(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("answer"))
+    out = tr.expand_corruptions(d, n=1)
+    return out.select(F.col("query_id").alias("doc_id"), F.col("variant").cast("bigint").alias("variant"),
+                      "is_corrupted", F.coalesce("template_index", F.lit(-1)).cast("bigint").alias("template_index"),
+                      F.coalesce(F.length("corruption_prompt"), F.lit(0)).cast("bigint").alias("prompt_chars"))
+
+
+def d3_verdict_index(spark, sf):
+    r = _records(spark, sf).select("doc_id", F.col("feedback.verdict").alias("verdict"))
+    r = r.withColumn("verdict_index", tr.verdict_index("verdict").cast("bigint"))
+    return r.withColumn("verdict_back", tr.verdict_from_index(F.col("verdict_index")))
+
+
+def d4_split_prefix(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id")
+    return tr.split_prefix(spark, d, "doc_id", 0.9).select(
+        "doc_id", F.col("row_index").cast("bigint").alias("row_index"), "split")
+
+
+def d5_split_hash(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", tr.first_line("text").alias("query"))
+    return tr.split_hash(d, by="query").select("doc_id", "split")
+
+
+def s2_read_training(spark, sf):
+    """S4 then S2: write the training records as JSON lines under the checkpoint folder and
+    read them back with the fixed schema."""
+    path = scratch_path(spark, "training")
+    io.write_training(_records(spark, sf), path, fmt="json")
+    back = io.read_training(spark, path)
+    return back.select("query", F.length("answer").cast("bigint").alias("answer_chars"),
+                       F.col("feedback.score").alias("score"), F.col("feedback.verdict").alias("verdict"),
+                       F.size("feedback.hallucinations").cast("bigint").alias("n_hallucinations"))
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for name in ("s1_read_queries", "s3_cap_samples", "s6_qa_pairs", "m1_tokens", "m2_sentences",
@@ -388,6 +487,10 @@ def queries() -> dict[str, Query]:
                  "j1_plan_runs", "u1_stack_results", "a3_system_summary", "a4_exit_distribution",
                  "j2_improvement_vs_baseline", "w8_best_marker", "s5_write_report",
                  "t1_html_to_text", "k2_truncate_text", "k1_top_k_per_query",
-                 "j3_retrieve_evidence", "x3_retrieval_failure_rate", "j4_heldout_overlap"):
+                 "j3_retrieve_evidence", "x3_retrieval_failure_rate", "j4_heldout_overlap",
+                 "t2_generation_prompt", "t3_critic_prompt", "t4_refine_prompt", "t5_judge_prompt",
+                 "t6_corruption_prompt", "t7_pair_text", "t8_sft_text", "t9_mask_labels",
+                 "d1_expand_corruptions", "d3_verdict_index", "d4_split_prefix", "d5_split_hash",
+                 "s2_read_training"):
         out[name] = globals()[name]
     return out

@@ -445,6 +445,100 @@ FROM sc JOIN sizes USING (item_id) WHERE shared / n_item_keywords >= 0.8"""
     }
 
 
+# ---------------------------------------------------------------- prompts / training
+def PHASH(*parts: str) -> str:
+    s = " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    return f"CAST(('0x' || substr(md5({s}), 1, 8)) AS BIGINT)"
+
+
+def FIRST_LINE(x: str) -> str:
+    return USTRIP(f"split_part({x}, chr(10), 1)")
+
+
+def prompts_sql() -> dict[str, str]:
+    from critica.functions import prompts as pr
+    cte = "WITH " + critic_expected_cte()
+    gen = f"'Question: ' || query || chr(10) || chr(10) || 'Answer:'"
+    critic = (f"{_q(pr.CRITIC_RULES + chr(10) * 2 + pr.CRITIC_SCORING_GUIDE + chr(10) * 2 + 'QUERY TO ANSWER:' + chr(10))} "
+              f"|| query || {_q(chr(10) * 2 + 'ANSWER UNDER REVIEW:' + chr(10))} || answer || {_q(chr(10) * 2 + pr.CRITIC_SCHEMA)}")
+    judge = f"{_q(pr.JUDGE_HEAD)} || query || {_q(pr.JUDGE_MID)} || answer || {_q(pr.JUDGE_TAIL)}"
+
+    def sec(title, n, prefix, marker):
+        items = f"array_to_string(list_transform(range(1, {n} + 1), lambda k: '  {marker} {prefix} ' || k || ' of doc ' || doc_id), chr(10))"
+        return f"(CASE WHEN {n} > 0 THEN {_q(title + ':' + chr(10))} || {items} ELSE {_q(title + ': (none)')} END)"
+
+    from critica.functions.critic import FALLBACK_ACTION
+    titles = {f: t for t, f, _ in pr.REFINE_SECTIONS}
+    act_title = titles["improvement_actions"]
+    actions = (f"(CASE WHEN bad THEN {_q(act_title + ':' + chr(10) + '  >> ' + FALLBACK_ACTION)} "
+               f"ELSE {_q(act_title + ':' + chr(10))} || array_to_string(list_append(list_transform(range(1, na + 1), "
+               f"lambda k: '  >> action ' || k || ' of doc ' || doc_id), '  >> 42'), chr(10)) END)")
+    nn = lambda v: f"(CASE WHEN bad THEN 0 ELSE {v} END)"
+    sections = " || chr(10) || chr(10) || ".join([
+        "'ORIGINAL QUESTION:' || chr(10) || query",
+        "'CURRENT ANSWER  [critic score: ' || CAST(score AS VARCHAR) || '/10  verdict: ' || verdict || ']:' || chr(10) || answer",
+        sec(titles["hallucinations"], nn("h"), "hallucination", "[!]"),
+        sec(titles["factual_errors"], nn("f"), "factual error", "[x]"),
+        sec(titles["logical_flaws"], nn("l"), "logical flaw", "[~]"),
+        sec(titles["missing_concepts"], nn("m"), "missing concept", "[ ]"),
+        actions,
+    ])
+    refine = (f"(CASE WHEN doc_id % 2 = 1 THEN {_q(pr.REFINE_STRICT_HEADER)} ELSE '' END) || "
+              f"{_q(pr.REFINE_INTRO)} || {sections}")
+    tmpl = "CASE idx " + " ".join(f"WHEN {i} THEN {_q(t)}" for i, t in enumerate(pr.CORRUPTION_TEMPLATES)) + " END"
+    sft_prompt = (f"{_q(pr.SFT_HEAD + pr.SFT_INSTRUCTION + pr.SFT_INPUT)} || query || {_q(pr.SFT_ANSWER)} || answer "
+                  f"|| {_q(pr.SFT_RESPONSE)}")
+
+    def jlist(n, prefix):
+        return (f"'[' || array_to_string(list_transform(range(1, {n} + 1), lambda k: '\"{prefix} ' || k || ' of doc ' || doc_id || '\"'), ',') || ']'")
+
+    resp = ("'{\"hallucinations\":' || " + jlist(nn("h"), "hallucination") + " || ',\"factual_errors\":' || "
+            + jlist(nn("f"), "factual error") + " || ',\"missing_concepts\":' || " + jlist(nn("m"), "missing concept")
+            + " || ',\"logical_flaws\":' || " + jlist(nn("l"), "logical flaw")
+            + " || ',\"score\":' || CAST(score AS VARCHAR) || ',\"verdict\":\"' || verdict || '\"}'")
+    recs = f"""{cte}, cxb AS (SELECT cx.*, b.h, b.f, b.l, b.m, b.na, b.bad FROM cx JOIN cx_base b USING (doc_id)),
+recs AS (SELECT d.doc_id, {FIRST_LINE('d.text')} AS query, d.text AS answer, cxb.* EXCLUDE (doc_id)
+         FROM documents d JOIN labels USING (doc_id) JOIN cxb ON cxb.doc_id = d.doc_id)"""
+    def tok(x):
+        return f"list_transform(regexp_extract_all({x}, {_q(NON_WS_CLASS + '+')}), lambda x: ({PHASH('x')} % 32000) + 3)"
+    return {
+        "t2_generation_prompt": f"WITH {QA_PAIRS} SELECT conv_id, turn, {gen} AS prompt FROM qa",
+        "t3_critic_prompt": f"WITH {QA_PAIRS} SELECT conv_id, turn, {critic} AS prompt FROM qa",
+        "t5_judge_prompt": f"WITH {QA_PAIRS} SELECT conv_id, turn, {judge} AS prompt FROM qa",
+        "t7_pair_text": f"WITH {QA_PAIRS} SELECT conv_id, turn, 'Query: ' || query || ' [SEP] Answer: ' || answer AS text FROM qa",
+        "t4_refine_prompt": f"""{cte}, cxb AS (SELECT cx.*, b.h, b.f, b.l, b.m, b.na, b.bad FROM cx JOIN cx_base b USING (doc_id)),
+src AS (SELECT d.doc_id, {FIRST_LINE('d.text')} AS query, d.text AS answer, cxb.* EXCLUDE (doc_id)
+        FROM documents d JOIN cxb ON cxb.doc_id = d.doc_id)
+SELECT doc_id, {refine} AS prompt FROM src""",
+        "t6_corruption_prompt": f"""WITH s AS (SELECT doc_id, text, {PHASH('doc_id', '1', '42')} % 4 AS idx FROM documents)
+SELECT doc_id, idx AS template_index, ({tmpl}) || text AS prompt FROM s""",
+        "t8_sft_text": f"""{recs} SELECT doc_id, {sft_prompt} AS prompt,
+  'hallucinations,factual_errors,missing_concepts,logical_flaws,score,verdict' AS keys, score, verdict,
+  CAST((CASE WHEN bad THEN 0 ELSE h END) AS BIGINT) AS n_hallucinations FROM recs""",
+        "t9_mask_labels": f"""{recs}, tx AS (SELECT doc_id, {sft_prompt} AS p, {sft_prompt} || {resp} AS text FROM recs),
+ids AS (SELECT doc_id, {tok('text')}[1:512] AS ids, len({tok('p')}[1:512]) AS np FROM tx),
+lab AS (SELECT doc_id, ids, np, len(ids) AS n, len(ids) < 512 AS add_eos FROM ids)
+SELECT doc_id, CAST(n + CASE WHEN add_eos THEN 1 ELSE 0 END AS BIGINT) AS n_input_ids,
+  CAST(np AS BIGINT) AS n_masked, add_eos AS ends_with_eos,
+  CAST(coalesce(list_sum(ids[np + 1:]), 0) + CASE WHEN add_eos THEN 2 ELSE 0 END AS BIGINT) AS label_sum FROM lab""",
+        "d1_expand_corruptions": f"""SELECT doc_id, CAST(v AS BIGINT) AS variant, v > 0 AS is_corrupted,
+  CAST(CASE WHEN v > 0 THEN {PHASH('doc_id', 'v', '42')} % 4 ELSE -1 END AS BIGINT) AS template_index,
+  CAST(CASE WHEN v = 0 THEN 0 ELSE length(text) + length(CASE {PHASH('doc_id', 'v', '42')} % 4 """
+        + " ".join(f"WHEN {i} THEN {_q(t)}" for i, t in enumerate(pr.CORRUPTION_TEMPLATES))
+        + """ END) END AS BIGINT) AS prompt_chars
+FROM documents, (SELECT unnest([0, 1]) AS v)""",
+        "d3_verdict_index": f"""{recs} SELECT doc_id, verdict, CAST({_rank('verdict')} AS BIGINT) AS verdict_index,
+  verdict AS verdict_back FROM recs""",
+        "d4_split_prefix": """SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS row_index,
+  CASE WHEN row_number() OVER (ORDER BY doc_id) - 1 < greatest(1, floor((SELECT count(*) FROM documents) * CAST(0.9 AS DOUBLE)))
+       THEN 'train' ELSE 'val' END AS split FROM documents""",
+        "d5_split_hash": f"""SELECT doc_id, CASE WHEN {PHASH(FIRST_LINE('text'), '42')} % 100 < 90 THEN 'train' ELSE 'val' END AS split
+FROM documents""",
+        "s2_read_training": f"""{recs} SELECT query, CAST(length(answer) AS BIGINT) AS answer_chars, score, verdict,
+  CAST((CASE WHEN bad THEN 0 ELSE h END) AS BIGINT) AS n_hallucinations FROM recs""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(metrics_sql())
@@ -452,4 +546,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(trajectory_sql())
     out.update(benchmark_sql())
     out.update(evidence_sql())
+    out.update(prompts_sql())
     return out
