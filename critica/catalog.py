@@ -19,6 +19,8 @@ from critica.functions.html import html_to_text, truncate_text
 from critica.functions import prompts as pr
 from critica.operators import benchmark as bm
 from critica.operators import training as tr
+from critica.plans import refine as rf
+from critica.plans.inference import PandasTestBackend, TestBackend, complete_batch
 from critica.operators import evidence as ev
 from critica.operators import metrics as mt
 from critica.operators import trajectory as tj
@@ -467,6 +469,73 @@ def s2_read_training(spark, sf):
                        F.size("feedback.hallucinations").cast("bigint").alias("n_hallucinations"))
 
 
+# ---------------------------------------------------------------- batch inference (test backend)
+TB = TestBackend()
+
+
+def _qa_runs(spark, sf):
+    return _qa(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("run_id"),
+                                 "conv_id", "turn", "query", "answer")
+
+
+def i1_complete_batch(spark, sf):
+    """I1 through mapInPandas (the Python-side test backend)."""
+    qa = _qa(spark, sf).withColumn("prompt", pr.critic_prompt("query", "answer"))
+    out = complete_batch(qa, PandasTestBackend(), prompt="prompt", key="query")
+    return out.select("conv_id", "turn", "completion", F.col("error").isNull().alias("ok"))
+
+
+def i8_generate_batch(spark, sf):
+    out = rf.generate_batch(_qa(spark, sf).select("conv_id", "turn", "query"), TB)
+    return out.select("conv_id", "turn", "prompt_used", "answer")
+
+
+def i3_critique_batch(spark, sf):
+    out = rf.critique_batch(_qa(spark, sf), TB, iteration=F.lit(1))
+    return out.select("conv_id", "turn", "feedback.score", "feedback.verdict",
+                      cr.total_issue_count().cast("bigint").alias("total_issue_count"))
+
+
+def i4_judge_batch(spark, sf):
+    qa = _qa(spark, sf).withColumnRenamed("answer", "final_answer")
+    return rf.judge_batch(qa, TB).select("conv_id", "turn", "factual_accuracy", "hallucinations_detected")
+
+
+def i5_refine_batch(spark, sf):
+    runs, _ = rf.refine_batch(spark, _qa_runs(spark, sf).select("run_id", "query"), TB)
+    return runs.select("run_id", F.col("total_iterations").cast("bigint").alias("total_iterations"),
+                       "exit_reason", "converged", "final_score",
+                       _hist_text("score_history").alias("score_history"))
+
+
+def i6_benchmark(spark, sf):
+    """I6 with the test backend; D gets J3 evidence. Latency (wall clock) is left out."""
+    qa = _qa_runs(spark, sf).select(F.col("run_id").alias("query_id"), "conv_id", "turn", "query")
+    _, evid = ev.retrieve_evidence(qa, ["query_id"], table(spark, sf, "pages"), k=2)
+    res = rf.benchmark(spark, qa.select("query_id", "query"), TB, evidence=evid)
+    return bm.system_summary(res).drop("avg_latency_s")
+
+
+def i7_error_rows(spark, sf):
+    gen = rf.generate_batch(_qa(spark, sf).select("conv_id", "turn", "query"),
+                            PandasTestBackend(fail_modulo=7))
+    failed = gen.filter(F.col("error").isNotNull()).withColumn("system_name", F.lit(bm.BASELINE))
+    rows = bm.error_results(failed)
+    keys = failed.select("conv_id", "turn", "query")
+    return rows.join(keys, "query").select("conv_id", "turn", "final_answer", "exit_reason",
+                                           "factual_accuracy", "iterations_used")
+
+
+def d2_label_records(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"),
+                                             tr.first_line("text").alias("query"),
+                                             F.col("text").alias("answer"))
+    lab = rf.label_records(tr.expand_corruptions(d, n=1), TB)
+    return lab.select(F.col("query_id").alias("doc_id"), F.col("variant").cast("bigint").alias("variant"),
+                      "label.score", "label.verdict",
+                      F.size("label.hallucinations").cast("bigint").alias("n_hallucinations"))
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for name in ("s1_read_queries", "s3_cap_samples", "s6_qa_pairs", "m1_tokens", "m2_sentences",
@@ -491,6 +560,8 @@ def queries() -> dict[str, Query]:
                  "t2_generation_prompt", "t3_critic_prompt", "t4_refine_prompt", "t5_judge_prompt",
                  "t6_corruption_prompt", "t7_pair_text", "t8_sft_text", "t9_mask_labels",
                  "d1_expand_corruptions", "d3_verdict_index", "d4_split_prefix", "d5_split_hash",
-                 "s2_read_training"):
+                 "s2_read_training",
+                 "i1_complete_batch", "i3_critique_batch", "i4_judge_batch", "i5_refine_batch",
+                 "i6_benchmark", "i7_error_rows", "i8_generate_batch", "d2_label_records"):
         out[name] = globals()[name]
     return out

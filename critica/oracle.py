@@ -539,6 +539,67 @@ FROM documents""",
     }
 
 
+# ---------------------------------------------------------------- batch inference (test backend)
+def TB_SQL(prompt: str, iteration: str, key: str) -> str:
+    import json
+    from critica.plans import inference as inf
+    good = f"(({iteration}) + length({key})) % 2 = 0"
+    low = f"lower({prompt})"
+    critic = " OR ".join(f"contains({low}, {_q(m)})" for m in inf.CRITIC_MARKERS)
+    return (f"(CASE WHEN contains({low}, {_q(inf.JUDGE_MARKER)}) THEN (CASE WHEN {good} THEN "
+            f"{_q(json.dumps(inf.TB_JUDGE_GOOD, indent=2))} ELSE {_q(json.dumps(inf.TB_JUDGE_POOR, indent=2))} END) "
+            f"WHEN {critic} THEN (CASE WHEN {good} THEN {_q(json.dumps(inf.TB_CRITIC_GOOD, indent=2))} "
+            f"ELSE {_q(json.dumps(inf.TB_CRITIC_POOR, indent=2))} END) "
+            f"WHEN contains({low}, 'refine') OR contains({low}, 'improve') THEN {_q(inf.TB_REFINED)} "
+            f"ELSE {_q(inf.TB_GENERATION)} END)")
+
+
+def inference_sql() -> dict[str, str]:
+    from critica.functions import prompts as pr
+    from critica.functions.critic import FALLBACK_ACTION  # noqa: F401
+    critic = (f"{_q(pr.CRITIC_RULES + chr(10) * 2 + pr.CRITIC_SCORING_GUIDE + chr(10) * 2 + 'QUERY TO ANSWER:' + chr(10))} "
+              f"|| query || {_q(chr(10) * 2 + 'ANSWER UNDER REVIEW:' + chr(10))} || answer || {_q(chr(10) * 2 + pr.CRITIC_SCHEMA)}")
+    odd = "length(query) % 2 = 1"
+    summ = f"""WITH {QA_PAIRS}, s AS (
+  SELECT 'A_Baseline' AS system_name, CASE WHEN {odd} THEN 8.0 ELSE 5.5 END AS fa,
+         CASE WHEN {odd} THEN 0 ELSE 1 END AS hc, CASE WHEN {odd} THEN 8.0 ELSE 5.5 END AS cs,
+         0 AS it, 0.0 AS conv FROM qa
+  UNION ALL
+  SELECT sys, CASE WHEN {odd} THEN 8.0 ELSE 5.5 END, 0, 7.7, CASE WHEN {odd} THEN 1 ELSE 2 END, 1.0
+  FROM qa, (SELECT unnest(['B_LLM_Critic', 'C_Learned_Critic', 'D_Browser_Augmented']) AS sys))
+SELECT system_name, count(*) AS query_count,
+  {RND('CAST(sum(CAST(fa AS DECIMAL(28,6))) AS DOUBLE) / count(*)', 3)} AS avg_factual_accuracy,
+  {RND('avg(CASE WHEN hc > 0 THEN 1.0 ELSE 0.0 END)', 3)} AS hallucination_rate,
+  {RND('CAST(sum(CAST(cs AS DECIMAL(28,6))) AS DOUBLE) / count(*)', 3)} AS avg_critic_score,
+  {RND('CAST(sum(CAST(it AS DECIMAL(28,6))) AS DOUBLE) / count(*)', 2)} AS avg_iterations,
+  {RND('avg(conv)', 3)} AS convergence_rate FROM s GROUP BY system_name"""
+    return {
+        "i1_complete_batch": f"""WITH {QA_PAIRS}, p AS (SELECT conv_id, turn, query, {critic} AS prompt FROM qa)
+SELECT conv_id, turn, {TB_SQL('prompt', '1', 'query')} AS completion, true AS ok FROM p""",
+        "i8_generate_batch": f"""WITH {QA_PAIRS}, p AS (SELECT conv_id, turn, query,
+  'Question: ' || query || chr(10) || chr(10) || 'Answer:' AS prompt_used FROM qa)
+SELECT conv_id, turn, prompt_used, {TB_SQL('prompt_used', '1', 'query')} AS answer FROM p""",
+        "i3_critique_batch": f"""WITH {QA_PAIRS} SELECT conv_id, turn,
+  CASE WHEN {odd} THEN 7.7 ELSE 0.0 END AS score, CASE WHEN {odd} THEN 'good' ELSE 'poor' END AS verdict,
+  CAST(CASE WHEN {odd} THEN 1 ELSE 5 END AS BIGINT) AS total_issue_count FROM qa""",
+        "i4_judge_batch": f"""WITH {QA_PAIRS} SELECT conv_id, turn, CASE WHEN {odd} THEN 8.0 ELSE 5.5 END AS factual_accuracy,
+  NOT ({odd}) AS hallucinations_detected FROM qa""",
+        "i5_refine_batch": f"""WITH {QA_PAIRS} SELECT conv_id * 1000 + turn AS run_id,
+  CAST(CASE WHEN {odd} THEN 1 ELSE 2 END AS BIGINT) AS total_iterations, 'converged' AS exit_reason,
+  true AS converged, 7.7 AS final_score,
+  CASE WHEN {odd} THEN '7.700' ELSE '0.000,7.700' END AS score_history FROM qa""",
+        "i6_benchmark": summ,
+        "i7_error_rows": f"""WITH {QA_PAIRS} SELECT conv_id, turn,
+  '[ERROR: RuntimeError: backend unavailable]' AS final_answer, 'error' AS exit_reason,
+  0.0 AS factual_accuracy, CAST(0 AS BIGINT) AS iterations_used FROM qa WHERE length(query) % 7 = 0""",
+        "d2_label_records": f"""WITH d AS (SELECT doc_id, {FIRST_LINE('text')} AS query FROM documents)
+SELECT doc_id, CAST(v AS BIGINT) AS variant, CASE WHEN {odd} THEN 7.7 ELSE 0.0 END AS score,
+  CASE WHEN {odd} THEN 'good' ELSE 'poor' END AS verdict,
+  CAST(CASE WHEN {odd} THEN 0 ELSE 1 END AS BIGINT) AS n_hallucinations
+FROM d, (SELECT unnest([0, 1]) AS v)""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(metrics_sql())
@@ -547,4 +608,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(benchmark_sql())
     out.update(evidence_sql())
     out.update(prompts_sql())
+    out.update(inference_sql())
     return out
