@@ -18,6 +18,7 @@ from critica.config import DEFAULT_LOOP, LoopConfig
 from critica.functions.html import html_to_text, truncate_text
 from critica.functions import prompts as pr
 from critica.operators import benchmark as bm
+from critica.operators import learned as lc
 from critica.operators import training as tr
 from critica.plans import refine as rf
 from critica.plans.inference import PandasTestBackend, TestBackend, complete_batch
@@ -536,6 +537,89 @@ def d2_label_records(spark, sf):
                       F.size("label.hallucinations").cast("bigint").alias("n_hallucinations"))
 
 
+# ---------------------------------------------------------------- learned critic
+def _fixture_fast(spark, sf):
+    """The documents' critic replies stand in for a fast (learned) critic's output."""
+    docs = table(spark, sf, "documents").select("doc_id", tr.first_line("text").alias("query"),
+                                                F.col("text").alias("answer"))
+    return docs.join(_feedback(spark, sf).select("doc_id", "feedback"), "doc_id")
+
+
+def _slow(df):
+    return rf.critique_batch(df, TB, iteration=F.lit(1)).select(*df.columns, "feedback")
+
+
+def f3_route_hybrid(spark, sf):
+    out = lc.route_hybrid(_fixture_fast(spark, sf), _slow)
+    return out.select("doc_id", "route", F.col("feedback.score").alias("score"),
+                      F.col("feedback.verdict").alias("verdict"))
+
+
+def _dmean(c):
+    """Row mean through an exact decimal sum of values rounded to 9 places."""
+    from critica.functions.common import py_round
+    return F.sum(py_round(c, 9).cast("decimal(38,9)")).cast("double") / F.count(F.lit(1))
+
+
+def a6_critic_eval(spark, sf):
+    fb = _feedback(spark, sf).select("doc_id", "feedback")
+    lab = table(spark, sf, "labels")
+    j = fb.join(lab, "doc_id")
+    conf = F.col("feedback.confidence")
+    vidx = cr.verdict_rank("feedback.verdict")
+    probs = F.transform(F.sequence(F.lit(0), F.lit(3)),
+                        lambda i: F.when(i == vidx, conf).otherwise((F.lit(1.0) - conf) / F.lit(3.0)))
+    pred = j.select(probs.alias("verdict_probs"),
+                    F.when(F.col("quality") == 1, F.lit(2)).otherwise(F.lit(0)).alias("label_index"),
+                    F.col("feedback.score").alias("pred_score"),
+                    (F.when(F.col("quality") == 1, F.lit(8.0)).otherwise(F.lit(3.0))
+                     - F.lit(2.0) * F.col("toxic")).alias("label_score"))
+    p_true = F.element_at(F.col("verdict_probs"), (F.col("label_index") + 1).cast("int"))
+    ce = -F.log(F.greatest(p_true, F.lit(1e-7)))
+    se = (F.col("pred_score") - F.col("label_score")) * (F.col("pred_score") - F.col("label_score"))
+    hit = F.when(F.array_position(F.col("verdict_probs"), F.array_max("verdict_probs")) - 1
+                 == F.col("label_index"), 1.0).otherwise(0.0)
+    agg = pred.agg(F.count(F.lit(1)).alias("n"), _dmean(ce).alias("cross_entropy"),
+                   _dmean(se).alias("mse"), F.avg(hit).alias("verdict_accuracy"))
+    return agg.withColumn("loss", F.col("cross_entropy") + F.lit(0.5) * F.col("mse"))
+
+
+def _mis(spark, sf):
+    fast = _fixture_fast(spark, sf)
+    slow = _slow(fast.drop("feedback"))
+    return lc.misalignment(fast, slow, ["doc_id"])
+
+
+def j5_misalignment(spark, sf):
+    return _mis(spark, sf).select("doc_id", "learned_verdict", "slow_score", "misaligned")
+
+
+def x4_misaligned_rate(spark, sf):
+    return lc.misaligned_rate(_mis(spark, sf))
+
+
+def _trained(spark, sf):
+    return lc.train_learned_critic(_records(spark, sf), num_features=1 << 16, max_iter=20)
+
+
+def d6_train_learned_critic(spark, sf):
+    """D6 + A6 on the training records: rows-only check (a fitted model has no SQL twin)."""
+    model = _trained(spark, sf)
+    recs = _records(spark, sf)
+    scored = lc.score_learned_critic(model, recs.select("doc_id", "query", "answer", F.col("feedback").alias("truth")))
+    pred = scored.select("verdict_probs", cr.verdict_rank("truth.verdict").alias("label_index"),
+                         F.col("feedback.score").alias("pred_score"), F.col("truth.score").alias("label_score"))
+    return lc.critic_eval(pred)
+
+
+def d7_score_learned_critic(spark, sf):
+    model = _trained(spark, sf)
+    docs = table(spark, sf, "documents").select("doc_id", tr.first_line("text").alias("query"),
+                                                F.col("text").alias("answer"))
+    out = lc.score_learned_critic(model, docs)
+    return out.select("doc_id", "feedback.verdict", "feedback.confidence", "feedback.score")
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for name in ("s1_read_queries", "s3_cap_samples", "s6_qa_pairs", "m1_tokens", "m2_sentences",
@@ -562,6 +646,8 @@ def queries() -> dict[str, Query]:
                  "d1_expand_corruptions", "d3_verdict_index", "d4_split_prefix", "d5_split_hash",
                  "s2_read_training",
                  "i1_complete_batch", "i3_critique_batch", "i4_judge_batch", "i5_refine_batch",
-                 "i6_benchmark", "i7_error_rows", "i8_generate_batch", "d2_label_records"):
+                 "i6_benchmark", "i7_error_rows", "i8_generate_batch", "d2_label_records",
+                 "f3_route_hybrid", "a6_critic_eval", "j5_misalignment", "x4_misaligned_rate",
+                 "d6_train_learned_critic", "d7_score_learned_critic"):
         out[name] = globals()[name]
     return out

@@ -195,8 +195,12 @@ def parse_feedback(df: DataFrame, raw: str = "raw_response", out: str = "feedbac
     )
     # ``parse_ok`` is also a top-level column: a filter on it is pushed down as the small
     # is_object(parse(raw)) test instead of through the whole feedback struct.
-    return s3.select(*keep, F.when(F.col("__ok"), parsed).otherwise(fallback_feedback(raw)).alias(out),
-                     F.col("__ok").alias("parse_ok"))
+    # The struct is emitted through a one-element ``inline`` (a Generate node). A filter on the
+    # parsed fields cannot be pushed below a Generate, so it is not rewritten into the parse
+    # expressions (which would re-parse the reply once per referenced field).
+    one = F.struct(F.when(F.col("__ok"), parsed).otherwise(fallback_feedback(raw)).alias(out),
+                   F.col("__ok").alias("parse_ok"))
+    return s3.select(*keep, F.inline(F.array(one)))
 
 
 def fallback_feedback(raw) -> Column:

@@ -600,6 +600,36 @@ FROM d, (SELECT unnest([0, 1]) AS v)""",
     }
 
 
+# ---------------------------------------------------------------- learned critic (fixture as fast critic)
+def learned_sql() -> dict[str, str]:
+    cte = "WITH " + critic_expected_cte()
+    odd = f"length({FIRST_LINE('d.text')}) % 2 = 1"
+    base = f"""{cte}, j AS (SELECT cx.*, {odd} AS slow_good FROM cx JOIN documents d USING (doc_id))"""
+    dmean = lambda x: f"CAST(sum(CAST({RND(x, 9)} AS DECIMAL(38,9))) AS DOUBLE) / count(*)"
+    p_true = ("(CASE WHEN " + _rank('verdict') + " = label_index THEN confidence ELSE (1.0 - confidence) / 3.0 END)")
+    argmax = ("(CASE WHEN confidence >= (1.0 - confidence) / 3.0 THEN " + _rank('verdict')
+              + " WHEN " + _rank('verdict') + " = 0 THEN 1 ELSE 0 END)")
+    return {
+        "f3_route_hybrid": f"""{base} SELECT doc_id, CASE WHEN score < 8.5 THEN 'slow' ELSE 'fast' END AS route,
+  CASE WHEN score < 8.5 THEN (CASE WHEN slow_good THEN 7.7 ELSE 0.0 END) ELSE score END AS score,
+  CASE WHEN score < 8.5 THEN (CASE WHEN slow_good THEN 'good' ELSE 'poor' END) ELSE verdict END AS verdict FROM j""",
+        "j5_misalignment": f"""{base} SELECT doc_id, verdict AS learned_verdict,
+  CASE WHEN slow_good THEN 7.7 ELSE 0.0 END AS slow_score,
+  verdict IN ('good', 'excellent') AND NOT slow_good AS misaligned FROM j""",
+        "x4_misaligned_rate": f"""{base} SELECT count(*) AS n_pairs,
+  CAST(sum(CASE WHEN verdict IN ('good', 'excellent') AND NOT slow_good THEN 1 ELSE 0 END) AS BIGINT) AS n_misaligned,
+  avg(CASE WHEN verdict IN ('good', 'excellent') AND NOT slow_good THEN 1.0 ELSE 0.0 END) AS misaligned_rate FROM j""",
+        "a6_critic_eval": f"""{cte}, p AS (
+  SELECT cx.*, CASE WHEN l.quality = 1 THEN 2 ELSE 0 END AS label_index, cx.score AS pred_score,
+         (CASE WHEN l.quality = 1 THEN 8.0 ELSE 3.0 END) - 2.0 * l.toxic AS label_score
+  FROM cx JOIN labels l USING (doc_id)),
+q AS (SELECT -ln(greatest({p_true}, 1e-7)) AS ce, (pred_score - label_score) * (pred_score - label_score) AS se,
+        CASE WHEN {argmax} = label_index THEN 1.0 ELSE 0.0 END AS hit FROM p)
+SELECT count(*) AS n, {dmean('ce')} AS cross_entropy, {dmean('se')} AS mse, avg(hit) AS verdict_accuracy,
+  {dmean('ce')} + 0.5 * {dmean('se')} AS loss FROM q""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(metrics_sql())
@@ -609,4 +639,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(evidence_sql())
     out.update(prompts_sql())
     out.update(inference_sql())
+    out.update(learned_sql())
     return out
