@@ -21,6 +21,7 @@ from critica.operators import benchmark as bm
 from critica.operators import learned as lc
 from critica.operators import training as tr
 from critica.plans import refine as rf
+from critica.streaming import monitor as sm
 from critica.plans.inference import PandasTestBackend, TestBackend, complete_batch
 from critica.operators import evidence as ev
 from critica.operators import metrics as mt
@@ -620,6 +621,34 @@ def d7_score_learned_critic(spark, sf):
     return out.select("doc_id", "feedback.verdict", "feedback.confidence", "feedback.score")
 
 
+# ---------------------------------------------------------------- streaming
+def _stream(spark, sf, name):
+    schema = table(spark, sf, name).schema
+    # a glob: the file source takes directories or patterns, not a single file
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(
+        f"{sf.rstrip('/')}/{name}.parque[t]")
+
+
+def st1_stagnation_monitor(spark, sf):
+    """ST1 run to completion on the events file as a stream; equals W1-W6 after truncation."""
+    mon = sm.stagnation_monitor(sm.critique_events(_stream(spark, sf, "events")), ttl_ms=None)
+    out = sm.run_available_now(spark, mon, scratch_path(spark, "st1"))
+    return out.select("run_id", "iteration", "improvement_delta", "is_stagnated", "exit_reason",
+                      "strict_mode")
+
+
+def st2_score_stream(spark, sf):
+    """ST2: answer metrics and critic parsing on a document stream (stateless)."""
+    docs = _stream(spark, sf, "documents").selectExpr(
+        "doc_id", "text", "n_chars", f"{fx.critic_object_sql()} AS obj")
+    docs = docs.selectExpr("doc_id", "text", f"{fx.critic_wrap_sql()} AS raw_response")
+    scored = cr.parse_feedback(mt.evaluate_answer(docs, answer="text", query=None), raw="raw_response")
+    out = scored.select("doc_id", "word_count", "sentence_count", "lexical_diversity",
+                        "composite_score", F.col("feedback.score").alias("score"),
+                        F.col("feedback.verdict").alias("verdict"))
+    return sm.run_available_now(spark, out, scratch_path(spark, "st2"))
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for name in ("s1_read_queries", "s3_cap_samples", "s6_qa_pairs", "m1_tokens", "m2_sentences",
@@ -648,6 +677,7 @@ def queries() -> dict[str, Query]:
                  "i1_complete_batch", "i3_critique_batch", "i4_judge_batch", "i5_refine_batch",
                  "i6_benchmark", "i7_error_rows", "i8_generate_batch", "d2_label_records",
                  "f3_route_hybrid", "a6_critic_eval", "j5_misalignment", "x4_misaligned_rate",
-                 "d6_train_learned_critic", "d7_score_learned_critic"):
+                 "d6_train_learned_critic", "d7_score_learned_critic",
+                 "st1_stagnation_monitor", "st2_score_stream"):
         out[name] = globals()[name]
     return out

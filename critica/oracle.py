@@ -411,7 +411,7 @@ def _stop_cte(post: str, corpus: str, frac: float, min_df: int, name: str) -> st
 def evidence_sql() -> dict[str, str]:
     base = f"""WITH {QA_PAIRS},
 cp0 AS (SELECT page_id, url, {HTML_TEXT('html')} AS text FROM pages),
-cp AS (SELECT page_id, url, text, {TRUNC('text')} AS content FROM cp0 WHERE length(text) > 0),
+cp AS (SELECT page_id, url, text, {TRUNC('text')} AS content FROM cp0),
 pp AS (SELECT DISTINCT page_id, unnest({KEYWORDS('text')}) AS kw FROM cp),
 qp AS (SELECT DISTINCT conv_id, turn, unnest({KEYWORDS('query')}) AS kw FROM qa),
 {_stop_cte('pp', 'cp', 0.05, 10, 'stop')},
@@ -630,6 +630,18 @@ SELECT count(*) AS n, {dmean('ce')} AS cross_entropy, {dmean('se')} AS mse, avg(
     }
 
 
+# ---------------------------------------------------------------- streaming
+def streaming_sql() -> dict[str, str]:
+    m_doc = METRICS_CTE("documents", "text", None, "doc_id")
+    return {
+        "st1_stagnation_monitor": f"""WITH {traj_cte()} SELECT run_id, iteration, improvement_delta, is_stagnated,
+  exit_reason, strict_mode FROM traj""",
+        "st2_score_stream": f"""WITH {m_doc}, {critic_expected_cte()}
+SELECT m.doc_id, m.word_count, m.sentence_count, m.lexical_diversity, m.composite_score, cx.score, cx.verdict
+FROM m_final m JOIN cx USING (doc_id)""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(metrics_sql())
@@ -640,4 +652,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(prompts_sql())
     out.update(inference_sql())
     out.update(learned_sql())
+    out.update(streaming_sql())
     return out
