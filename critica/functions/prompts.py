@@ -253,8 +253,10 @@ VOCAB = 32000
 PAD_ID, BOS_ID, EOS_ID = 0, 1, 2
 
 
-def hash_token_ids(text) -> Column:
+def hash_token_ids(text, max_length: int | None = None) -> Column:
     pieces = F.regexp_extract_all(col(text), F.lit(NON_WS_CLASS + "+"), 0)
+    if max_length is not None:
+        pieces = F.slice(pieces, 1, max_length)  # hash only what is kept
     return F.transform(pieces, lambda t: (F.pmod(portable_hash(t), F.lit(VOCAB)) + F.lit(3)).cast("int"))
 
 
@@ -264,9 +266,10 @@ def mask_labels(text, max_length: int = 512, ids: Column | None = None,
     labels are -100 for the prompt tokens (everything up to the first '### Response:\\n');
     EOS is appended to all three when the sequence is shorter than ``max_length``."""
     t = col(text)
-    full = F.slice(ids if ids is not None else hash_token_ids(t), 1, max_length)
+    full = F.slice(ids if ids is not None else hash_token_ids(t, max_length), 1, max_length)
     prompt_text = F.concat(F.substring_index(t, RESPONSE_MARKER, 1), F.lit(RESPONSE_MARKER))
-    p_ids = F.slice(prompt_ids if prompt_ids is not None else hash_token_ids(prompt_text), 1, max_length)
+    p_ids = F.slice(prompt_ids if prompt_ids is not None else hash_token_ids(prompt_text, max_length),
+                    1, max_length)
     n_prompt = F.size(p_ids)
     n = F.size(full)
     labels = F.concat(F.array_repeat(F.lit(-100), n_prompt),

@@ -9,7 +9,24 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+# Tables whose rows carry long texts: every operator on them is CPU-bound (regex, JSON, hashing).
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = None) -> DataFrame:
+    """Read one driver table.
+
+    Text tables are spread over the cluster when the scan yields fewer partitions than there are
+    cores (a file with one row group is one task, whatever its size). With many input splits - the
+    normal case at scale - nothing is added. The round-robin repartition sorts before
+    distributing (Spark default), so a retried task sees the same rows."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread is None:
+        spread = name in TEXT_TABLES
+    if spread:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
+    return df
