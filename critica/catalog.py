@@ -179,7 +179,7 @@ def c11_issues_long(spark, sf):
 
 
 def c12_judge_parse(spark, sf):
-    j = fx.judge_replies(spark, sf).select("doc_id", cr.judge_parse("raw_response").alias("j"))
+    j = cr.parse_judge(fx.judge_replies(spark, sf), raw="raw_response", out="j")
     return j.select("doc_id", "j.factual_accuracy", "j.hallucinations_detected", "j.parse_ok")
 
 

@@ -244,37 +244,45 @@ def needs_grounding(fb="feedback", enabled: bool = True) -> Column:
 
 
 # ---------------------------------------------------------------- C12 / C13
-def judge_parse(raw) -> Column:
+def _num_or_null(v: Column, t: Column) -> Column:
+    s = F.try_variant_get(v, "$", "string")
+    return (F.when(v.isNull(), F.lit(5.0))
+            .when(t == "BOOLEAN", F.when(s == "true", F.lit(1.0)).otherwise(F.lit(0.0)))
+            .when(t.isin(*_INT_TYPES) | t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT"),
+                  F.try_variant_get(v, "$", "double"))
+            .when(t == "STRING", s.try_cast("double")))
+
+
+def _truthy(v: Column, t: Column) -> Column:
+    s = F.try_variant_get(v, "$", "string")
+    return (F.when(v.isNull() | (t == "VOID"), F.lit(False))
+            .when(t == "BOOLEAN", s == "true")
+            .when(t == "STRING", F.length(s) > 0)
+            .when(t.startswith("ARRAY") | t.startswith("OBJECT"), F.coalesce(F.length(s) > 2, F.lit(False)))
+            .otherwise(F.try_variant_get(v, "$", "double") != 0))
+
+
+def parse_judge(df: DataFrame, raw: str = "raw_response", out: str = "judge") -> DataFrame:
     """Judge reply -> struct(factual_accuracy DOUBLE, hallucinations_detected BOOLEAN,
     parse_ok BOOLEAN). Fences stripped, first '{...}' parsed; a missing score is 5.0, a score
-    that is not a number (or NaN/unparseable JSON) gives the fallback (5.0, false). The flag
-    follows Python truthiness (non-empty string or list, non-zero number, true)."""
-    cleaned = strip_fences(raw)
-    m = F.regexp_extract(cleaned, JSON_OBJECT, 0)
-    v = F.try_parse_json(F.nullif(m, F.lit("")))
-    sc = F.try_variant_get(v, "$.factual_accuracy_score", "variant")
-    st = F.schema_of_variant(sc)
-    sc_s = F.try_variant_get(sc, "$", "string")
-    num = (F.when(sc.isNull(), F.lit(5.0))
-           .when(st == "BOOLEAN", F.when(sc_s == "true", F.lit(1.0)).otherwise(F.lit(0.0)))
-           .when(st.isin(*_INT_TYPES) | st.startswith("DECIMAL") | st.isin("DOUBLE", "FLOAT"),
-                 F.try_variant_get(sc, "$", "double"))
-           .when(st == "STRING", sc_s.try_cast("double")))
-    hv = F.try_variant_get(v, "$.hallucinations_detected", "variant")
-    ht = F.schema_of_variant(hv)
-    hs = F.try_variant_get(hv, "$", "string")
-    truthy = (F.when(hv.isNull() | (ht == "VOID"), F.lit(False))
-              .when(ht == "BOOLEAN", hs == "true")
-              .when(ht == "STRING", F.length(hs) > 0)
-              .when(ht.startswith("ARRAY") | ht.startswith("OBJECT"),
-                    F.coalesce(F.length(hs) > 2, F.lit(False)))
-              .otherwise(F.try_variant_get(hv, "$", "double") != 0))
-    ok = is_object(v) & num.isNotNull()
-    return F.struct(
-        F.when(ok, F.greatest(F.lit(0.0), F.least(F.lit(10.0), num))).otherwise(F.lit(5.0))
+    that is not a number (or unparseable JSON) gives the fallback (5.0, false). The flag follows
+    Python truthiness (non-empty string or list, non-zero number, true). Parsed once, in stages."""
+    keep = df.columns
+    m = F.regexp_extract(strip_fences(col(raw)), JSON_OBJECT, 0)
+    s1 = df.select(*keep, F.try_parse_json(F.nullif(m, F.lit(""))).alias("__jv"))
+    s2 = s1.select(*keep, is_object("__jv").alias("__jok"),
+                   F.try_variant_get("__jv", "$.factual_accuracy_score", "variant").alias("__js"),
+                   F.try_variant_get("__jv", "$.hallucinations_detected", "variant").alias("__jh"))
+    s3 = s2.select(*keep, "__jok", "__js", "__jh", F.schema_of_variant("__js").alias("__jst"),
+                   F.schema_of_variant("__jh").alias("__jht"))
+    s4 = s3.select(*keep, "__jok", _num_or_null(F.col("__js"), F.col("__jst")).alias("__jn"),
+                   _truthy(F.col("__jh"), F.col("__jht")).alias("__jt"))
+    ok = F.col("__jok") & F.col("__jn").isNotNull()
+    return s4.select(*keep, F.struct(
+        F.when(ok, F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.col("__jn")))).otherwise(F.lit(5.0))
         .alias("factual_accuracy"),
-        F.when(ok, truthy).otherwise(F.lit(False)).alias("hallucinations_detected"),
-        ok.alias("parse_ok"))
+        F.when(ok, F.col("__jt")).otherwise(F.lit(False)).alias("hallucinations_detected"),
+        ok.alias("parse_ok")).alias(out))
 
 
 def critique_json_or_raw(raw_text) -> Column:

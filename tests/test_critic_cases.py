@@ -92,7 +92,7 @@ def test_judge_parse(spark):
         ('{"hallucinations_detected": 1}', 5.0, True),
     ]
     df = spark.createDataFrame([(i, r) for i, (r, _, _) in enumerate(rows)], "id int, raw string")
-    out = df.select("id", cr.judge_parse("raw").alias("j")).orderBy("id").collect()
+    out = cr.parse_judge(df, raw="raw", out="j").orderBy("id").collect()
     for (_, s, h), r in zip(rows, out):
         assert r["j"]["factual_accuracy"] == pytest.approx(s)
         assert r["j"]["hallucinations_detected"] == h
