@@ -71,9 +71,10 @@ def query_keywords(query) -> Column:
     return F.array_distinct(F.filter(tokens(query), lambda t: F.length(t) >= 4))
 
 
-def coverage_score(words, query) -> Column:
-    """M7: share of query keywords present in the answer; 0.5 without query or keywords."""
-    kw = query_keywords(query)
+def coverage_score(words, query, keywords=None) -> Column:
+    """M7: share of query keywords present in the answer; 0.5 without query or keywords.
+    ``keywords`` may pass a precomputed ``query_keywords(query)`` column."""
+    kw = col(keywords) if keywords is not None else query_keywords(query)
     n_kw = F.size(kw)
     hit = F.size(F.array_intersect(kw, col(words)))
     q = col(query)

@@ -25,14 +25,14 @@ def evaluate_answer(df: DataFrame, answer: str = "answer", query: str | None = "
     s1 = df.select(*keep, tx.tokens(F.col(answer)).alias("__w"),
                    F.size(tx.sentences(F.col(answer))).alias("__ns"),
                    tx.has_structure(F.col(answer)).alias("__st"),
-                   q.alias("__q"))
-    s2 = s1.select(*keep, "__w", "__st", "__q",
+                   q.alias("__q"), tx.query_keywords(q).alias("__kw"))
+    s2 = s1.select(*keep, "__w", "__st", "__q", "__kw",
                    F.size("__w").alias("__nw"),
                    F.greatest(F.col("__ns"), F.lit(1)).alias("__nsent"))
     s3 = s2.select(*keep, "__nw", "__nsent", "__st",
                    tx.avg_sentence_length("__nw", "__nsent").alias("__asl"),
                    tx.lexical_diversity("__w").alias("__lex"),
-                   tx.coverage_score("__w", "__q").alias("__cov"))
+                   tx.coverage_score("__w", "__q", keywords="__kw").alias("__cov"))
     comp = tx.composite_score("__nw", "__st", "__lex", "__cov", "__asl", cfg)
     p = prefix
     return s3.select(
