@@ -113,7 +113,7 @@ def flagship_composite_by_turn(spark, sf):
     """The end-to-end slice: conversations -> qa pairs -> M9 -> mean composite per turn."""
     m = _qa_metrics(spark, sf)
     return m.groupBy("turn").agg(F.count(F.lit(1)).alias("n_pairs"),
-                                 F.avg("composite_score").alias("mean_composite"),
+                                 bm._mean("composite_score").alias("mean_composite"),
                                  F.max("composite_score").alias("max_composite"))
 
 

@@ -83,8 +83,11 @@ def truncate_at_exit(annotated: DataFrame) -> DataFrame:
 
 
 def trajectories(df: DataFrame, cfg: LoopConfig = DEFAULT_LOOP) -> DataFrame:
-    """W1-W7 in one pass: the critique rows the loop would have produced."""
-    return truncate_at_exit(annotate(df, cfg))
+    """W1-W7 in one pass: the critique rows the loop would have produced.
+
+    The loop exits at ``max_iterations`` at the latest, so later critiques can never be kept;
+    dropping them first (a pushed-down filter) bounds every run's window partition."""
+    return truncate_at_exit(annotate(df.filter(F.col(IT) <= F.lit(cfg.max_iterations)), cfg))
 
 
 def run_rollup(traj: DataFrame) -> DataFrame:

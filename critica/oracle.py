@@ -131,7 +131,8 @@ SELECT run_id, initial_composite, final_composite,
        initial_word_count, final_word_count, iterations_run FROM agg""",
         "flagship_composite_by_turn": f"""
 WITH {QA_PAIRS}, {m_qa}
-SELECT turn, count(*) AS n_pairs, avg(composite_score) AS mean_composite,
+SELECT turn, count(*) AS n_pairs,
+       CAST(sum(CAST(composite_score AS DECIMAL(28,6))) AS DOUBLE) / count(*) AS mean_composite,
        max(composite_score) AS max_composite FROM m_final GROUP BY turn""",
     }
     return out
@@ -561,15 +562,15 @@ def inference_sql() -> dict[str, str]:
               f"|| query || {_q(chr(10) * 2 + 'ANSWER UNDER REVIEW:' + chr(10))} || answer || {_q(chr(10) * 2 + pr.CRITIC_SCHEMA)}")
     odd = "length(query) % 2 = 1"
     summ = f"""WITH {QA_PAIRS}, s AS (
-  SELECT 'A_Baseline' AS system_name, CASE WHEN {odd} THEN 8.0 ELSE 5.5 END AS fa,
-         CASE WHEN {odd} THEN 0 ELSE 1 END AS hc, CASE WHEN {odd} THEN 8.0 ELSE 5.5 END AS cs,
+  SELECT 'A_Baseline' AS system_name, CASE WHEN {odd} THEN CAST(8.0 AS DOUBLE) ELSE CAST(5.5 AS DOUBLE) END AS fa,
+         CASE WHEN {odd} THEN 0 ELSE 1 END AS hc, CASE WHEN {odd} THEN CAST(8.0 AS DOUBLE) ELSE CAST(5.5 AS DOUBLE) END AS cs,
          0 AS it, 0.0 AS conv FROM qa
   UNION ALL
-  SELECT sys, CASE WHEN {odd} THEN 8.0 ELSE 5.5 END, 0, 7.7, CASE WHEN {odd} THEN 1 ELSE 2 END, 1.0
+  SELECT sys, CASE WHEN {odd} THEN CAST(8.0 AS DOUBLE) ELSE CAST(5.5 AS DOUBLE) END, 0, 7.7, CASE WHEN {odd} THEN 1 ELSE 2 END, 1.0
   FROM qa, (SELECT unnest(['B_LLM_Critic', 'C_Learned_Critic', 'D_Browser_Augmented']) AS sys))
 SELECT system_name, count(*) AS query_count,
   {RND('CAST(sum(CAST(fa AS DECIMAL(28,6))) AS DOUBLE) / count(*)', 3)} AS avg_factual_accuracy,
-  {RND('avg(CASE WHEN hc > 0 THEN 1.0 ELSE 0.0 END)', 3)} AS hallucination_rate,
+  {RND('avg(CASE WHEN hc > 0 THEN 1.0 ELSE CAST(0.0 AS DOUBLE) END)', 3)} AS hallucination_rate,
   {RND('CAST(sum(CAST(cs AS DECIMAL(28,6))) AS DOUBLE) / count(*)', 3)} AS avg_critic_score,
   {RND('CAST(sum(CAST(it AS DECIMAL(28,6))) AS DOUBLE) / count(*)', 2)} AS avg_iterations,
   {RND('avg(conv)', 3)} AS convergence_rate FROM s GROUP BY system_name"""
@@ -580,20 +581,20 @@ SELECT conv_id, turn, {TB_SQL('prompt', '1', 'query')} AS completion, true AS ok
   'Question: ' || query || chr(10) || chr(10) || 'Answer:' AS prompt_used FROM qa)
 SELECT conv_id, turn, prompt_used, {TB_SQL('prompt_used', '1', 'query')} AS answer FROM p""",
         "i3_critique_batch": f"""WITH {QA_PAIRS} SELECT conv_id, turn,
-  CASE WHEN {odd} THEN 7.7 ELSE 0.0 END AS score, CASE WHEN {odd} THEN 'good' ELSE 'poor' END AS verdict,
+  CASE WHEN {odd} THEN CAST(7.7 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS score, CASE WHEN {odd} THEN 'good' ELSE 'poor' END AS verdict,
   CAST(CASE WHEN {odd} THEN 1 ELSE 5 END AS BIGINT) AS total_issue_count FROM qa""",
-        "i4_judge_batch": f"""WITH {QA_PAIRS} SELECT conv_id, turn, CASE WHEN {odd} THEN 8.0 ELSE 5.5 END AS factual_accuracy,
+        "i4_judge_batch": f"""WITH {QA_PAIRS} SELECT conv_id, turn, CASE WHEN {odd} THEN CAST(8.0 AS DOUBLE) ELSE CAST(5.5 AS DOUBLE) END AS factual_accuracy,
   NOT ({odd}) AS hallucinations_detected FROM qa""",
         "i5_refine_batch": f"""WITH {QA_PAIRS} SELECT conv_id * 1000 + turn AS run_id,
   CAST(CASE WHEN {odd} THEN 1 ELSE 2 END AS BIGINT) AS total_iterations, 'converged' AS exit_reason,
-  true AS converged, 7.7 AS final_score,
+  true AS converged, CAST(7.7 AS DOUBLE) AS final_score,
   CASE WHEN {odd} THEN '7.700' ELSE '0.000,7.700' END AS score_history FROM qa""",
         "i6_benchmark": summ,
         "i7_error_rows": f"""WITH {QA_PAIRS} SELECT conv_id, turn,
   '[ERROR: RuntimeError: backend unavailable]' AS final_answer, 'error' AS exit_reason,
-  0.0 AS factual_accuracy, CAST(0 AS BIGINT) AS iterations_used FROM qa WHERE length(query) % 7 = 0""",
+  CAST(0.0 AS DOUBLE) AS factual_accuracy, CAST(0 AS BIGINT) AS iterations_used FROM qa WHERE length(query) % 7 = 0""",
         "d2_label_records": f"""WITH d AS (SELECT doc_id, {FIRST_LINE('text')} AS query FROM documents)
-SELECT doc_id, CAST(v AS BIGINT) AS variant, CASE WHEN {odd} THEN 7.7 ELSE 0.0 END AS score,
+SELECT doc_id, CAST(v AS BIGINT) AS variant, CASE WHEN {odd} THEN CAST(7.7 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS score,
   CASE WHEN {odd} THEN 'good' ELSE 'poor' END AS verdict,
   CAST(CASE WHEN {odd} THEN 0 ELSE 1 END AS BIGINT) AS n_hallucinations
 FROM d, (SELECT unnest([0, 1]) AS v)""",
@@ -611,20 +612,20 @@ def learned_sql() -> dict[str, str]:
               + " WHEN " + _rank('verdict') + " = 0 THEN 1 ELSE 0 END)")
     return {
         "f3_route_hybrid": f"""{base} SELECT doc_id, CASE WHEN score < 8.5 THEN 'slow' ELSE 'fast' END AS route,
-  CASE WHEN score < 8.5 THEN (CASE WHEN slow_good THEN 7.7 ELSE 0.0 END) ELSE score END AS score,
+  CASE WHEN score < 8.5 THEN (CASE WHEN slow_good THEN CAST(7.7 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END) ELSE score END AS score,
   CASE WHEN score < 8.5 THEN (CASE WHEN slow_good THEN 'good' ELSE 'poor' END) ELSE verdict END AS verdict FROM j""",
         "j5_misalignment": f"""{base} SELECT doc_id, verdict AS learned_verdict,
-  CASE WHEN slow_good THEN 7.7 ELSE 0.0 END AS slow_score,
+  CASE WHEN slow_good THEN CAST(7.7 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS slow_score,
   verdict IN ('good', 'excellent') AND NOT slow_good AS misaligned FROM j""",
         "x4_misaligned_rate": f"""{base} SELECT count(*) AS n_pairs,
   CAST(sum(CASE WHEN verdict IN ('good', 'excellent') AND NOT slow_good THEN 1 ELSE 0 END) AS BIGINT) AS n_misaligned,
-  avg(CASE WHEN verdict IN ('good', 'excellent') AND NOT slow_good THEN 1.0 ELSE 0.0 END) AS misaligned_rate FROM j""",
+  avg(CASE WHEN verdict IN ('good', 'excellent') AND NOT slow_good THEN 1.0 ELSE CAST(0.0 AS DOUBLE) END) AS misaligned_rate FROM j""",
         "a6_critic_eval": f"""{cte}, p AS (
   SELECT cx.*, CASE WHEN l.quality = 1 THEN 2 ELSE 0 END AS label_index, cx.score AS pred_score,
-         (CASE WHEN l.quality = 1 THEN 8.0 ELSE 3.0 END) - 2.0 * l.toxic AS label_score
+         (CASE WHEN l.quality = 1 THEN CAST(8.0 AS DOUBLE) ELSE 3.0 END) - 2.0 * l.toxic AS label_score
   FROM cx JOIN labels l USING (doc_id)),
 q AS (SELECT -ln(greatest({p_true}, 1e-7)) AS ce, (pred_score - label_score) * (pred_score - label_score) AS se,
-        CASE WHEN {argmax} = label_index THEN 1.0 ELSE 0.0 END AS hit FROM p)
+        CASE WHEN {argmax} = label_index THEN 1.0 ELSE CAST(0.0 AS DOUBLE) END AS hit FROM p)
 SELECT count(*) AS n, {dmean('ce')} AS cross_entropy, {dmean('se')} AS mse, avg(hit) AS verdict_accuracy,
   {dmean('ce')} + 0.5 * {dmean('se')} AS loss FROM q""",
     }

@@ -123,7 +123,7 @@ def trajectory_iterations(events: DataFrame, cfg: LoopConfig = DEFAULT_LOOP,
     run = (F.col("user_id") * F.lit(run_divisor) + F.dayofmonth("ts")) if run_divisor else F.col("user_id")
     ev = events.select(run.alias("run_id"), "ts", "event_id", "event_type", "value")
     w = Window.partitionBy("run_id").orderBy("ts", "event_id")
-    ranked = ev.withColumn("iteration", F.row_number().over(w)).filter(
+    ranked = ev.withColumn("iteration", F.row_number().over(w).cast("bigint")).filter(
         F.col("iteration") <= F.lit(cfg.max_iterations))
     score = F.least(F.col("value") / F.lit(10.0), F.lit(10.0))
     return ranked.select(

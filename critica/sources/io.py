@@ -51,8 +51,9 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
 def document_lines(documents: DataFrame) -> DataFrame:
     """Lines of a text column as rows: (doc_id, line_no, value). ``posexplode`` keeps each
     document's lines inside the task that read it."""
-    return documents.select(
+    out = documents.select(
         "doc_id", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("line_no", "value"))
+    return out.withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
 # ---------------------------------------------------------------- S2
