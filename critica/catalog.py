@@ -460,6 +460,16 @@ def d5_split_hash(spark, sf):
     return tr.split_hash(d, by="query").select("doc_id", "split")
 
 
+def s4_write_training(spark, sf):
+    """Training records written as parquet under the checkpoint folder, read back whole."""
+    path = scratch_path(spark, "training-parquet")
+    io.write_training(_records(spark, sf), path, fmt="parquet")
+    back = spark.read.parquet(path)
+    return back.select("query", F.length("answer").cast("bigint").alias("answer_chars"),
+                       F.col("feedback.verdict").alias("verdict"),
+                       F.size("feedback.factual_errors").cast("bigint").alias("n_factual_errors"))
+
+
 def s2_read_training(spark, sf):
     """S4 then S2: write the training records as JSON lines under the checkpoint folder and
     read them back with the fixed schema."""
@@ -673,7 +683,7 @@ def queries() -> dict[str, Query]:
                  "t2_generation_prompt", "t3_critic_prompt", "t4_refine_prompt", "t5_judge_prompt",
                  "t6_corruption_prompt", "t7_pair_text", "t8_sft_text", "t9_mask_labels",
                  "d1_expand_corruptions", "d3_verdict_index", "d4_split_prefix", "d5_split_hash",
-                 "s2_read_training",
+                 "s2_read_training", "s4_write_training",
                  "i1_complete_batch", "i3_critique_batch", "i4_judge_batch", "i5_refine_batch",
                  "i6_benchmark", "i7_error_rows", "i8_generate_batch", "d2_label_records",
                  "f3_route_hybrid", "a6_critic_eval", "j5_misalignment", "x4_misaligned_rate",

@@ -535,6 +535,8 @@ FROM documents, (SELECT unnest([0, 1]) AS v)""",
        THEN 'train' ELSE 'val' END AS split FROM documents""",
         "d5_split_hash": f"""SELECT doc_id, CASE WHEN {PHASH(FIRST_LINE('text'), '42')} % 100 < 90 THEN 'train' ELSE 'val' END AS split
 FROM documents""",
+        "s4_write_training": f"""{recs} SELECT query, CAST(length(answer) AS BIGINT) AS answer_chars, verdict,
+  CAST((CASE WHEN bad THEN 0 ELSE f END) AS BIGINT) AS n_factual_errors FROM recs""",
         "s2_read_training": f"""{recs} SELECT query, CAST(length(answer) AS BIGINT) AS answer_chars, score, verdict,
   CAST((CASE WHEN bad THEN 0 ELSE h END) AS BIGINT) AS n_hallucinations FROM recs""",
     }
