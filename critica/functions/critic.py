@@ -35,8 +35,9 @@ ISSUE_MARKERS = [("hallucinations", "[!]"), ("factual_errors", "[x]"),
                  ("logical_flaws", "[~]"), ("missing_concepts", "[ ]"),
                  ("improvement_actions", ">>")]
 
-FENCE = "```(?:json)?" + WS_CLASS + r"*([\s\S]*?)```"
-JSON_OBJECT = r"\{[\s\S]*\}"
+# (?s) lets '.' match newlines: same as [\s\S] but far cheaper per character in Java regex.
+FENCE = "(?s)```(?:json)?" + WS_CLASS + "*(.*?)```"
+JSON_OBJECT = r"(?s)\{.*\}"
 _INT_TYPES = ("TINYINT", "SMALLINT", "INT", "BIGINT")
 
 
