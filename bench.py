@@ -5,7 +5,9 @@ local[$BENCH_CPUS] and prints ONE JSON line:
 {"metric": "total_sec", "value": N, "unit": "sec", "queries": {...}, "sf": ...}
 
 Each query is executed end to end with the ``noop`` sink (the whole plan runs, nothing is
-collected to the driver). One warm-up query runs first so JVM start-up is not billed to a query.
+collected to the driver). Every headline query first runs once on sf0.001 (when present) so JVM
+start-up, JIT and the one-off compilation of its generated code are not billed to the timed run:
+the numbers are steady-state execution at the target scale factor.
 """
 
 from __future__ import annotations
@@ -49,7 +51,8 @@ def main() -> None:
 
     warm = os.path.join(os.path.dirname(sf_dir), "sf0.001")
     if os.path.isdir(warm):
-        qs["flagship_composite_by_turn"](spark, warm).write.format("noop").mode("overwrite").save()
+        for name in HEADLINE:
+            qs[name](spark, warm).write.format("noop").mode("overwrite").save()
 
     times: dict[str, float] = {}
     rates: dict[str, float] = {}

@@ -49,10 +49,13 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def apply_defaults(spark: SparkSession) -> None:
-    """Set the runtime SQL options the operators rely on, keeping any value already set
-    explicitly to something else except for the two that change results."""
+    """Set the two runtime SQL options that change results: UTC for day(ts) and last-wins
+    duplicate JSON keys (as Python's json.loads)."""
     for key in ("spark.sql.session.timeZone", "spark.sql.variant.allowDuplicateKeys"):
-        spark.conf.set(key, _DEFAULTS[key])
+        try:
+            spark.conf.set(key, _DEFAULTS[key])
+        except Exception:  # noqa: BLE001 - a session that forbids it keeps its own value
+            pass
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
