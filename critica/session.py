@@ -6,8 +6,10 @@ that are unset, so a cluster's own values (shuffle partitions, checkpoint dir) w
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -48,6 +50,38 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``critica`` importable in Python workers (what ``--py-files`` does at submit time).
+
+    Pandas UDFs, the streaming state function and pandas backends are pickled by reference to
+    this package, so executors need it. The package is zipped once per SparkContext and added
+    with ``addPyFile``; Spark's file server distributes it to every executor."""
+    try:
+        sc = spark.sparkContext
+        app = sc.applicationId
+    except Exception:  # noqa: BLE001 - no SparkContext (remote session): nothing to ship
+        return
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for folder, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    zf.write(full, os.path.relpath(full, root))
+    path = os.path.join(tempfile.mkdtemp(prefix="critica-pyfiles-"), "critica.zip")
+    with open(path, "wb") as fh:
+        fh.write(buf.getvalue())
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 def apply_defaults(spark: SparkSession) -> None:
     """Set the two runtime SQL options that change results: UTC for day(ts) and last-wins
     duplicate JSON keys (as Python's json.loads)."""
@@ -56,6 +90,7 @@ def apply_defaults(spark: SparkSession) -> None:
             spark.conf.set(key, _DEFAULTS[key])
         except Exception:  # noqa: BLE001 - a session that forbids it keeps its own value
             pass
+    ship_package(spark)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
