@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from critica.functions.common import NON_WS_CLASS, col
+from critica.functions.common import WS_CLASS, col, ustrip
 
 # ------------------------------------------------------------------------------------------
 # Prompt texts of the reproduced generator / critic / refiner / judge /
@@ -253,8 +253,15 @@ VOCAB = 32000
 PAD_ID, BOS_ID, EOS_ID = 0, 1, 2
 
 
+def whitespace_pieces(text) -> Column:
+    """Maximal runs of non-whitespace (Python ``str.split()`` pieces): the stripped text split on
+    whitespace runs - the same pieces as extracting non-whitespace runs, several times cheaper."""
+    s = ustrip(col(text))
+    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, WS_CLASS + "+", -1))
+
+
 def hash_token_ids(text, max_length: int | None = None) -> Column:
-    pieces = F.regexp_extract_all(col(text), F.lit(NON_WS_CLASS + "+"), 0)
+    pieces = whitespace_pieces(text)
     if max_length is not None:
         pieces = F.slice(pieces, 1, max_length)  # hash only what is kept
     return F.transform(pieces, lambda t: (F.pmod(portable_hash(t), F.lit(VOCAB)) + F.lit(3)).cast("int"))
