@@ -23,7 +23,7 @@ def evaluate_answer(df: DataFrame, answer: str = "answer", query: str | None = "
     keep = df.columns
     q = F.col(query) if query else F.lit(None).cast("string")
     s1 = df.select(*keep, tx.tokens(F.col(answer)).alias("__w"),
-                   F.size(tx.sentences(F.col(answer))).alias("__ns"),
+                   tx.sentence_piece_count(F.col(answer)).alias("__ns"),
                    tx.has_structure(F.col(answer)).alias("__st"),
                    q.alias("__q"), tx.query_keywords(q).alias("__kw"))
     s2 = s1.select(*keep, "__w", "__st", "__q", "__kw",
