@@ -58,7 +58,12 @@ def split_prefix(spark: SparkSession, df: DataFrame, order_col: str, train_fract
     from pyspark.sql import Window
 
     checkpoint_dir(spark)
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if num_partitions is None:
+        try:
+            num_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        except (TypeError, ValueError):  # e.g. "auto" on some platforms
+            num_partitions = spark.sparkContext.defaultParallelism
+    n_parts = num_partitions
     ranged = df.repartitionByRange(n_parts, order_col).sortWithinPartitions(order_col)
     ranged = ranged.withColumn("__pid", F.spark_partition_id()).withColumn(
         "__mid", F.monotonically_increasing_id()).checkpoint(eager=True)
