@@ -47,3 +47,21 @@ def test_st1_equals_batch_windows(spark):
     b = tj.trajectories(fx.trajectory_iterations(table(spark, SF_SMALL, "events")))
     cols = ["run_id", "iteration", "improvement_delta", "is_stagnated", "exit_reason", "strict_mode"]
     assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
+
+
+def test_st1_flags_late_critiques_across_batches(spark, tmp_path):
+    """Two micro-batches: the second carries an older critique for run 1 -> flagged late."""
+    import datetime as dt
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    t = dt.datetime(2024, 1, 5, 12, 0, 0)
+    src = tmp_path / "events"
+    spark.createDataFrame([(1, t, 0, "view", 20.0, "{}"), (2, t + dt.timedelta(hours=1), 0, "view", 30.0, "{}")],
+                          schema).coalesce(1).write.parquet(str(src / "b1"))
+    spark.createDataFrame([(3, t - dt.timedelta(hours=1), 0, "view", 35.0, "{}")],
+                          schema).coalesce(1).write.parquet(str(src / "b2"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src / "b*"))
+    mon = sm.stagnation_monitor(sm.critique_events(stream), ttl_ms=None)
+    out = sm.run_available_now(spark, mon, str(tmp_path / "out")).orderBy("iteration").collect()
+    assert [r["iteration"] for r in out] == [1, 2, 3]
+    assert [r["late"] for r in out] == [False, False, True]
+    assert out[2]["exit_reason"] == "exhausted"       # third critique reaches max_iterations=3
