@@ -368,6 +368,16 @@ def x3_retrieval_failure_rate(spark, sf):
     return ev.retrieval_failures(evid)
 
 
+def x3_retrieval_failure_triggered(spark, sf):
+    """X3 as F2 then J3: only pairs whose first critique needs grounding (hallucination or
+    factual error; test-backend critic) count; the share of those with zero pages."""
+    qa = _qa(spark, sf)
+    crit = rf.critique_batch(qa, TestBackend(), iteration=F.lit(1)).select(
+        "conv_id", "turn", cr.needs_grounding().alias("triggered"))
+    _, evid = _evidence(spark, sf)
+    return ev.retrieval_failures(evid.join(crit, ["conv_id", "turn"]), F.col("triggered"))
+
+
 def j4_heldout_overlap(spark, sf):
     out = ev.heldout_overlap(table(spark, sf, "benchmark").select("item_id", "text"),
                              table(spark, sf, "documents").select("doc_id", "text"))
@@ -679,7 +689,8 @@ def queries() -> dict[str, Query]:
                  "j1_plan_runs", "u1_stack_results", "a3_system_summary", "a4_exit_distribution",
                  "j2_improvement_vs_baseline", "w8_best_marker", "s5_write_report",
                  "t1_html_to_text", "k2_truncate_text", "k1_top_k_per_query",
-                 "j3_retrieve_evidence", "x3_retrieval_failure_rate", "j4_heldout_overlap",
+                 "j3_retrieve_evidence", "x3_retrieval_failure_rate", "x3_retrieval_failure_triggered",
+                 "j4_heldout_overlap",
                  "t2_generation_prompt", "t3_critic_prompt", "t4_refine_prompt", "t5_judge_prompt",
                  "t6_corruption_prompt", "t7_pair_text", "t8_sft_text", "t9_mask_labels",
                  "d1_expand_corruptions", "d3_verdict_index", "d4_split_prefix", "d5_split_hash",

@@ -442,6 +442,10 @@ FROM sc JOIN sizes USING (item_id) WHERE shared / n_item_keywords >= 0.8"""
         "x3_retrieval_failure_rate": f"""{base} SELECT count(*) AS n_triggered,
   CAST(sum(CASE WHEN n_pages = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_failures,
   avg(CASE WHEN n_pages = 0 THEN 1.0 ELSE 0.0 END) AS failure_rate FROM evid""",
+        "x3_retrieval_failure_triggered": f"""{base} SELECT count(*) AS n_triggered,
+  CAST(sum(CASE WHEN e.n_pages = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_failures,
+  avg(CASE WHEN e.n_pages = 0 THEN 1.0 ELSE 0.0 END) AS failure_rate
+FROM evid e JOIN qa ON qa.conv_id = e.conv_id AND qa.turn = e.turn WHERE length(qa.query) % 2 = 0""",
         "j4_heldout_overlap": j4,
     }
 
