@@ -25,12 +25,18 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = Non
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if spread is None:
         spread = name in TEXT_TABLES
-    if spread:
-        try:
-            cores = spark.sparkContext.defaultParallelism
-            n_splits = df.rdd.getNumPartitions()
-        except Exception:  # noqa: BLE001 - sessions without RDD access: leave the scan as is
-            return df
-        if n_splits < cores:
-            df = df.repartition(cores)
-    return df
+    return spread_over_cores(df) if spread else df
+
+
+def spread_over_cores(df: DataFrame) -> DataFrame:
+    """Round-robin ``df`` over all cores when it has fewer partitions than cores.
+
+    For CPU-bound or model-bound work on a small number of rows (a single-split table, a loop
+    state re-read from a few small files). With many partitions - the normal case at scale -
+    the plan is unchanged."""
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        n_splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the plan as is
+        return df
+    return df.repartition(cores) if n_splits < cores else df
