@@ -1,0 +1,118 @@
+"""Secret scan: fixed patterns, and a log-likelihood ratio of two character Markov models.
+
+One model is of random strings, the other of ordinary identifiers; both are first-order over 68
+character classes with add-half smoothing. Samples and labels:
+* random: what the base patterns matched in a bounded sample of ``sample_docs`` documents that hold
+  a match (documents in the order of a hash of their text, so the sample is the same on every run);
+* ordinary: the letter-led words of the same number of documents, in the same order, less the base matches.
+The ratio table has 68 x 68 entries whatever the corpus, so it travels as one literal.
+
+A token of 16 or more characters with letters and digits in it, outside every base span, is a secret
+(kind ``random``) if its ratio reaches ``min_ratio`` bits a character. Without any sample of random
+strings the table is flat and nothing is added.
+
+Null text counts as empty; repeated rows give repeated results."""
+
+from __future__ import annotations
+
+import json
+import math
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from critica.llm.common import let
+from critica.llm.spans import Kind, digest, located
+
+# The base patterns, least lengths, and the classes of characters.
+KINDS = [
+    Kind("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?+[A-Za-z0-9+/_.=-]++""",
+         r"(?i)password|passwd|secret|token|api_?key"),
+    Kind("access", r"AKIA[A-Z0-9]++", "AKIA"),
+    Kind("hex", r"[0-9a-f]{24,}+", r"[0-9a-f]{24}"),
+]
+VALUE = r"""^[A-Za-z_]+["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
+CANDIDATE = Kind("random", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+", r"[A-Za-z0-9+/_=-]{16}")
+ORDINARY = Kind("word", r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z0-9_-]{3,}+", r"[A-Za-z]{4}")
+ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
+CLASSES = len(ALPHABET)
+SAMPLE_DOCS = 2000
+MIN_RATIO = 1.0
+
+
+def base_valid() -> Column:
+    value = F.regexp_extract("match", VALUE, 1)
+    return F.when(F.col("kind") == 0, F.length(value) >= 6).when(
+        F.col("kind") == 1, F.length("match") >= 20).otherwise(F.col("kind") == 2)
+
+
+def payload() -> Column:
+    return F.when(F.col("kind") == 0, F.regexp_extract("match", VALUE, 1)).otherwise(F.col("match"))
+
+
+def codes(token: Column) -> Column:
+    """class(previous) * CLASSES + class(next) for each pair of neighbouring characters."""
+    spots = F.transform(F.filter(F.split(token, ""), lambda c: c != ""),
+                        lambda c: F.position(c, F.lit(ALPHABET)) - 1)
+    return let(spots, lambda at: F.transform(
+        F.sequence(F.lit(0), F.size(at) - 2), lambda i: F.get(at, i) * CLASSES + F.get(at, i + 1)))
+
+
+def ratio_table(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
+    """log2 P(next | previous, random) - log2 P(next | previous, ordinary), flattened."""
+    key = F.xxhash64("text")
+    hint = "|".join(f"({k.hint})" for k in KINDS)
+    with_match = docs.filter(F.col("text").rlike(hint)).orderBy(key, "text").limit(sample_docs)
+    plain = docs.filter(F.col("text").rlike(ORDINARY.hint)).orderBy(key, "text").limit(sample_docs)
+    random = located(with_match, KINDS).filter(base_valid()).select(payload().alias("token"), F.lit(1).alias("label"))
+    word = located(plain, [ORDINARY]).filter("kind = 0 and not match rlike '[0-9a-f]{24}|AKIA'").select(
+        F.col("match").alias("token"), F.lit(0).alias("label"))
+    pairs = (random.unionByName(word).select("label", F.explode(codes(F.col("token"))).alias("code"))
+             .groupBy("label", "code").count().collect())  # at most 2 * 68 * 68 rows
+    counts = [[0.5] * (CLASSES * CLASSES) for _ in range(2)]
+    if not any(r["label"] == 1 for r in pairs):
+        return [0.0] * (CLASSES * CLASSES)
+    for r in pairs:
+        counts[r["label"]][r["code"]] += r["count"]
+    logs = []
+    for c in counts:
+        sums = [sum(c[a * CLASSES:(a + 1) * CLASSES]) for a in range(CLASSES)]
+        logs.append([math.log2(v / sums[i // CLASSES]) for i, v in enumerate(c)])
+    return [a - b for a, b in zip(logs[1], logs[0])]
+
+
+def scan(docs: DataFrame, min_ratio: float = MIN_RATIO, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """One row per document (uid, doc_id) with ``spans``: array of (start, kind, name, end, score) in the order of
+    start, then kind. ``score`` is the ratio in bits a character, null for base spans."""
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ratios = F.from_json(F.lit(json.dumps([round(x, 3) for x in ratio_table(docs, sample_docs)])), "array<double>")
+    found = located(docs, [*KINDS, CANDIDATE])
+    base, token = F.col("kind") < len(KINDS), F.col("kind") == len(KINDS)
+    found = found.filter(F.col("kind").isNull() | token | base_valid())
+    # a candidate is outside the base spans that start before its end, and before those that start later
+    by_start = Window.partitionBy("uid").orderBy("start", "kind")
+    found = found.withColumns({
+        "base_end": F.max(F.when(base, F.col("end"))).over(by_start.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "base_start": F.min(F.when(base, F.col("start"))).over(by_start.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
+    })
+    outside = (F.coalesce(F.col("base_end"), F.lit(0)) <= F.col("start")) & (
+        F.coalesce(F.col("base_start"), F.col("end")) >= F.col("end"))
+    mixed = F.col("match").rlike("[0-9]") & F.col("match").rlike("[A-Za-z]")
+    score = F.when(token & outside & mixed, F.aggregate(
+        F.transform(codes(F.col("match")), lambda c: F.get(ratios, c)), F.lit(0.0), lambda a, x: a + x)
+        / (F.length("match") - 1))
+    name = F.element_at(F.array(*[F.lit(k.name) for k in (*KINDS, CANDIDATE)]), F.col("kind") + 1)
+    found = found.withColumn("score", score)
+    span = F.when(base | (F.col("score") >= min_ratio), F.struct(
+        "start", "kind", name.alias("name"), "end", "score"))
+    return found.groupBy("uid", "doc_id").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+
+
+def op8(docs: DataFrame) -> DataFrame:
+    out = scan(docs)
+    base = F.filter("spans", lambda s: s["kind"] < len(KINDS))
+    return out.select(
+        "doc_id", *[F.size(F.filter("spans", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{k.name}")
+                    for n, k in enumerate(KINDS)],
+        F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["kind"] == len(KINDS))).cast("long").alias("n_random"))
