@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from critica.llm.common import table
 from critica.llm.line_dedup import op9
+from critica.llm.pii import op3
 from critica.llm.quality import op6
 from critica.llm.secrets import op8
 
@@ -13,7 +14,7 @@ def _docs(op):
 
 
 def queries():
-    return {"op6_quality_rules": _docs(op6), "op8_secret_scan": _docs(op8), "op9_line_dedup": _docs(op9)}
+    return {"op3_pii_bootstrap": _docs(op3), "op6_quality_rules": _docs(op6), "op8_secret_scan": _docs(op8), "op9_line_dedup": _docs(op9)}
 
 
 def oracle_sql():
