@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from critica.llm.common import table
+from critica.llm.decontaminate import op5
 from critica.llm.line_dedup import op9
 from critica.llm.pii import op3
 from critica.llm.quality import op6
@@ -14,7 +15,9 @@ def _docs(op):
 
 
 def queries():
-    return {"op3_pii_bootstrap": _docs(op3), "op6_quality_rules": _docs(op6), "op8_secret_scan": _docs(op8), "op9_line_dedup": _docs(op9)}
+    return {"op3_pii_bootstrap": _docs(op3), 
+            "op5_decontaminate": lambda spark, sf_dir: op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+            "op6_quality_rules": _docs(op6), "op8_secret_scan": _docs(op8), "op9_line_dedup": _docs(op9)}
 
 
 def oracle_sql():
