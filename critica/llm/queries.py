@@ -5,6 +5,7 @@ from __future__ import annotations
 from critica.llm.common import table
 from critica.llm.decontaminate import op5
 from critica.llm.line_dedup import op9
+from critica.llm.near_dup import op4
 from critica.llm.pii import op3
 from critica.llm.quality import op6
 from critica.llm.secrets import op8
@@ -16,12 +17,13 @@ def _docs(op):
 
 def queries():
     return {"op3_pii_bootstrap": _docs(op3), 
+            "op4_near_dup": _docs(op4),
             "op5_decontaminate": lambda spark, sf_dir: op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
             "op6_quality_rules": _docs(op6), "op8_secret_scan": _docs(op8), "op9_line_dedup": _docs(op9)}
 
 
 def oracle_sql():
-    return {"op9_line_dedup": OP9_SQL}
+    return {"op4_near_dup": OP4_SQL, "op9_line_dedup": OP9_SQL}
 
 
 OP9_SQL = r"""
@@ -37,3 +39,20 @@ SELECT s.doc_id, CAST(len(s.ls) AS BIGINT) AS n_lines,
        CAST(len(s.ls) - coalesce(g.n_kept, 0) AS BIGINT) AS n_dropped, sha256(coalesce(g.kept, '')) AS kept_sha256
 FROM s LEFT JOIN g USING (r)
 """
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, [w FOR w IN string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+') IF w <> ''] AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN [ws[1]]
+        ELSE [ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))] END) AS sh FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id
+      JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+      GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+g AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT g.y, r.c FROM r JOIN g ON g.x = r.doc_id AND r.c < g.y),
+m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT m.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, m.doc_id = m.component_id AS kept
+FROM m LEFT JOIN n USING (doc_id)
+"""
