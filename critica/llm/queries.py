@@ -6,9 +6,10 @@ from critica.llm.common import table
 from critica.llm.decontaminate import op5
 from critica.llm.line_dedup import op9
 from critica.llm.near_dup import op4
+from critica.llm.packing import op1
 from critica.llm.pii import op3
 from critica.llm.quality import op6
-from critica.llm.secrets import op8
+from critica.llm.secret_scan import op8
 
 
 def _docs(op):
@@ -16,7 +17,7 @@ def _docs(op):
 
 
 def queries():
-    return {"op3_pii_bootstrap": _docs(op3), 
+    return {"op1_best_fit_packing": _docs(op1), "op3_pii_bootstrap": _docs(op3), 
             "op4_near_dup": _docs(op4),
             "op5_decontaminate": lambda spark, sf_dir: op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
             "op6_quality_rules": _docs(op6), "op8_secret_scan": _docs(op8), "op9_line_dedup": _docs(op9)}
