@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from critica.llm import warc
 from critica.llm.common import table
 from critica.llm.decontaminate import op5
 from critica.llm.line_dedup import op9
@@ -17,14 +18,15 @@ def _docs(op):
 
 
 def queries():
-    return {"op1_best_fit_packing": _docs(op1), "op3_pii_bootstrap": _docs(op3), 
+    return {"op1_best_fit_packing": _docs(op1), 
+            "op2_warc_revisits": lambda spark, sf_dir: warc.op2(table(spark, sf_dir, "pages")), "op3_pii_bootstrap": _docs(op3), 
             "op4_near_dup": _docs(op4),
             "op5_decontaminate": lambda spark, sf_dir: op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
             "op6_quality_rules": _docs(op6), "op8_secret_scan": _docs(op8), "op9_line_dedup": _docs(op9)}
 
 
 def oracle_sql():
-    return {"op4_near_dup": OP4_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op2_warc_revisits": OP2_SQL, "op4_near_dup": OP4_SQL, "op9_line_dedup": OP9_SQL}
 
 
 OP9_SQL = r"""
@@ -57,3 +59,25 @@ m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
 SELECT m.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, m.doc_id = m.component_id AS kept
 FROM m LEFT JOIN n USING (doc_id)
 """
+
+OP2_SQL = "WITH c AS (" + warc.CAPTURES_SQL.replace(
+    "pages CROSS_CAPTURES", "pages, (SELECT unnest([0, 1, 2, 3]) AS c)") + r"""),
+u AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM c),
+k AS (SELECT *, concat(regexp_replace(lower(regexp_extract(bare, '^[^/?]*', 0)), '^(www|m)[.]|:(80|443)$', '', 'g'),
+      regexp_replace(regexp_replace(regexp_extract(bare, '^[^/?]*(.*)$', 1), '(utm_[a-z]+|ref)=[^&]*&?', '', 'g'),
+                     '[?&/]+$', '')) AS canonical_url FROM u),
+p AS (SELECT canonical_url AS pu, ts AS pt, max(record_id) AS pid FROM k WHERE kind = 'response' GROUP BY 1, 2),
+q AS (SELECT p.*, k.etag AS pe, k.modified AS pm, k.served AS ps, k.length AS pl, k.digest AS pd
+      FROM p JOIN k ON k.record_id = p.pid),
+j AS (SELECT * FROM (SELECT * FROM k WHERE kind = 'revisit') r ASOF LEFT JOIN q ON r.canonical_url = q.pu AND r.ts > q.pt),
+t AS (SELECT *, CASE WHEN pid IS NULL THEN 'no_earlier'
+      WHEN etag IS NOT NULL AND pe IS NOT NULL THEN
+        CASE WHEN regexp_replace(etag, '^W/', '') = regexp_replace(pe, '^W/', '') THEN 'resolved' ELSE 'validator_mismatch' END
+      WHEN etag IS NULL AND modified IS NOT NULL AND pm IS NOT NULL THEN
+        CASE WHEN modified = pm THEN 'resolved' ELSE 'validator_mismatch' END ELSE 'unverified' END AS status FROM j)
+SELECT record_id, canonical_url, ts, status, pid AS response_id,
+       CASE WHEN status = 'resolved' THEN pd END AS payload_digest,
+       CASE WHEN status = 'resolved' THEN concat_ws(chr(10), 'content-length: ' || pl, 'etag: ' || coalesce(etag, pe),
+         'last-modified: ' || coalesce(modified, pm), 'x-served-by: ' || coalesce(served, ps)) END AS merged_headers
+FROM t
+"""
