@@ -12,6 +12,8 @@ from critica.llm.pii import op3
 from critica.llm.quality import op6
 from critica.llm.secret_scan import op8
 
+from critica.llm.substring_dedup import op7
+
 
 def _docs(op):
     return lambda spark, sf_dir: op(table(spark, sf_dir, "documents"))
@@ -22,7 +24,8 @@ def queries():
             "op2_warc_revisits": lambda spark, sf_dir: warc.op2(table(spark, sf_dir, "pages")), "op3_pii_bootstrap": _docs(op3), 
             "op4_near_dup": _docs(op4),
             "op5_decontaminate": lambda spark, sf_dir: op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
-            "op6_quality_rules": _docs(op6), "op8_secret_scan": _docs(op8), "op9_line_dedup": _docs(op9)}
+            "op6_quality_rules": _docs(op6), "op7_substring_dedup": _docs(op7),
+            "op8_secret_scan": _docs(op8), "op9_line_dedup": _docs(op9)}
 
 
 def oracle_sql():
