@@ -6,6 +6,7 @@ from critica.llm import warc
 from critica.llm.common import table
 from critica.llm.decontaminate import op5
 from critica.llm.line_dedup import op9
+from critica.llm.lm_score import op10
 from critica.llm.near_dup import op4
 from critica.llm.packing import op1
 from critica.llm.pii import op3
@@ -25,7 +26,7 @@ def queries():
             "op4_near_dup": _docs(op4),
             "op5_decontaminate": lambda spark, sf_dir: op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
             "op6_quality_rules": _docs(op6), "op7_substring_dedup": _docs(op7),
-            "op8_secret_scan": _docs(op8), "op9_line_dedup": _docs(op9)}
+            "op8_secret_scan": _docs(op8), "op9_line_dedup": _docs(op9), "op10_lm_score": _docs(op10)}
 
 
 def oracle_sql():
