@@ -71,8 +71,9 @@ def parse(words: np.ndarray, first: np.ndarray, rounds: int) -> tuple[np.ndarray
     return symbol, start, opens
 
 
-def window_names(words: np.ndarray, first: np.ndarray, g: Geometry) -> np.ndarray:
-    """The least anchor of each window, by the window's first word (``NONE`` where no symbol begins there)."""
+def window_names(words: np.ndarray, first: np.ndarray, g: Geometry) -> tuple[np.ndarray, np.ndarray]:
+    """(The least anchor of each window, by the window's first word, ``NONE`` where no symbol begins there; the anchors
+    that occur twice within ``spread`` words, as in periodic texts: neighbouring windows may have either)."""
     n = len(words)
     symbol, start, opens = parse(words, first, g.rounds)
     end = np.append(start[1:], n)
@@ -88,13 +89,17 @@ def window_names(words: np.ndarray, first: np.ndarray, g: Geometry) -> np.ndarra
         name[open_] = combine(name[open_], symbol[at])
         open_ = open_[end[at] - start[open_] < g.anchor]
     least = np.full(n, NONE)
-    least[start] = np.minimum(mix(name), NONE - np.uint64(1))
+    name = np.minimum(mix(name), NONE - np.uint64(1))
+    least[start] = name
+    close = [np.flatnonzero((name[d:] == name[:-d]) & (start[d:] - start[:-d] <= g.spread))
+             for d in range(1, min(g.spread + 1, len(name)))]
+    close = np.unique(name[np.concatenate(close)]) if close else name[:0]
     width = 1
     while width < g.spread:
         step = min(width, g.spread - width)
         least[:-step] = np.minimum(least[:-step], least[step:])
         width += step
-    return least[g.edge:] if n > g.edge else np.empty(0, np.uint64)
+    return least[g.edge:] if n > g.edge else least[:0], close
 
 
 def window_hashes(words: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
@@ -139,12 +144,14 @@ def valid_windows(edges: np.ndarray, window: int) -> np.ndarray:
 
 
 def named(texts: list[str], hashes: WordHashes, g: Geometry):
-    """(tokens, windows' places, stretches of windows of one name: first index, length, name)."""
+    """(tokens, windows' places, stretches of windows of one name: length, name; names that occur twice close by)."""
     toks = tokens(texts, hashes)
     at = valid_windows(toks[3], g.window)
-    names = window_names(toks[1], toks[2], g)[at] if len(at) else np.empty(0, np.uint64)
+    none = np.empty(0, np.uint64)
+    names, close = window_names(toks[1], toks[2], g) if len(at) else (none, none)
+    names = names[at]
     begin = np.flatnonzero(np.append(True, (names[1:] != names[:-1]) | (at[1:] != at[:-1] + 1))) if len(at) else at
-    return toks, at, begin, np.diff(np.append(begin, len(at))), names[begin]
+    return toks, at, np.diff(np.append(begin, len(at))), names[begin], close
 
 
 def _send_names(g: Geometry, shards: int):
@@ -152,12 +159,9 @@ def _send_names(g: Geometry, shards: int):
         hashes = WordHashes()
         for b in batches:
             for batch, texts in zip(b.column("batch").to_pylist(), b.column("text").to_pylist()):
-                _, _, _, length, name = named(texts, hashes, g)
-                real = name != NONE
-                # a name that rules more windows than one anchor can has occurred twice
-                keys, where = np.unique(name[real], return_inverse=True)
-                seen = np.zeros(len(keys), np.int64)
-                np.add.at(seen, where, 1 + (length[real] > g.spread))
+                _, _, _, name, close = named(texts, hashes, g)
+                keys, seen = np.unique(name[name != NONE], return_counts=True)
+                seen[np.isin(keys, close)] = 2
                 yield rows_to_batch(send(batch, keys, np.minimum(seen, 2).astype(np.uint8), shards), SHARD_NAMES, SHARD_TYPES)
     return run
 
@@ -174,7 +178,7 @@ def _send_windows(g: Geometry, shards: int):
         hashes = WordHashes()
         for b in batches:
             for batch, texts, replies in zip(*(b.column(c).to_pylist() for c in ("batch", "text", "names"))):
-                toks, at, begin, length, name = named(texts, hashes, g)
+                toks, at, length, name, _ = named(texts, hashes, g)
                 keys = np.unique(name[name != NONE])
                 shared = concat_replies(replies, np.uint8).astype(bool)
                 hot = name == NONE
