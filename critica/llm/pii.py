@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from critica.llm.common import let, stored
-from critica.llm.spans import Kind, digest, located
+from critica.llm.spans import Kind, count, digest, located
 
 # The four base kinds. Lookbehinds and \G only skip starts that cannot match.
 KINDS = [
@@ -67,7 +67,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """Stored: valid base matches and the candidates outside them, with their patterns."""
     found = located(docs.select("doc_id", "text"), [*KINDS, CANDIDATE], CONTEXT)
     base, token = F.col("kind") < len(KINDS), F.col("kind") == len(KINDS)
-    found = found.filter(F.col("kind").isNull() | token | base_valid())
+    found = found.withColumn("kind", F.when(token | base_valid(), F.col("kind")))  # failed matches keep their document
     by_start = Window.partitionBy("uid").orderBy("start", "kind")
     found = found.withColumns({
         "base_end": F.max(F.when(base, F.col("end"))).over(by_start.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
@@ -75,7 +75,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     })
     outside = (F.coalesce(F.col("base_end"), F.lit(0)) <= F.col("start")) & (
         F.coalesce(F.col("base_start"), F.col("end")) >= F.col("end"))
-    found = found.filter(F.col("kind").isNull() | base | outside)
+    found = found.withColumn("kind", F.when(base | outside, F.col("kind")))
     instance = F.when(token, F.regexp_replace("match", r"^[(\[{<\"']+|[)\]}>\"'.,;:!?]+$", "")).otherwise(F.col("match"))
     return stored(found.select("uid", "doc_id", "kind", "start", "end", instance.alias("instance"),
                                pattern().alias("pattern")), "occurrences")
@@ -127,6 +127,5 @@ def op3(docs: DataFrame) -> DataFrame:
     out = extract(docs)
     base = F.filter("spans", lambda s: s["base"])
     return out.select(
-        "doc_id", *[F.size(F.filter("spans", lambda s, n=n: s["base"] & (s["kind"] == n))).cast("long").alias(f"n_{k.name}")
-                    for n, k in enumerate(KINDS)],
+        "doc_id", *[count(base, n).alias(f"n_{k.name}") for n, k in enumerate(KINDS)],
         F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))

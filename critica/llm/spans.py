@@ -51,3 +51,8 @@ def located(docs: DataFrame, kinds: list[Kind], context: int = 0) -> DataFrame:
 def digest(spans: Column) -> Column:
     """kind:start:end, comma-joined, of an ordered array of (…, name, start, end)."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["name"], s["start"], s["end"])), ",")
+
+
+def count(spans: Column, kind: int) -> Column:
+    """The number of spans of a kind."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
