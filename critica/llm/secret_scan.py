@@ -1,10 +1,11 @@
 """Secret scan: fixed patterns, and a log-likelihood ratio of two character Markov models.
 
 One model is of random strings, the other of ordinary identifiers; both are first-order over 68
-character classes with add-half smoothing. Samples and labels:
-* random: what the base patterns matched in a bounded sample of ``sample_docs`` documents that hold
-  a match (documents in the order of a hash of their text, so the sample is the same on every run);
-* ordinary: the letter-led words of the same number of documents, in the same order, less the base matches.
+character classes, backing off to single characters. Both learn from a sample of about ``sample_docs`` documents (those whose hash is
+below a share of its range: the same on every run, without a sort):
+* random: what the base patterns matched;
+* ordinary: words in the shape of identifiers (runs of small letters, each with one capital at most before it,
+  joined by ``_`` or ``-``; two closing digits at most).
 The ratio table has 68 x 68 entries whatever the corpus, so it travels as one literal.
 
 A token of 16 or more characters with letters and digits in it, outside every base span, is a secret
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from critica.llm.common import let
-from critica.llm.spans import Kind, digest, located
+from critica.llm.spans import Kind, count, digest, located
 
 # The base patterns, least lengths, and the classes of characters.
 KINDS = [
@@ -33,11 +34,12 @@ KINDS = [
 ]
 VALUE = r"""^[A-Za-z_]+["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
 CANDIDATE = Kind("random", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+", r"[A-Za-z0-9+/_=-]{16}")
-ORDINARY = Kind("word", r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z0-9_-]{3,}+", r"[A-Za-z]{4}")
+ORDINARY = Kind("word", r"(?<![A-Za-z0-9+/_=-])(?:[A-Z]?+[a-z]++[_-]?+)++(?:[0-9]{1,2})?+(?![A-Za-z0-9+/_=-])", r"[a-z]")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 CLASSES = len(ALPHABET)
-SAMPLE_DOCS = 2000
+SAMPLE_DOCS = 20_000
 MIN_RATIO = 1.0
+BACK_OFF = 8
 
 
 def base_valid() -> Column:
@@ -60,24 +62,25 @@ def codes(token: Column) -> Column:
 
 def ratio_table(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
     """log2 P(next | previous, random) - log2 P(next | previous, ordinary), flattened."""
-    key = F.xxhash64("text")
-    hint = "|".join(f"({k.hint})" for k in KINDS)
-    with_match = docs.filter(F.col("text").rlike(hint)).orderBy(key, "text").limit(sample_docs)
-    plain = docs.filter(F.col("text").rlike(ORDINARY.hint)).orderBy(key, "text").limit(sample_docs)
-    random = located(with_match, KINDS).filter(base_valid()).select(payload().alias("token"), F.lit(1).alias("label"))
-    word = located(plain, [ORDINARY]).filter("kind = 0 and not match rlike '[0-9a-f]{24}|AKIA'").select(
+    n = docs.count()
+    top = min(2 ** 64 - 1, (2 ** 64 - 1) * sample_docs // max(n, 1)) - 2 ** 63
+    sample = docs.filter(F.xxhash64("doc_id", "text") <= top)
+    random = located(sample, KINDS).filter(base_valid()).select(payload().alias("token"), F.lit(1).alias("label"))
+    word = located(sample, [ORDINARY]).filter("kind = 0 and length(match) > 3").select(
         F.col("match").alias("token"), F.lit(0).alias("label"))
     pairs = (random.unionByName(word).select("label", F.explode(codes(F.col("token"))).alias("code"))
              .groupBy("label", "code").count().collect())  # at most 2 * 68 * 68 rows
-    counts = [[0.5] * (CLASSES * CLASSES) for _ in range(2)]
+    counts = [[0] * (CLASSES * CLASSES) for _ in range(2)]
     if not any(r["label"] == 1 for r in pairs):
         return [0.0] * (CLASSES * CLASSES)
     for r in pairs:
         counts[r["label"]][r["code"]] += r["count"]
     logs = []
     for c in counts:
+        nexts = [sum(c[b::CLASSES]) for b in range(CLASSES)]
+        alone = [(n + 0.5) / (sum(nexts) + 0.5 * CLASSES) for n in nexts]
         sums = [sum(c[a * CLASSES:(a + 1) * CLASSES]) for a in range(CLASSES)]
-        logs.append([math.log2(v / sums[i // CLASSES]) for i, v in enumerate(c)])
+        logs.append([math.log2((n + BACK_OFF * alone[i % CLASSES]) / (sums[i // CLASSES] + BACK_OFF)) for i, n in enumerate(c)])
     return [a - b for a, b in zip(logs[1], logs[0])]
 
 
@@ -88,7 +91,7 @@ def scan(docs: DataFrame, min_ratio: float = MIN_RATIO, sample_docs: int = SAMPL
     ratios = F.from_json(F.lit(json.dumps([round(x, 3) for x in ratio_table(docs, sample_docs)])), "array<double>")
     found = located(docs, [*KINDS, CANDIDATE])
     base, token = F.col("kind") < len(KINDS), F.col("kind") == len(KINDS)
-    found = found.filter(F.col("kind").isNull() | token | base_valid())
+    found = found.withColumn("kind", F.when(token | base_valid(), F.col("kind")))  # failed matches keep their document
     # a candidate is outside the base spans that start before its end, and before those that start later
     by_start = Window.partitionBy("uid").orderBy("start", "kind")
     found = found.withColumns({
@@ -112,7 +115,6 @@ def op8(docs: DataFrame) -> DataFrame:
     out = scan(docs)
     base = F.filter("spans", lambda s: s["kind"] < len(KINDS))
     return out.select(
-        "doc_id", *[F.size(F.filter("spans", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{k.name}")
-                    for n, k in enumerate(KINDS)],
+        "doc_id", *[count(F.col("spans"), n).alias(f"n_{k.name}") for n, k in enumerate(KINDS)],
         F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"),
-        F.size(F.filter("spans", lambda s: s["kind"] == len(KINDS))).cast("long").alias("n_random"))
+        count(F.col("spans"), len(KINDS)).alias("n_random"))
