@@ -6,11 +6,11 @@
   the borrowed bins agree as often as the sets do). ``ROWS`` bins make a band, a band's hash a bucket.
   At a similarity of 0.8 a pair misses all 40 buckets with a chance of (1 - 0.8^6)^40 = 5e-6.
 * In each bucket, every node is compared with one centre only: pairs grow with the members, not
-  with their square. Later rounds take the best-linked member as the centre and look only at
-  buckets whose members are in more than one component.
-* A star may miss a link between two non-centres. So after the star rounds the pairs that are left
-  in a bucket *across different components* are compared one by one. Copies of one original have
-  met in its component by then, so few are left.
+  with their square. A second star takes the best-linked member as the centre and looks only at buckets whose
+  members are in more than one component.
+* A star may miss a link between two non-centres. So the members that are still outside their bucket's main
+  component meet all of its members, on the full sets, in blocks; only links leave a block. (Copies
+  of one original have met in its component by then, so few members are outside.)
 * Every link is confirmed on the full sets: 100 * intersection >= ``percent`` * union.
 
 Definitions. Words are separated by ASCII white space, A-Z lower-cased; a set holds the distinct
@@ -26,13 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from critica.llm.common import TO_LOWER, stored
+from critica.llm.common import TO_LOWER, shuffle_partitions, stored
 from critica.llm.word_hash import WordHashes, combine, windows
 
 BANDS = 40
 ROWS = 6
 BINS = BANDS * ROWS
-STAR_ROUNDS = 6
+PART = 256
 BORROW = np.random.Generator(np.random.PCG64(20240229)).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1)
 
 
@@ -124,6 +124,80 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                   "checked")
 
 
+def open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Stored (bucket, node, n, label, members) of the buckets with members of more than one component."""
+    now = buckets.select("bucket", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    many = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).filter(
+        "low != high").select("bucket", "members")
+    return stored(now.join(many, "bucket"), "open")
+
+
+def _cross_links(label: np.ndarray, part: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between rows of different labels (and, where there are two parts, of different parts): for each row
+    outside the commonest label, the first linked row of every other label."""
+    names, which, sizes = np.unique(label, return_inverse=True, return_counts=True)
+    ask = np.flatnonzero(which != sizes.argmax())
+    if not len(ask):
+        return []
+    n = np.array([len(x) for x in sets])
+    element, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    order = np.argsort(element, kind="stable")
+    element, owner = element[order], owner[order]
+    found = []
+    for x in ask:
+        lo, hi = np.searchsorted(element, sets[x], "left"), np.searchsorted(element, sets[x], "right")
+        size = hi - lo
+        at = np.arange(size.sum()) + np.repeat(lo - np.append(0, np.cumsum(size)[:-1]), size)
+        common = np.bincount(owner[at], minlength=len(sets))
+        ok = (common * 100 >= (n + n[x] - common) * percent) & (which != which[x])
+        if part.min() != part.max():
+            ok &= part != part[x]
+        near = np.flatnonzero(ok)
+        found += [(x, near[i]) for i in np.unique(which[near], return_index=True)[1]]
+    return found
+
+
+def _compare(percent: int):
+    """Rows arrive sorted by (bucket, i, j): one block after the other, at most two parts of a bucket in memory."""
+    def close(rows):
+        label = np.array([r["label"] for r in rows], dtype=object)
+        part = np.array([r["part"] for r in rows])
+        sets = [np.asarray(r["shingles"], np.int64) for r in rows]
+        pairs = _cross_links(label, part, sets, percent)
+        nodes = [r["node"] for r in rows]
+        ends = [sorted((nodes[x], nodes[y])) for x, y in pairs]
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    def run(batches):
+        block, rows = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                key = (r["bucket"], r["i"], r["j"])
+                if key != block and rows:
+                    yield close(rows)
+                    rows = []
+                block = key
+                rows.append(r)
+        if rows:
+            yield close(rows)
+    return run
+
+
+def rest(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Stored links (a, b) between members of a bucket in different components.
+
+    Members outside a bucket's main component meet all of its members, on their full sets, in blocks of two
+    parts of about ``PART`` members. Only links leave a block, one for a member and component."""
+    parts = F.ceil(F.col("members") / PART).cast("int")
+    dealt = open_.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node", "bucket"), F.col("parts")).cast("int"))
+    blocks = dealt.select("bucket", "node", "label", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
+        "bucket", "node", "label", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    rows = blocks.join(sets, "node").repartition(shuffle_partitions(open_.sparkSession), "bucket", "i", "j").sortWithinPartitions(
+        "bucket", "i", "j")
+    found = rows.select("bucket", "i", "j", "part", "node", "label", "shingles").mapInArrow(_compare(percent), "a binary, b binary")
+    return stored(found.distinct(), "links")
+
+
 def link(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, text_hash, n, node, label): one row per input row; ``label`` names the component (null without a set)."""
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
@@ -150,40 +224,18 @@ def link(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     checked = confirm(with_sizes(buckets.filter("node != center").select(*ordered("node", "center")).distinct()), sets, percent)
     labels = components(checked.filter("linked"))
-    n_nodes = buckets.count()
-    for turn in range(1, STAR_ROUNDS + 1):
-        now = buckets.drop("center").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        parts = now.groupBy("bucket", "label").agg(F.count("*").alias("c"))
-        open_ = parts.groupBy("bucket").agg(F.count("*").alias("labels"), ((F.sum("c") * F.sum("c") - F.sum(
-            F.col("c") * F.col("c"))) / 2).alias("pairs")).filter("labels > 1")
-        left = open_.agg(F.sum("pairs")).first()[0]
-        if not left:
-            break
-        last = left <= n_nodes or turn == STAR_ROUNDS
-        now = stored(now.join(open_.select("bucket"), "bucket"), "open")
-        if last:  # the rest, exactly
-            x, y = now.alias("x"), now.alias("y")
-            pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node"))
-                           & (F.col("x.label") != F.col("y.label")) & (F.col("x.n") * 100 >= F.col("y.n") * percent)
-                           & (F.col("y.n") * 100 >= F.col("x.n") * percent)).select(
-                F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        else:
-            links = checked.filter("linked")
-            degree = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b"))).groupBy("node").agg(
-                F.count("*").alias("degree"))
-            rank = F.struct(F.coalesce("degree", F.lit(0)).alias("d"), F.xxhash64("node", F.lit(turn)), "node", "label")
-            if turn > 1:
-                rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("d"), F.lit(0), "node", "label")
-            center = now.join(degree, "node", "left").groupBy("bucket").agg(F.max(rank).alias("top"))
-            pairs = now.join(center, "bucket").filter(F.col("label") != F.col("top.label")).select(
-                *ordered(F.col("node"), F.col("top.node")))
-        pairs = pairs.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        more = confirm(with_sizes(pairs), sets, percent)
-        checked = checked.unionByName(more)
-        if not more.filter("linked").isEmpty():
-            labels = components(checked.filter("linked"))
-        if last:
-            break
+    links = checked.filter("linked").select("a", "b")
+    # once more around the best-linked member of each bucket that is not yet in one component
+    degree = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count("*").alias("degree"))
+    now = open_buckets(buckets, labels)
+    center = now.join(degree, "node", "left").groupBy("bucket").agg(
+        F.max(F.struct(F.coalesce("degree", F.lit(0)), "node", "label")).alias("top"))
+    pairs = now.join(center, "bucket").filter(F.col("label") != F.col("top.label")).select(
+        *ordered(F.col("node"), F.col("top.node"))).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    links = links.unionByName(confirm(with_sizes(pairs), sets, percent).filter("linked").select("a", "b"))
+    labels = components(links)
+    links = links.unionByName(rest(open_buckets(buckets, labels), sets, percent))
+    labels = components(links)
     return feats.select("doc_id", "text_hash", "n", "node").join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node"))
 
