@@ -177,8 +177,8 @@ def test_near_dups_chains_and_hot_group(spark, monkeypatch):
     rng.shuffle(rows)
     want = brute.near_dups([t for _, t in sorted(rows)], 2)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    for rounds in (6, 1):
-        monkeypatch.setattr(near_dup, "STAR_ROUNDS", rounds)
+    for part in (256, 8):
+        monkeypatch.setattr(near_dup, "PART", part)
         got = by_id(near_dup.near_dups(df, 2))
         assert [got[i]["component_id"] for i in range(len(texts))] == [c for _, c in want]
 
