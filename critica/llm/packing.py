@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from critica.llm.common import stored
+from critica.llm.common import shuffle_partitions, stored
 
 SIZE = 2048
 END_ID = 0
@@ -40,7 +41,6 @@ EPOCHS = 2
 POPULATION = 6
 GENERATIONS = 12
 WELL_FILLED = 0.999
-ENCODE_CHARS = 4_000_000
 
 
 def default_tokenizer() -> str:
@@ -49,8 +49,9 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@cache
 def load_encoder(path: str):
-    """text -> ids of the tokenizer file.
+    """text -> ids of the tokenizer file, loaded once a Python worker.
 
     Where the same vocabulary lies beside it as ranks (``.tiktoken``), the faster library gives the same ids."""
     import os
@@ -238,8 +239,8 @@ def island_solutions(items: DataFrame, size: int) -> DataFrame:
     islands = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "lengths",
                             F.lit(None).cast("array<array<array<int>>>").alias("elites"))
     for epoch in range(EPOCHS):
-        # at most 4 rows a batch: a row holds a whole shard's lengths
-        done = stored(islands.repartition("shard", "island").mapInPandas(_epoch(size, epoch), ISLAND_SCHEMA), "islands")
+        # by number: these few small rows are the work of whole tasks, not to be coalesced
+        done = stored(islands.repartition(shuffle_partitions(items.sparkSession), "shard", "island").mapInPandas(_epoch(size, epoch), ISLAND_SCHEMA), "islands")
         moved = done.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("bins").alias("guest"))
         islands = done.join(moved, ["shard", "island"]).select(
             "shard", "island", "lengths", F.array("bins", "guest").alias("elites"))
