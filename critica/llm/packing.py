@@ -25,7 +25,6 @@ import zlib
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -219,17 +218,19 @@ def evolve(lengths: list[int], elites: list[list[list[int]]], size: int, seed: i
 ISLAND_SCHEMA = "shard long, island int, n_bins long, fill double, lengths array<int>, bins array<array<int>>"
 
 
+ISLAND_ARROW = pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("n_bins", pa.int64()), ("fill", pa.float64()),
+                          ("lengths", pa.list_(pa.int32())), ("bins", pa.list_(pa.list_(pa.int32())))])
+
+
 def _epoch(size: int, epoch: int):
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for shard, island, lengths, elites in zip(pdf["shard"], pdf["island"], pdf["lengths"], pdf["elites"]):
-                lengths = [int(x) for x in lengths]
-                given = [[[int(v) for v in b] for b in e] for e in (elites if elites is not None else [])]
-                best = evolve(lengths, given, size, abs(hash((int(shard), int(island), epoch))))
+        for batch in batches:
+            for row in batch.to_pylist():  # a row out at a time: it holds a whole shard's lengths
+                best = evolve(row["lengths"], row["elites"] or [], size, hash((row["shard"], row["island"], epoch)) & 0xFFFFFFFF)
                 score = fitness(best, size)
-                rows.append((shard, island, -score[0], score[1], lengths, best))
-            yield pd.DataFrame(rows, columns=["shard", "island", "n_bins", "fill", "lengths", "bins"])
+                yield pa.RecordBatch.from_pylist([{
+                    "shard": row["shard"], "island": row["island"], "n_bins": -score[0], "fill": score[1],
+                    "lengths": row["lengths"], "bins": best}], ISLAND_ARROW)
     return run
 
 
@@ -240,7 +241,7 @@ def island_solutions(items: DataFrame, size: int) -> DataFrame:
                             F.lit(None).cast("array<array<array<int>>>").alias("elites"))
     for epoch in range(EPOCHS):
         # by number: these few small rows are the work of whole tasks, not to be coalesced
-        done = stored(islands.repartition(shuffle_partitions(items.sparkSession), "shard", "island").mapInPandas(_epoch(size, epoch), ISLAND_SCHEMA), "islands")
+        done = stored(islands.repartition(shuffle_partitions(items.sparkSession), "shard", "island").mapInArrow(_epoch(size, epoch), ISLAND_SCHEMA), "islands")
         moved = done.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("bins").alias("guest"))
         islands = done.join(moved, ["shard", "island"]).select(
             "shard", "island", "lengths", F.array("bins", "guest").alias("elites"))
