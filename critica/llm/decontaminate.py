@@ -7,12 +7,11 @@ words are compared with the document's one by one. A document is contaminated by
 aligned window of ``window`` item words (the whole item, where shorter) agrees in at least
 ``min_agree`` of its positions.
 
-Words are the white-space separated words, A-Z lower-cased. An item of fewer words than a mask's
-span is matched whole, by a contiguous seed of its own length. Null and empty texts have no seeds:
+Words are the white-space separated words, A-Z lower-cased. Null and empty texts have no seeds:
 such documents are clean, such items match nothing. Repeated rows are judged alike; items of equal
 text all match.
 
-The item side is broadcast only while its seeds number at most ``broadcast_seeds``; beyond that,
+The item side is broadcast only while its seeds number at most ``BROADCAST_SEEDS``; beyond that,
 both sides shuffle on the seed hash. Document words are cut into blocks, so a very long text is
 many rows of bounded size."""
 
@@ -23,9 +22,11 @@ from pyspark.sql import functions as F
 
 from critica.llm.common import let, lower_ascii, stored, words
 
-# Masks over 11 words, 8 of them compared.
-MASKS = ("11111111000", "11011011011", "11101010111", "10110110111")
-SPAN = 11
+# 8 words compared each. Of the places of any two substitutions in 13 words, every pair is
+# ignored by one of the masks at some place in the window (found by search, checked by a test): no
+# window of 13 words with 11 or more equal is without a common seed.
+MASKS = ("1101110111", "111101111", "11111001011", "110001011111", "1110111000011")
+SPAN = 13
 WINDOW = 13
 MIN_AGREE = 0.8
 BLOCK = 2048
@@ -57,23 +58,22 @@ def seeds(df: DataFrame, keys: list[str]) -> DataFrame:
     return at.select(*keys, "pos", F.explode(full).alias("s")).filter("s is not null").select(*keys, "pos", "s.mask", "s.seed")
 
 
-def short_items(items: DataFrame) -> tuple[DataFrame, list[int]]:
-    """Items of fewer words than any mask needs, and their word counts (each below ``SPAN``)."""
-    short = items.withColumn("n", F.size("item_words")).filter((F.col("n") > 0) & (F.col("n") < min(
-        m.rindex("1") + 1 for m in MASKS)))
+def short_items(items: DataFrame, window: int) -> tuple[DataFrame, list[int]]:
+    """Items of fewer words than the window, and their word counts (each below ``window``)."""
+    short = items.withColumn("n", F.size("item_words")).filter((F.col("n") > 0) & (F.col("n") < window))
     return short, sorted(r["n"] for r in short.select("n").distinct().collect())
 
 
-def find_hits(docs: DataFrame, items: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+def find_hits(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     """Stored: distinct (doc_id, text_hash, item, shift) with a common seed; shift = document position of the
     item's first word."""
     keys = ["doc_id", "text_hash"]
-    item_seeds = stored(seeds(items, ["item"]), "item_seeds")
+    item_seeds = stored(seeds(items.filter(F.size("item_words") >= window), ["item"]), "item_seeds")
     item_side = item_seeds.select("item", "seed", F.col("pos").alias("item_pos"))
-    if item_side.count() <= broadcast_seeds:
+    if item_side.count() <= BROADCAST_SEEDS:
         item_side = F.broadcast(item_side)
     hits = seeds(docs, keys).join(item_side, "seed").select(*keys, "item", (F.col("pos") - F.col("item_pos")).alias("shift"))
-    short, lengths = short_items(items)
+    short, lengths = short_items(items, window)
     for n in lengths:
         grams = block_rows(docs, keys).select(*keys, "base", F.posexplode(let(F.col("w"), lambda w: F.transform(
             F.sequence(F.lit(1), F.size(w)), lambda i: F.xxhash64(F.slice(w, i, n))))).alias("i", "seed"))
@@ -100,7 +100,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_agree
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     items = stored(benchmark.select(F.monotonically_increasing_id().alias("item"), "item_id", "text",
                                     words(lower_ascii("text")).alias("item_words")), "items")
-    hits = find_hits(docs, items)
+    hits = find_hits(docs, items, window)
     aligned = hits.groupBy("doc_id", "text_hash", "item").agg(F.collect_set("shift").alias("shifts"))
     # each side of the next join is one row per (document, item): documents without a hit stay out of it
     texts = docs.join(aligned.select("doc_id", "text_hash").distinct().withColumnsRenamed(
@@ -112,8 +112,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_agree
         texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")))
     scored = pairs.select("doc_id", "text_hash", "item_id", let(F.col("doc_words"), lambda dw: F.array_max(F.transform(
         "shifts", lambda s: F.struct(best_agreement(dw, F.col("item_words"), s, window).alias("agreement"),
-                                     (-s).alias("back"))))).alias("best"))
-    return scored.filter(F.col("best.agreement") >= min_agree).select(
+                                     (-s).alias("back"))))).alias("best"), F.size("item_words").alias("n"))
+    enough = F.when(F.col("n") < window, F.lit(1.0)).otherwise(F.lit(min_agree))
+    return scored.filter(F.col("best.agreement") >= enough).select(
         "doc_id", "text_hash", "item_id", (-F.col("best.back")).alias("shift"), F.col("best.agreement").alias("agreement"))
 
 
