@@ -197,11 +197,34 @@ def test_decontamination(spark, given):
     got = by_id(decontaminate.op5(given, items))
     short = {i: t for i, t in texts.items() if len(t or "") < 4000}
     for i, t in short.items():
-        best = max(brute.agreement(t, x, decontaminate.WINDOW) for x in passages.values())
+        best = max(brute.agreement(t, x, decontaminate.WINDOW) for x in passages.values())  # none is shorter than the window
         assert got[i]["contaminated"] == (best >= decontaminate.MIN_AGREE), (i, best)
     assert any(got[i]["contaminated"] for i in short)
 
 
+def test_masks_survive_any_two_substitutions():
+    for a in range(13):
+        for b in range(a):
+            assert any(all(m[p - s] == "0" for p in (a, b) if 0 <= p - s < len(m))
+                       for m in decontaminate.MASKS for s in range(13 - len(m) + 1)), (a, b)
+
+
+def test_decontamination_of_substituted_passages(spark):
+    """One window of 13 words with two substitutions, at every pair of places; three are too many."""
+    rng = random.Random(9)
+    item = words_of(rng, 13, 10_000)
+    rows, want = [], []
+    for a in range(13):
+        for b in range(a):
+            for c in (b, (a + b) // 2 if a - b > 1 else b):
+                t = [("other" if i in (a, b, c) else w) for i, w in enumerate(item)]
+                rows.append((len(rows), " ".join(["x", *t, "y"])))
+                want.append(len({a, b, c}) == 2)
+    got = by_id(decontaminate.op5(spark.createDataFrame(rows, "doc_id long, text string"),
+                                  spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")))
+    assert [got[i]["contaminated"] for i in range(len(rows))] == want
+
+
 def test_decontamination_substitutions_and_odd_items(spark, monkeypatch):
     rng = random.Random(5)
     item = words_of(rng, 30, 10_000)
