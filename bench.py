@@ -47,6 +47,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = get_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, app_name="critica-bench")
+    spark.conf.set("spark.critica.textPartitions", cpus)  # the given tables are one row group each
     qs = catalog.queries()
 
     warm = os.path.join(os.path.dirname(sf_dir), "sf0.001")

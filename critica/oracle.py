@@ -404,20 +404,14 @@ def TRUNC(x: str, n: int = 1800) -> str:
             f"'[... truncated ...]' ELSE {USTRIP(x)} END)")
 
 
-def _stop_cte(post: str, corpus: str, frac: float, min_df: int, name: str) -> str:
-    return f"""{name} AS (SELECT kw FROM {post} GROUP BY kw HAVING count(*) >
-   greatest({D(float(min_df))}, floor((SELECT count(*) FROM {corpus}) * {D(frac)})))"""
-
-
 def evidence_sql() -> dict[str, str]:
     base = f"""WITH {QA_PAIRS},
 cp0 AS (SELECT page_id, url, {HTML_TEXT('html')} AS text FROM pages),
 cp AS (SELECT page_id, url, text, {TRUNC('text')} AS content FROM cp0),
 pp AS (SELECT DISTINCT page_id, unnest({KEYWORDS('text')}) AS kw FROM cp),
 qp AS (SELECT DISTINCT conv_id, turn, unnest({KEYWORDS('query')}) AS kw FROM qa),
-{_stop_cte('pp', 'cp', 0.05, 10, 'stop')},
 sc AS (SELECT conv_id, turn, page_id, count(*) AS shared FROM qp JOIN pp USING (kw)
-       WHERE kw NOT IN (SELECT kw FROM stop) GROUP BY ALL HAVING count(*) >= 2),
+       GROUP BY ALL HAVING count(*) >= 2),
 ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY shared DESC, page_id) AS rank FROM sc)
            WHERE rank <= 2),
 rk AS (SELECT ranked.*, cp.url, cp.content FROM ranked JOIN cp USING (page_id)),
@@ -427,10 +421,8 @@ evid AS (SELECT qa.conv_id, qa.turn, count(rk.page_id) AS n_pages,
          FROM qa LEFT JOIN rk ON qa.conv_id = rk.conv_id AND qa.turn = rk.turn GROUP BY qa.conv_id, qa.turn)"""
     j4 = f"""WITH ip AS (SELECT DISTINCT item_id, unnest({KEYWORDS('text')}) AS kw FROM benchmark),
 dp AS (SELECT DISTINCT doc_id, unnest({KEYWORDS('text')}) AS kw FROM documents),
-{_stop_cte('dp', 'documents', 0.1, 10, 'stop')},
-sizes AS (SELECT item_id, count(*) AS n_item_keywords FROM ip WHERE kw NOT IN (SELECT kw FROM stop) GROUP BY item_id),
-sc AS (SELECT item_id, doc_id, count(*) AS shared FROM ip JOIN dp USING (kw)
-       WHERE kw NOT IN (SELECT kw FROM stop) GROUP BY ALL)
+sizes AS (SELECT item_id, count(*) AS n_item_keywords FROM ip GROUP BY item_id),
+sc AS (SELECT item_id, doc_id, count(*) AS shared FROM ip JOIN dp USING (kw) GROUP BY ALL)
 SELECT item_id, doc_id, shared, n_item_keywords, shared / n_item_keywords AS containment
 FROM sc JOIN sizes USING (item_id) WHERE shared / n_item_keywords >= 0.8"""
     return {

@@ -6,9 +6,11 @@ that are unset, so a cluster's own values (shuffle partitions, checkpoint dir) w
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -96,30 +98,37 @@ def apply_defaults(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Only when it is unset (local tests) a fresh folder under the system temp dir is used.
-    """
+    Only a local master may leave it unset (tests): it gets a fresh temp folder. Elsewhere executors could
+    not share such a folder, so that is an error."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
         return configured.rstrip("/")
+    if not is_local(sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="critica-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A unique sub-folder of the shared checkpoint folder for a written intermediate table."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{os.getpid()}-{next(_counter)}")
+def is_local(master: str) -> bool:
+    """One JVM: ``local`` and ``local[...]``, not ``local-cluster``."""
+    return master == "local" or master.startswith("local[")
 
 
-def _count():
-    i = 0
-    while True:
-        i += 1
-        yield i
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A unique sub-folder of the shared checkpoint folder for a written intermediate table; deleted when the driver ends."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
 
 
-_counter = _count()
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001 - the session ended first; the folder is the cluster's to clean
+        pass

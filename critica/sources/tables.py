@@ -11,32 +11,15 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 # Tables whose rows carry long texts: every operator on them is CPU-bound (regex, JSON, hashing).
 TEXT_TABLES = ("documents", "pages", "conversations")
+# A file of one row group is one task, whatever its size. Where the given files are like that, the
+# caller of the session asks for a round-robin spread of the text tables over so many tasks.
+SPREAD = "spark.critica.textPartitions"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = None) -> DataFrame:
-    """Read one driver table.
-
-    Text tables are spread over the cluster when the scan yields fewer partitions than there are
-    cores (a file with one row group is one task, whatever its size). With many input splits - the
-    normal case at scale - nothing is added. The round-robin repartition sorts before
-    distributing (Spark default), so a retried task sees the same rows."""
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read one driver table; text tables are spread only where ``SPREAD`` is set."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if spread is None:
-        spread = name in TEXT_TABLES
-    return spread_over_cores(df) if spread else df
-
-
-def spread_over_cores(df: DataFrame) -> DataFrame:
-    """Round-robin ``df`` over all cores when it has fewer partitions than cores.
-
-    For CPU-bound or model-bound work on a small number of rows (a single-split table, a loop
-    state re-read from a few small files). With many partitions - the normal case at scale -
-    the plan is unchanged."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        n_splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the plan as is
-        return df
-    return df.repartition(cores) if n_splits < cores else df
+    parts = spark.conf.get(SPREAD, None)
+    return df.repartition(int(parts)) if parts and name in TEXT_TABLES else df
