@@ -32,7 +32,7 @@ from critica.llm.word_hash import WordHashes, combine, windows
 BANDS = 40
 ROWS = 6
 BINS = BANDS * ROWS
-PART = 256
+PART = 512
 BORROW = np.random.Generator(np.random.PCG64(20240229)).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1)
 
 
@@ -125,54 +125,48 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Stored (bucket, node, n, label, members) of the buckets with members of more than one component."""
+    """Stored (bucket, node, n, label, main, members, outside) of the buckets with members of more than one component:
+    the commonest component, the number of members, and of those outside it."""
     now = buckets.select("bucket", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    many = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).filter(
-        "low != high").select("bucket", "members")
+    many = (now.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket").agg(
+        F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("members"), F.count("*").alias("labels")).filter("labels > 1")
+        .select("bucket", F.col("top.label").alias("main"), "members", (F.col("members") - F.col("top.c")).alias("outside")))
     return stored(now.join(many, "bucket"), "open")
 
 
-def _cross_links(label: np.ndarray, part: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links between rows of different labels (and, where there are two parts, of different parts): for each row
-    outside the commonest label, the first linked row of every other label."""
-    names, which, sizes = np.unique(label, return_inverse=True, return_counts=True)
-    ask = np.flatnonzero(which != sizes.argmax())
-    if not len(ask):
-        return []
+def _cross_links(asked: list[dict], members: list[dict], percent: int) -> list[tuple[bytes, bytes]]:
+    """Links of the asked rows to members of other components: the first linked member of each."""
+    sets = [np.asarray(m["shingles"], np.int64) for m in members]
     n = np.array([len(x) for x in sets])
+    labels, which = np.unique(np.array([m["label"] for m in members], dtype=object), return_inverse=True)
+    number = {label: i for i, label in enumerate(labels)}
     element, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
     order = np.argsort(element, kind="stable")
     element, owner = element[order], owner[order]
     found = []
-    for x in ask:
-        lo, hi = np.searchsorted(element, sets[x], "left"), np.searchsorted(element, sets[x], "right")
+    for x in asked:
+        own = np.asarray(x["shingles"], np.int64)
+        lo, hi = np.searchsorted(element, own, "left"), np.searchsorted(element, own, "right")
         size = hi - lo
         at = np.arange(size.sum()) + np.repeat(lo - np.append(0, np.cumsum(size)[:-1]), size)
         common = np.bincount(owner[at], minlength=len(sets))
-        ok = (common * 100 >= (n + n[x] - common) * percent) & (which != which[x])
-        if part.min() != part.max():
-            ok &= part != part[x]
-        near = np.flatnonzero(ok)
-        found += [(x, near[i]) for i in np.unique(which[near], return_index=True)[1]]
+        near = np.flatnonzero((common * 100 >= (n + len(own) - common) * percent) & (which != number.get(x["label"], -1)))
+        found += [(x["node"], members[near[i]]["node"]) for i in np.unique(which[near], return_index=True)[1]]
     return found
 
 
 def _compare(percent: int):
-    """Rows arrive sorted by (bucket, i, j): one block after the other, at most two parts of a bucket in memory."""
+    """Rows arrive sorted by block (bucket, part, chunk): one block after the other in memory."""
     def close(rows):
-        label = np.array([r["label"] for r in rows], dtype=object)
-        part = np.array([r["part"] for r in rows])
-        sets = [np.asarray(r["shingles"], np.int64) for r in rows]
-        pairs = _cross_links(label, part, sets, percent)
-        nodes = [r["node"] for r in rows]
-        ends = [sorted((nodes[x], nodes[y])) for x, y in pairs]
+        asked, members = ([r for r in rows if r["asks"] == a] for a in (True, False))
+        ends = [sorted(e) for e in _cross_links(asked, members, percent)] if asked and members else []
         return pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     def run(batches):
         block, rows = None, []
         for batch in batches:
             for r in batch.to_pylist():
-                key = (r["bucket"], r["i"], r["j"])
+                key = (r["bucket"], r["part"], r["chunk"])
                 if key != block and rows:
                     yield close(rows)
                     rows = []
@@ -186,15 +180,19 @@ def _compare(percent: int):
 def rest(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Stored links (a, b) between members of a bucket in different components.
 
-    Members outside a bucket's main component meet all of its members, on their full sets, in blocks of two
-    parts of about ``PART`` members. Only links leave a block, one for a member and component."""
-    parts = F.ceil(F.col("members") / PART).cast("int")
-    dealt = open_.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node", "bucket"), F.col("parts")).cast("int"))
-    blocks = dealt.select("bucket", "node", "label", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
-        "bucket", "node", "label", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    rows = blocks.join(sets, "node").repartition(shuffle_partitions(open_.sparkSession), "bucket", "i", "j").sortWithinPartitions(
-        "bucket", "i", "j")
-    found = rows.select("bucket", "i", "j", "part", "node", "label", "shingles").mapInArrow(_compare(percent), "a binary, b binary")
+    Members outside a bucket's main component (chunks of about ``PART``) meet all of its members (parts of
+    about ``PART``) on their full sets, a block a pair of chunk and part. Only links leave a block, one for an
+    outside member and component."""
+    count = lambda c: F.ceil(F.col(c) / PART).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), count(c) - 1))
+    place = lambda c: F.pmod(F.xxhash64("node", "bucket"), count(c)).cast("int")
+    members = open_.select("bucket", "node", "label", place("members").alias("part"), every("outside").alias("chunk"), F.lit(False).alias("asks"))
+    asked = open_.filter("label != main").select(
+        "bucket", "node", "label", every("members").alias("part"), place("outside").alias("chunk"), F.lit(True).alias("asks"))
+    block = ["bucket", "part", "chunk"]
+    rows = (members.unionByName(asked).join(sets, "node").repartition(shuffle_partitions(open_.sparkSession), *block)
+            .sortWithinPartitions(*block))
+    found = rows.select(*block, "asks", "node", "label", "shingles").mapInArrow(_compare(percent), "a binary, b binary")
     return stored(found.distinct(), "links")
 
 
