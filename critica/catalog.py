@@ -44,6 +44,13 @@ def s1_read_queries(spark, sf):
     return io.queries_from_lines(lines).select("doc_id", "line_no", "query")
 
 
+def s1_read_queries_file(spark, sf):
+    """S1 from text files: the questions written as lines under the shared folder, then read back."""
+    path = scratch_path(spark, "queries")
+    _qa(spark, sf).select("query").write.text(path)
+    return io.read_queries(spark, path).groupBy("query").agg(F.count(F.lit(1)).alias("n"))
+
+
 def s3_cap_samples(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "n_chars")
     return io.cap_samples(docs, 100, ["doc_id"])
@@ -109,6 +116,11 @@ def m10_evaluate_pipeline(spark, sf):
     return mt.evaluate_pipeline(its, qs)
 
 
+def m10_iteration_scores(spark, sf):
+    its, qs = mt.conversation_iterations(table(spark, sf, "conversations"))
+    return mt.iteration_metrics(its, qs).select("run_id", "iteration", "composite_score")
+
+
 def flagship_composite_by_turn(spark, sf):
     """The end-to-end slice: conversations -> qa pairs -> M9 -> mean composite per turn."""
     m = _qa_metrics(spark, sf)
@@ -118,8 +130,8 @@ def flagship_composite_by_turn(spark, sf):
 
 
 # ---------------------------------------------------------------- critic replies
-def _feedback(spark, sf):
-    return cr.parse_feedback(fx.critic_replies(spark, sf), raw="raw_response")
+def _feedback(spark, sf, *more):
+    return cr.parse_feedback(fx.critic_replies(spark, sf, *more), raw="raw_response")
 
 
 def c1_strip_fences(spark, sf):
@@ -203,9 +215,14 @@ def a5_verdict_histogram(spark, sf):
 
 
 def a5_issue_distribution(spark, sf):
-    issues = cr.issues_long(_feedback(spark, sf), ["doc_id"])
-    return issues.groupBy("category").agg(F.count(F.lit(1)).alias("n_issues"),
-                                          F.count_distinct("doc_id").alias("n_replies"))
+    """One aggregation of list sizes per reply: no explode, no distinct count."""
+    fb = _feedback(spark, sf)
+    names = [n for n, _ in cr.ISSUE_MARKERS]
+    size = lambda n: F.size(f"feedback.{n}")
+    sums = fb.agg(*[F.sum(size(n).cast("bigint")).alias(f"i_{n}") for n in names],
+                  *[F.sum((size(n) > 0).cast("bigint")).alias(f"r_{n}") for n in names])
+    stacked = ", ".join(f"'{n}', i_{n}, r_{n}" for n in names)
+    return sums.selectExpr(f"stack({len(names)}, {stacked}) AS (category, n_issues, n_replies)").filter("n_issues > 0")
 
 
 # ---------------------------------------------------------------- trajectories
@@ -217,6 +234,11 @@ def _annotated(spark, sf, cfg=DEFAULT_LOOP, run_divisor=100):
     return tj.annotate(rows, cfg)
 
 
+def _all_annotated(spark, sf):
+    """Every event: no cut, long runs in blocks."""
+    return tj.annotate(fx.trajectory_iterations(table(spark, sf, "events"), cut=False), block=tj.BLOCK)
+
+
 def _traj(spark, sf, cfg=DEFAULT_LOOP, run_divisor=100):
     return tj.truncate_at_exit(_annotated(spark, sf, cfg, run_divisor))
 
@@ -226,21 +248,21 @@ def _hist_text(c):
 
 
 def w1_improvement_delta(spark, sf):
-    return _annotated(spark, sf).select("run_id", "iteration", "improvement_delta")
+    return _all_annotated(spark, sf).select("run_id", "iteration", "improvement_delta")
 
 
 def w2_is_stagnated(spark, sf):
-    return _annotated(spark, sf).select("run_id", "iteration", "is_stagnated")
+    return _all_annotated(spark, sf).select("run_id", "iteration", "is_stagnated")
 
 
 def w3_recent_deltas(spark, sf):
-    a = _annotated(spark, sf)
+    a = _all_annotated(spark, sf)
     return a.select("run_id", "iteration", F.size("recent_deltas").cast("bigint").alias("n_recent"),
                     _hist_text("recent_deltas").alias("recent_deltas"))
 
 
 def w4_exit_reason_at(spark, sf):
-    return _annotated(spark, sf).select("run_id", "iteration", "exit_reason")
+    return _all_annotated(spark, sf).select("run_id", "iteration", "exit_reason")
 
 
 def w5_truncate_at_exit(spark, sf):
@@ -252,7 +274,7 @@ def w6_strict_mode(spark, sf):
 
 
 def w7_progress_label(spark, sf):
-    return _annotated(spark, sf).select("run_id", "iteration", "progress")
+    return _all_annotated(spark, sf).select("run_id", "iteration", "progress")
 
 
 def _rollup_out(r):
@@ -325,13 +347,23 @@ def w8_best_marker(spark, sf):
 
 
 def s5_write_report(spark, sf):
-    """Write results / summaries / improvements under the shared checkpoint folder and read
-    the summaries back (the written table cuts the lineage)."""
-    res = _results(spark, sf)
+    """Write results / summaries / improvements under the shared checkpoint folder and read all
+    three back, as (part, system_name, item, value). The results are stored once before the three writes."""
+    res_path = scratch_path(spark, "results")
+    _results(spark, sf).write.parquet(res_path)
+    res = spark.read.parquet(res_path)
     summ = bm.system_summary(res)
     paths = io.write_report(res, summ, bm.improvement_vs_baseline(summ),
                             scratch_path(spark, "report"), fmt="parquet")
-    return spark.read.parquet(paths["summaries"])
+    rows = spark.read.parquet(paths["results"]).select(
+        F.lit("results").alias("part"), "system_name",
+        F.concat_ws(":", F.col("run_id").cast("string"), "query", "exit_reason").alias("item"),
+        F.col("factual_accuracy").alias("value"))
+    long = bm.summary_long(spark.read.parquet(paths["summaries"])).select(
+        F.lit("summaries").alias("part"), "system_name", F.col("metric").alias("item"), "value")
+    better = spark.read.parquet(paths["improvements"]).select(
+        F.lit("improvements").alias("part"), "system_name", F.col("improvement").alias("item"), F.col("pct").alias("value"))
+    return rows.unionByName(long).unionByName(better)
 
 
 # ---------------------------------------------------------------- evidence
@@ -394,14 +426,19 @@ def t3_critic_prompt(spark, sf):
 
 
 def t4_refine_prompt(spark, sf):
-    fb = _feedback(spark, sf).select("doc_id", "feedback")
-    docs = table(spark, sf, "documents").select("doc_id", tr.first_line("text").alias("query"),
-                                                F.col("text").alias("answer"))
-    j = docs.join(fb, "doc_id")
+    j = _fixture_fast(spark, sf)
     return j.select("doc_id", pr.refine_prompt("query", "answer", "feedback",
                                                (F.col("doc_id") % 2) == 1).alias("prompt"))
 
 
+def t4_refine_prompt_evidence(spark, sf):
+    """T4 with an evidence block: the cleaned page of the same number, where there is one."""
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.array(F.struct(
+        "url", truncate_text(html_to_text("html")).alias("content"))).alias("pages"))
+    j = _fixture_fast(spark, sf).join(pages, "doc_id", "left")
+    return j.select("doc_id", pr.refine_prompt("query", "answer", "feedback", F.lit(False), "pages").alias("prompt"))
+
+
 def t5_judge_prompt(spark, sf):
     return _qa(spark, sf).select("conv_id", "turn", pr.judge_prompt("query", "answer").alias("prompt"))
 
@@ -417,8 +454,7 @@ def t7_pair_text(spark, sf):
 
 
 def _records(spark, sf):
-    return tr.training_records(table(spark, sf, "documents"), table(spark, sf, "labels"),
-                               _feedback(spark, sf))
+    return tr.training_records(_feedback(spark, sf, "text"), table(spark, sf, "labels"))
 
 
 def t8_sft_text(spark, sf):
@@ -491,6 +527,18 @@ def s2_read_training(spark, sf):
                        F.size("feedback.hallucinations").cast("bigint").alias("n_hallucinations"))
 
 
+def s2_read_training_array(spark, sf):
+    """S2 of files that hold one JSON array each, told from the files themselves."""
+    path = scratch_path(spark, "training-array")
+    one = _records(spark, sf).groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(16)).alias("file")).agg(
+        F.to_json(F.collect_list(F.struct("query", "answer", "feedback"))).alias("value"))
+    one.repartition(16, "file").select("value").write.text(path)
+    back = io.read_training(spark, path)
+    return back.select("query", F.length("answer").cast("bigint").alias("answer_chars"),
+                       F.col("feedback.score").alias("score"), F.col("feedback.verdict").alias("verdict"),
+                       F.size("feedback.hallucinations").cast("bigint").alias("n_hallucinations"))
+
+
 # ---------------------------------------------------------------- batch inference (test backend)
 TB = TestBackend()
 
@@ -561,9 +609,8 @@ def d2_label_records(spark, sf):
 # ---------------------------------------------------------------- learned critic
 def _fixture_fast(spark, sf):
     """The documents' critic replies stand in for a fast (learned) critic's output."""
-    docs = table(spark, sf, "documents").select("doc_id", tr.first_line("text").alias("query"),
-                                                F.col("text").alias("answer"))
-    return docs.join(_feedback(spark, sf).select("doc_id", "feedback"), "doc_id")
+    return _feedback(spark, sf, "text").select(
+        "doc_id", tr.first_line("text").alias("query"), F.col("text").alias("answer"), "feedback")
 
 
 def _slow(df):
@@ -576,12 +623,6 @@ def f3_route_hybrid(spark, sf):
                       F.col("feedback.verdict").alias("verdict"))
 
 
-def _dmean(c):
-    """Row mean through an exact decimal sum of values rounded to 9 places."""
-    from critica.functions.common import py_round
-    return F.sum(py_round(c, 9).cast("decimal(38,9)")).cast("double") / F.count(F.lit(1))
-
-
 def a6_critic_eval(spark, sf):
     fb = _feedback(spark, sf).select("doc_id", "feedback")
     lab = table(spark, sf, "labels")
@@ -595,14 +636,7 @@ def a6_critic_eval(spark, sf):
                     F.col("feedback.score").alias("pred_score"),
                     (F.when(F.col("quality") == 1, F.lit(8.0)).otherwise(F.lit(3.0))
                      - F.lit(2.0) * F.col("toxic")).alias("label_score"))
-    p_true = F.element_at(F.col("verdict_probs"), (F.col("label_index") + 1).cast("int"))
-    ce = -F.log(F.greatest(p_true, F.lit(1e-7)))
-    se = (F.col("pred_score") - F.col("label_score")) * (F.col("pred_score") - F.col("label_score"))
-    hit = F.when(F.array_position(F.col("verdict_probs"), F.array_max("verdict_probs")) - 1
-                 == F.col("label_index"), 1.0).otherwise(0.0)
-    agg = pred.agg(F.count(F.lit(1)).alias("n"), _dmean(ce).alias("cross_entropy"),
-                   _dmean(se).alias("mse"), F.avg(hit).alias("verdict_accuracy"))
-    return agg.withColumn("loss", F.col("cross_entropy") + F.lit(0.5) * F.col("mse"))
+    return lc.critic_eval(pred)
 
 
 def _mis(spark, sf):
@@ -671,9 +705,9 @@ def st2_score_stream(spark, sf):
 
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for name in ("s1_read_queries", "s3_cap_samples", "s6_qa_pairs", "m1_tokens", "m2_sentences",
+    for name in ("s1_read_queries", "s1_read_queries_file", "s3_cap_samples", "s6_qa_pairs", "m1_tokens", "m2_sentences",
                  "m3_counts", "m4_has_structure", "m5_avg_sentence_length", "m6_lexical_diversity",
-                 "m7_coverage", "m8_composite", "m9_evaluate_answer", "m10_evaluate_pipeline",
+                 "m7_coverage", "m8_composite", "m9_evaluate_answer", "m10_evaluate_pipeline", "m10_iteration_scores",
                  "flagship_composite_by_turn",
                  "c1_strip_fences", "c2_extract_json_object", "c3_parse_feedback", "c4_safe_list",
                  "c5_safe_float", "c6_apply_penalties", "c7_normalize_verdict",
@@ -691,10 +725,10 @@ def queries() -> dict[str, Query]:
                  "t1_html_to_text", "k2_truncate_text", "k1_top_k_per_query",
                  "j3_retrieve_evidence", "x3_retrieval_failure_rate", "x3_retrieval_failure_triggered",
                  "j4_heldout_overlap",
-                 "t2_generation_prompt", "t3_critic_prompt", "t4_refine_prompt", "t5_judge_prompt",
+                 "t2_generation_prompt", "t3_critic_prompt", "t4_refine_prompt", "t4_refine_prompt_evidence", "t5_judge_prompt",
                  "t6_corruption_prompt", "t7_pair_text", "t8_sft_text", "t9_mask_labels",
                  "d1_expand_corruptions", "d3_verdict_index", "d4_split_prefix", "d5_split_hash",
-                 "s2_read_training", "s4_write_training",
+                 "s2_read_training", "s2_read_training_array", "s4_write_training",
                  "i1_complete_batch", "i3_critique_batch", "i4_judge_batch", "i5_refine_batch",
                  "i6_benchmark", "i7_error_rows", "i8_generate_batch", "d2_label_records",
                  "f3_route_hybrid", "a6_critic_eval", "j5_misalignment", "x4_misaligned_rate",

@@ -38,6 +38,8 @@ ISSUE_MARKERS = [("hallucinations", "[!]"), ("factual_errors", "[x]"),
 # (?s) lets '.' match newlines: same as [\s\S] but far cheaper per character in Java regex.
 FENCE = "(?s)```(?:json)?" + WS_CLASS + "*(.*?)```"
 JSON_OBJECT = r"(?s)\{.*\}"
+# What Python's float() takes of a reply's texts: no type suffixes (Java's cast takes "7.5d"), no hex.
+NUMBER = r"(?i)^\s*[+-]?(?:(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)\s*$"
 _INT_TYPES = ("TINYINT", "SMALLINT", "INT", "BIGINT")
 
 
@@ -89,9 +91,11 @@ def safe_list(value, vtype=None) -> Column:
     s = F.try_variant_get(v, "$", "string")
     arr = F.try_variant_get(v, "$", "array<variant>")
     from_list = F.filter(F.transform(arr, _item_text), lambda e: e.isNotNull())
+    texts = F.filter(F.transform(F.try_variant_get(v, "$", "array<string>"), ustrip), lambda e: e != "")
     empty = F.array().cast("array<string>")
     return (F.when(v.isNull(), empty)
             .when(t == "STRING", F.when(is_blank(s), empty).otherwise(F.array(s)))
+            .when(t == "ARRAY<STRING>", texts)  # no item to type one by one
             .when(t.startswith("ARRAY"), from_list)
             .otherwise(empty))
 
@@ -108,7 +112,7 @@ def safe_float(value, lo: float, hi: float, default: float) -> Column:
            .when(t == "BOOLEAN", F.when(s == "true", F.lit(1.0)).otherwise(F.lit(0.0)))
            .when(t.isin(*_INT_TYPES) | t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT"),
                  F.try_variant_get(v, "$", "double"))
-           .when(t == "STRING", F.coalesce(s.try_cast("double"), mid))
+           .when(t == "STRING", F.coalesce(F.when(s.rlike(NUMBER), s.try_cast("double")), mid))
            .otherwise(mid))
     return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), num))
 
@@ -251,7 +255,7 @@ def _num_or_null(v: Column, t: Column) -> Column:
             .when(t == "BOOLEAN", F.when(s == "true", F.lit(1.0)).otherwise(F.lit(0.0)))
             .when(t.isin(*_INT_TYPES) | t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT"),
                   F.try_variant_get(v, "$", "double"))
-            .when(t == "STRING", s.try_cast("double")))
+            .when(t == "STRING", F.when(s.rlike(NUMBER), s.try_cast("double"))))
 
 
 def _truthy(v: Column, t: Column) -> Column:

@@ -275,16 +275,18 @@ def mask_labels(text, max_length: int = 512, ids: Column | None = None,
     t = col(text)
     full = F.slice(ids if ids is not None else hash_token_ids(t, max_length), 1, max_length)
     prompt_text = F.concat(F.substring_index(t, RESPONSE_MARKER, 1), F.lit(RESPONSE_MARKER))
-    p_ids = F.slice(prompt_ids if prompt_ids is not None else hash_token_ids(prompt_text, max_length),
-                    1, max_length)
-    n_prompt = F.size(p_ids)
-    n = F.size(full)
-    labels = F.concat(F.array_repeat(F.lit(-100), n_prompt),
-                      F.slice(F.concat(full, F.array(F.lit(0))), n_prompt + 1, F.greatest(n - n_prompt, F.lit(0))))
-    add_eos = n < F.lit(max_length)
-    eos = F.array(F.lit(EOS_ID))
-    return F.struct(
-        F.when(add_eos, F.concat(full, eos)).otherwise(full).alias("input_ids"),
-        F.when(add_eos, F.array_repeat(F.lit(1), n + 1)).otherwise(F.array_repeat(F.lit(1), n))
-        .alias("attention_mask"),
-        F.when(add_eos, F.concat(labels, eos)).otherwise(labels).alias("labels"))
+    n_prompt = F.least(F.size(prompt_ids if prompt_ids is not None else whitespace_pieces(prompt_text)), F.lit(max_length))
+
+    def masks(x: Column) -> Column:  # x.ids and x.n are lambda variables: computed once, used many times
+        i, n = x.getField("ids"), x.getField("n")
+        size = F.size(i)
+        add_eos = size < F.lit(max_length)
+        eos = F.array(F.lit(EOS_ID))
+        labels = F.transform(i, lambda v, at: F.when(at < n, F.lit(-100)).otherwise(v))
+        return F.struct(
+            F.when(add_eos, F.concat(i, eos)).otherwise(i).alias("input_ids"),
+            F.array_repeat(F.lit(1), size + add_eos.cast("int")).alias("attention_mask"),
+            F.when(add_eos, F.concat(labels, eos)).otherwise(labels)
+            .alias("labels"))
+
+    return F.transform(F.array(F.struct(full.alias("ids"), n_prompt.alias("n"))), masks)[0]

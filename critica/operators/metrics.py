@@ -51,38 +51,43 @@ def evaluate_answer(df: DataFrame, answer: str = "answer", query: str | None = "
 def evaluate_pipeline(iterations: DataFrame, run_queries: DataFrame, run_key: str = "run_id",
                       order_key: str = "iteration", answer: str = "answer",
                       cfg: MetricsConfig = DEFAULT_METRICS) -> DataFrame:
-    """Initial vs final answer metrics per run, their delta and the iteration count.
+    """All initial and final answer metrics per run, the composite's delta, the iteration count and, where
+    ``run_queries`` has it, ``converged``.
 
     ``iterations``: (run_key, order_key, answer) - one row per critiqued answer.
     ``run_queries``: (run_key, query) - one row per run.
 
-    The per-iteration composite scores stay a long table (``evaluate_answer`` of the join below);
+    The per-iteration composite scores stay a long table (``iteration_metrics``);
     the rollup uses ``min_by``/``max_by``, which aggregate partially before the shuffle, so a run
     with very many iterations is never gathered into one array."""
-    scored = evaluate_answer(
-        iterations.select(run_key, order_key, answer).join(run_queries, run_key, "inner"),
-        answer=answer, query="query", cfg=cfg)
-    first = F.min_by(F.col("composite_score"), F.col(order_key))
-    last = F.max_by(F.col("composite_score"), F.col(order_key))
+    scored = iteration_metrics(iterations, run_queries, run_key, order_key, answer, cfg)
+    has_flag = "converged" in run_queries.columns
     agg = scored.groupBy(run_key).agg(
-        first.alias("initial_composite"),
-        last.alias("final_composite"),
-        F.min_by(F.col("word_count"), F.col(order_key)).alias("initial_word_count"),
-        F.max_by(F.col("word_count"), F.col(order_key)).alias("final_word_count"),
+        *[F.min_by(F.col(m), F.col(order_key)).alias(f"initial_{m}") for m in METRIC_COLUMNS],
+        *[F.max_by(F.col(m), F.col(order_key)).alias(f"final_{m}") for m in METRIC_COLUMNS],
         F.count(F.lit(1)).alias("iterations_run"),
-    )
-    return agg.select(
-        run_key, "initial_composite", "final_composite",
-        py_round(F.col("final_composite") - F.col("initial_composite"), 2).alias("score_delta"),
-        "initial_word_count", "final_word_count", "iterations_run")
+        *([F.bool_or("converged").alias("converged")] if has_flag else []))
+    delta = py_round(F.col("final_composite_score") - F.col("initial_composite_score"), 2)
+    return agg.withColumn("score_delta", delta)
+
+
+def iteration_metrics(iterations: DataFrame, run_queries: DataFrame, run_key: str = "run_id", order_key: str = "iteration",
+                      answer: str = "answer", cfg: MetricsConfig = DEFAULT_METRICS) -> DataFrame:
+    """M9 of every iteration of every run: M10's per-iteration composites as a long table."""
+    return evaluate_answer(iterations.select(run_key, order_key, answer).join(run_queries, run_key, "inner"),
+                           answer=answer, query="query", cfg=cfg)
 
 
 def conversation_iterations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Bind M10 to a conversation table: every assistant turn is one iteration of the run
-    ``conv_id``; the run's query is its first user turn (``min_by`` aggregates partially)."""
+    ``conv_id``; the run's query is its first user turn; it has converged if the last word is the assistant's
+    (``min_by`` and ``max_by`` aggregate partially)."""
     its = conversations.filter(F.col("role") == "assistant").select(
         F.col("conv_id").alias("run_id"), F.col("turn").alias("iteration"),
         F.col("text").alias("answer"))
-    qs = conversations.filter(F.col("role") == "user").groupBy(
-        F.col("conv_id").alias("run_id")).agg(F.min_by("text", "turn").alias("query"))
+    is_user = F.col("role") == "user"
+    qs = conversations.groupBy(F.col("conv_id").alias("run_id")).agg(
+        F.min_by(F.when(is_user, F.col("text")), F.when(is_user, F.col("turn"))).alias("query"),
+        (F.max_by("role", "turn") == "assistant").alias("converged"), F.bool_or(is_user).alias("__asked"))
+    qs = qs.filter("__asked").drop("__asked")
     return its, qs

@@ -86,15 +86,12 @@ def first_line(text) -> "F.Column":
     return ustrip(F.substring_index(t, "\n", 1))
 
 
-def training_records(documents: DataFrame, labels: DataFrame, feedback: DataFrame) -> DataFrame:
+def training_records(critiqued: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, quality, toxic, query, answer, feedback) for labelled documents: query = first line,
-    answer = whole text, feedback = the six trained fields of the parsed critic reply."""
-    fb = feedback.select("doc_id", F.struct(
-        F.col("feedback.factual_errors").alias("factual_errors"),
-        F.col("feedback.hallucinations").alias("hallucinations"),
-        F.col("feedback.missing_concepts").alias("missing_concepts"),
-        F.col("feedback.logical_flaws").alias("logical_flaws"),
-        F.col("feedback.score").alias("score"),
-        F.col("feedback.verdict").alias("verdict")).alias("feedback"))
-    docs = documents.select("doc_id", first_line("text").alias("query"), F.col("text").alias("answer"))
-    return docs.join(labels.select("doc_id", "quality", "toxic"), "doc_id").join(fb, "doc_id")
+    answer = whole text, feedback = the six trained fields of the parsed critic reply.
+
+    ``critiqued``: (doc_id, text, feedback) from one pass over the documents; only the labels are joined."""
+    fb = F.struct(*[F.col(f"feedback.{n}").alias(n) for n in (
+        "factual_errors", "hallucinations", "missing_concepts", "logical_flaws", "score", "verdict")])
+    docs = critiqued.select("doc_id", first_line("text").alias("query"), F.col("text").alias("answer"), fb.alias("feedback"))
+    return docs.join(labels.select("doc_id", "quality", "toxic"), "doc_id")

@@ -3,7 +3,8 @@
 Input: one row per critique, keyed (run_id, iteration), with ``score``, ``has_hallucination``,
 ``has_factual_error``, ``verdict`` and ``answer``. Every window uses the same partitioning and
 order (run_id, iteration), so the whole annotation costs one exchange and one sort; frames are
-bounded by ``stagnation_patience`` or aggregate partially, so no run is gathered whole.
+bounded by ``stagnation_patience`` or aggregate partially. A run of any length is annotated in
+blocks of ``BLOCK`` critiques, each with the last rows of the block before it, so no run is one task.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from critica.functions.common import py_round
 
 RUN = "run_id"
 IT = "iteration"
+BLOCK = 100_000
 
 
-def _w():
-    return Window.partitionBy(RUN).orderBy(IT)
+def _w(*more: str):
+    return Window.partitionBy(RUN, *more).orderBy(IT)
 
 
 def quality_met_flat(cfg: LoopConfig = DEFAULT_LOOP) -> Column:
@@ -29,11 +31,11 @@ def quality_met_flat(cfg: LoopConfig = DEFAULT_LOOP) -> Column:
             & F.col("verdict").isin("good", "excellent"))
 
 
-def with_deltas(df: DataFrame, cfg: LoopConfig = DEFAULT_LOOP) -> DataFrame:
+def with_deltas(df: DataFrame, cfg: LoopConfig = DEFAULT_LOOP, within: tuple[str, ...] = ()) -> DataFrame:
     """W1 improvement_delta (0.0 on the first critique, rounded to 3) and ``recorded_delta``
     (NULL on the first critique: the tracker records nothing there); W2 is_stagnated over the last
     ``patience`` recorded deltas; W3 recent_deltas (same bounded frame)."""
-    w = _w()
+    w = _w(*within)
     p = cfg.stagnation_patience
     frame = w.rowsBetween(-(p - 1), 0)
     d = py_round(F.col("score") - F.lag("score").over(w), 3)
@@ -62,9 +64,22 @@ def progress_label() -> Column:
             .otherwise(F.lit("first")))
 
 
-def annotate(df: DataFrame, cfg: LoopConfig = DEFAULT_LOOP) -> DataFrame:
-    """W1-W4 + W7 on every critique row (before truncation)."""
-    out = with_deltas(df, cfg)
+def annotate(df: DataFrame, cfg: LoopConfig = DEFAULT_LOOP, block: int | None = None) -> DataFrame:
+    """W1-W4 + W7 on every critique row (before truncation).
+
+    With ``block``, runs are cut into blocks of so many iterations (numbered 1, 2, 3...); a block's windows also
+    see the ``patience`` + 1 rows before it. Without, a run is one window partition: for cut input."""
+    if block is None:
+        out = with_deltas(df, cfg)
+    else:
+        back = cfg.stagnation_patience + 1
+        if block < back:
+            raise ValueError(f"block: at least {back} rows")
+        own = F.floor((F.col(IT) - 1) / block)
+        near_end = (F.col(IT) - 1) % block >= block - back
+        spread = df.withColumn("__own", own).withColumn(
+            "__block", F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))))
+        out = with_deltas(spread, cfg, ("__block",)).filter("__block = __own").drop("__block", "__own")
     out = out.withColumn("exit_reason", exit_reason_at(cfg))
     return out.withColumn("progress", progress_label())
 
@@ -118,11 +133,10 @@ def run_rollup(traj: DataFrame) -> DataFrame:
 
 
 def active_runs(traj: DataFrame) -> DataFrame:
-    """Runs that have not exited continue to the next iteration - every run left-anti-joined
-    with the runs that have an exit row. Both sides are shuffled on run_id only once."""
-    runs = traj.groupBy(RUN).agg(F.max(IT).alias("iterations_so_far"))
-    exited = traj.filter(F.col("exit_reason").isNotNull()).select(RUN)
-    return runs.join(exited, RUN, "left_anti").withColumn("next_iteration", F.col("iterations_so_far") + 1)
+    """Runs that have not exited continue to the next iteration - one aggregation, which is the
+    anti-join of all runs with the exited ones."""
+    runs = traj.groupBy(RUN).agg(F.max(IT).alias("iterations_so_far"), F.count("exit_reason").alias("__exits"))
+    return runs.filter("__exits = 0").drop("__exits").withColumn("next_iteration", F.col("iterations_so_far") + 1)
 
 
 def non_monotonic_runs(traj: DataFrame) -> DataFrame:

@@ -84,21 +84,32 @@ m_final AS (SELECT {keep},
   FROM m_s3)"""
 
 
+METRICS = ["char_count", "word_count", "sentence_count", "has_structure", "avg_sentence_length", "lexical_diversity",
+           "coverage_score", "composite_score"]
+
 QA_PAIRS = """qa AS (
-  SELECT u.conv_id, u.turn, u.text AS query, a.text AS answer
-  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-  WHERE u.role = 'user' AND a.role = 'assistant')"""
+  SELECT conv_id, turn, text AS query, next_text AS answer FROM (
+    SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations
+    WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+  WHERE role = 'user' AND next_role = 'assistant')"""
 
 
 def metrics_sql() -> dict[str, str]:
     m_qa = METRICS_CTE("qa", "answer", "query", "conv_id, turn")
     m_doc = METRICS_CTE("documents", "text", None, "doc_id")
+    m10 = f"""
+WITH its AS (SELECT conv_id AS run_id, turn AS iteration, text AS answer FROM conversations WHERE role = 'assistant'),
+qs AS (SELECT conv_id AS run_id, arg_min(text, turn) AS query FROM conversations WHERE role = 'user' GROUP BY conv_id),
+src AS (SELECT its.run_id, its.iteration, its.answer, qs.query FROM its JOIN qs ON its.run_id = qs.run_id),
+{METRICS_CTE('src', 'answer', 'query', 'run_id, iteration')}"""
     out = {
         "s1_read_queries": f"""
 WITH lines AS (SELECT doc_id, unnest(p) AS value, generate_subscripts(p, 1) - 1 AS line_no
                FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))
 SELECT doc_id, line_no, {USTRIP('value')} AS query FROM lines
 WHERE regexp_matches(value, {_q(NON_WS_CLASS)})""",
+        "s1_read_queries_file": f"""WITH {QA_PAIRS}, l AS (SELECT {USTRIP('unnest(string_split(query, chr(10)))')} AS query FROM qa)
+SELECT query, count(*) AS n FROM l WHERE query <> '' GROUP BY query""",
         "s3_cap_samples": "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 100",
         "s6_qa_pairs": f"WITH {QA_PAIRS} SELECT conv_id, turn, query, answer FROM qa",
         "m1_tokens": f"""
@@ -116,19 +127,13 @@ FROM (SELECT doc_id, {SENTS('text')} AS s FROM documents)""",
         "m7_coverage": f"WITH {QA_PAIRS}, {m_qa} SELECT conv_id, turn, coverage_score FROM m_final",
         "m8_composite": f"WITH {QA_PAIRS}, {m_qa} SELECT conv_id, turn, composite_score FROM m_final",
         "m9_evaluate_answer": f"WITH {QA_PAIRS}, {m_qa} SELECT * FROM m_final",
-        "m10_evaluate_pipeline": f"""
-WITH its AS (SELECT conv_id AS run_id, turn AS iteration, text AS answer FROM conversations WHERE role = 'assistant'),
-qs AS (SELECT conv_id AS run_id, arg_min(text, turn) AS query FROM conversations WHERE role = 'user' GROUP BY conv_id),
-src AS (SELECT its.run_id, its.iteration, its.answer, qs.query FROM its JOIN qs ON its.run_id = qs.run_id),
-{METRICS_CTE('src', 'answer', 'query', 'run_id, iteration')},
-agg AS (SELECT run_id, arg_min(composite_score, iteration) AS initial_composite,
-               arg_max(composite_score, iteration) AS final_composite,
-               arg_min(word_count, iteration) AS initial_word_count,
-               arg_max(word_count, iteration) AS final_word_count,
-               count(*) AS iterations_run FROM m_final GROUP BY run_id)
-SELECT run_id, initial_composite, final_composite,
-       {RND('final_composite - initial_composite', 2)} AS score_delta,
-       initial_word_count, final_word_count, iterations_run FROM agg""",
+        "m10_iteration_scores": f"""{m10} SELECT run_id, iteration, composite_score FROM m_final""",
+        "m10_evaluate_pipeline": f"""{m10},
+agg AS (SELECT run_id, {", ".join(f"arg_min({m}, iteration) AS initial_{m}, arg_max({m}, iteration) AS final_{m}" for m in METRICS)},
+               count(*) AS iterations_run FROM m_final GROUP BY run_id),
+fin AS (SELECT conv_id AS run_id, arg_max(role, turn) = 'assistant' AS converged FROM conversations GROUP BY conv_id)
+SELECT agg.*, {RND('final_composite_score - initial_composite_score', 2)} AS score_delta, fin.converged
+FROM agg JOIN fin USING (run_id)""",
         "flagship_composite_by_turn": f"""
 WITH {QA_PAIRS}, {m_qa}
 SELECT turn, count(*) AS n_pairs,
@@ -254,7 +259,7 @@ FROM il GROUP BY category""",
 
 
 # ---------------------------------------------------------------- trajectories
-def traj_cte(max_iter: int = 3, p: int = 2, min_delta: float = 0.3, by_day: bool = True) -> str:
+def traj_cte(max_iter: int = 3, p: int = 2, min_delta: float = 0.3, by_day: bool = True, cut: bool = True) -> str:
     """Trajectory fixture + W1-W7 in DuckDB; yields ``ann`` (all rows) and ``traj`` (truncated)."""
     run = "user_id * 100 + day(ts)" if by_day else "user_id"
     return f"""
@@ -263,7 +268,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) A
 it AS (SELECT run_id, iteration, event_id, value, least(value / {D(10.0)}, {D(10.0)}) AS score,
               event_type = 'error' AS has_hallucination, event_type = 'signup' AS has_factual_error,
               'answer ' || CAST(event_id AS VARCHAR) AS answer
-       FROM rk WHERE iteration <= {max_iter}),
+       FROM rk{f" WHERE iteration <= {max_iter}" if cut else ""}),
 it2 AS (SELECT *, {_band('score')} AS verdict,
                {RND('score - lag(score) OVER (PARTITION BY run_id ORDER BY iteration)', 3)} AS recorded_delta
         FROM it),
@@ -297,17 +302,18 @@ rollup AS (SELECT run_id, max(iteration) AS total_iterations,
 def trajectory_sql() -> dict[str, str]:
     t = "WITH " + traj_cte()
     t10 = "WITH " + traj_cte(max_iter=10, by_day=False)
+    every = "WITH " + traj_cte(cut=False)
     roll = """SELECT run_id, CAST(total_iterations AS BIGINT) AS total_iterations, exit_reason,
   exit_reason = 'converged' AS converged, final_answer, final_score, score_history FROM rollup"""
     return {
-        "w1_improvement_delta": f"{t} SELECT run_id, iteration, improvement_delta FROM ann",
-        "w2_is_stagnated": f"{t} SELECT run_id, iteration, is_stagnated FROM ann",
-        "w3_recent_deltas": f"""{t} SELECT run_id, iteration, CAST(len(list_filter(recent_deltas, lambda x: x IS NOT NULL)) AS BIGINT) AS n_recent,
+        "w1_improvement_delta": f"{every} SELECT run_id, iteration, improvement_delta FROM ann",
+        "w2_is_stagnated": f"{every} SELECT run_id, iteration, is_stagnated FROM ann",
+        "w3_recent_deltas": f"""{every} SELECT run_id, iteration, CAST(len(list_filter(recent_deltas, lambda x: x IS NOT NULL)) AS BIGINT) AS n_recent,
   array_to_string(list_transform(list_filter(recent_deltas, lambda x: x IS NOT NULL), lambda x: printf('%.3f', x)), ',') AS recent_deltas FROM ann""",
-        "w4_exit_reason_at": f"{t} SELECT run_id, iteration, exit_reason FROM ann",
+        "w4_exit_reason_at": f"{every} SELECT run_id, iteration, exit_reason FROM ann",
         "w5_truncate_at_exit": f"{t} SELECT run_id, iteration, score, exit_reason FROM traj",
         "w6_strict_mode": f"{t} SELECT run_id, iteration, strict_mode FROM traj",
-        "w7_progress_label": f"{t} SELECT run_id, iteration, progress FROM ann",
+        "w7_progress_label": f"{every} SELECT run_id, iteration, progress FROM ann",
         "a1_run_rollup": f"{t} {roll}",
         "a1_run_rollup_user10": f"{t10} {roll}",
         "a2_total_gain": f"{t} SELECT run_id, {RND('final_score - first_score', 2)} AS total_gain FROM rollup",
@@ -375,7 +381,12 @@ def benchmark_sql() -> dict[str, str]:
         "u1_stack_results": f"""{r} SELECT system_name, query, run_id, iterations_used, latency_s, pipeline_critic_score,
   hallucination_count, factual_accuracy, exit_reason FROM results""",
         "a3_system_summary": f"{r} SELECT {summ_cols} FROM summ",
-        "s5_write_report": f"{r} SELECT {summ_cols} FROM summ",
+        "s5_write_report": f"""{r}, b AS (SELECT metric, value AS base_value FROM lng WHERE system_name = 'A_Baseline')
+SELECT 'results' AS part, system_name, concat_ws(':', CAST(run_id AS VARCHAR), query, exit_reason) AS item, factual_accuracy AS value FROM results
+UNION ALL SELECT 'summaries', system_name, metric, value FROM lng
+UNION ALL SELECT 'improvements', l.system_name, {keys.replace('metric', 'l.metric')},
+  {RND("(CASE WHEN l.hb THEN l.value - b.base_value ELSE b.base_value - l.value END) / greatest(abs(b.base_value), 0.01) * 100.0", 1)}
+FROM lng l JOIN b ON l.metric = b.metric WHERE l.system_name <> 'A_Baseline'""",
         "a4_exit_distribution": f"""{r}, c AS (SELECT system_name, exit_reason, count(*) AS n_runs FROM results GROUP BY 1, 2)
 SELECT system_name, exit_reason, n_runs, n_runs / sum(n_runs) OVER (PARTITION BY system_name) AS share FROM c""",
         "j2_improvement_vs_baseline": f"""{r}, b AS (SELECT metric, value AS base_value FROM lng WHERE system_name = 'A_Baseline')
@@ -507,6 +518,12 @@ recs AS (SELECT d.doc_id, {FIRST_LINE('d.text')} AS query, d.text AS answer, cxb
 src AS (SELECT d.doc_id, {FIRST_LINE('d.text')} AS query, d.text AS answer, cxb.* EXCLUDE (doc_id)
         FROM documents d JOIN cxb ON cxb.doc_id = d.doc_id)
 SELECT doc_id, {refine} AS prompt FROM src""",
+        "t4_refine_prompt_evidence": f"""{cte}, cxb AS (SELECT cx.*, b.h, b.f, b.l, b.m, b.na, b.bad FROM cx JOIN cx_base b USING (doc_id)),
+src AS (SELECT d.doc_id, {FIRST_LINE('d.text')} AS query, d.text AS answer, cxb.* EXCLUDE (doc_id),
+        p.page_id, p.url, {TRUNC(HTML_TEXT('p.html'))} AS content
+        FROM documents d JOIN cxb ON cxb.doc_id = d.doc_id LEFT JOIN pages p ON p.page_id = d.doc_id)
+SELECT doc_id, {_q(pr.REFINE_INTRO)} || {sections} || (CASE WHEN page_id IS NULL THEN '' ELSE
+  {_q(pr.EVIDENCE_HEADER)} || '[Source 1] ' || url || chr(10) || content || {_q(pr.EVIDENCE_FOOTER)} END) AS prompt FROM src""",
         "t6_corruption_prompt": f"""WITH s AS (SELECT doc_id, text, {PHASH('doc_id', '1', '42')} % 4 AS idx FROM documents)
 SELECT doc_id, idx AS template_index, ({tmpl}) || text AS prompt FROM s""",
         "t8_sft_text": f"""{recs} SELECT doc_id, {sft_prompt} AS prompt,
@@ -533,6 +550,8 @@ FROM documents, (SELECT unnest([0, 1]) AS v)""",
 FROM documents""",
         "s4_write_training": f"""{recs} SELECT query, CAST(length(answer) AS BIGINT) AS answer_chars, verdict,
   CAST((CASE WHEN bad THEN 0 ELSE f END) AS BIGINT) AS n_factual_errors FROM recs""",
+        "s2_read_training_array": f"""{recs} SELECT query, CAST(length(answer) AS BIGINT) AS answer_chars, score, verdict,
+  CAST((CASE WHEN bad THEN 0 ELSE h END) AS BIGINT) AS n_hallucinations FROM recs""",
         "s2_read_training": f"""{recs} SELECT query, CAST(length(answer) AS BIGINT) AS answer_chars, score, verdict,
   CAST((CASE WHEN bad THEN 0 ELSE h END) AS BIGINT) AS n_hallucinations FROM recs""",
     }

@@ -12,6 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from critica.config import DEFAULT_LOOP, LoopConfig
+from critica.operators.ordering import number_rows
 from critica.sources.tables import table
 
 # Issue counts per reply, as functions of d = doc_id.
@@ -92,12 +93,12 @@ def critic_replies_sql(src: str = "documents") -> str:
             f"(SELECT doc_id, n_chars, {critic_object_sql()} AS obj FROM {src})")
 
 
-def critic_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, raw_response): one critic reply per document. The object is built in one
+def critic_replies(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """(doc_id, more document columns, raw_response): one critic reply per document. The object is built in one
     projection and wrapped in the next, so the expression is not repeated per branch."""
     docs = table(spark, sf_dir, "documents").selectExpr(
-        "doc_id", "n_chars", f"{critic_object_sql()} AS obj")
-    return docs.selectExpr("doc_id", f"{critic_wrap_sql()} AS raw_response")
+        "doc_id", *more, "n_chars", f"{critic_object_sql()} AS obj")
+    return docs.selectExpr("doc_id", *more, f"{critic_wrap_sql()} AS raw_response")
 
 
 def judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,23 +109,27 @@ def judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- trajectories
 def trajectory_iterations(events: DataFrame, cfg: LoopConfig = DEFAULT_LOOP,
-                          run_divisor: int | None = 100) -> DataFrame:
+                          run_divisor: int | None = 100, cut: bool = True) -> DataFrame:
     """Critique rows of the trajectory fixture: one event = one critique.
 
     run_id = user_id*100 + day(ts) (or user_id when ``run_divisor`` is None); iteration =
     row_number by (ts, event_id); score = least(value/10, 10); hallucination = event 'error';
     factual error = event 'signup'; verdict = score band.
 
-    The loop always exits at ``max_iterations``, so only the first ``max_iterations`` events of a
-    run can matter. ``row_number() <= k`` is planned as a partial WindowGroupLimit *before* the
-    shuffle: a run holding a third of all events is cut to k rows in every map task."""
+    With ``cut``, the rows the loop would have seen: it always exits at ``max_iterations``, so only the first
+    ``max_iterations`` events of a run can matter. ``row_number() <= k`` is planned as a partial WindowGroupLimit *before* the
+    shuffle: a run holding a third of all events is cut to k rows in every map task. Without, every
+    event, numbered without a window over the run."""
     from critica.functions.critic import verdict_from_score
 
     run = (F.col("user_id") * F.lit(run_divisor) + F.dayofmonth("ts")) if run_divisor else F.col("user_id")
     ev = events.select(run.alias("run_id"), "ts", "event_id", "event_type", "value")
-    w = Window.partitionBy("run_id").orderBy("ts", "event_id")
-    ranked = ev.withColumn("iteration", F.row_number().over(w).cast("bigint")).filter(
-        F.col("iteration") <= F.lit(cfg.max_iterations))
+    if cut:
+        w = Window.partitionBy("run_id").orderBy("ts", "event_id")
+        ranked = ev.withColumn("iteration", F.row_number().over(w).cast("bigint")).filter(
+            F.col("iteration") <= F.lit(cfg.max_iterations))
+    else:
+        ranked = number_rows(ev, ["run_id"], ["ts", "event_id"], "iteration")
     score = F.least(F.col("value") / F.lit(10.0), F.lit(10.0))
     return ranked.select(
         "run_id", "iteration", "event_id", "ts",

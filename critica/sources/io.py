@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from critica.functions.common import is_blank, ustrip
+from critica.operators.ordering import number_rows
 
 FEEDBACK_SCHEMA = T.StructType([
     T.StructField("factual_errors", T.ArrayType(T.StringType())),
@@ -57,12 +58,16 @@ def document_lines(documents: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- S2
-def read_training(spark: SparkSession, path: str, json_array: bool = False) -> DataFrame:
+def read_training(spark: SparkSession, path: str, json_array: bool | None = None) -> DataFrame:
     """Training records with a fixed schema (no inference).
 
-    JSON lines are splittable. A single JSON array file must be read with ``multiLine``
+    Whether the files hold one JSON array or JSON lines is told by the first text that is not blank, unless
+    ``json_array`` says so. JSON lines are splittable. A single JSON array file must be read with ``multiLine``
     (one task per file); convert it once to JSON lines with ``write_training``."""
     reader = spark.read.schema(TRAINING_SCHEMA)
+    if json_array is None:
+        head = spark.read.text(path).filter(~is_blank(F.col("value"))).select(F.substring(ustrip(F.col("value")), 1, 1)).first()
+        json_array = head is not None and head[0] == "["
     if json_array:
         reader = reader.option("multiLine", "true")
     return reader.json(path)
@@ -98,16 +103,15 @@ def write_report(results: DataFrame, summaries: DataFrame, improvements: DataFra
 
 # ---------------------------------------------------------------- S6
 def qa_pairs(conversations: DataFrame) -> DataFrame:
-    """Each user turn followed by an assistant turn -> (conv_id, turn, query, answer).
+    """Each user turn whose next row in turn order is an assistant's -> (conv_id, turn, query, answer).
 
-    Written as an equi-join on (conv_id, turn + 1) rather than ``lead`` over the conversation:
-    the join shuffles on both keys, so one very long conversation is spread over many tasks
-    instead of being sorted by one."""
-    c = conversations.select("conv_id", "turn", "role", "text")
+    Turn numbers may have gaps, so rows are numbered first (without a window over the conversation), then
+    joined on (conv_id, number + 1): one very long conversation is spread over many tasks."""
+    c = number_rows(conversations.select("conv_id", "turn", "role", "text"), ["conv_id"], ["turn", "role", "text"], "row")
     u = c.filter(F.col("role") == "user").select(
-        "conv_id", "turn", (F.col("turn") + 1).alias("next_turn"), F.col("text").alias("query"))
+        "conv_id", "turn", (F.col("row") + 1).alias("next_turn"), F.col("text").alias("query"))
     a = c.filter(F.col("role") == "assistant").select(
-        F.col("conv_id").alias("a_conv_id"), F.col("turn").alias("a_turn"),
+        F.col("conv_id").alias("a_conv_id"), F.col("row").alias("a_turn"),
         F.col("text").alias("answer"))
     j = u.join(a, (u.conv_id == a.a_conv_id) & (u.next_turn == a.a_turn), "inner")
     return j.select("conv_id", "turn", "query", "answer")
