@@ -22,7 +22,8 @@ from critica.operators import learned as lc
 from critica.operators import training as tr
 from critica.plans import refine as rf
 from critica.streaming import monitor as sm
-from critica.plans.inference import PandasTestBackend, TestBackend, complete_batch
+from critica.plans import inference as inf
+from critica.plans.inference import StoredBackend, complete_batch
 from critica.operators import evidence as ev
 from critica.operators import metrics as mt
 from critica.operators import trajectory as tj
@@ -401,13 +402,13 @@ def x3_retrieval_failure_rate(spark, sf):
 
 
 def x3_retrieval_failure_triggered(spark, sf):
-    """X3 as F2 then J3: only pairs whose first critique needs grounding (hallucination or
-    factual error; test-backend critic) count; the share of those with zero pages."""
-    qa = _qa(spark, sf)
-    crit = rf.critique_batch(qa, TestBackend(), iteration=F.lit(1)).select(
-        "conv_id", "turn", cr.needs_grounding().alias("triggered"))
-    _, evid = _evidence(spark, sf)
-    return ev.retrieval_failures(evid.join(crit, ["conv_id", "turn"]), F.col("triggered"))
+    """X3 as F2 then J3: only pairs whose first critique needs grounding (hallucination or factual error) are looked
+    up; the share of those with zero pages."""
+    qa, backend = _qa_runs(spark, sf)
+    crit = rf.critique_batch(qa, backend, iteration=F.lit(1), key="key")
+    wanted = rf.stored(crit.filter(cr.needs_grounding() & F.col("critic_error").isNull()).select("conv_id", "turn", "query"), "triggered")
+    _, evid = ev.retrieve_evidence(wanted, ["conv_id", "turn"], table(spark, sf, "pages"), k=2)
+    return ev.retrieval_failures(evid)
 
 
 def j4_heldout_overlap(spark, sf):
@@ -539,71 +540,84 @@ def s2_read_training_array(spark, sf):
                        F.size("feedback.hallucinations").cast("bigint").alias("n_hallucinations"))
 
 
-# ---------------------------------------------------------------- batch inference (test backend)
-TB = TestBackend()
-
-
+# ---------------------------------------------------------------- batch inference over stored completions
 def _qa_runs(spark, sf):
-    return _qa(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("run_id"),
-                                 "conv_id", "turn", "query", "answer")
+    """(question-answer pairs with key and number, a backend that replays their recorded replies)."""
+    qa = rf.stored(_qa(spark, sf).withColumns({"key": F.expr(fx.run_key()), "n": F.expr(fx.RUN_NUMBER)}), "pairs")
+    return qa, StoredBackend(rf.stored(fx.run_completions(spark, sf, qa.select("key", "n", "answer")), "completions"))
 
 
 def i1_complete_batch(spark, sf):
-    """I1 through mapInPandas (the Python-side test backend)."""
-    qa = _qa(spark, sf).withColumn("prompt", pr.critic_prompt("query", "answer"))
-    out = complete_batch(qa, PandasTestBackend(), prompt="prompt", key="query")
-    return out.select("conv_id", "turn", "completion", F.col("error").isNull().alias("ok"))
+    qa, backend = _qa_runs(spark, sf)
+    out = complete_batch(qa.withColumn("prompt", pr.critic_prompt("query", "answer")), backend, inf.CRITIQUE, key="key")
+    return out.select("conv_id", "turn", F.coalesce("completion", F.lit("")).alias("completion"), "latency_s", "error")
 
 
 def i8_generate_batch(spark, sf):
-    out = rf.generate_batch(_qa(spark, sf).select("conv_id", "turn", "query"), TB)
-    return out.select("conv_id", "turn", "prompt_used", "answer")
+    qa, backend = _qa_runs(spark, sf)
+    out = rf.generate_batch(qa.select("conv_id", "turn", "query", "key"), backend, key="key")
+    return out.select("conv_id", "turn", "prompt_used", "answer", "error")
 
 
 def i3_critique_batch(spark, sf):
-    out = rf.critique_batch(_qa(spark, sf), TB, iteration=F.lit(1))
-    return out.select("conv_id", "turn", "feedback.score", "feedback.verdict",
+    qa, backend = _qa_runs(spark, sf)
+    out = rf.critique_batch(qa, backend, iteration=F.lit(1), key="key")
+    return out.select("conv_id", "turn", "feedback.score", "feedback.verdict", "critic_error",
                       cr.total_issue_count().cast("bigint").alias("total_issue_count"))
 
 
 def i4_judge_batch(spark, sf):
-    qa = _qa(spark, sf).withColumnRenamed("answer", "final_answer")
-    return rf.judge_batch(qa, TB).select("conv_id", "turn", "factual_accuracy", "hallucinations_detected")
+    qa, backend = _qa_runs(spark, sf)
+    return rf.judge_batch(qa.withColumnRenamed("answer", "final_answer"), backend, key="key").select(
+        "conv_id", "turn", "factual_accuracy", "hallucinations_detected")
 
 
 def i5_refine_batch(spark, sf):
-    runs, _ = rf.refine_batch(spark, _qa_runs(spark, sf).select("run_id", "query"), TB)
+    """Runs that converge, stagnate, run out and fail in generation, critique and refinement."""
+    qa, backend = _qa_runs(spark, sf)
+    runs, _ = rf.refine_batch(spark, qa.select(F.col("key").alias("run_id"), "query"), backend)
     return runs.select("run_id", F.col("total_iterations").cast("bigint").alias("total_iterations"),
-                       "exit_reason", "converged", "final_score",
+                       "exit_reason", "converged", "final_score", "final_answer", "latency_s",
                        _hist_text("score_history").alias("score_history"))
 
 
+def _benchmark(spark, sf, model=None):
+    qa = rf.stored(_qa(spark, sf).withColumns({"query_id": F.expr(fx.run_key()), "n": F.expr(fx.RUN_NUMBER)}), "pairs")
+    systems = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(i).alias("i")) for i, s in enumerate(bm.SYSTEMS)]))
+    runs = qa.withColumn("x", systems).select(F.concat_ws(":", "x.s", "query_id").alias("key"),
+                                              (F.col("n") + F.col("x.i") * 5).alias("n"), "answer")
+    backend = StoredBackend(rf.stored(fx.run_completions(spark, sf, runs), "completions"))
+    _, evid = ev.retrieve_evidence(qa.select("query_id", "query"), ["query_id"], table(spark, sf, "pages"), k=2)
+    return rf.stored(rf.benchmark(spark, qa.select("query_id", "query"), backend, evidence=evid, model=model), "benchmark")
+
+
 def i6_benchmark(spark, sf):
-    """I6 with the test backend; D gets J3 evidence. Latency (wall clock) is left out."""
-    qa = _qa_runs(spark, sf).select(F.col("run_id").alias("query_id"), "conv_id", "turn", "query")
-    _, evid = ev.retrieve_evidence(qa, ["query_id"], table(spark, sf, "pages"), k=2)
-    res = rf.benchmark(spark, qa.select("query_id", "query"), TB, evidence=evid)
-    return bm.system_summary(res).drop("avg_latency_s")
+    """Every pair under every system, replayed; D gets J3 evidence. Failed runs are rows too."""
+    return _benchmark(spark, sf).select(
+        "system_name", "run_id", "final_answer", "iterations_used", "latency_s", "pipeline_critic_score",
+        "hallucination_count", "factual_accuracy", "exit_reason", "judge_hallucination")
+
+
+def i6_benchmark_learned(spark, sf):
+    """I6 with system C on the learned critic."""
+    return bm.exit_distribution(_benchmark(spark, sf, _trained(spark, sf)))
 
 
 def i7_error_rows(spark, sf):
-    gen = rf.generate_batch(_qa(spark, sf).select("conv_id", "turn", "query"),
-                            PandasTestBackend(fail_modulo=7))
-    failed = gen.filter(F.col("error").isNotNull()).withColumn("system_name", F.lit(bm.BASELINE))
-    rows = bm.error_results(failed)
-    keys = failed.select("conv_id", "turn", "query")
-    return rows.join(keys, "query").select("conv_id", "turn", "final_answer", "exit_reason",
-                                           "factual_accuracy", "iterations_used")
+    """Runs that fail in generation, critique or refinement count in A3 next to those that succeed."""
+    return bm.system_summary(_benchmark(spark, sf))
 
 
 def d2_label_records(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"),
                                              tr.first_line("text").alias("query"),
                                              F.col("text").alias("answer"))
-    lab = rf.label_records(tr.expand_corruptions(d, n=1), TB)
+    backend = StoredBackend(rf.stored(fx.document_completions(spark, sf), "completions"))
+    lab = rf.label_records(tr.expand_corruptions(d, n=1), backend, key="query_id")
     return lab.select(F.col("query_id").alias("doc_id"), F.col("variant").cast("bigint").alias("variant"),
+                      F.coalesce(F.length("labelled_answer"), F.lit(0)).cast("bigint").alias("answer_chars"), "error",
                       "label.score", "label.verdict",
-                      F.size("label.hallucinations").cast("bigint").alias("n_hallucinations"))
+                      F.when(F.col("label").isNotNull(), F.size("label.hallucinations")).cast("bigint").alias("n_hallucinations"))
 
 
 # ---------------------------------------------------------------- learned critic
@@ -613,12 +627,14 @@ def _fixture_fast(spark, sf):
         "doc_id", tr.first_line("text").alias("query"), F.col("text").alias("answer"), "feedback")
 
 
-def _slow(df):
-    return rf.critique_batch(df, TB, iteration=F.lit(1)).select(*df.columns, "feedback")
+def _slow(spark, sf):
+    """A second recorded critic: for each document, the reply stored for its first turn."""
+    backend = StoredBackend(rf.stored(fx.document_completions(spark, sf), "completions"))
+    return lambda df: rf.critique_batch(df, backend, iteration=F.lit(1), key="doc_id").select(*df.columns, "feedback")
 
 
 def f3_route_hybrid(spark, sf):
-    out = lc.route_hybrid(_fixture_fast(spark, sf), _slow)
+    out = lc.route_hybrid(rf.stored(_fixture_fast(spark, sf), "fast"), _slow(spark, sf))
     return out.select("doc_id", "route", F.col("feedback.score").alias("score"),
                       F.col("feedback.verdict").alias("verdict"))
 
@@ -640,8 +656,8 @@ def a6_critic_eval(spark, sf):
 
 
 def _mis(spark, sf):
-    fast = _fixture_fast(spark, sf)
-    slow = _slow(fast.drop("feedback"))
+    fast = rf.stored(_fixture_fast(spark, sf), "fast")
+    slow = _slow(spark, sf)(fast.drop("feedback"))
     return lc.misalignment(fast, slow, ["doc_id"])
 
 
@@ -653,26 +669,51 @@ def x4_misaligned_rate(spark, sf):
     return lc.misaligned_rate(_mis(spark, sf))
 
 
+def _labelled(spark, sf):
+    """Training records with labels that depend on the text: verdict and score from ``labels`` (quality, toxic)."""
+    r = table(spark, sf, "documents").select("doc_id", tr.first_line("text").alias("query"), F.col("text").alias("answer"))
+    r = r.join(table(spark, sf, "labels").select("doc_id", "quality", "toxic"), "doc_id")
+    clean = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    return tr.split_hash(r, by="answer").withColumn("feedback", F.struct(
+        F.when(clean, F.lit(8.0)).when(F.col("quality") == 1, F.lit(5.0)).otherwise(F.lit(2.0)).alias("score"),
+        F.when(clean, F.lit("good")).when(F.col("quality") == 1, F.lit("acceptable")).otherwise(F.lit("poor")).alias("verdict")))
+
+
 def _trained(spark, sf):
-    return lc.train_learned_critic(_records(spark, sf), num_features=1 << 16, max_iter=20)
+    return lc.train_learned_critic(_labelled(spark, sf).filter("split = 'train'"), num_features=1 << 14, max_iter=20)
 
 
 def d6_train_learned_critic(spark, sf):
-    """D6 + A6 on the training records: rows-only check (a fitted model has no SQL twin)."""
-    model = _trained(spark, sf)
-    recs = _records(spark, sf)
-    scored = lc.score_learned_critic(model, recs.select("doc_id", "query", "answer", F.col("feedback").alias("truth")))
-    pred = scored.select("verdict_probs", cr.verdict_rank("truth.verdict").alias("label_index"),
-                         F.col("feedback.score").alias("pred_score"), F.col("truth.score").alias("label_score"))
-    return lc.critic_eval(pred)
+    """D6 on 0.9 of the labelled documents, A6 on the rest: what SQL can state of it is that the held-out loss is
+    below the loss of always giving the training rows' shares of verdicts."""
+    rows = rf.stored(_labelled(spark, sf), "labelled")
+    model = lc.train_learned_critic(rows.filter("split = 'train'"), num_features=1 << 14, max_iter=20)
+    scored = lc.score_learned_critic(model, rows.filter("split = 'val'").withColumnRenamed("feedback", "truth"))
+    out = lc.critic_eval(scored.select("verdict_probs", cr.verdict_rank("truth.verdict").alias("label_index"),
+                                       F.col("feedback.score").alias("pred_score"), F.col("truth.score").alias("label_score")))
+    shares = rows.filter("split = 'train'").groupBy(F.col("feedback.verdict").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    total = shares.agg(F.sum("c").alias("t")).first()["t"]  # at most four verdicts
+    cost = rows.filter("split = 'val'").select(F.col("feedback.verdict").alias("v")).join(F.broadcast(shares), "v", "left").agg(
+        F.avg(-F.log(F.coalesce("c", F.lit(1)) / F.lit(total))).alias("plain")).first()["plain"]
+    return out.select("n", (F.col("cross_entropy") < F.lit(cost)).alias("beats_shares"))
 
 
 def d7_score_learned_critic(spark, sf):
-    model = _trained(spark, sf)
-    docs = table(spark, sf, "documents").select("doc_id", tr.first_line("text").alias("query"),
-                                                F.col("text").alias("answer"))
-    out = lc.score_learned_critic(model, docs)
-    return out.select("doc_id", "feedback.verdict", "feedback.confidence", "feedback.score")
+    """Every document scored: verdict domain and bounds, empty lists."""
+    docs = table(spark, sf, "documents").select("doc_id", tr.first_line("text").alias("query"), F.col("text").alias("answer"))
+    out = lc.score_learned_critic(_trained(spark, sf), docs)
+    fb = lambda n: F.col(f"feedback.{n}")
+    return out.select("doc_id", fb("verdict").isin(*cr.VERDICTS).alias("known_verdict"), fb("confidence").between(0.25, 1.0).alias("confident"),
+                      fb("score").between(0.0, 10.0).alias("in_range"),
+                      F.size(F.concat(*[fb(n) for n in cr.LIST_FIELDS])).cast("bigint").alias("n_issues"))
+
+
+def f3_route_learned(spark, sf):
+    """F3 on D7 output: rows the learned critic scores below the threshold carry the recorded critic's feedback."""
+    docs = table(spark, sf, "documents").select("doc_id", tr.first_line("text").alias("query"), F.col("text").alias("answer"))
+    fast = rf.stored(lc.score_learned_critic(_trained(spark, sf), docs).drop("verdict_probs"), "fast")
+    out = lc.route_hybrid(fast, _slow(spark, sf))
+    return out.select("doc_id", "route", F.col("feedback.score").alias("score"))
 
 
 # ---------------------------------------------------------------- streaming
@@ -730,8 +771,8 @@ def queries() -> dict[str, Query]:
                  "d1_expand_corruptions", "d3_verdict_index", "d4_split_prefix", "d5_split_hash",
                  "s2_read_training", "s2_read_training_array", "s4_write_training",
                  "i1_complete_batch", "i3_critique_batch", "i4_judge_batch", "i5_refine_batch",
-                 "i6_benchmark", "i7_error_rows", "i8_generate_batch", "d2_label_records",
-                 "f3_route_hybrid", "a6_critic_eval", "j5_misalignment", "x4_misaligned_rate",
+                 "i6_benchmark", "i6_benchmark_learned", "i7_error_rows", "i8_generate_batch", "d2_label_records",
+                 "f3_route_hybrid", "f3_route_learned", "a6_critic_eval", "j5_misalignment", "x4_misaligned_rate",
                  "d6_train_learned_critic", "d7_score_learned_critic",
                  "st1_stagnation_monitor", "st2_score_stream"):
         out[name] = globals()[name]

@@ -445,10 +445,11 @@ FROM sc JOIN sizes USING (item_id) WHERE shared / n_item_keywords >= 0.8"""
         "x3_retrieval_failure_rate": f"""{base} SELECT count(*) AS n_triggered,
   CAST(sum(CASE WHEN n_pages = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_failures,
   avg(CASE WHEN n_pages = 0 THEN 1.0 ELSE 0.0 END) AS failure_rate FROM evid""",
-        "x3_retrieval_failure_triggered": f"""{base} SELECT count(*) AS n_triggered,
-  CAST(sum(CASE WHEN e.n_pages = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_failures,
-  avg(CASE WHEN e.n_pages = 0 THEN 1.0 ELSE 0.0 END) AS failure_rate
-FROM evid e JOIN qa ON qa.conv_id = e.conv_id AND qa.turn = e.turn WHERE length(qa.query) % 2 = 0""",
+        "x3_retrieval_failure_triggered": f"""{base}, {critic_expected_cte()},
+w AS (SELECT conv_id, turn, conv_id * 31 + turn AS n FROM qa),
+g AS (SELECT w.* FROM w JOIN cx ON cx.doc_id = (n + 17) % {N_DOCS} WHERE (n + 1) % 17 <> 3 AND (n_hallucinations > 0 OR n_factual_errors > 0))
+SELECT count(*) AS n_triggered, CAST(sum(CASE WHEN e.n_pages = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_failures,
+  avg(CASE WHEN e.n_pages = 0 THEN 1.0 ELSE 0.0 END) AS failure_rate FROM evid e JOIN g ON g.conv_id = e.conv_id AND g.turn = e.turn""",
         "j4_heldout_overlap": j4,
     }
 
@@ -557,86 +558,127 @@ FROM documents""",
     }
 
 
-# ---------------------------------------------------------------- batch inference (test backend)
-def TB_SQL(prompt: str, iteration: str, key: str) -> str:
-    import json
-    from critica.plans import inference as inf
-    good = f"(({iteration}) + length({key})) % 2 = 0"
-    low = f"lower({prompt})"
-    critic = " OR ".join(f"contains({low}, {_q(m)})" for m in inf.CRITIC_MARKERS)
-    return (f"(CASE WHEN contains({low}, {_q(inf.JUDGE_MARKER)}) THEN (CASE WHEN {good} THEN "
-            f"{_q(json.dumps(inf.TB_JUDGE_GOOD, indent=2))} ELSE {_q(json.dumps(inf.TB_JUDGE_POOR, indent=2))} END) "
-            f"WHEN {critic} THEN (CASE WHEN {good} THEN {_q(json.dumps(inf.TB_CRITIC_GOOD, indent=2))} "
-            f"ELSE {_q(json.dumps(inf.TB_CRITIC_POOR, indent=2))} END) "
-            f"WHEN contains({low}, 'refine') OR contains({low}, 'improve') THEN {_q(inf.TB_REFINED)} "
-            f"ELSE {_q(inf.TB_GENERATION)} END)")
+# ---------------------------------------------------------------- batch inference over stored completions
+N_DOCS = "(SELECT count(*) FROM documents)"
+KEY = "CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)"
+
+
+def loop_cte(runs: str) -> str:
+    """The loop over ``runs`` (key, n, query, answer), restated: yields ``done``, one row per run."""
+    return f"""{critic_expected_cte()},
+runs AS ({runs}),
+its AS (SELECT key, n, answer, i, (n + 17 * i) % {N_DOCS} AS d, (n + i) % 17 = 3 AS cfail, (n + i) % 19 = 4 AS rfail
+        FROM runs, (SELECT unnest([1, 2, 3]) AS i)),
+sc AS (SELECT its.*, cx.score, cx.verdict, cx.n_hallucinations AS h, cx.n_factual_errors AS f FROM its JOIN cx ON cx.doc_id = d),
+dl AS (SELECT *, {RND('score - lag(score) OVER (PARTITION BY key ORDER BY i)', 3)} AS delta FROM sc),
+ex AS (SELECT *, CASE WHEN cfail THEN 'error'
+         WHEN h = 0 AND f = 0 AND score >= 7.0 AND verdict IN ('good', 'excellent') THEN 'converged'
+         WHEN count(delta) OVER w >= 2 AND max(delta) OVER w < 0.3 THEN 'stagnated'
+         WHEN i = 3 THEN 'exhausted' END AS exit_at
+       FROM dl WINDOW w AS (PARTITION BY key ORDER BY i ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)),
+le AS (SELECT *, min(CASE WHEN exit_at IS NOT NULL THEN i END) OVER (PARTITION BY key) AS last FROM ex),
+sm AS (SELECT key, any_value(last) AS last, bool_or(rfail AND i < last) AS rbad, max(CASE WHEN i = last THEN exit_at END) AS exit_at,
+         max(CASE WHEN i = last THEN score END) AS score, max(CASE WHEN i = last THEN h END) AS h,
+         array_to_string(list_transform(list(score ORDER BY i) FILTER (WHERE i <= last), lambda x: printf('%.3f', x)), ',') AS history,
+         sum(CASE WHEN i <= last THEN i ELSE 0 END) + sum(CASE WHEN i < last THEN i * 2 ELSE 0 END) AS spent
+       FROM le GROUP BY key),
+er AS (SELECT sm.*, runs.n, runs.query, runs.answer,
+         CASE WHEN n % 13 = 5 THEN 'RuntimeError: generator unavailable' WHEN rbad THEN 'RuntimeError: refiner unavailable'
+              WHEN exit_at = 'error' THEN 'RuntimeError: critic unavailable' END AS error FROM sm JOIN runs USING (key)),
+done AS (SELECT key, n, CAST(CASE WHEN error IS NULL THEN last ELSE 0 END AS BIGINT) AS total_iterations,
+           CASE WHEN error IS NULL THEN exit_at ELSE 'error' END AS exit_reason, error IS NULL AND exit_at = 'converged' AS converged,
+           CASE WHEN error IS NULL THEN score ELSE {D(0.0)} END AS final_score,
+           CASE WHEN error IS NOT NULL THEN '[ERROR: ' || error || ']' WHEN last = 1 THEN answer
+                ELSE answer || ' (revision ' || (last - 1) || ')' END AS final_answer,
+           CASE WHEN error IS NULL THEN {D('n % 7 + spent')} ELSE {D(0.0)} END AS latency_s,
+           CASE WHEN error IS NULL THEN history ELSE '' END AS score_history,
+           CAST(CASE WHEN error IS NULL THEN h ELSE 0 END AS BIGINT) AS hallucination_count FROM er)"""
+
+
+def judge_cte(src: str) -> str:
+    """``jd``: key, factual accuracy and flag of the judgement recorded for each run of ``src`` (key, n)."""
+    return f"""jd AS (SELECT key, CASE WHEN bad THEN {D(5.0)} ELSE least((n_chars % 121) / {D(10.0)}, {D(10.0)}) END AS factual_accuracy,
+    NOT bad AND dj % 4 IN (0, 2) AS hallucinations_detected
+  FROM (SELECT key, (n * 3) % {N_DOCS} AS dj FROM {src}) x
+  JOIN (SELECT doc_id, n_chars, doc_id % 3 = 2 OR doc_id % 7 = 5 AS bad FROM documents) y ON y.doc_id = dj)"""
 
 
 def inference_sql() -> dict[str, str]:
-    from critica.functions import prompts as pr
-    from critica.functions.critic import FALLBACK_ACTION  # noqa: F401
-    critic = (f"{_q(pr.CRITIC_RULES + chr(10) * 2 + pr.CRITIC_SCORING_GUIDE + chr(10) * 2 + 'QUERY TO ANSWER:' + chr(10))} "
-              f"|| query || {_q(chr(10) * 2 + 'ANSWER UNDER REVIEW:' + chr(10))} || answer || {_q(chr(10) * 2 + pr.CRITIC_SCHEMA)}")
-    odd = "length(query) % 2 = 1"
-    summ = f"""WITH {QA_PAIRS}, s AS (
-  SELECT 'A_Baseline' AS system_name, CASE WHEN {odd} THEN CAST(8.0 AS DOUBLE) ELSE CAST(5.5 AS DOUBLE) END AS fa,
-         CASE WHEN {odd} THEN 0 ELSE 1 END AS hc, CASE WHEN {odd} THEN CAST(8.0 AS DOUBLE) ELSE CAST(5.5 AS DOUBLE) END AS cs,
-         0 AS it, 0.0 AS conv FROM qa
+    from critica.sources.fixtures import critic_replies_sql
+    pairs = f"SELECT {KEY} AS key, conv_id * 31 + turn AS n, conv_id, turn, query, answer FROM qa"
+    systems = ["A_Baseline", "B_LLM_Critic", "C_Learned_Critic", "D_Browser_Augmented"]
+    under = " UNION ALL ".join(f"SELECT '{s}:' || {KEY} AS key, '{s}' AS system_name, conv_id * 31 + turn + {5 * i} AS n, query, answer FROM qa"
+                               for i, s in enumerate(systems))
+    bench = f"""WITH {QA_PAIRS}, {loop_cte(under)}, {judge_cte('runs')},
+results AS (
+  SELECT r.system_name, r.key AS run_id, CASE WHEN r.n % 13 = 5 THEN '' ELSE r.answer END AS final_answer, CAST(0 AS BIGINT) AS iterations_used,
+    {D('r.n % 7')} AS latency_s, jd.factual_accuracy AS pipeline_critic_score,
+    CAST(CASE WHEN jd.hallucinations_detected THEN 1 ELSE 0 END AS BIGINT) AS hallucination_count, jd.factual_accuracy,
+    'baseline' AS exit_reason, jd.hallucinations_detected AS judge_hallucination
+  FROM runs r JOIN jd USING (key) WHERE r.system_name = 'A_Baseline'
   UNION ALL
-  SELECT sys, CASE WHEN {odd} THEN CAST(8.0 AS DOUBLE) ELSE CAST(5.5 AS DOUBLE) END, 0, 7.7, CASE WHEN {odd} THEN 1 ELSE 2 END, 1.0
-  FROM qa, (SELECT unnest(['B_LLM_Critic', 'C_Learned_Critic', 'D_Browser_Augmented']) AS sys))
-SELECT system_name, count(*) AS query_count,
-  {RND('CAST(sum(CAST(fa AS DECIMAL(28,6))) AS DOUBLE) / count(*)', 3)} AS avg_factual_accuracy,
-  {RND('avg(CASE WHEN hc > 0 THEN 1.0 ELSE CAST(0.0 AS DOUBLE) END)', 3)} AS hallucination_rate,
-  {RND('CAST(sum(CAST(cs AS DECIMAL(28,6))) AS DOUBLE) / count(*)', 3)} AS avg_critic_score,
-  {RND('CAST(sum(CAST(it AS DECIMAL(28,6))) AS DOUBLE) / count(*)', 2)} AS avg_iterations,
-  {RND('avg(conv)', 3)} AS convergence_rate FROM s GROUP BY system_name"""
+  SELECT r.system_name, r.key, d.final_answer, d.total_iterations, d.latency_s, d.final_score, d.hallucination_count,
+    CASE WHEN d.exit_reason = 'error' THEN {D(0.0)} ELSE jd.factual_accuracy END, d.exit_reason,
+    d.exit_reason <> 'error' AND jd.hallucinations_detected
+  FROM runs r JOIN done d USING (key) JOIN jd USING (key) WHERE r.system_name <> 'A_Baseline')"""
+    one = f"""WITH {QA_PAIRS}, {critic_expected_cte()}, p AS ({pairs}),
+k AS (SELECT p.*, (n + 1) % 17 = 3 AS fail, (n + 17) % {N_DOCS} AS d FROM p)"""
+    c_err = "CASE WHEN fail THEN 'RuntimeError: critic unavailable' END"
     return {
-        "i1_complete_batch": f"""WITH {QA_PAIRS}, p AS (SELECT conv_id, turn, query, {critic} AS prompt FROM qa)
-SELECT conv_id, turn, {TB_SQL('prompt', '1', 'query')} AS completion, true AS ok FROM p""",
-        "i8_generate_batch": f"""WITH {QA_PAIRS}, p AS (SELECT conv_id, turn, query,
-  'Question: ' || query || chr(10) || chr(10) || 'Answer:' AS prompt_used FROM qa)
-SELECT conv_id, turn, prompt_used, {TB_SQL('prompt_used', '1', 'query')} AS answer FROM p""",
-        "i3_critique_batch": f"""WITH {QA_PAIRS} SELECT conv_id, turn,
-  CASE WHEN {odd} THEN CAST(7.7 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS score, CASE WHEN {odd} THEN 'good' ELSE 'poor' END AS verdict,
-  CAST(CASE WHEN {odd} THEN 1 ELSE 5 END AS BIGINT) AS total_issue_count FROM qa""",
-        "i4_judge_batch": f"""WITH {QA_PAIRS} SELECT conv_id, turn, CASE WHEN {odd} THEN CAST(8.0 AS DOUBLE) ELSE CAST(5.5 AS DOUBLE) END AS factual_accuracy,
-  NOT ({odd}) AS hallucinations_detected FROM qa""",
-        "i5_refine_batch": f"""WITH {QA_PAIRS} SELECT conv_id * 1000 + turn AS run_id,
-  CAST(CASE WHEN {odd} THEN 1 ELSE 2 END AS BIGINT) AS total_iterations, 'converged' AS exit_reason,
-  true AS converged, CAST(7.7 AS DOUBLE) AS final_score,
-  CASE WHEN {odd} THEN '7.700' ELSE '0.000,7.700' END AS score_history FROM qa""",
-        "i6_benchmark": summ,
-        "i7_error_rows": f"""WITH {QA_PAIRS} SELECT conv_id, turn,
-  '[ERROR: RuntimeError: backend unavailable]' AS final_answer, 'error' AS exit_reason,
-  CAST(0.0 AS DOUBLE) AS factual_accuracy, CAST(0 AS BIGINT) AS iterations_used FROM qa WHERE length(query) % 7 = 0""",
-        "d2_label_records": f"""WITH d AS (SELECT doc_id, {FIRST_LINE('text')} AS query FROM documents)
-SELECT doc_id, CAST(v AS BIGINT) AS variant, CASE WHEN {odd} THEN CAST(7.7 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS score,
-  CASE WHEN {odd} THEN 'good' ELSE 'poor' END AS verdict,
-  CAST(CASE WHEN {odd} THEN 0 ELSE 1 END AS BIGINT) AS n_hallucinations
-FROM d, (SELECT unnest([0, 1]) AS v)""",
+        "i1_complete_batch": f"""WITH {QA_PAIRS}, r AS ({critic_replies_sql()}), p AS ({pairs}),
+k AS (SELECT p.*, (n + 1) % 17 = 3 AS fail, (n + 17) % {N_DOCS} AS d FROM p)
+SELECT conv_id, turn, CASE WHEN fail THEN '' ELSE r.raw_response END AS completion, {D(1.0)} AS latency_s, {c_err} AS error
+FROM k JOIN r ON r.doc_id = k.d""",
+        "i8_generate_batch": f"""WITH {QA_PAIRS}, p AS ({pairs}) SELECT conv_id, turn,
+  'Question: ' || query || chr(10) || chr(10) || 'Answer:' AS prompt_used, CASE WHEN n % 13 = 5 THEN NULL ELSE answer END AS answer,
+  CASE WHEN n % 13 = 5 THEN 'RuntimeError: generator unavailable' END AS error FROM p""",
+        "i3_critique_batch": f"""{one} SELECT conv_id, turn, CASE WHEN fail THEN {D(3.0)} ELSE score END AS score,
+  CASE WHEN fail THEN 'poor' ELSE verdict END AS verdict, {c_err} AS critic_error, CAST(CASE WHEN fail THEN 0 ELSE
+  n_factual_errors + n_hallucinations + n_logical_flaws + n_missing_concepts END AS BIGINT) AS total_issue_count
+FROM k JOIN cx ON cx.doc_id = d""",
+        "i4_judge_batch": f"""WITH {QA_PAIRS}, p AS ({pairs}), {judge_cte('p')}
+SELECT conv_id, turn, factual_accuracy, hallucinations_detected FROM p JOIN jd USING (key)""",
+        "i5_refine_batch": f"""WITH {QA_PAIRS}, {loop_cte(pairs)}
+SELECT key AS run_id, total_iterations, exit_reason, converged, final_score, final_answer, latency_s, score_history FROM done""",
+        "i6_benchmark": f"{bench} SELECT * FROM results",
+        "i7_error_rows": f"""{bench} SELECT system_name, count(*) AS query_count,
+  {RND('CAST(sum(CAST(factual_accuracy AS DECIMAL(28,6))) AS DOUBLE) / count(*)', 3)} AS avg_factual_accuracy,
+  {RND('avg(CASE WHEN hallucination_count > 0 THEN 1.0 ELSE CAST(0.0 AS DOUBLE) END)', 3)} AS hallucination_rate,
+  {RND('CAST(sum(CAST(pipeline_critic_score AS DECIMAL(28,6))) AS DOUBLE) / count(*)', 3)} AS avg_critic_score,
+  {RND('CAST(sum(CAST(iterations_used AS DECIMAL(28,6))) AS DOUBLE) / count(*)', 2)} AS avg_iterations,
+  {RND('CAST(sum(CAST(latency_s AS DECIMAL(28,6))) AS DOUBLE) / count(*)', 3)} AS avg_latency_s,
+  {RND("avg(CASE WHEN exit_reason = 'converged' THEN 1.0 ELSE CAST(0.0 AS DOUBLE) END)", 3)} AS convergence_rate
+FROM results GROUP BY system_name""",
+        "d2_label_records": f"""WITH {critic_expected_cte()}, v AS (SELECT doc_id, unnest([0, 1]) AS variant FROM documents),
+k AS (SELECT v.*, variant = 1 AND doc_id % 23 = 7 AS fail, (doc_id + 17 * (variant + 1)) % {N_DOCS} AS d,
+        (doc_id + variant) % {N_DOCS} AS t FROM v)
+SELECT k.doc_id, CAST(variant AS BIGINT) AS variant, CAST(CASE WHEN fail THEN 0 ELSE length(x.text) END AS BIGINT) AS answer_chars,
+  CASE WHEN fail THEN 'RuntimeError: corrupter unavailable' END AS error, CASE WHEN NOT fail THEN cx.score END AS score,
+  CASE WHEN NOT fail THEN cx.verdict END AS verdict, CAST(CASE WHEN NOT fail THEN cx.n_hallucinations END AS BIGINT) AS n_hallucinations
+FROM k JOIN cx ON cx.doc_id = d JOIN documents x ON x.doc_id = t""",
     }
 
 
-# ---------------------------------------------------------------- learned critic (fixture as fast critic)
+# ---------------------------------------------------------------- learned critic
 def learned_sql() -> dict[str, str]:
     cte = "WITH " + critic_expected_cte()
-    odd = f"length({FIRST_LINE('d.text')}) % 2 = 1"
-    base = f"""{cte}, j AS (SELECT cx.*, {odd} AS slow_good FROM cx JOIN documents d USING (doc_id))"""
+    base = f"""{cte}, j AS (SELECT cx.*, s.score AS slow_score, s.verdict AS slow_verdict
+  FROM cx JOIN cx s ON s.doc_id = (cx.doc_id + 17) % {N_DOCS})"""
     dmean = lambda x: f"CAST(sum(CAST({RND(x, 9)} AS DECIMAL(38,9))) AS DOUBLE) / count(*)"
     p_true = ("(CASE WHEN " + _rank('verdict') + " = label_index THEN confidence ELSE (1.0 - confidence) / 3.0 END)")
     argmax = ("(CASE WHEN confidence >= (1.0 - confidence) / 3.0 THEN " + _rank('verdict')
               + " WHEN " + _rank('verdict') + " = 0 THEN 1 ELSE 0 END)")
+    mis = "(verdict IN ('good', 'excellent') AND slow_score < 4.0)"
     return {
         "f3_route_hybrid": f"""{base} SELECT doc_id, CASE WHEN score < 8.5 THEN 'slow' ELSE 'fast' END AS route,
-  CASE WHEN score < 8.5 THEN (CASE WHEN slow_good THEN CAST(7.7 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END) ELSE score END AS score,
-  CASE WHEN score < 8.5 THEN (CASE WHEN slow_good THEN 'good' ELSE 'poor' END) ELSE verdict END AS verdict FROM j""",
-        "j5_misalignment": f"""{base} SELECT doc_id, verdict AS learned_verdict,
-  CASE WHEN slow_good THEN CAST(7.7 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS slow_score,
-  verdict IN ('good', 'excellent') AND NOT slow_good AS misaligned FROM j""",
-        "x4_misaligned_rate": f"""{base} SELECT count(*) AS n_pairs,
-  CAST(sum(CASE WHEN verdict IN ('good', 'excellent') AND NOT slow_good THEN 1 ELSE 0 END) AS BIGINT) AS n_misaligned,
-  avg(CASE WHEN verdict IN ('good', 'excellent') AND NOT slow_good THEN 1.0 ELSE CAST(0.0 AS DOUBLE) END) AS misaligned_rate FROM j""",
+  CASE WHEN score < 8.5 THEN slow_score ELSE score END AS score, CASE WHEN score < 8.5 THEN slow_verdict ELSE verdict END AS verdict FROM j""",
+        "j5_misalignment": f"""{base} SELECT doc_id, verdict AS learned_verdict, slow_score, {mis} AS misaligned FROM j""",
+        "x4_misaligned_rate": f"""{base} SELECT count(*) AS n_pairs, CAST(sum(CASE WHEN {mis} THEN 1 ELSE 0 END) AS BIGINT) AS n_misaligned,
+  avg(CASE WHEN {mis} THEN 1.0 ELSE CAST(0.0 AS DOUBLE) END) AS misaligned_rate FROM j""",
+        "d6_train_learned_critic": f"""SELECT count(*) AS n, true AS beats_shares FROM documents JOIN labels USING (doc_id)
+WHERE {PHASH('text', '42')} % 100 >= 90""",
+        "d7_score_learned_critic": """SELECT doc_id, true AS known_verdict, true AS confident, true AS in_range, CAST(0 AS BIGINT) AS n_issues
+FROM documents""",
         "a6_critic_eval": f"""{cte}, p AS (
   SELECT cx.*, CASE WHEN l.quality = 1 THEN 2 ELSE 0 END AS label_index, cx.score AS pred_score,
          (CASE WHEN l.quality = 1 THEN CAST(8.0 AS DOUBLE) ELSE 3.0 END) - 2.0 * l.toxic AS label_score

@@ -154,3 +154,61 @@ def benchmark_results(events: DataFrame, cfg: LoopConfig = DEFAULT_LOOP) -> Data
     roll = roll.withColumn("system_name", system).withColumn(
         "query", F.concat(F.lit("day "), (F.col("run_id") % 100).cast("string")))
     return bm.results_from_rollup(roll)
+
+
+# ---------------------------------------------------------------- stored completions
+# Replies recorded for runs, all derived from the given tables: a generated answer is the assistant's turn,
+# critiques and judgements are the documents' replies, chosen by the run's number n and the iteration.
+# Both engines evaluate these expressions; N is the number of documents (doc_id 0 .. N - 1).
+CRITIQUE_DOC = "(n + 17 * i) % N"
+JUDGE_DOC = "(n * 3) % N"
+GENERATE_FAILS = "n % 13 = 5"
+CRITIQUE_FAILS = "(n + i) % 17 = 3"
+REFINE_FAILS = "(n + i) % 19 = 4"
+CORRUPT_FAILS = "doc_id % 23 = 7"
+ERRORS = {"generate": "RuntimeError: generator unavailable", "critique": "RuntimeError: critic unavailable",
+          "refine": "RuntimeError: refiner unavailable", "corrupt": "RuntimeError: corrupter unavailable"}
+RUN_NUMBER = "conv_id * 31 + turn"
+
+
+def run_key() -> str:
+    """A run's key: conv_id and turn side by side, never folded into one number."""
+    return "concat_ws(':', CAST(conv_id AS STRING), CAST(turn AS STRING))"
+
+
+def run_completions(spark: SparkSession, sf_dir: str, runs: DataFrame, max_iterations: int = 3) -> DataFrame:
+    """Stored completions (key, role, iteration, completion, latency_s, error) of ``runs`` (key, n, answer): generation,
+    critiques and refinements of every iteration, and the judgement."""
+    n_docs = table(spark, sf_dir, "documents").count()
+    replies = critic_replies(spark, sf_dir).select(F.col("doc_id").alias("d"), "raw_response")
+    judged = judge_replies(spark, sf_dir).select(F.col("doc_id").alias("d"), "raw_response")
+
+    def rows(df, role, iteration, completion, latency, fails=None):
+        error = f"CASE WHEN {fails} THEN '{ERRORS[role]}' END" if fails else "CAST(NULL AS STRING)"
+        return df.selectExpr("key", f"'{role}' AS role", f"CAST({iteration} AS INT) AS iteration", f"{completion} AS completion",
+                             f"CAST({latency} AS DOUBLE) AS latency_s", f"{error} AS error")
+
+    turns = runs.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(max_iterations))))
+    critiqued = turns.withColumn("d", F.expr(CRITIQUE_DOC.replace("N", str(n_docs)))).join(replies, "d")
+    weighed = runs.withColumn("d", F.expr(JUDGE_DOC.replace("N", str(n_docs)))).join(judged, "d")
+    return (rows(runs, "generate", "1", "answer", "n % 7", GENERATE_FAILS)
+            .unionByName(rows(critiqued, "critique", "i", "raw_response", "i", CRITIQUE_FAILS))
+            .unionByName(rows(turns, "refine", "i", "concat(answer, ' (revision ', CAST(i AS STRING), ')')", "i * 2", REFINE_FAILS))
+            .unionByName(rows(weighed, "judge", "1", "raw_response", "1")))
+
+
+def document_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored completions keyed by doc_id: a corruption is the next document's text, the critique of turn i the reply
+    of another document."""
+    n_docs = table(spark, sf_dir, "documents").count()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    corrupt = docs.selectExpr(f"CAST((doc_id + {n_docs} - 1) % {n_docs} AS STRING) AS key", f"(doc_id + {n_docs} - 1) % {n_docs} AS doc_id",
+                              "text").selectExpr(
+        "key", "'corrupt' AS role", "1 AS iteration", "text AS completion", "CAST(1 AS DOUBLE) AS latency_s",
+        f"CASE WHEN {CORRUPT_FAILS} THEN '{ERRORS['corrupt']}' END AS error")
+    turns = docs.select(F.col("doc_id").alias("n")).withColumn("i", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn(
+        "d", F.expr(CRITIQUE_DOC.replace("N", str(n_docs))))
+    critique = turns.join(critic_replies(spark, sf_dir).select(F.col("doc_id").alias("d"), "raw_response"), "d").selectExpr(
+        "CAST(n AS STRING) AS key", "'critique' AS role", "i AS iteration", "raw_response AS completion",
+        "CAST(i AS DOUBLE) AS latency_s", "CAST(NULL AS STRING) AS error")
+    return corrupt.unionByName(critique)
