@@ -679,15 +679,18 @@ def _labelled(spark, sf):
         F.when(clean, F.lit("good")).when(F.col("quality") == 1, F.lit("acceptable")).otherwise(F.lit("poor")).alias("verdict")))
 
 
+TRAINING = {"num_features": 1 << 14, "max_iter": 20, "reg": 0.1}
+
+
 def _trained(spark, sf):
-    return lc.train_learned_critic(_labelled(spark, sf).filter("split = 'train'"), num_features=1 << 14, max_iter=20)
+    return lc.train_learned_critic(_labelled(spark, sf).filter("split = 'train'"), **TRAINING)
 
 
 def d6_train_learned_critic(spark, sf):
     """D6 on 0.9 of the labelled documents, A6 on the rest: what SQL can state of it is that the held-out loss is
     below the loss of always giving the training rows' shares of verdicts."""
     rows = rf.stored(_labelled(spark, sf), "labelled")
-    model = lc.train_learned_critic(rows.filter("split = 'train'"), num_features=1 << 14, max_iter=20)
+    model = lc.train_learned_critic(rows.filter("split = 'train'"), **TRAINING)
     scored = lc.score_learned_critic(model, rows.filter("split = 'val'").withColumnRenamed("feedback", "truth"))
     out = lc.critic_eval(scored.select("verdict_probs", cr.verdict_rank("truth.verdict").alias("label_index"),
                                        F.col("feedback.score").alias("pred_score"), F.col("truth.score").alias("label_score")))
@@ -725,11 +728,18 @@ def _stream(spark, sf, name):
 
 
 def st1_stagnation_monitor(spark, sf):
-    """ST1 run to completion on the events file as a stream; equals W1-W6 after truncation."""
-    mon = sm.stagnation_monitor(sm.critique_events(_stream(spark, sf, "events")), ttl_ms=None)
-    out = sm.run_available_now(spark, mon, scratch_path(spark, "st1"))
-    return out.select("run_id", "iteration", "improvement_delta", "is_stagnated", "exit_reason",
-                      "strict_mode")
+    """ST1 over the events in four files, one a micro-batch, in time order: state is carried from batch to batch. Without
+    the critiques after an exit it equals W1-W6 after truncation."""
+    events, base = table(spark, sf, "events"), scratch_path(spark, "st1")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = events.agg(F.percentile_approx(micros, [0.25, 0.5, 0.75])).first()[0] or []
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= micros)) if cuts else F.lit(0)
+    for i in range(len(cuts) + 1):
+        events.filter(part == i).write.parquet(f"{base}/in/part{i}")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/part*")
+    mon = sm.stagnation_monitor(sm.critique_events(stream), ttl_ms=None)
+    out = sm.run_available_now(spark, mon, f"{base}/run").filter("not after_exit")
+    return out.select("run_id", "iteration", "improvement_delta", "is_stagnated", "exit_reason", "strict_mode")
 
 
 def st2_score_stream(spark, sf):

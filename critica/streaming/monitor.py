@@ -4,14 +4,14 @@ ST1 stagnation_monitor: keyed state per run (``applyInPandasWithState``): previo
 last ``patience`` recorded deltas, iteration count and previous hallucination flag. Each incoming
 critique gets its iteration number, delta, stagnation flag, exit reason and strict-mode flag -
 the streaming twin of W1-W6. A run that exits keeps a tiny tombstone (so later critiques are not
-taken as a new run) that expires after ``ttl``; abandoned runs expire the same way.
+taken as a new run) that expires after ``ttl``; abandoned runs expire the same way. Critiques after an exit come
+out too, with ``after_exit`` set and no iteration.
 
 ST2 score_stream: the stateless Column scorers (M9, C3) on a stream - same expressions as batch.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,11 +32,12 @@ OUTPUT_SCHEMA = T.StructType([
     T.StructField("exit_reason", T.StringType()),
     T.StructField("strict_mode", T.BooleanType()),
     T.StructField("late", T.BooleanType()),
+    T.StructField("after_exit", T.BooleanType()),
 ])
 STATE_SCHEMA = T.StructType([
     T.StructField("iteration", T.LongType()),
     T.StructField("prev_score", T.DoubleType()),
-    T.StructField("deltas", T.StringType()),
+    T.StructField("deltas", T.ArrayType(T.DoubleType())),
     T.StructField("prev_has_h", T.BooleanType()),
     T.StructField("exited", T.BooleanType()),
     T.StructField("last_ts", T.StringType()),
@@ -61,6 +62,12 @@ def _band(score: float) -> str:
 
 def make_state_fn(cfg: LoopConfig, ttl_ms: int | None):
     p = cfg.stagnation_patience
+    names = [f.name for f in OUTPUT_SCHEMA.fields]
+
+    def after_exit(run_id: int, rows: pd.DataFrame, last_ts: str) -> pd.DataFrame:
+        return pd.DataFrame({"run_id": run_id, "iteration": pd.array([None] * len(rows), "Int64"), "event_id": rows["event_id"],
+                             "score": rows["score"], "improvement_delta": 0.0, "is_stagnated": False, "exit_reason": None,
+                             "strict_mode": False, "late": (rows["ts"].astype(str) < last_ts) & bool(last_ts), "after_exit": True})[names]
 
     def step(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         (run_id,) = key
@@ -69,47 +76,45 @@ def make_state_fn(cfg: LoopConfig, ttl_ms: int | None):
             return
         if state.exists:
             it, prev, deltas, prev_h, exited, last_ts = state.get
-            deltas = json.loads(deltas)
+            deltas = list(deltas)
         else:
             it, prev, deltas, prev_h, exited, last_ts = 0, None, [], False, False, ""
-        # Only the first ``max_iterations - it`` critiques can still be used (the loop exits by
-        # then), so keep a bounded head per chunk instead of materialising the whole group.
+        # The loop exits at ``max_iterations`` at the latest: a bounded head of a micro-batch is kept, in time
+        # order, and what falls out of it is after the exit. No run is held whole.
         room = 0 if exited else max(cfg.max_iterations - it, 0)
         head = None
         for chunk in pdfs:
-            if room == 0:
-                continue
-            part = chunk if head is None else pd.concat([head, chunk], ignore_index=True)
-            head = part.sort_values(["ts", "event_id"]).head(room)
-        rows = head if head is not None else pd.DataFrame(columns=["ts", "event_id"])
+            rows = (chunk if head is None else pd.concat([head, chunk], ignore_index=True)).sort_values(["ts", "event_id"])
+            head = rows.head(room)
+            if len(rows) > room:
+                yield after_exit(run_id, rows.iloc[room:], last_ts)
         out = []
-        for r in rows.itertuples(index=False):
-            ts = str(r.ts)
-            late = bool(last_ts) and ts < last_ts
-            if exited:
-                continue
+        n = 0 if head is None else len(head)
+        for i in range(n):  # at most ``max_iterations`` rows
+            r = head.iloc[i]
+            ts, score, hallucinated = str(r["ts"]), float(r["score"]), bool(r["has_hallucination"])
             it += 1
-            score = float(r.score)
             delta = None if prev is None else _round_half_up(score - prev, 3)
             if delta is not None:
                 deltas = (deltas + [delta])[-p:]
             stagnated = len(deltas) >= p and max(deltas) < cfg.min_improvement_delta
-            quality = (not r.has_hallucination and not r.has_factual_error
+            quality = (not hallucinated and not r["has_factual_error"]
                        and score >= cfg.min_quality_score and _band(score) in ("good", "excellent"))
             exit_reason = ("converged" if quality else "stagnated" if stagnated
                            else "exhausted" if it >= cfg.max_iterations else None)
-            strict = bool(r.has_hallucination) and bool(prev_h) and exit_reason is None
-            out.append((run_id, it, int(r.event_id), score, 0.0 if delta is None else delta,
-                        stagnated, exit_reason, strict, late))
-            prev, prev_h = score, bool(r.has_hallucination)
-            last_ts = max(last_ts, ts)
+            out.append((run_id, it, int(r["event_id"]), score, 0.0 if delta is None else delta, stagnated, exit_reason,
+                        hallucinated and bool(prev_h) and exit_reason is None, bool(last_ts) and ts < last_ts, False))
+            prev, prev_h, last_ts = score, hallucinated, max(last_ts, ts)
             if exit_reason is not None:
                 exited = True
-        state.update((it, prev, json.dumps(deltas), prev_h, exited, last_ts))
+                break
+        state.update((it, prev, deltas, prev_h, exited, last_ts))
         if ttl_ms:
             state.setTimeoutDuration(ttl_ms)
         if out:
-            yield pd.DataFrame(out, columns=[f.name for f in OUTPUT_SCHEMA.fields])
+            yield pd.DataFrame(out, columns=names)
+        if len(out) < n:
+            yield after_exit(run_id, head.iloc[len(out):], last_ts)
 
     return step
 

@@ -5,41 +5,106 @@ from pyspark.sql import functions as F
 import __spark_entry__ as se
 from critica.operators import trajectory as tj
 from critica.plans import refine as rf
-from critica.plans.inference import PandasTestBackend, TestBackend
+from critica.plans.inference import ColumnBackend, PandasBackend, StoredBackend
 from critica.sources import fixtures as fx
 from critica.sources.tables import table
 from critica.streaming import monitor as sm
 from tests.conftest import SF_SMALL
 
 
-def test_refine_loop_exits_follow_backend_parity(spark):
-    q = spark.createDataFrame([(1, "odd"), (2, "even"), (3, "seven c")], "run_id long, query string")
-    runs, its = rf.refine_batch(spark, q, TestBackend())
+POOR = '{"score": 2, "verdict": "poor", "hallucinations": ["made up"]}'
+FINE = '{"score": 9, "verdict": "excellent"}'
+
+
+class Alternating(ColumnBackend):
+    """A fine critique when iteration and key length have the same parity."""
+
+    def completion(self, prompt, system, iteration, key):
+        fine = (iteration + F.length(key)) % 2 == 0
+        return F.when(F.contains(prompt, F.lit("ANSWER UNDER REVIEW")), F.when(fine, F.lit(FINE)).otherwise(F.lit(POOR))).otherwise(
+            F.lit("some text"))
+
+
+class AlwaysPoor(ColumnBackend):
+    def completion(self, prompt, system, iteration, key):
+        return F.lit(POOR)
+
+
+class Counted(PandasBackend):
+    """Counts its calls; fails on prompts with a marker."""
+
+    def __init__(self, calls):
+        self.calls = calls
+
+    def complete_one(self, client, prompt, system):
+        self.calls.add(1)
+        if "boom" in prompt:
+            raise RuntimeError("no")
+        return FINE
+
+
+def test_refine_loop_exits_follow_the_critiques(spark):
+    q = spark.createDataFrame([("a", "odd"), ("bb", "even")], "run_id string, query string")
+    runs, its = rf.refine_batch(spark, q, Alternating())
     got = {r["run_id"]: r for r in runs.collect()}
-    # good critique when (iteration + len(query)) is even
-    assert got[1]["total_iterations"] == 1 and got[1]["exit_reason"] == "converged"
-    assert got[2]["total_iterations"] == 2 and got[2]["exit_reason"] == "converged"
-    assert got[2]["score_history"] == [0.0, 7.7]
-    assert its.filter("run_id = 2 AND iteration = 1").first()["strict_mode_used"] is False
+    assert got["a"]["total_iterations"] == 1 and got["a"]["exit_reason"] == "converged"
+    assert got["bb"]["total_iterations"] == 2 and got["bb"]["score_history"] == [0.0, 9.0]
+    assert its.filter("run_id = 'bb' AND iteration = 1").first()["strict_mode_used"] is False
 
 
 def test_stagnation_in_loop(spark):
-    # a backend that always returns the poor critique stagnates after two flat deltas
-    class AlwaysPoor(TestBackend):
-        def completion(self, prompt, system, iteration, key):
-            return super().completion(prompt, system, F.lit(1), F.lit("ab"))
     from critica.config import LoopConfig
-    q = spark.createDataFrame([(1, "query")], "run_id long, query string")
-    runs, _ = rf.refine_batch(spark, q, AlwaysPoor(), LoopConfig(max_iterations=5))
-    r = runs.first()
+    q = spark.createDataFrame([("1", "query")], "run_id string, query string")
+    r = rf.refine_batch(spark, q, AlwaysPoor(), LoopConfig(max_iterations=5))[0].first()
     assert r["exit_reason"] == "stagnated" and r["total_iterations"] == 3
 
 
-def test_error_rows_are_captured(spark):
-    q = spark.createDataFrame([("1234567",), ("ok",)], "query string")
-    out = rf.generate_batch(q, PandasTestBackend(fail_modulo=7)).collect()
-    errs = {r["query"]: r["error"] for r in out}
-    assert errs["1234567"].startswith("RuntimeError") and errs["ok"] is None
+def test_errors_are_rows_and_calls_are_made_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+    q = spark.createDataFrame([("1", "boom"), ("2", "ok")], "run_id string, query string").repartition(2)
+    out = rf.generate_batch(q, Counted(calls))
+    for _ in range(3):
+        errs = {r["query"]: r["error"] for r in out.collect()}
+    assert errs["boom"].startswith("RuntimeError") and errs["ok"] is None and calls.value == 2
+    judged = rf.judge_batch(q.withColumn("final_answer", F.lit("x")), Counted(calls))
+    judged.count(), judged.collect()
+    assert calls.value == 4
+
+
+def test_failed_calls_end_runs_with_zeros(spark):
+    """Failures in generation, critique and refinement; a run without recorded completions fails too."""
+    said = []
+    for k in ("gen", "crit", "refine", "fine"):
+        said.append((k, "generate", 1, "answer", 1.0, "E: g" if k == "gen" else None))
+        for i in (1, 2, 3):
+            said.append((k, "critique", i, FINE if k == "fine" else POOR, 1.0, "E: c" if k == "crit" else None))
+            said.append((k, "refine", i, "better", 1.0, "E: r" if k == "refine" else None))
+    table = spark.createDataFrame(said, "key string, role string, iteration int, completion string, latency_s double, error string")
+    q = spark.createDataFrame([(k, "q") for k in ("gen", "crit", "refine", "fine", "none")], "run_id string, query string")
+    got = {r["run_id"]: r for r in rf.refine_batch(spark, q, StoredBackend(table))[0].collect()}
+    for k, error in (("gen", "E: g"), ("crit", "E: c"), ("refine", "E: r"), ("none", "KeyError: no stored completion")):
+        r = got[k]
+        assert (r["exit_reason"], r["final_answer"], r["total_iterations"], r["final_score"]) == ("error", f"[ERROR: {error}]", 0, 0.0)
+    assert got["fine"]["exit_reason"] == "converged"
+
+
+def test_checkpoint_folder_is_required_off_local_masters(spark, monkeypatch):
+    import pytest
+
+    from critica import session as cs
+    assert cs.is_local("local") and cs.is_local("local[8]") and not cs.is_local("local-cluster[2,1,1024]") and not cs.is_local("yarn")
+
+    class Context:
+        master = "yarn"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    with pytest.raises(RuntimeError):
+        cs.checkpoint_dir(type("S", (), {"sparkContext": Context()})())
 
 
 def test_st1_equals_batch_windows(spark):
@@ -62,6 +127,6 @@ def test_st1_flags_late_critiques_across_batches(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src / "b*"))
     mon = sm.stagnation_monitor(sm.critique_events(stream), ttl_ms=None)
     out = sm.run_available_now(spark, mon, str(tmp_path / "out")).orderBy("iteration").collect()
-    assert [r["iteration"] for r in out] == [1, 2, 3]
+    assert [r["iteration"] for r in out] == [1, 2, 3] and not any(r["after_exit"] for r in out)
     assert [r["late"] for r in out] == [False, False, True]
     assert out[2]["exit_reason"] == "exhausted"       # third critique reaches max_iterations=3

@@ -52,3 +52,31 @@ def test_hot_run(spark):
         assert (roll[u]["total_iterations"], roll[u]["exit_reason"]) == (n, ex), u
     plan = rows_df._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_hot_run_is_annotated_in_blocks(spark):
+    """W1-W4 and W7 on every critique of a hot run: blocks equal one window, and no run is one task."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(3)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, t0 + dt.timedelta(seconds=rnd.randint(0, 500)), 0 if i % 3 else rnd.randint(1, 40), "view", round(rnd.uniform(0, 100), 2))
+            for i in range(3000)]
+    ev = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").repartition(8)
+    every = trajectory_iterations(ev, run_divisor=None, cut=False)
+    cols = ["run_id", "iteration", "improvement_delta", "is_stagnated", "recent_deltas", "exit_reason", "progress"]
+    whole = tj.annotate(every).select(cols)
+    blocks = tj.annotate(every, block=50).select(cols)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, blocks.collect()))
+    assert every.count() == 3000
+    order = {r["event_id"]: r["iteration"] for r in every.filter("run_id = 0").collect()}
+    want = sorted((r for r in rows if r[2] == 0), key=lambda r: (r[1], r[0]))
+    assert [order[r[0]] for r in want] == list(range(1, len(want) + 1))
+
+
+def test_pairs_follow_turn_order_with_gaps(spark):
+    from critica.sources.io import qa_pairs
+    rows = [(1, 1, "user", "a"), (1, 5, "assistant", "b"), (1, 9, "user", "c"), (1, 10, "user", "d"), (1, 12, "assistant", "e"),
+            (2, 1, "assistant", "x"), (None, 1, "user", "y"), (None, 3, "assistant", "z")]
+    got = qa_pairs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r["query"], r["answer"]) for r in got if r["conv_id"] == 1) == [("a", "b"), ("d", "e")]
