@@ -30,7 +30,8 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_warc_revisits": OP2_SQL, "op4_near_dup": OP4_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op2_warc_revisits": OP2_SQL, "op4_near_dup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_quality_rules": OP6_SQL,
+            "op9_line_dedup": OP9_SQL}
 
 
 OP9_SQL = r"""
@@ -85,3 +86,49 @@ SELECT record_id, canonical_url, ts, status, pid AS response_id,
          'last-modified: ' || coalesce(modified, pm), 'x-served-by: ' || coalesce(served, ps)) END AS merged_headers
 FROM t
 """
+
+# 13 words with two substitutions hold a run of 4 equal words: runs of 4 give every alignment to look at. (The
+# given items have 13 words or more.)
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, [w FOR w IN string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF w <> ''] AS ws
+      FROM documents),
+b AS (SELECT item_id, [w FOR w IN string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF w <> ''] AS ws
+      FROM benchmark),
+dg AS (SELECT r, i, array_to_string(ws[i + 1:i + 4], ' ') AS g FROM (SELECT r, ws, unnest(range(0, len(ws) - 3)) AS i FROM d)),
+bg AS (SELECT item_id, j, array_to_string(ws[j + 1:j + 4], ' ') AS g FROM (SELECT item_id, ws, unnest(range(0, len(ws) - 3)) AS j FROM b)),
+al AS (SELECT DISTINCT r, item_id, i - j AS s FROM dg JOIN bg USING (g)),
+eq AS (SELECT al.r, al.item_id, s, j, CASE WHEN s + j >= 0 AND d.ws[s + j + 1] = b.ws[j + 1] THEN 1 ELSE 0 END AS e, len(b.ws) AS n
+       FROM al JOIN d USING (r) JOIN b USING (item_id), unnest(range(0, len(b.ws))) AS t(j)),
+wn AS (SELECT r, item_id, n, j, sum(e) OVER (PARTITION BY r, item_id, s ORDER BY j ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS m FROM eq),
+hit AS (SELECT r, item_id, max(m) / 13 AS a FROM wn WHERE j + 13 <= n GROUP BY r, item_id HAVING max(m) >= 11),
+best AS (SELECT r, count(*) AS n_items, max(a) AS a, arg_min(item_id, (-a, item_id)) AS item FROM hit GROUP BY r)
+SELECT doc_id, best.r IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, item AS best_item, a AS best_agreement
+FROM d LEFT JOIN best USING (r)
+"""
+
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, text, [x FOR x IN string_split_regex(text, '[\x20\x09-\x0D]+') IF x <> ''] AS ws,
+        string_split(text, chr(10)) AS ls FROM d),
+g AS (SELECT r, i, array_to_string(ws[i + 1:i + 5], ' ') AS g FROM (SELECT r, ws, unnest(range(0, len(ws) - 4)) AS i FROM w)),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+        (SELECT unnest(range(0, 5)) AS k) GROUP BY r),
+l AS (SELECT r, unnest(ls) AS line FROM w),
+lw AS (SELECT r, line, [x FOR x IN string_split_regex(line, '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM l),
+lc AS (SELECT r, line, len(ws) AS n, len([x FOR x IN ws IF regexp_full_match(x, '[|»›•·>]+')]) AS sep,
+        len([x FOR x IN ws IF suffix(x, '!!')]) AS shout,
+        length(line) - length(translate(line, '#*$%&|<>', '')) AS sym FROM lw),
+lf AS (SELECT *, n > 0 AND ((sep >= 2 AND sep * 5 > n) OR (sym >= 3 AND sym * 3 > n) OR (shout >= 3 AND shout * 3 > n)
+        OR regexp_matches(line, '(?i)(accept (all )?cookies|cookie policy|privacy policy|terms of (use|service)|all rights reserved|enable javascript|sign in to|log in to|subscribe to our newsletter|click here)')
+        OR (n >= 25 AND NOT regexp_matches(line, '[.!?…。！？]'))) AS fails FROM lc),
+ag AS (SELECT r, sum(CASE WHEN fails THEN 0 ELSE n END) AS kept_words, count(*) FILTER (WHERE n > 0) AS full_lines,
+        count(DISTINCT line) FILTER (WHERE n > 0) AS different FROM lf GROUP BY r),
+c AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+        CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+        CAST(full_lines - different AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+        CAST(kept_words AS BIGINT) AS n_words_kept FROM w JOIN ag USING (r) LEFT JOIN rep USING (r))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND (n_words - n_words_kept) <= n_words * 0.5 AS kept FROM c
+"""
