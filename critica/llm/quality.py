@@ -23,9 +23,8 @@ from pyspark.sql import functions as F
 from critica.llm.common import SPACE, WORD, let
 
 # Phrases of page furniture.
-BOILERPLATE = (r"(?i)(accept (all )?cookies|cookie policy|privacy policy|terms of (use|service)|all rights reserved"
+BOILERPLATE = (r"(?i)(?=[acelpst])(?:accept (all )?cookies|cookie policy|privacy policy|terms of (use|service)|all rights reserved"
                r"|enable javascript|sign in to|log in to|subscribe to our newsletter|click here)")
-SEPARATORS = "^[|»›•·>]+$"
 MARK = r"[.!?…。！？]"
 MAX_LOST = 0.5
 POSITION_BITS = 24
@@ -37,7 +36,8 @@ def n_words(text: Column) -> Column:
 
 def line_fails(line: Column) -> Column:
     n = F.regexp_count(line, F.lit(WORD))
-    separators = F.regexp_count(line, F.lit(r"(?<![^\x20\x09-\x0D])[|»›•·>]+(?![^\x20\x09-\x0D])"))
+    # the separator itself first, then what stands before it: a lookbehind at every character is slow
+    separators = F.regexp_count(line, F.lit(r"[|»›•·>](?<![^\x20\x09-\x0D].)[|»›•·>]*+(?![^\x20\x09-\x0D])"))
     symbols = F.regexp_count(line, F.lit(r"[#*$%&|<>]"))
     shouts = F.regexp_count(line, F.lit(r"!!(?![^\x20\x09-\x0D])"))
     return (n > 0) & (((separators >= 2) & (separators * 5 > n)) | ((symbols >= 3) & (symbols * 3 > n))
@@ -48,14 +48,16 @@ def line_fails(line: Column) -> Column:
 def repeated_words(text: Column, width: int = 5) -> Column:
     """Words in ``width``-word windows found twice or more in the text, the first included.
 
-    A window's hash and its position are packed into one long, so one primitive sort brings equal
-    windows together. Neighbours of equal hash are compared word for word before they count."""
+    Most texts have no equal windows: their hashes are all distinct, which is cheap to see. Otherwise a window's
+    hash and its position are packed into one long, so one sort brings equal windows together, and
+    neighbours of equal hash are compared word for word before they count."""
     low = (1 << POSITION_BITS) - 1
 
     def windows(ws: Column) -> Column:
-        packed = F.transform(F.sequence(F.lit(1), F.size(ws) - width + 1), lambda i: (
-            F.xxhash64(F.slice(ws, i, width)).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))
-        return let(F.sort_array(packed), lambda order: covered(ws, order))
+        hashes = F.transform(F.sequence(F.lit(1), F.size(ws) - width + 1), lambda i: F.xxhash64(F.slice(ws, i, width)))
+        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(
+            F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~low)).bitwiseOR((i + 1).cast("long")))),
+            lambda order: covered(ws, order))))
 
     def at(order: Column, i: Column) -> Column:
         return F.get(order, i).bitwiseAND(F.lit(low)).cast("int")
@@ -74,7 +76,7 @@ def repeated_words(text: Column, width: int = 5) -> Column:
                                     (acc["n"] + width - F.greatest(acc["end"] - x, F.lit(0))).alias("n")),
             lambda acc: acc["n"]))
 
-    return let(F.filter(F.split(text, SPACE + "+"), lambda w: w != ""), lambda ws: F.when(
+    return let(F.split(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), SPACE + "+"), lambda ws: F.when(
         F.size(ws) > width, windows(ws)).otherwise(F.lit(0))).cast("long")
 
 
