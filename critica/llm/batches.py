@@ -9,7 +9,6 @@ keys are pre-aggregated: a key is in a shard once a batch at most."""
 
 from __future__ import annotations
 
-import atexit
 import uuid
 import zlib
 from collections.abc import Callable
@@ -17,10 +16,11 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from critica.llm.common import shuffle_partitions
+from critica.session import scratch_path
 
 BATCH_CHARS = 4_000_000
 SHARD_KEYS = 1_500_000
@@ -53,22 +53,15 @@ def _gather(batches):
 
 
 def batch_table(docs: DataFrame) -> DataFrame:
-    """The batches as a bucketed table of the session's warehouse; dropped when the driver ends."""
+    """The batches as a bucketed table whose files are in the shared scratch folder; gone when the driver ends."""
     spark = docs.sparkSession
     name = f"llm_batches_{uuid.uuid4().hex}"
     (docs.select("doc_id", "text").mapInArrow(_gather, BATCH_SCHEMA).write.format("parquet")
-     .option("compression", "zstd").bucketBy(shuffle_partitions(spark), "batch").saveAsTable(name))
-    atexit.register(_drop, spark, name)
+     .option("compression", "zstd").option("path", scratch_path(spark, "batches"))
+     .bucketBy(shuffle_partitions(spark), "batch").saveAsTable(name))
     return spark.table(name)
 
 
-def _drop(spark: SparkSession, name: str) -> None:
-    try:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-    except Exception:  # noqa: BLE001 - the session is gone, and its tables with it
-        pass
-
-
 def shards_for(batches: DataFrame, keys_per_char: float) -> int:
     """Shards of about ``SHARD_KEYS`` keys, from the corpus's size in characters."""
     chars = batches.agg(F.sum(F.aggregate("text", F.lit(0).cast("long"), lambda a, t: a + F.length(t)))).first()[0] or 0

@@ -49,6 +49,16 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+SALT = 16
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """``many`` joined to ``one`` (a row per key, no clashing names) with each key's rows dealt to ``SALT`` tasks by a hash of ``by``."""
+    salt = F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int")
+    spread = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return many.withColumn("__salt", salt).join(spread, [key, "__salt"], how).drop("__salt")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

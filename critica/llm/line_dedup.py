@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from critica.llm.common import TO_LOWER, stored
+from critica.llm.common import TO_LOWER, salted_join, stored
 
 LOG2_BITS = 26
 SEGMENT = 1 << 16
@@ -162,7 +162,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
     extra = [c for c in docs.columns if c not in ("doc_id", "text", "text_hash", "drops", "n_lines", "n_dropped")]
     docs = with_row_key(docs, *extra)
     found, counts = repeated_lines(docs, min_docs, min_chars, log2_bits)
-    drops = found.join(counts, "key", "left_semi")
+    drops = salted_join(found, counts, "key", "text_hash", "left_semi")
     if keep == "first":
         order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
         first = (drops.withColumn("at", order).groupBy("key").agg(F.min("at").alias("at"))

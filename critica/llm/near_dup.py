@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from critica.llm.common import TO_LOWER, shuffle_partitions, stored
+from critica.llm.common import TO_LOWER, salted_join, shuffle_partitions, stored
 from critica.llm.word_hash import WordHashes, combine, windows
 
 BANDS = 40
@@ -107,7 +107,7 @@ def components(edges: DataFrame) -> DataFrame:
         met = labels.join(near.withColumnRenamed("a", "node"), "node").select(
             "node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = stored(met.join(up, "label").select("node", "old", F.least("label", "up").alias("label")), "labels")
+        new = stored(salted_join(met, up, "label", "node").select("node", "old", F.least("label", "up").alias("label")), "labels")
         if new.filter("old != label").isEmpty():
             return new.select("node", "label")
         labels = new.select("node", "label")
