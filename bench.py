@@ -35,6 +35,10 @@ HEADLINE = [
     "j3_retrieve_evidence",
     "j4_heldout_overlap",        # J4 seconds
     "t9_mask_labels",
+    "i5_refine_batch",           # the loop over stored completions
+    "i6_benchmark",
+    "d6_train_learned_critic",
+    "st1_stagnation_monitor",
 ]
 # rows of the driving table per query, for rows/s
 DRIVER_TABLE = {"m9_evaluate_answer": "conversations", "m3_counts": "documents",

@@ -102,12 +102,25 @@ def write_report(results: DataFrame, summaries: DataFrame, improvements: DataFra
 
 
 # ---------------------------------------------------------------- S6
+def dense_turns(conversations: DataFrame) -> bool:
+    """Whether every conversation's turns are consecutive numbers, each once."""
+    once = conversations.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("c"))
+    gaps = once.groupBy("conv_id").agg(F.max("c").alias("c"), F.count(F.lit(1)).alias("n"), F.count("turn").alias("t"),
+                                       (F.max("turn") - F.min("turn") + 1).alias("span"))
+    return gaps.filter("c > 1 OR n <> t OR n <> span").isEmpty()
+
+
 def qa_pairs(conversations: DataFrame) -> DataFrame:
     """Each user turn whose next row in turn order is an assistant's -> (conv_id, turn, query, answer).
 
-    Turn numbers may have gaps, so rows are numbered first (without a window over the conversation), then
-    joined on (conv_id, number + 1): one very long conversation is spread over many tasks."""
-    c = number_rows(conversations.select("conv_id", "turn", "role", "text"), ["conv_id"], ["turn", "role", "text"], "row")
+    Joined on (conv_id, number + 1), so one very long conversation is spread over many tasks. The number is the
+    turn where turns are dense (looked up on the slim columns first); where they have gaps or ties, rows
+    are numbered without a window over the conversation."""
+    c = conversations.select("conv_id", "turn", "role", "text")
+    if dense_turns(c):
+        c = c.withColumn("row", F.col("turn"))
+    else:
+        c = number_rows(c, ["conv_id"], ["turn", "role", "text"], "row")
     u = c.filter(F.col("role") == "user").select(
         "conv_id", "turn", (F.col("row") + 1).alias("next_turn"), F.col("text").alias("query"))
     a = c.filter(F.col("role") == "assistant").select(

@@ -64,10 +64,12 @@ def make_state_fn(cfg: LoopConfig, ttl_ms: int | None):
     p = cfg.stagnation_patience
     names = [f.name for f in OUTPUT_SCHEMA.fields]
 
-    def after_exit(run_id: int, rows: pd.DataFrame, last_ts: str) -> pd.DataFrame:
-        return pd.DataFrame({"run_id": run_id, "iteration": pd.array([None] * len(rows), "Int64"), "event_id": rows["event_id"],
-                             "score": rows["score"], "improvement_delta": 0.0, "is_stagnated": False, "exit_reason": None,
-                             "strict_mode": False, "late": (rows["ts"].astype(str) < last_ts) & bool(last_ts), "after_exit": True})[names]
+    def after_exit(run_id: int, r: tuple, last_ts: str) -> tuple:
+        return (run_id, None, r[1], r[2], 0.0, False, None, False, bool(last_ts) and str(r[0]) < last_ts, True)
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=names)
+        return out.astype({"iteration": "Int64"})
 
     def step(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         (run_id,) = key
@@ -82,39 +84,40 @@ def make_state_fn(cfg: LoopConfig, ttl_ms: int | None):
         # The loop exits at ``max_iterations`` at the latest: a bounded head of a micro-batch is kept, in time
         # order, and what falls out of it is after the exit. No run is held whole.
         room = 0 if exited else max(cfg.max_iterations - it, 0)
-        head = None
+        head: list[tuple] = []
+        out: list[tuple] = []
         for chunk in pdfs:
-            rows = (chunk if head is None else pd.concat([head, chunk], ignore_index=True)).sort_values(["ts", "event_id"])
-            head = rows.head(room)
+            columns = (chunk[c].tolist() for c in ("ts", "event_id", "score", "has_hallucination", "has_factual_error"))
+            rows = sorted([*head, *zip(*columns)], key=lambda r: r[:2])
+            head = rows[:room]
             if len(rows) > room:
-                yield after_exit(run_id, rows.iloc[room:], last_ts)
-        out = []
-        n = 0 if head is None else len(head)
-        for i in range(n):  # at most ``max_iterations`` rows
-            r = head.iloc[i]
-            ts, score, hallucinated = str(r["ts"]), float(r["score"]), bool(r["has_hallucination"])
+                out += [after_exit(run_id, r, last_ts) for r in rows[room:]]
+                if len(out) > 10_000:
+                    yield frame(out)
+                    out = []
+        for i, (when, event, score, hallucinated, wrong) in enumerate(head):  # at most ``max_iterations`` rows
+            if exited:
+                out += [after_exit(run_id, r, last_ts) for r in head[i:]]
+                break
+            ts = str(when)
             it += 1
             delta = None if prev is None else _round_half_up(score - prev, 3)
             if delta is not None:
                 deltas = (deltas + [delta])[-p:]
             stagnated = len(deltas) >= p and max(deltas) < cfg.min_improvement_delta
-            quality = (not hallucinated and not r["has_factual_error"]
+            quality = (not hallucinated and not wrong
                        and score >= cfg.min_quality_score and _band(score) in ("good", "excellent"))
             exit_reason = ("converged" if quality else "stagnated" if stagnated
                            else "exhausted" if it >= cfg.max_iterations else None)
-            out.append((run_id, it, int(r["event_id"]), score, 0.0 if delta is None else delta, stagnated, exit_reason,
+            out.append((run_id, it, event, score, 0.0 if delta is None else delta, stagnated, exit_reason,
                         hallucinated and bool(prev_h) and exit_reason is None, bool(last_ts) and ts < last_ts, False))
             prev, prev_h, last_ts = score, hallucinated, max(last_ts, ts)
-            if exit_reason is not None:
-                exited = True
-                break
+            exited = exit_reason is not None
         state.update((it, prev, deltas, prev_h, exited, last_ts))
         if ttl_ms:
             state.setTimeoutDuration(ttl_ms)
         if out:
-            yield pd.DataFrame(out, columns=names)
-        if len(out) < n:
-            yield after_exit(run_id, head.iloc[len(out):], last_ts)
+            yield frame(out)
 
     return step
 
