@@ -7,8 +7,17 @@ RE2 agree (see functions.common / functions.text). DuckDB lambdas use ``lambda x
 
 from __future__ import annotations
 
-from critica.functions.common import NON_WS_CLASS, WS_CLASS
-from critica.functions.text import SENTENCE_SPLIT, STRUCTURE, WORD
+# The operators' fixed values, written out again: a wrong one in the library shows as a difference.
+_WS = r"\t\n\x{0b}\x{0c}\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WS_CLASS, NON_WS_CLASS = f"[{_WS}]", f"[^{_WS}]"
+WORD = r"[\p{L}\p{N}_]+"
+SENTENCE_SPLIT = "[.!?]+"
+STRUCTURE = (f"(?m)(^{WS_CLASS}*[-*•]{WS_CLASS}|^{WS_CLASS}*" + r"\p{Nd}+[.)]" + f"{WS_CLASS}|^#+{WS_CLASS}" + r"|\*\*[^\n]+?\*\*)")
+SCRIPT_STYLE, TAG = "(?is)<(script|style)[^>]*>.*?</(script|style)>", "<[^>]+>"
+ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")]
+FENCE = "(?s)```(?:json)?" + WS_CLASS + "*(.*?)```"
+JSON_OBJECT = r"(?s)\{.*\}"
+FALLBACK_ACTION = "Critic failed to parse structured feedback — rewrite answer with clearer, more precise language."
 
 
 def _q(s: str) -> str:
@@ -159,7 +168,6 @@ def _joined(prefix: str, n: str) -> str:
 
 def critic_expected_cte() -> str:
     """Expected parse of every fixture reply, computed from doc_id (no parser)."""
-    from critica.functions.critic import FALLBACK_ACTION
     from critica.sources.fixtures import (N_ACTIONS, N_FACTUAL, N_HALLUCINATIONS, N_LOGICAL,
                                           N_MISSING)
     fb = _q(FALLBACK_ACTION)
@@ -202,7 +210,6 @@ cx AS (
 
 
 def critic_sql() -> dict[str, str]:
-    from critica.functions.critic import FALLBACK_ACTION, FENCE, JSON_OBJECT
     from critica.sources.fixtures import critic_replies_sql
     raw = f"WITH r AS ({critic_replies_sql()})"
     strip = USTRIP(f"regexp_replace(raw_response, {_q(FENCE)}, '\\1', 'g')")
@@ -401,7 +408,6 @@ FROM lng l JOIN b ON l.metric = b.metric WHERE l.system_name <> 'A_Baseline'""",
 
 # ---------------------------------------------------------------- evidence
 def HTML_TEXT(x: str) -> str:
-    from critica.functions.html import ENTITIES, SCRIPT_STYLE, TAG
     t = f"regexp_replace({x}, {_q(SCRIPT_STYLE)}, ' ', 'g')"
     t = f"regexp_replace({t}, {_q(TAG)}, ' ', 'g')"
     for ent, rep in ENTITIES:
@@ -476,7 +482,6 @@ def prompts_sql() -> dict[str, str]:
         items = f"array_to_string(list_transform(range(1, {n} + 1), lambda k: '  {marker} {prefix} ' || k || ' of doc ' || doc_id), chr(10))"
         return f"(CASE WHEN {n} > 0 THEN {_q(title + ':' + chr(10))} || {items} ELSE {_q(title + ': (none)')} END)"
 
-    from critica.functions.critic import FALLBACK_ACTION
     titles = {f: t for t, f, _ in pr.REFINE_SECTIONS}
     act_title = titles["improvement_actions"]
     actions = (f"(CASE WHEN bad THEN {_q(act_title + ':' + chr(10) + '  >> ' + FALLBACK_ACTION)} "
