@@ -113,6 +113,20 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after more (stored) links between their components, and between nodes that had none."""
+    if links.isEmpty():
+        return labels
+    named = lambda end: links.select(F.col(end).alias("node")).join(labels, "node", "left").select(
+        F.col("node").alias(end), F.coalesce("label", "node").alias(f"{end}_label")).distinct()
+    between = stored(links.join(named("a"), "a").join(named("b"), "b").select(
+        F.col("a_label").alias("a"), F.col("b_label").alias("b")).filter("a != b").distinct(), "between")
+    up = components(between).select(F.col("node").alias("label"), F.col("label").alias("up"))
+    fresh = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(labels, "node", "left_anti")
+    every = labels.unionByName(fresh.withColumn("label", F.col("node")))
+    return stored(salted_join(every, up, "label", "node", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Stored ``pairs`` (a, b, n_a, n_b) with ``linked``: the full sets meet the similarity."""
     fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
@@ -230,10 +244,8 @@ def link(docs: DataFrame, width: int, percent: int) -> DataFrame:
         F.max(F.struct(F.coalesce("degree", F.lit(0)), "node", "label")).alias("top"))
     pairs = now.join(center, "bucket").filter(F.col("label") != F.col("top.label")).select(
         *ordered(F.col("node"), F.col("top.node"))).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    links = links.unionByName(confirm(with_sizes(pairs), sets, percent).filter("linked").select("a", "b"))
-    labels = components(links)
-    links = links.unionByName(rest(open_buckets(buckets, labels), sets, percent))
-    labels = components(links)
+    labels = merged(labels, confirm(with_sizes(pairs), sets, percent).filter("linked").select("a", "b"))
+    labels = merged(labels, rest(open_buckets(buckets, labels), sets, percent))
     return feats.select("doc_id", "text_hash", "n", "node").join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node"))
 
@@ -241,9 +253,9 @@ def link(docs: DataFrame, width: int, percent: int) -> DataFrame:
 def near_dups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, text_hash, label, n_shingles, component_id, kept: one row per input row."""
     linked = link(docs, width, percent)
-    least = linked.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least_id"))
-    out = linked.join(least, "label", "left").withColumn(
-        "component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least_id")))
+    least = linked.filter("label is not null").groupBy("label").agg(
+        F.min("doc_id").alias("least_id"), F.count("*").alias("__c")).filter("__c > 1").drop("__c")
+    out = salted_join(linked, least, "label", "text_hash", "left").withColumn("component_id", F.coalesce("least_id", "doc_id"))
     return out.select("doc_id", "text_hash", "label", F.col("n").alias("n_shingles"), "component_id",
                       F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
