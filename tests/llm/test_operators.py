@@ -183,6 +183,14 @@ def test_near_dups_chains_and_hot_group(spark, monkeypatch):
         assert [got[i]["component_id"] for i in range(len(texts))] == [c for _, c in want]
 
 
+def test_components_merge(spark):
+    edges = lambda *e: spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in e], "a binary, b binary")
+    labels = near_dup.components(edges((1, 2), (2, 3), (5, 6), (8, 9)))
+    got = near_dup.merged(labels, edges((3, 6), (20, 21), (9, 30)))
+    assert {r["node"][0]: r["label"][0] for r in got.collect()} == {
+        1: 1, 2: 1, 3: 1, 5: 1, 6: 1, 8: 8, 9: 8, 30: 8, 20: 20, 21: 20}
+
+
 def test_keep_one_of_repeated_rows(spark):
     t = "some words that are the same in all of these rows"
     rows = [(1, t, 1), (1, t, 2), (2, t.upper(), 3), (None, t, 4), (7, None, 5), (7, None, 6), (8, "other words", 7)]
