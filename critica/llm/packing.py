@@ -26,7 +26,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -248,10 +248,8 @@ def island_solutions(items: DataFrame, size: int) -> DataFrame:
     return done.groupBy("shard").agg(F.max_by("bins", F.struct(-F.col("n_bins"), "fill", -F.col("island"))).alias("bins"))
 
 
-def deal(items: DataFrame, solutions: DataFrame, level: int) -> DataFrame:
-    """(uid, length, shard, bin, offset, spare): each piece's place; pieces of one length by rank."""
-    from pyspark.sql import Window
-
+def deal(items: DataFrame, solutions: DataFrame) -> DataFrame:
+    """(uid, length, shard, bin, offset, fill): each piece's place; pieces of one length by rank."""
     slots = (solutions.select("shard", F.posexplode("bins").alias("bin", "b"))
              .select("shard", "bin", F.posexplode("b").alias("place", "length"),
                      F.aggregate("b", F.lit(0), lambda a, x: a + x).alias("fill"), "b")
@@ -274,13 +272,13 @@ def pack(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None, shard_
                             F.lit(0).cast("long").alias("offset"))
     shards = -(-n // shard_pieces)
     items = small.select("uid", "length", F.pmod(F.xxhash64("uid"), F.lit(shards)).alias("shard"))
-    placed = stored(deal(items, island_solutions(items, size), 0), "placed")
+    placed = stored(deal(items, island_solutions(items, size)), "placed")
     tail = placed.filter(F.col("fill") < size)
     if shards > 1:
         m = tail.count()
         again = -(-m // shard_pieces)
         rest = tail.select("uid", "length", F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(again)).alias("shard"))
-        second = stored(deal(rest, island_solutions(rest, size), 1), "placed")
+        second = stored(deal(rest, island_solutions(rest, size)), "placed")
         bins = lambda df: df.select("shard", "bin").distinct().count()
         if m and bins(second) <= bins(tail):
             placed = placed.filter(F.col("fill") == size).withColumn("level", F.lit(0)).unionByName(

@@ -21,8 +21,6 @@ pair. Null text has no words; repeated rows are repeats of each other."""
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
