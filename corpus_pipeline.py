@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in at least 10 documents removed everywhere."""
-    out = line_dedup.dedup_lines(docs.select("doc_id", "text", "lang", "source"))
+    """Lines found in at least 10 documents removed; where they are over half of a document, their first occurrence stays."""
+    out = line_dedup.dedup_lines(docs.select("doc_id", "text", "lang", "source"), keep="text")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

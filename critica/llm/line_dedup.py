@@ -15,11 +15,14 @@ Definitions. A line's key is the line stripped of ASCII white space with A-Z low
 is a document, also where ``doc_id`` repeats or is null. Null text is one empty line. Keys shorter
 than ``min_chars`` code points are never dropped. ``keep="none"`` drops every line of a repeated key,
 ``keep="first"`` keeps its first occurrence (smallest doc_id, nulls last; then smallest line
-number; copies of one row share that choice)."""
+number; copies of one row share that choice). ``keep="text"`` drops them as "none" does, except that among
+documents that would lose over half of their text (bytes of stripped lines) the first occurrence stays: there the
+repeated lines are copied text, which would otherwise be gone with its last copy."""
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -121,19 +124,24 @@ def twice_filter(docs: DataFrame, log2_bits: int, min_chars: int) -> np.ndarray:
 
 
 def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int, log2_bits: int) -> tuple[DataFrame, DataFrame]:
-    """(suspects: row key, key, first line number; repeated keys with their exact document count)."""
+    """(suspects: row key, key, first line number, bytes of the key's lines and of all lines; repeated keys with their
+    exact document count)."""
     spark = docs.sparkSession
     twice = spark.sparkContext.broadcast(twice_filter(docs, log2_bits, min_chars))
 
     def suspects(batches):
         bits = twice.value
         for batch in batches:
-            rows, out_keys, out_lines = [], [], []
+            rows, out_keys, out_lines, out_bytes, out_totals = [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 first: dict[bytes, int] = {}
+                found, total = Counter(), 0
                 for n, line in enumerate(text.encode().split(b"\n")):
-                    if _long_enough(k := line_key(line), min_chars):
+                    k = line_key(line)
+                    total += len(k)
+                    if _long_enough(k, min_chars):
                         first.setdefault(k, n)
+                        found[k] += 1
                 if first:
                     keys = list(first)
                     hit = _test(bits, _positions(keys, log2_bits))
@@ -141,18 +149,38 @@ def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int, log2_bits: in
                         rows.append(i)
                         out_keys.append(k)
                         out_lines.append(first[k])
+                        out_bytes.append(found[k] * len(k))
+                        out_totals.append(total)
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(at), batch.column("text_hash").take(at),
-                 pa.array(out_keys, pa.binary()), pa.array(out_lines, pa.int32())],
-                ["doc_id", "text_hash", "key", "line"])
+                 pa.array(out_keys, pa.binary()), pa.array(out_lines, pa.int32()),
+                 pa.array(out_bytes, pa.int64()), pa.array(out_totals, pa.int64())],
+                ["doc_id", "text_hash", "key", "line", "bytes", "total"])
 
     found = stored(docs.select("doc_id", "text_hash", "text")
-                   .mapInArrow(suspects, "doc_id long, text_hash long, key binary, line int"), "suspects")
+                   .mapInArrow(suspects, "doc_id long, text_hash long, key binary, line int, bytes long, total long"), "suspects")
     counts = found.groupBy("key").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
     return found, counts
 
 
+def _grouped(drops: DataFrame) -> DataFrame:
+    return drops.groupBy(*ROW_KEY).agg(F.collect_set(F.struct("key", "spare")).alias("drops"))
+
+
+def _spared(drops: DataFrame) -> DataFrame:
+    """Each row's dropped keys, with the line that stays in the row that has the key first, else -1."""
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
+    first = (drops.withColumn("at", order).groupBy("key").agg(F.min("at").alias("at"))
+             .select("key", F.col("at.doc_id").alias("doc_id"), F.col("at.text_hash").alias("text_hash"),
+                     F.lit(True).alias("is_first")))
+    return _grouped(drops.alias("d").join(
+        first.alias("f"), (F.col("d.key") == F.col("f.key")) & F.col("d.doc_id").eqNullSafe(F.col("f.doc_id"))
+        & (F.col("d.text_hash") == F.col("f.text_hash")), "left").select(
+        "d.doc_id", "d.text_hash", "d.key",
+        F.when(F.col("f.is_first"), F.col("d.line")).otherwise(F.lit(-1)).alias("spare")))
+
+
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none",
                 log2_bits: int = LOG2_BITS) -> DataFrame:
     """doc_id, n_lines, n_dropped, text (without the dropped lines) and the input's other columns.
@@ -163,19 +191,15 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
     docs = with_row_key(docs, *extra)
     found, counts = repeated_lines(docs, min_docs, min_chars, log2_bits)
     drops = salted_join(found, counts, "key", "text_hash", "left_semi")
-    if keep == "first":
-        order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
-        first = (drops.withColumn("at", order).groupBy("key").agg(F.min("at").alias("at"))
-                 .select("key", F.col("at.doc_id").alias("doc_id"), F.col("at.text_hash").alias("text_hash"),
-                         F.lit(True).alias("is_first")))
-        drops = drops.alias("d").join(
-            first.alias("f"), (F.col("d.key") == F.col("f.key")) & F.col("d.doc_id").eqNullSafe(F.col("f.doc_id"))
-            & (F.col("d.text_hash") == F.col("f.text_hash")), "left").select(
-            "d.doc_id", "d.text_hash", "d.key",
-            F.when(F.col("f.is_first"), F.col("d.line")).otherwise(F.lit(-1)).alias("spare"))
+    if keep == "text":
+        lost = drops.groupBy(*ROW_KEY, "total").agg(F.collect_set(F.struct("key", "line", "bytes")).alias("drops"))
+        sizes = F.aggregate("drops", F.lit(0).cast("long"), lambda n, x: n + x["bytes"])
+        lost = stored(lost.select(*ROW_KEY, "drops", (sizes * 2 > F.col("total")).alias("mostly")), "lost")
+        copied = lost.filter("mostly").select(*ROW_KEY, F.explode("drops").alias("d")).select(*ROW_KEY, "d.key", "d.line")
+        drops = _spared(copied).unionByName(lost.filter("not mostly").select(
+            *ROW_KEY, F.transform("drops", lambda x: F.struct(x["key"].alias("key"), F.lit(-1).alias("spare"))).alias("drops")))
     else:
-        drops = drops.withColumn("spare", F.lit(-1))
-    drops = drops.groupBy(*ROW_KEY).agg(F.collect_set(F.struct("key", "spare")).alias("drops"))
+        drops = _spared(drops) if keep == "first" else _grouped(drops.withColumn("spare", F.lit(-1)))
     joined = docs.alias("a").join(
         drops.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
         & (F.col("a.text_hash") == F.col("b.text_hash")), "left").select(

@@ -434,6 +434,26 @@ def test_pipeline_stage_by_stage(spark):
         (r["doc_id"], r["piece"], r["ids_crc32"]) for r in last)
 
 
+def test_pipeline_keeps_one_of_many_copies(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    line = lambda: " ".join(words_of(rng, 12, 5000)) + "."
+    copied = "\n".join(line() for _ in range(4))
+    rows = [(i, copied if i % 2 else "\n".join(line() for _ in range(4)), "en", "s", 0) for i in range(24)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "no such passage")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen = {}
+
+    def pack(spark, docs, sf_dir):
+        seen.update(texts_of(docs))
+        return corpus_pipeline.packed(spark, docs, sf_dir)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*corpus_pipeline.STAGES[:-1], ("best_fit_packing", pack)])
+    packed = [r.asDict() for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert [i for i, t in seen.items() if t == copied] == [1]
+    assert {i: t for i, t in seen.items() if t and i != 1} == {r[0]: r[1] for r in rows if r[0] % 2 == 0}
+    brute.check_packing(packed, seen, packing.load_encoder(packing.default_tokenizer()))
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracles(spark, duck, name):
     df = queries.queries()[name](spark, SF_SMALL)
