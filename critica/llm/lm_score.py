@@ -3,7 +3,8 @@
 Learning documents are those whose crc32(doc_id as text) modulo 10 is not 0. Tokens are the words, A-Z
 lower-cased, then one end; the end also stands before the first word.
 
-1. Word counts by exchange (see ``batches``): each batch gets the corpus count of its words.
+1. Word counts by exchange (see ``batches``): each batch gets the corpus count of its words, and their ranks among
+   all words of the corpus.
 2. Word pairs by exchange: a shard gets, from every batch, contexts with their totals, and successors with
    counts. It builds a trie of the learnt pairs and answers each batch's pairs from it. A context
    with more than ``HOT_CONTEXT`` occurrences is spread over all shards by successor.
@@ -17,7 +18,8 @@ Successors are looked up relative to their context: rank plus the context's base
 
 p(w2 | w1) = share + p(w2) * (MIX + (1 - MIX) * PRIOR / (c1 + PRIOR)), with p(w2) = (c + 0.1) / (N + 0.1 * (V + 1)).
 
-Words meet as 64-bit hashes, pairs as 32 bits of each word. Null text has the end only; a null doc_id counts
+Words meet as 64-bit hashes, pairs as the 32-bit ranks of both words, which no two words share (more than 2^32
+distinct words are an error). Null text has the end only; a null doc_id counts
 as held out; repeated rows are learnt and scored one by one; with nothing to learn p(w2) is 1."""
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from critica.llm.batches import (SHARD_NAMES, SHARD_SCHEMA, SHARD_TYPES, batch_table, concat_replies, merged, pack,
                                  rows_to_batch, send, shards_for, unpack, with_replies)
 from critica.llm.common import TO_LOWER, stored
-from critica.llm.word_hash import WordHashes, mix
+from critica.llm.word_hash import WordHashes, combine
 
 MIX = 0.3
 PRIOR = 4.0
@@ -63,22 +65,33 @@ def tokenized(ids: list, texts: list[str], hashes: WordHashes):
 
 
 def pairs_of(words, at, edges, learnt, hashes, counts, shards):
-    """Distinct (context, successor) pairs in (shard, key) order: keys, shard, context totals, learnt counts, and each
-    token's place among them."""
+    """Distinct (context, successor) pairs in (shard, key) order: both words' places in ``words``, shard, context totals,
+    learnt counts, and each token's place among them."""
     before = np.empty_like(at)
     before[1:] = at[:-1]
     before[edges[:-1]] = np.searchsorted(words, np.uint64(hashes[END]))
     code, where = np.unique(before << 32 | at, return_inverse=True)
     seen = np.bincount(where, weights=learnt, minlength=len(code)).astype(np.int64)
-    context, successor = words[code >> 32] >> np.uint64(32), words[code & 0xFFFFFFFF] >> np.uint64(32)
-    key = context << np.uint64(32) | successor
-    total = counts[code >> 32]
-    spread = np.where(total > HOT_CONTEXT, mix(key) >> np.uint64(32), context)
+    context, successor = code >> 32, code & 0xFFFFFFFF
+    total = counts[context]
+    spread = np.where(total > HOT_CONTEXT, combine(words[context], words[successor]), words[context]) >> np.uint64(32)
     shard = (spread * np.uint64(shards)) >> np.uint64(32)
-    order = np.lexsort((key, shard))
+    order = np.lexsort((code, shard))
     place = np.empty_like(order)
     place[order] = np.arange(len(order))
-    return key[order], shard[order].astype(np.int64), total[order], seen[order], place[where]
+    return context[order], successor[order], shard[order].astype(np.int64), total[order], seen[order], place[where]
+
+
+def counts_and_ranks(replies: list[dict] | None, bases: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Corpus counts of a batch's words, and (with each shard's first rank) their ranks."""
+    counts, ranks = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for r in replies or ():
+        data = zlib.decompress(r["reply"])
+        n = len(data) // 12
+        counts.append(np.frombuffer(data, np.int64, n))
+        if bases is not None:
+            ranks.append(bases[r["shard"]] + np.cumsum(np.frombuffer(data, np.uint32, n, 8 * n), dtype=np.uint64))
+    return np.concatenate(counts), np.concatenate(ranks) if bases is not None else None
 
 
 def _send_words(shards: int):
@@ -93,21 +106,24 @@ def _send_words(shards: int):
 
 
 def _count_words(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Each batch's totals; on the first row also the shard's known words and learnt tokens."""
+    """Each batch's totals, and the steps between its words' places in the shard; on the first row also the shard's
+    words, known words and learnt tokens."""
     _, totals, places = merged(pdf, np.uint32)
-    out = pd.DataFrame({"batch": pdf["batch"], "shard": pdf["shard"], "reply": [pack(totals[p]) for p in places],
-                        "known": 0, "tokens": 0})
-    out.loc[out.index[0], ["known", "tokens"]] = int((totals > 0).sum()), int(totals.sum())
+    replies = [zlib.compress(totals[p].tobytes() + np.diff(p, prepend=np.uint32(0)).tobytes(), 1) for p in places]
+    out = pd.DataFrame({"batch": pdf["batch"], "shard": pdf["shard"], "reply": replies, "words": 0, "known": 0, "tokens": 0})
+    out.loc[out.index[0], ["words", "known", "tokens"]] = len(totals), int((totals > 0).sum()), int(totals.sum())
     return out
 
 
-def _send_pairs(shards: int):
+def _send_pairs(shards: int, bases):
     def run(batches):
-        hashes = WordHashes()
+        hashes, starts = WordHashes(), bases.value
         for b in batches:
             for batch, ids, texts, replies in zip(*(b.column(c).to_pylist() for c in ("batch", "doc_id", "text", "words"))):
                 words, at, edges, learnt = tokenized(ids, texts, hashes)
-                key, shard, total, seen, _ = pairs_of(words, at, edges, learnt, hashes, concat_replies(replies, np.int64), shards)
+                counts, ranks = counts_and_ranks(replies, starts)
+                context, successor, shard, total, seen, _ = pairs_of(words, at, edges, learnt, hashes, counts, shards)
+                key = ranks[context] << np.uint64(32) | ranks[successor]
                 cuts = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
                 rows = []
                 for x, y in zip(cuts[:-1], cuts[1:]):
@@ -231,8 +247,8 @@ def _score(shards: int, known: int, tokens: int):
         for b in batches:
             for ids, texts, replies, codes in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "words", "pairs"))):
                 words, at, edges, learnt = tokenized(ids, texts, hashes)
-                counts = concat_replies(replies, np.int64)
-                _, _, _, _, place = pairs_of(words, at, edges, learnt, hashes, counts, shards)
+                counts, _ = counts_and_ranks(replies)
+                *_, place = pairs_of(words, at, edges, learnt, hashes, counts, shards)
                 p = (counts + 0.1) / (tokens + 0.1 * (known + 1))
                 before = np.empty_like(at)
                 before[1:] = at[:-1]
@@ -253,11 +269,17 @@ def score(docs: DataFrame) -> DataFrame:
     batches = batch_table(docs)
     shards = shards_for(batches, 0.2)
     words = stored(batches.mapInArrow(_send_words(shards), SHARD_SCHEMA).groupBy("shard").applyInPandas(
-        _count_words, "batch long, shard long, reply binary, known long, tokens long"), "words")
+        _count_words, "batch long, shard long, reply binary, words long, known long, tokens long"), "words")
     row = words.agg(F.sum("known"), F.sum("tokens")).first()
     known, tokens = row[0] or 0, row[1] or 0
+    sizes = np.zeros(shards + 1, np.int64)
+    for r in words.filter("words > 0").select("shard", "words").collect():  # one row a shard
+        sizes[r["shard"] + 1] = r["words"]
+    if sizes.sum() > 1 << 32:
+        raise ValueError("op10: more than 2^32 distinct words")
+    bases = docs.sparkSession.sparkContext.broadcast(np.cumsum(sizes).astype(np.uint64))
     with_words = with_replies(batches, words, "words")
-    sent = with_words.mapInArrow(_send_pairs(shards), PAIR_SCHEMA)
+    sent = with_words.mapInArrow(_send_pairs(shards, bases), PAIR_SCHEMA)
     pairs = sent.groupBy("shard").applyInPandas(_answer_pairs, "batch long, shard long, reply binary")
     return with_replies(with_words, pairs, "pairs").mapInArrow(
         _score(shards, known, tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "

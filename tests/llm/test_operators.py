@@ -295,6 +295,23 @@ def test_lm_hot_context_is_spread(odd, monkeypatch):
     assert {i: round(r["score"], 9) for i, r in by_id(lm_score.op10(odd)).items()} == {i: round(r["score"], 9) for i, r in plain.items()}
 
 
+def test_lm_words_of_equal_upper_hash(spark, monkeypatch):
+    """Words that agree in the upper half of their hashes keep their own totals and successors."""
+    import xxhash
+    seen, twins = {}, []
+    for i in range(300_000):
+        twin = seen.setdefault(xxhash.xxh3_64_intdigest(f"w{i}".encode()) >> 32, f"w{i}")
+        if twin != f"w{i}":
+            twins.append((twin, f"w{i}"))
+    assert twins
+    rows = [(i, " ".join([f"{a} x{i % 3} {b} y" for a, b in twins] + [f"{a} x0" for a, _ in twins] * 5)) for i in range(1, 40)]
+    rows += [(100 + i, " ".join(f"{b} x{i % 3} {b} {a}" for a, b in twins)) for i in range(5)]
+    want = brute.lm(rows, lm_score.MIX, lm_score.PRIOR)
+    got = by_id(lm_score.op10(spark.createDataFrame(rows, "doc_id long, text string")))
+    for i, (_, n, *_, full) in want.items():
+        assert abs(got[i]["score"] - full) <= lm_score.STEP / 2 * n + 1e-9
+
+
 def test_elias_fano_round_trip():
     import numpy as np
     rng = np.random.default_rng(1)
