@@ -1,8 +1,9 @@
 """Personal data: fixed patterns, then bootstrapped contextual extraction, in DataFrame functions only.
 
 Seeds are the validated base matches (score 1 for their kind). A lexical pattern is the two words
-before an entity, lower-cased, digits as 0. Candidates are identifier-shaped tokens outside all base
-spans. Patterns and instances form a bipartite graph, scored in ``rounds`` rounds:
+before an entity, lower-cased, digits as 0. Candidates are, outside all base spans, identifier-shaped tokens
+and runs of digit groups written with spaces. A token inside a run is not counted as a further instance of its
+pattern, and gives way where both become spans. Patterns and instances form a bipartite graph, scored in ``rounds`` rounds:
 
 * confidence of a pattern for a kind = sum of its instances' scores / (distinct instances + 1), where
   a pattern needs ``min_support`` distinct seed instances of that kind;
@@ -32,6 +33,8 @@ KINDS = [
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 ]
 # Tokens that may be identifiers, and the least form of each kind.
+RUN = Kind("run", r"(?<![^\x20\x09-\x0D])[(\[]?+[0-9]++(?:(?:[.-]|\x20-\x20|[()\[\]][\x20-]?+|\x20[(\[]?+)[0-9]++(?![A-Za-z_@]))++",
+           r"[0-9][)\]]?\x20")
 CANDIDATE = Kind("candidate", r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+", "[0-9@]")
 FORM = [r".@.", r"[0-9]\D+[0-9]+\D+[0-9]+\D+[0-9]", r"([0-9]\D?){12}", r"([0-9]\D?){7}"]
 CONTEXT = 48
@@ -65,9 +68,9 @@ def pattern() -> Column:
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """Stored: valid base matches and the candidates outside them, with their patterns."""
-    found = located(docs.select("doc_id", "text"), [*KINDS, CANDIDATE], CONTEXT)
-    base, token = F.col("kind") < len(KINDS), F.col("kind") == len(KINDS)
-    found = found.withColumn("kind", F.when(token | base_valid(), F.col("kind")))  # failed matches keep their document
+    found = located(docs.select("doc_id", "text"), [*KINDS, RUN, CANDIDATE], CONTEXT)
+    base, run, token = F.col("kind") < len(KINDS), F.col("kind") == len(KINDS), F.col("kind") > len(KINDS)
+    found = found.withColumn("kind", F.when(token | F.when(run, F.contains("match", F.lit(" "))).otherwise(base_valid()), F.col("kind")))  # failed matches keep their document
     by_start = Window.partitionBy("uid").orderBy("start", "kind")
     found = found.withColumns({
         "base_end": F.max(F.when(base, F.col("end"))).over(by_start.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
@@ -76,27 +79,29 @@ def occurrences(docs: DataFrame) -> DataFrame:
     outside = (F.coalesce(F.col("base_end"), F.lit(0)) <= F.col("start")) & (
         F.coalesce(F.col("base_start"), F.col("end")) >= F.col("end"))
     found = found.withColumn("kind", F.when(base | outside, F.col("kind")))
-    instance = F.when(token, F.regexp_replace("match", r"^[(\[{<\"']+|[)\]}>\"'.,;:!?]+$", "")).otherwise(F.col("match"))
-    return stored(found.select("uid", "doc_id", "kind", "start", "end", instance.alias("instance"),
+    found = found.withColumn("inner", token & (F.coalesce(F.max(F.when(run, F.col("end"))).over(
+        by_start.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)) > F.col("start")))
+    instance = F.when(run | token, F.regexp_replace("match", r"^[(\[{<\"']+|[)\]}>\"'.,;:!?]+$", "")).otherwise(F.col("match"))
+    return stored(found.select("uid", "doc_id", "kind", "start", "end", "inner", instance.alias("instance"),
                                pattern().alias("pattern")), "occurrences")
 
 
 def confidences(found: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT) -> tuple[DataFrame, DataFrame]:
     """((pattern, of_kind, confidence), (instance, of_kind, score)) after the last round."""
     edges = stored(found.filter("kind is not null and pattern is not null").groupBy("pattern", "instance").agg(
-        F.min(F.when(F.col("kind") < len(KINDS), F.col("kind"))).alias("seed")), "edges")
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
+        F.min(F.when(F.col("kind") < len(KINDS), F.col("kind"))).alias("seed"), F.min("inner").alias("inner")), "edges")
+    sizes = edges.filter("not inner").groupBy("pattern").agg(F.count("*").alias("n"))
     support = edges.filter("seed is not null").groupBy("pattern", F.col("seed").alias("of_kind")).agg(
         F.count("*").alias("support")).filter(F.col("support") >= min_support)
     patterns = support.join(sizes, "pattern")
-    open_edges = edges.filter("seed is null").select("pattern", "instance")
+    open_edges = edges.filter("seed is null").select("pattern", "instance", "inner")
     confident = patterns.select("pattern", "of_kind", (F.col("support") / (F.col("n") + 1)).alias("confidence"))
     for _ in range(rounds):
         confident = stored(confident, "patterns")
         scores = (open_edges.join(confident, "pattern").groupBy("instance", "of_kind")
                   .agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score")))
         scores = stored(scores, "scores")
-        gained = open_edges.join(scores, "instance").groupBy("pattern", "of_kind").agg(F.sum("score").alias("gain"))
+        gained = open_edges.filter("not inner").join(scores, "instance").groupBy("pattern", "of_kind").agg(F.sum("score").alias("gain"))
         confident = patterns.join(gained, ["pattern", "of_kind"], "left").select(
             "pattern", "of_kind", ((F.col("support") + F.coalesce("gain", F.lit(0.0))) / (F.col("n") + 1)).alias("confidence"))
     return confident, scores
@@ -106,11 +111,15 @@ def extract(docs: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPOR
     """One row per document (uid, doc_id) with ``spans``: array of (kind, start, end, name, base), ordered."""
     found = occurrences(docs)
     patterns, scores = confidences(found, rounds, min_support)
-    token = found.filter(F.col("kind") == len(KINDS)).drop("kind")
-    form = F.element_at(F.array(*[F.col("instance").rlike(f) for f in FORM]), F.col("of_kind") + 1)
+    token = found.filter(F.col("kind") >= len(KINDS)).withColumn("run", F.col("kind") == len(KINDS)).drop("kind")
+    shape = F.when(F.col("run"), F.regexp_replace("instance", "[^0-9]+", "-")).otherwise(F.col("instance"))
+    form = F.element_at(F.array(*[shape.rlike(f) for f in FORM]), F.col("of_kind") + 1)
+    by_start = Window.partitionBy("uid").orderBy("start", ~F.col("run")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     new = (token.join(patterns.filter(F.col("confidence") >= min_score), "pattern")
            .join(scores.filter(F.col("score") >= min_score), ["instance", "of_kind"]).filter(form)
-           .groupBy("uid", "doc_id", "start", "end").agg(F.max(F.struct("score", -F.col("of_kind"))).alias("best"))
+           .groupBy("uid", "doc_id", "start", "end", "run").agg(F.max(F.struct("score", -F.col("of_kind"))).alias("best"))
+           .withColumn("run_end", F.max(F.when(F.col("run"), F.col("end"))).over(by_start))
+           .filter(F.col("run") | F.coalesce(F.col("run_end") <= F.col("start"), F.lit(True)))
            .select("uid", "doc_id", (-F.col("best").getField("col2")).alias("kind"), "start", "end", F.lit(False).alias("base")))
     rows = (found.filter(F.col("kind").isNull() | (F.col("kind") < len(KINDS)))
             .select("uid", "doc_id", "kind", "start", "end", F.lit(True).alias("base"))

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from critica.llm.common import let
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -20,12 +22,29 @@ class Kind:
 
 
 def entries(text: Column, kinds: list[Kind], context: int = 0) -> Column:
-    """array<struct<kind, i, gap, match, before>>: ``before`` is the end of the gap, up to ``context`` characters."""
+    """array<struct<kind, i, gap, match, before>>: ``before`` is the text before the match, up to ``context`` characters.
+
+    It is put together from the gap and the pieces (gap and match) before it; a piece after the first must have two
+    characters or more."""
+    n_pieces = -(-context // 2)
+
+    def with_pieces(found: Column) -> Column:
+        def before(x: Column, i: Column) -> Column:
+            pieces = F.transform(F.slice(found, F.greatest(i - n_pieces, F.lit(0)) + 1, F.least(i, F.lit(n_pieces))),
+                                 lambda y: F.concat(y["before"], F.right(y["match"], F.lit(context))))
+            whole = F.concat(F.array_join(pieces, ""), x["before"])
+            return F.when(F.length(x["before"]) < context, F.right(whole, F.lit(context))).otherwise(x["before"])
+
+        return F.transform(found, lambda x, i: F.struct(
+            x["kind"].alias("kind"), x["gap"].alias("gap"), x["match"].alias("match"), before(x, i).alias("before")))
+
     def of(number: int, kind: Kind) -> Column:
         found = F.zip_with(
             F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)),
             lambda gap, m: F.struct(F.lit(number).alias("kind"), F.length(gap).alias("gap"), m.alias("match"),
                                     F.right(gap, F.lit(context)).alias("before")))
+        if context:
+            found = let(found, with_pieces)
         none = F.array().cast("array<struct<kind:int,gap:int,match:string,before:string>>")
         return F.when(text.rlike(kind.hint), F.filter(found, lambda x: x["match"].isNotNull())).otherwise(none)
 

@@ -108,6 +108,18 @@ def test_personal_contexts_reveal_unseen_identifiers(spark):
     assert got[100]["n_phone"] == 0 and got[101]["spans"] == "" and got[102]["spans"] == ""
 
 
+def test_personal_contexts_with_digits_and_spaced_identifiers(spark):
+    rows = [(i, f"help 24h call +1 (743) 555-{1000 + i} or so") for i in range(30)]
+    rows += [(40 + i, f"and Mail: a{i}@b.org Phone: +1 (743) 555-{3000 + i}") for i in range(10)]
+    rows += [(60 + i, f"please call me +1 (743) 555-{2000 + i} or so") for i in range(30)]
+    want = {100: ("ask our 24h call 5551234567 now", "5551234567"), 101: ("then call me 0171 555 1234 today", "0171 555 1234"),
+            102: ("x1 y2 24h call (0171) 555-1234 today", "(0171) 555-1234"), 103: ("24h call 12 people", None)}
+    got = by_id(pii.op3(spark.createDataFrame(rows + [(i, t) for i, (t, _) in want.items()], "doc_id long, text string")))
+    for i, (text, found) in want.items():
+        at = text.index(found) if found else 0
+        assert got[i]["spans"] == (f"phone:{at}:{at + len(found)}" if found else ""), (i, got[i])
+
+
 def test_quality(docs):
     texts, got = texts_of(docs), by_id(quality.op6(docs))
     for i, t in texts.items():
