@@ -1,8 +1,8 @@
 """Secret scan: fixed patterns, and a log-likelihood ratio of two character Markov models.
 
 One model is of random strings, the other of ordinary identifiers; both are first-order over 68
-character classes, backing off to single characters. Both learn from a sample of about ``sample_docs`` documents (those whose hash is
-below a share of its range: the same on every run, without a sort):
+character classes, backing off to single characters. Each learns from about ``sample_tokens`` tokens of the whole table, or
+all of them if there are fewer (those whose hash is below a share of its range: the same on every run, without a sort):
 * random: what the base patterns matched;
 * ordinary: words in the shape of identifiers (runs of small letters, each with one capital at most before it,
   joined by ``_`` or ``-``; two closing digits at most).
@@ -22,8 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from critica.llm.common import let
-from critica.llm.spans import Kind, count, digest, located
+from critica.llm.common import let, stored
+from critica.llm.spans import Kind, count, digest, entries, located
 
 # The base patterns, least lengths, and the classes of characters.
 KINDS = [
@@ -37,7 +37,7 @@ CANDIDATE = Kind("random", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+", r"[A-
 ORDINARY = Kind("word", r"(?<![A-Za-z0-9+/_=-])(?:[A-Z]?+[a-z]++[_-]?+)++(?:[0-9]{1,2})?+(?![A-Za-z0-9+/_=-])", r"[a-z]")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 CLASSES = len(ALPHABET)
-SAMPLE_DOCS = 20_000
+SAMPLE_TOKENS = 2_000_000
 MIN_RATIO = 1.0
 BACK_OFF = 8
 
@@ -60,14 +60,23 @@ def codes(token: Column) -> Column:
         F.sequence(F.lit(0), F.size(at) - 2), lambda i: F.get(at, i) * CLASSES + F.get(at, i + 1)))
 
 
-def ratio_table(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
+def sampled(tokens: DataFrame, n: int, sample_tokens: int) -> DataFrame:
+    """About ``sample_tokens`` of ``n`` rows, by their ``hash``."""
+    top = min(2 ** 64 - 1, (2 ** 64 - 1) * sample_tokens // max(n, 1)) - 2 ** 63
+    return tokens.filter(F.col("hash") <= top).select("token", "label")
+
+
+def ratio_table(docs: DataFrame, sample_tokens: int = SAMPLE_TOKENS) -> list[float]:
     """log2 P(next | previous, random) - log2 P(next | previous, ordinary), flattened."""
-    n = docs.count()
-    top = min(2 ** 64 - 1, (2 ** 64 - 1) * sample_docs // max(n, 1)) - 2 ** 63
-    sample = docs.filter(F.xxhash64("doc_id", "text") <= top)
-    random = located(sample, KINDS).filter(base_valid()).select(payload().alias("token"), F.lit(1).alias("label"))
-    word = located(sample, [ORDINARY]).filter("kind = 0 and length(match) > 3").select(
-        F.col("match").alias("token"), F.lit(0).alias("label"))
+    row = F.xxhash64("doc_id", "text").alias("row")
+    words = F.filter(F.regexp_extract_all("text", F.lit(ORDINARY.pattern), F.lit(0)), lambda w: F.length(w) > 3)
+    hashed = F.xxhash64("row", "pos").alias("hash")
+    found = stored(docs.select(row, entries(F.col("text"), KINDS).alias("e"), F.size(words).alias("words")), "labels")
+    random = (found.select("row", F.posexplode("e").alias("pos", "e")).select("row", "pos", "e.kind", "e.match")
+              .filter(base_valid()).select(payload().alias("token"), F.lit(1).alias("label"), hashed))
+    word = docs.select(row, F.posexplode(words).alias("pos", "token")).select("token", F.lit(0).alias("label"), hashed)
+    random = sampled(random, random.count(), sample_tokens)
+    word = sampled(word, found.agg(F.sum("words")).first()[0] or 0, sample_tokens)
     pairs = (random.unionByName(word).select("label", F.explode(codes(F.col("token"))).alias("code"))
              .groupBy("label", "code").count().collect())  # at most 2 * 68 * 68 rows
     counts = [[0] * (CLASSES * CLASSES) for _ in range(2)]
@@ -84,11 +93,11 @@ def ratio_table(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
     return [a - b for a, b in zip(logs[1], logs[0])]
 
 
-def scan(docs: DataFrame, min_ratio: float = MIN_RATIO, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def scan(docs: DataFrame, min_ratio: float = MIN_RATIO, sample_tokens: int = SAMPLE_TOKENS) -> DataFrame:
     """One row per document (uid, doc_id) with ``spans``: array of (start, kind, name, end, score) in the order of
     start, then kind. ``score`` is the ratio in bits a character, null for base spans."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ratios = F.from_json(F.lit(json.dumps([round(x, 3) for x in ratio_table(docs, sample_docs)])), "array<double>")
+    ratios = F.from_json(F.lit(json.dumps([round(x, 3) for x in ratio_table(docs, sample_tokens)])), "array<double>")
     found = located(docs, [*KINDS, CANDIDATE])
     base, token = F.col("kind") < len(KINDS), F.col("kind") == len(KINDS)
     found = found.withColumn("kind", F.when(token | base_valid(), F.col("kind")))  # failed matches keep their document

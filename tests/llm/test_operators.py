@@ -87,6 +87,21 @@ def test_secret_model_finds_random_strings(spark):
     assert sum(got[2000 + i]["n_random"] for i in range(40)) == 0
 
 
+def test_secret_model_learns_rare_secrets(spark):
+    """A secret in 1 of 10,000 documents, of more documents than were once sampled."""
+    rng = random.Random(4)
+    rand = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    rows = [(i, "parse_config_file customer_order_history") for i in range(400_000)]
+    for i in range(0, 400_000, 10_000):
+        rows[i] = (i, f"token={rand(400)}")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    whole, part = secret_scan.ratio_table(docs), secret_scan.ratio_table(docs.filter("doc_id % 10000 = 0 or doc_id < 15000"))
+    at = lambda t, x: t[secret_scan.ALPHABET.index(x[0]) * secret_scan.CLASSES + secret_scan.ALPHABET.index(x[1])]
+    assert at(whole, "7Q") > 1 and abs(at(whole, "7Q") - at(part, "7Q")) < 6
+    few = secret_scan.ratio_table(docs, 200)
+    assert any(few) and at(few, "or") < 0
+
+
 def test_personal(docs):
     texts, got = texts_of(docs), by_id(pii.op3(docs))
     assert got.keys() == texts.keys()
