@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from critica.llm import warc
+from critica.llm import prefix_trie, warc
+from critica.llm.bpe import op12
 from critica.llm.common import table
 from critica.llm.decontaminate import op5
 from critica.llm.line_dedup import op9
 from critica.llm.lm_score import op10
 from critica.llm.near_dup import op4
 from critica.llm.packing import op1
+from critica.llm.periodic import op11
 from critica.llm.pii import op3
 from critica.llm.quality import op6
 from critica.llm.secret_scan import op8
@@ -26,12 +28,14 @@ def queries():
             "op4_near_dup": _docs(op4),
             "op5_decontaminate": lambda spark, sf_dir: op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
             "op6_quality_rules": _docs(op6), "op7_substring_dedup": _docs(op7),
-            "op8_secret_scan": _docs(op8), "op9_line_dedup": _docs(op9), "op10_lm_score": _docs(op10)}
+            "op8_secret_scan": _docs(op8), "op9_line_dedup": _docs(op9), "op10_lm_score": _docs(op10),
+            "op11_periodic_runs": _docs(op11), "op12_bpe_codec": _docs(op12),
+            "op13_prefix_trie": lambda spark, sf_dir: prefix_trie.op13(table(spark, sf_dir, "conversations"))}
 
 
 def oracle_sql():
     return {"op2_warc_revisits": OP2_SQL, "op4_near_dup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_quality_rules": OP6_SQL,
-            "op9_line_dedup": OP9_SQL}
+            "op9_line_dedup": OP9_SQL, "op13_prefix_trie": OP13_SQL}
 
 
 OP9_SQL = r"""
@@ -132,3 +136,27 @@ c AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_st
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND (n_words - n_words_kept) <= n_words * 0.5 AS kept FROM c
 """
+
+# CRC-32 by its definition: the reflected polynomial 0xEDB88320, a bit at a time.
+OP13_SQL = r"""
+WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, strlen(coalesce(text, '')) AS b,
+        sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT c, k, b, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, k) - 1 AS p FROM t),
+h AS (SELECT c, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [ord(x)::BIGINT FOR x IN string_split(c::VARCHAR, '')]),
+        lambda a, v: list_reduce(list_prepend(xor(a, v), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+          lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END))) % 9 AS h FROM (SELECT DISTINCT c FROM t)),
+u AS (SELECT h.c, p, k, b FROM h JOIN p ON p.c = h.c - h.c % 5 AND p < h UNION ALL SELECT h.c, p, k, b FROM h JOIN p USING (c) WHERE p >= h),
+q AS (SELECT h.c, coalesce(list(k ORDER BY p) FILTER (k IS NOT NULL), []) AS ks, coalesce(list(b ORDER BY p) FILTER (k IS NOT NULL), []) AS bs
+      FROM h LEFT JOIN u USING (c) GROUP BY h.c),
+m AS (SELECT c, ks, bs, unnest(range(0, len(ks) + 1)) AS d FROM q),
+n AS (SELECT array_to_string(ks[1:d], ' ') AS node, any_value(array_to_string(ks[1:d - 1], ' ')) AS up, any_value(ks[1:d]) AS ks, any_value(d) AS d, min(c) AS c,
+        count(*) AS convs, any_value(CASE WHEN d > 0 THEN bs[d] ELSE 0 END) AS b,
+        sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(ks) = d), '')) AS ends FROM m GROUP BY node, d = 0),
+k AS (SELECT up, count(*) AS kids FROM n WHERE d > 0 GROUP BY up),
+f AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN k ON k.up = n.node),
+a AS (SELECT array_to_string(ks[1:e], ' ') AS node, count(*) FILTER (kids = 0) AS leaves, sum((convs - 1) * b) AS saved
+      FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM f) GROUP BY 1)
+SELECT f.c AS conv_id, f.d AS depth, g.c AS parent_conv_id, f.convs AS n_convs, f.kids AS n_children, a.leaves AS n_leaves,
+  CAST(a.saved AS BIGINT) AS saved_tokens, f.ends AS ends_sha256
+FROM f JOIN a USING (node) LEFT JOIN n g ON g.node = f.up AND f.d > 0
+"""
