@@ -31,6 +31,7 @@ import heapq
 import json
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -48,6 +49,7 @@ HOLD = 1024          # characters of a pre-token before it is left open
 CHUNK = 512          # bytes that a transducer gathers beyond its lookahead
 CACHED_BYTES = 64    # longest pre-token kept in the cache
 CACHE_WORDS = 200_000
+NO_RULE = 1 << 60
 
 
 def default_tokenizer() -> str:
@@ -82,7 +84,7 @@ def sufficient_lookahead(merges: list[tuple[str, str]]) -> int:
 
 
 class Model:
-    """A byte-level BPE file: ids, merges by pair of ids, lookahead, bytes of each id."""
+    """A byte-level BPE file: ids, the rank of each pair of ids and the id it makes, lookahead, bytes of each id."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -96,7 +98,8 @@ class Model:
         vocab, letters = model["vocab"], byte_letters()
         to_byte = {c: b for b, c in enumerate(letters)}
         self.byte_ids = [vocab.get(c) for c in letters]
-        self.pairs = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
+        self.ranks = {vocab[a] << 32 | vocab[b]: rank for rank, (a, b) in enumerate(merges)}
+        self.made = [vocab[a + b] for a, b in merges]
         self.lookahead = sufficient_lookahead(merges)
         self.bytes = {i: bytes(to_byte[c] for c in t) for t, i in vocab.items()}
         self.added = {}
@@ -105,29 +108,50 @@ class Model:
                 raise ValueError(f"{path}: added token {t['content']!r} takes its surroundings along")
             self.added[t["content"]] = t["id"]
             self.bytes[t["id"]] = t["content"].encode()
+        contents = sorted(self.added, key=len, reverse=True)
+        self.added_pattern = regex.compile("|".join(map(regex.escape, contents))) if contents else None
+        self.decimal = {i: str(i) for i in self.bytes}
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one run of bytes: pairs by rank, equal ranks from the left."""
         sym = [self.byte_ids[b] for b in data]
-        n, pairs = len(sym), self.pairs
+        return self._merge_long(sym) if len(sym) > CACHED_BYTES else self._merge_short(sym)
+
+    def _merge_short(self, sym: list[int]) -> list[int]:
+        """The least rank is looked for again after each merge: the quickest way for words."""
+        rank_of, made = self.ranks.get, self.made
+        ranks = [rank_of(a << 32 | b, NO_RULE) for a, b in zip(sym, sym[1:])]
+        while ranks and (r := min(ranks)) != NO_RULE:
+            i = ranks.index(r)
+            sym[i] = new = made[r]
+            del sym[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank_of(new << 32 | sym[i + 1], NO_RULE)
+            if i:
+                ranks[i - 1] = rank_of(sym[i - 1] << 32 | new, NO_RULE)
+        return sym
+
+    def _merge_long(self, sym: list[int | None]) -> list[int]:
+        """A heap of candidate pairs over a linked list."""
+        rank_of, made, n = self.ranks.get, self.made, len(sym)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(pairs[p][0], i, pairs[p][1], p) for i, p in enumerate(zip(sym, sym[1:])) if p in pairs]
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(sym, sym[1:])) if (r := rank_of(a << 32 | b)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, new, pair = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = after[i]
-            if j >= n or sym[i] is None or (sym[i], sym[j]) != pair:
+            if j >= n or sym[i] != a or sym[j] != b:
                 continue
-            sym[i], sym[j] = new, None
+            sym[i], sym[j] = new, _ = made[r], None
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (p := (new, sym[k])) in pairs:
-                    heapq.heappush(heap, (pairs[p][0], i, pairs[p][1], p))
+                if (q := rank_of(new << 32 | sym[k])) is not None:
+                    heapq.heappush(heap, (q, i, new, sym[k]))
             h = before[i]
-            if h >= 0 and (p := (sym[h], new)) in pairs:
-                heapq.heappush(heap, (pairs[p][0], h, pairs[p][1], p))
-        return [s for s in sym if s is not None]
+            if h >= 0 and (q := rank_of(sym[h] << 32 | new)) is not None:
+                heapq.heappush(heap, (q, h, sym[h], new))
+        return [x for x in sym if x is not None]
 
 
 class Transducer:
@@ -165,6 +189,7 @@ class Classes:
         self.library = ByteLevel(add_prefix_space=False, use_regex=True)
         self.pattern = regex.compile(PATTERN)
         self.known: set[str] = set()
+        self.odd: set[str] = set()
         self.other: dict[int, str] = {}
 
     def probe(self, c: str) -> None:
@@ -174,26 +199,45 @@ class Classes:
             whole = {"letter": (0, 3), "number": (3, 7), "other": (7, 11)}
             kind = next((k for k, s in whole.items() if s in spans), "space")
             self.other[ord(c)] = EXAMPLES[kind]
+            self.odd.add(c)
         self.known.add(c)
 
     def plain(self, text: str) -> str:
         """``text``, or a text of equal length and classes on which ``regex`` agrees with the library."""
         if text.isascii():
             return text
-        for c in set(text) - self.known:
+        letters = set(text)
+        for c in letters - self.known:
             if not c.isascii():
                 self.probe(c)
-        return text.translate(self.other) if self.other else text
+        return text if letters.isdisjoint(self.odd) else text.translate(self.other)
+
+
+class Words(dict):
+    """pre-token -> ids; long ones go through a transducer and are not kept, and all are forgotten at ``CACHE_WORDS``."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, word: str) -> Iterable[int]:
+        data = word.encode()
+        if len(data) > CACHED_BYTES:
+            stream = Transducer(self.model)
+            return [*stream.feed(data), *stream.close()]
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        ids = self[word] = tuple(self.model.merge(data))
+        return ids
 
 
 class Encoder:
     """Text in slices in, ids out. ``close`` ends the text."""
 
-    def __init__(self, model: Model, words: dict, classes: Classes, added: bool = True):
+    def __init__(self, model: Model, words: Words, classes: Classes, added: bool = True):
         self.model, self.words, self.classes = model, words, classes
-        contents = sorted(model.added, key=len, reverse=True) if added else []
-        self.added = regex.compile("|".join(map(regex.escape, contents))) if contents else None
-        self.keep = max(map(len, contents), default=1) - 1
+        self.added = model.added_pattern if added else None
+        self.keep = max(map(len, model.added)) - 1 if self.added else 0
         self.held, self.open, self.stream = "", None, None
 
     def feed(self, text: str) -> list[int]:
@@ -236,10 +280,7 @@ class Encoder:
             end -= len(tokens.pop())
             if tokens and tokens[-1][0] == "'" and end - len(tokens[-1]) + 3 > len(text):
                 end -= len(tokens.pop())
-        words = self.words
-        for t in tokens:
-            ids = words.get(t)
-            out.extend(self._word(t) if ids is None else ids)
+        out.extend(chain.from_iterable(map(self.words.__getitem__, tokens)))
         if len(text) - end > HOLD:
             tail = plain[-1]
             self.open = next(k for k, p in _CONTINUE.items() if p.fullmatch(tail))
@@ -249,16 +290,6 @@ class Encoder:
             end = stop
         return end
 
-    def _word(self, word: str) -> Iterable[int]:
-        data = word.encode()
-        if len(data) > CACHED_BYTES:
-            stream = Transducer(self.model)
-            return [*stream.feed(data), *stream.close()]
-        if len(self.words) >= CACHE_WORDS:
-            self.words.clear()
-        ids = self.words[word] = tuple(self.model.merge(data))
-        return ids
-
 
 class Decoder:
     """Ids in, text out; an unfinished character waits. Ids outside the vocabulary are skipped, as the library does."""
@@ -268,7 +299,11 @@ class Decoder:
         self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
-        return self.machine.decode(b"".join([self.bytes.get(i, b"") for i in ids]))
+        try:
+            data = b"".join(map(self.bytes.__getitem__, ids))
+        except KeyError:
+            data = b"".join([self.bytes.get(i, b"") for i in ids])
+        return self.machine.decode(data)
 
     def close(self) -> str:
         return self.machine.decode(b"", True)
@@ -279,9 +314,10 @@ _CONTINUE = {k: regex.compile(p) for k, p in CLASSES.items()}
 
 
 @cache
-def loaded(path: str) -> tuple[Model, dict, Classes]:
+def loaded(path: str) -> tuple[Model, Words, Classes]:
     """Model, word cache and classes: once a Python worker."""
-    return Model(path), {}, Classes()
+    model = Model(path)
+    return model, Words(model), Classes()
 
 
 def pieces(text: str | None, path: str, added: bool = True) -> Iterator[list[int]]:
@@ -334,13 +370,15 @@ def op12(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or default_tokenizer()
 
     def run(batches):
+        model = loaded(path)[0]
+        decimal = model.decimal.__getitem__
         for b in batches:
             counts, ids_sha, text_sha = [], [], []
             for text in b.column("text").to_pylist():
-                n, of_ids, of_text, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(loaded(path)[0])
+                n, of_ids, of_text, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(model)
                 for ids in pieces(text, path):
                     if ids:
-                        of_ids.update(("," * (n > 0) + ",".join(map(str, ids))).encode())
+                        of_ids.update(("," * (n > 0) + ",".join(map(decimal, ids))).encode())
                         of_text.update(decoder.feed(ids).encode())
                         n += len(ids)
                 of_text.update(decoder.close().encode())
