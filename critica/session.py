@@ -125,6 +125,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stored(df, name: str):
+    """Write the rows once under the shared folder and go on from the written table: lineage is cut there, and every
+    branch reads the same rows."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark._jvm
