@@ -25,6 +25,11 @@ def py_round(x, digits: int) -> Column:
     return F.floor(col(x) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once: a lambda variable is not inlined where it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
 def ustrip(x) -> Column:
     """Strip leading/trailing Unicode whitespace like Python's ``str.strip()``.
 
