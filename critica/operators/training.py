@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from critica.functions import prompts as pr
 from critica.functions.common import ustrip
 from critica.functions.critic import VERDICTS, verdict_rank
+from critica.operators.ordering import number_rows, with_position
 
 
 def expand_corruptions(df: DataFrame, n: int = 1, key: str = "query_id", answer: str = "answer",
@@ -45,40 +46,20 @@ def split_hash(df: DataFrame, by: str = "query", train_fraction: float = 0.9,
     return df.withColumn("split", F.when(b < cut, F.lit("train")).otherwise(F.lit("val")))
 
 
-def split_prefix(spark: SparkSession, df: DataFrame, order_col: str, train_fraction: float = 0.9,
-                 num_partitions: int | None = None) -> DataFrame:
-    """The first max(1, int(f*n)) rows in ``order_col`` order are train, the rest val.
-
-    A contiguous global index without a single-partition window: range-partition and sort by the
-    key, checkpoint (reliable, in the shared checkpoint folder) so both uses below see the same
-    partitions, count rows per partition (one row per partition), turn the counts into start
-    offsets with a window over that tiny table, and add the offset to each row's position
-    inside its partition."""
-    from critica.session import checkpoint_dir
-    from pyspark.sql import Window
-
-    checkpoint_dir(spark)
-    if num_partitions is None:
-        try:
-            num_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        except (TypeError, ValueError):  # e.g. "auto" on some platforms
-            num_partitions = spark.sparkContext.defaultParallelism
-    n_parts = num_partitions
-    ranged = df.repartitionByRange(n_parts, order_col).sortWithinPartitions(order_col)
-    ranged = ranged.withColumn("__pid", F.spark_partition_id()).withColumn(
-        "__mid", F.monotonically_increasing_id()).checkpoint(eager=True)
-    counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"))
-    offsets = counts.withColumn(
-        "__offset", F.coalesce(F.sum("__n").over(Window.orderBy("__pid").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0))).withColumn(
-        "__total", F.sum("__n").over(Window.orderBy("__pid").rowsBetween(
-            Window.unboundedPreceding, Window.unboundedFollowing)))
-    # ``offsets`` has one row per partition: a broadcast bounded by the partition count.
-    idx = ranged.join(F.broadcast(offsets), "__pid").withColumn(
-        "row_index", F.col("__offset") + F.col("__mid") - F.col("__first"))
+def split_prefix(df: DataFrame, order_col: str | None = None, train_fraction: float = 0.9) -> DataFrame:
+    """The first max(1, int(f*n)) rows are train, the rest val, with ``row_index`` from 0.
+
+    Rows are in file order (``df`` read from files; no shuffle). With ``order_col`` they are in that order and, where it ties, in
+    file order: a range partitioning on both, so a table with a single order value is spread over tasks too."""
+    if order_col is None:
+        idx = with_position(df, "row_index")
+    else:
+        ranked = number_rows(with_position(df, "__position"), [], [order_col, "__position"], "row_index")
+        idx = ranked.drop("__position").withColumn("row_index", F.col("row_index") - 1)
+    total = df.agg(F.count(F.lit(1)).alias("__total"))  # one row
     cut = F.greatest(F.lit(1), F.floor(F.col("__total") * F.lit(train_fraction)))
-    out = idx.withColumn("split", F.when(F.col("row_index") < cut, F.lit("train")).otherwise(F.lit("val")))
-    return out.drop("__pid", "__mid", "__n", "__first", "__offset", "__total")
+    return idx.join(F.broadcast(total)).withColumn(
+        "split", F.when(F.col("row_index") < cut, F.lit("train")).otherwise(F.lit("val"))).drop("__total")
 
 
 def first_line(text) -> "F.Column":

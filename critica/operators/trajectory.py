@@ -148,15 +148,40 @@ def non_monotonic_runs(traj: DataFrame) -> DataFrame:
     return agg.filter("has_drop").select(RUN, "n_drops", "worst_drop")
 
 
-def persistent_hallucination(traj: DataFrame) -> DataFrame:
-    """Longest streak of consecutive hallucinating critiques per run (gaps and islands:
-    a running count of clean rows labels each island), runs with a streak of 2 or more."""
-    w = _w().rowsBetween(Window.unboundedPreceding, 0)
-    isl = traj.withColumn("__grp", F.sum(F.when(F.col("has_hallucination"), 0).otherwise(1)).over(w))
-    streaks = isl.filter("has_hallucination").groupBy(RUN, "__grp").agg(F.count(F.lit(1)).alias("n"))
-    out = streaks.groupBy(RUN).agg(F.max("n").alias("longest_streak"),
-                                   F.count(F.lit(1)).alias("n_streaks"))
-    return out.filter(F.col("longest_streak") >= 2)
+def streak_summaries(df: DataFrame, flag: str, block: int = BLOCK) -> DataFrame:
+    """(run_id, block, length, prefix, suffix, longest, n_streaks) of the rows with ``flag`` in each block of ``block`` iterations (numbered
+    1, 2, 3...): what two neighbouring blocks need to know of each other."""
+    in_block = Window.partitionBy(RUN, "__block").orderBy(IT).rowsBetween(Window.unboundedPreceding, 0)
+    on = F.coalesce(F.col(flag), F.lit(False))
+    rows = df.select(RUN, IT, on.alias("__on"), F.floor((F.col(IT) - 1) / block).cast("long").alias("__block"))
+    island = rows.withColumn("__island", F.sum(F.when(F.col("__on"), 0).otherwise(1)).over(in_block))
+    sizes = island.groupBy(RUN, "__block", "__island").agg(F.sum(F.col("__on").cast("long")).alias("__n"), F.count(F.lit(1)).alias("__rows"))
+    return sizes.groupBy(RUN, F.col("__block").alias("block")).agg(
+        F.sum("__rows").alias("length"), F.sum(F.when(F.col("__island") == 0, F.col("__n")).otherwise(F.lit(0))).alias("prefix"),
+        F.max_by("__n", "__island").alias("suffix"), F.max("__n").alias("longest"),
+        F.sum(F.when(F.col("__n") > 0, 1).otherwise(0)).alias("n_streaks"))
+
+
+def streaks(summaries: DataFrame) -> DataFrame:
+    """(run_id, longest_streak, n_streaks) from block summaries. One row a block is left of a run here: the streak that
+    reaches into a block is the suffix of the last block that is not all streak, and the whole blocks since."""
+    w = Window.partitionBy(RUN).orderBy("block")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = summaries.withColumn("__end", F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    broken = F.when(F.col("longest") < F.col("length"), F.struct(F.col("suffix").alias("suffix"), F.col("__end").alias("end")))
+    rows = rows.withColumn("__last", F.last(broken, True).over(before)).withColumn("__start", F.col("__end") - F.col("length"))
+    carried = F.when(F.col("__last").isNull(), F.col("__start")).otherwise(F.col("__last.suffix") + F.col("__start") - F.col("__last.end"))
+    rows = rows.withColumn("__carried", carried)
+    joined = (F.col("__carried") > 0) & (F.col("prefix") > 0)
+    return rows.groupBy(RUN).agg(
+        F.max(F.greatest("longest", F.when(joined, F.col("__carried") + F.col("prefix")).otherwise(F.lit(0)))).alias("longest_streak"),
+        (F.sum("n_streaks") - F.sum(F.when(joined, 1).otherwise(0))).alias("n_streaks"))
+
+
+def persistent_hallucination(traj: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Longest streak of consecutive hallucinating critiques per run and the number of streaks, for runs with a streak of 2 or
+    more. Runs of any length: blocks are summarised by themselves, summaries merged."""
+    return streaks(streak_summaries(traj, "has_hallucination", block)).filter(F.col("longest_streak") >= 2)
 
 
 def stagnation_rate(rollup: DataFrame, cfg: LoopConfig = DEFAULT_LOOP) -> DataFrame:

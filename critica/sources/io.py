@@ -1,21 +1,26 @@
 """Sources and sinks S1-S6.
 
 S1 read_queries    text file, one query per line, stripped, blanks dropped
-S2 read_training   JSON lines (or a JSON array file) with an explicit schema
-S3 cap_samples     first n records in a stated order (top-k, no full sort)
+S2 read_training   JSON lines or JSON array files, both splittable, with an explicit schema
+S3 cap_samples     first n records in file order, or in a stated order
 S4 write_training  training records as JSON lines / parquet
-S5 write_report    results / summaries / improvements tables
+S5 write_report    results / summaries / improvements tables, published by a manifest
 S6 qa_pairs        (query, answer) pairs from a conversation table
 """
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from critica.functions.common import is_blank, ustrip
-from critica.operators.ordering import number_rows
+from critica.operators.ordering import number_rows, with_position
+from critica.session import stored
+from critica.sources import json_array as ja
 
 FEEDBACK_SCHEMA = T.StructType([
     T.StructField("factual_errors", T.ArrayType(T.StringType())),
@@ -61,22 +66,30 @@ def document_lines(documents: DataFrame) -> DataFrame:
 def read_training(spark: SparkSession, path: str, json_array: bool | None = None) -> DataFrame:
     """Training records with a fixed schema (no inference).
 
-    Whether the files hold one JSON array or JSON lines is told by the first text that is not blank, unless
-    ``json_array`` says so. JSON lines are splittable. A single JSON array file must be read with ``multiLine``
-    (one task per file); convert it once to JSON lines with ``write_training``."""
+    Each file holds one JSON array or JSON lines; which, is told file by file from the first character that is not blank,
+    unless ``json_array`` says so for all. Both are read by many tasks, however large a file is (``json_array.py``)."""
     reader = spark.read.schema(TRAINING_SCHEMA)
-    if json_array is None:
-        head = spark.read.text(path).filter(~is_blank(F.col("value"))).select(F.substring(ustrip(F.col("value")), 1, 1)).first()
-        json_array = head is not None and head[0] == "["
+    if json_array is False:
+        return reader.json(path)
     if json_array:
-        reader = reader.option("multiLine", "true")
-    return reader.json(path)
+        return ja.read_array(spark, path, TRAINING_SCHEMA)
+    known = stored(ja.ranges(ja.fragments(spark, path)), "ranges")
+    arrays = [r["file"] for r in ja.kinds(known).filter("is_array").collect()]  # file names only
+    if not arrays:
+        return reader.json(path)
+    in_arrays = ja.read_array(spark, arrays, TRAINING_SCHEMA)
+    others = [r["file"] for r in ja.kinds(known).filter("NOT is_array OR is_array IS NULL").collect()]
+    return in_arrays.unionByName(reader.json(others)) if others else in_arrays
 
 
 # ---------------------------------------------------------------- S3
-def cap_samples(df: DataFrame, n: int, order_by: list[Column] | list[str]) -> DataFrame:
-    """S3: the first ``n`` records in a stated total order. ``orderBy().limit()`` plans as
-    TakeOrderedAndProject: each task keeps its own top n, so no full sort or shuffle of the data."""
+def cap_samples(df: DataFrame, n: int, order_by: list[Column] | list[str] | None = None) -> DataFrame:
+    """S3: the first ``n`` records in file order (``df`` read from files), ties and all: a filter on each row's place, no sort.
+
+    With ``order_by``, a stated total order: ``orderBy().limit()`` plans as TakeOrderedAndProject, so each task
+    keeps its own top n."""
+    if order_by is None:
+        return with_position(df, "__position").filter(F.col("__position") < n).drop("__position")
     return df.orderBy(*order_by).limit(n)
 
 
@@ -87,18 +100,36 @@ def write_training(df: DataFrame, path: str, fmt: str = "json") -> None:
 
 
 # ---------------------------------------------------------------- S5
-def write_report(results: DataFrame, summaries: DataFrame, improvements: DataFrame,
-                 path: str, fmt: str = "json") -> dict[str, str]:
-    """The benchmark report as three tables; per-query results partitioned by system."""
-    out = {
-        "results": f"{path}/results",
-        "summaries": f"{path}/summaries",
-        "improvements": f"{path}/improvements",
-    }
-    results.write.mode("overwrite").partitionBy("system_name").format(fmt).save(out["results"])
-    summaries.coalesce(1).write.mode("overwrite").format(fmt).save(out["summaries"])
-    improvements.coalesce(1).write.mode("overwrite").format(fmt).save(out["improvements"])
-    return out
+REPORT_TABLES = ("results", "summaries", "improvements")
+MANIFEST = T.StructType([T.StructField("stamp", T.StringType()), T.StructField("folder", T.StringType()),
+                         T.StructField("format", T.StringType())])
+
+
+def write_report(results: DataFrame, summaries: DataFrame, improvements: DataFrame, path: str, fmt: str = "json") -> dict[str, str]:
+    """The benchmark report as three tables under ``path``; per-query results partitioned by system.
+
+    The tables go to a new time-stamped folder. The report is published by one row in ``path/manifests``, written last: readers
+    (``read_report``) see all three tables of a report or none, and a run that fails leaves the report before it as it was."""
+    stamp = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S.%fZ")
+    folder = f"report-{stamp}-{uuid.uuid4().hex[:8]}"
+    out = {t: f"{path}/{folder}/{t}" for t in REPORT_TABLES}
+    results.write.partitionBy("system_name").format(fmt).save(out["results"])
+    summaries.coalesce(1).write.format(fmt).save(out["summaries"])
+    improvements.coalesce(1).write.format(fmt).save(out["improvements"])
+    spark = results.sparkSession
+    spark.createDataFrame([(stamp, folder, fmt)], MANIFEST).coalesce(1).write.mode("append").json(f"{path}/manifests")
+    return {**out, "stamp": stamp}
+
+
+def read_report(spark: SparkSession, path: str, schemas: dict[str, T.StructType] | None = None,
+                stamp: str | None = None) -> dict[str, DataFrame]:
+    """The tables of the last published report (or of the one published at ``stamp``)."""
+    known = spark.read.schema(MANIFEST).json(f"{path}/manifests")
+    last = known.filter(F.lit(stamp is None) | (F.col("stamp") == stamp)).orderBy(F.col("stamp").desc(), "folder").first()
+    if last is None:
+        raise ValueError(f"no report published under {path}")
+    reader = lambda t: spark.read.schema(schemas[t]) if schemas else spark.read
+    return {t: reader(t).format(last["format"]).load(f"{path}/{last['folder']}/{t}") for t in REPORT_TABLES}
 
 
 # ---------------------------------------------------------------- S6
