@@ -119,7 +119,7 @@ SELECT doc_id, line_no, {USTRIP('value')} AS query FROM lines
 WHERE regexp_matches(value, {_q(NON_WS_CLASS)})""",
         "s1_read_queries_file": f"""WITH {QA_PAIRS}, l AS (SELECT {USTRIP('unnest(string_split(query, chr(10)))')} AS query FROM qa)
 SELECT query, count(*) AS n FROM l WHERE query <> '' GROUP BY query""",
-        "s3_cap_samples": "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 100",
+        "s3_cap_samples": "SELECT doc_id, n_chars FROM (SELECT *, row_number() OVER () AS r FROM documents) WHERE r <= 100",
         "s6_qa_pairs": f"WITH {QA_PAIRS} SELECT conv_id, turn, query, answer FROM qa",
         "m1_tokens": f"""
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct,
@@ -333,6 +333,11 @@ def trajectory_sql() -> dict[str, str]:
 isl AS (SELECT *, sum(CASE WHEN has_hallucination THEN 0 ELSE 1 END) OVER (PARTITION BY run_id ORDER BY iteration
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM traj),
 s AS (SELECT run_id, grp, count(*) AS n FROM isl WHERE has_hallucination GROUP BY run_id, grp)
+SELECT run_id, max(n) AS longest_streak, count(*) AS n_streaks FROM s GROUP BY run_id HAVING max(n) >= 2""",
+        "x2_persistent_hallucination_whole": f"""{every},
+isl AS (SELECT *, sum(CASE WHEN has_hallucination THEN 0 ELSE 1 END) OVER (PARTITION BY run_id ORDER BY iteration
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM ann),
+s AS (SELECT run_id, grp, count(*) AS n FROM isl WHERE has_hallucination GROUP BY run_id, grp)
 SELECT run_id, max(n) AS longest_streak, count(*) AS n_streaks FROM s GROUP BY run_id HAVING max(n) >= 2""",
         "x5_stagnation_rate": f"""{t} SELECT count(*) AS n_runs,
   CAST(sum(CASE WHEN exit_reason = 'stagnated' THEN 1 ELSE 0 END) AS BIGINT) AS n_stagnated,
@@ -466,6 +471,13 @@ def PHASH(*parts: str) -> str:
     return f"CAST(('0x' || substr(md5({s}), 1, 8)) AS BIGINT)"
 
 
+def first_rows(order: str) -> str:
+    return f"""SELECT doc_id, row_index, CASE WHEN row_index < greatest(1, floor((SELECT count(*) FROM documents) * {D(0.9)}))
+  THEN 'train' ELSE 'val' END AS split
+FROM (SELECT doc_id, CAST(row_number() OVER (ORDER BY {order}) - 1 AS BIGINT) AS row_index
+      FROM (SELECT *, row_number() OVER () AS r FROM documents))"""
+
+
 def FIRST_LINE(x: str) -> str:
     return USTRIP(f"split_part({x}, chr(10), 1)")
 
@@ -549,9 +561,8 @@ SELECT doc_id, CAST(n + CASE WHEN add_eos THEN 1 ELSE 0 END AS BIGINT) AS n_inpu
 FROM documents, (SELECT unnest([0, 1]) AS v)""",
         "d3_verdict_index": f"""{recs} SELECT doc_id, verdict, CAST({_rank('verdict')} AS BIGINT) AS verdict_index,
   verdict AS verdict_back FROM recs""",
-        "d4_split_prefix": """SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS row_index,
-  CASE WHEN row_number() OVER (ORDER BY doc_id) - 1 < greatest(1, floor((SELECT count(*) FROM documents) * CAST(0.9 AS DOUBLE)))
-       THEN 'train' ELSE 'val' END AS split FROM documents""",
+        "d4_split_prefix": f"{first_rows('r')}",
+        "d4_split_prefix_ordered": f"{first_rows('lang NULLS FIRST, r')}",
         "d5_split_hash": f"""SELECT doc_id, CASE WHEN {PHASH(FIRST_LINE('text'), '42')} % 100 < 90 THEN 'train' ELSE 'val' END AS split
 FROM documents""",
         "s4_write_training": f"""{recs} SELECT query, CAST(length(answer) AS BIGINT) AS answer_chars, verdict,
@@ -563,18 +574,127 @@ FROM documents""",
     }
 
 
+# ---------------------------------------------------------------- learned critic: training and scoring, epoch by epoch
+UNITS, CLASSES, EPOCHS, RATE, FEATURES = 4, 4, 36, 0.05, 4096
+# Places in the list of the heads' numbers: biases of units, verdict weights, verdict biases, score weights, score bias.
+P_B, P_V, P_C, P_U, P_D = 1, 1 + UNITS, 1 + UNITS + UNITS * CLASSES, 1 + UNITS + UNITS * CLASSES + CLASSES, 1 + 2 * UNITS + UNITS * CLASSES + CLASSES
+
+
+def _each(n: int, make) -> str:
+    return ", ".join(make(i) for i in range(n))
+
+
+def _plus(n: int, make) -> str:
+    return " + ".join(make(i) for i in range(n))
+
+
+def _start(*name: str) -> str:
+    return f"(({PHASH(*name)} / {D(2.0 ** 32)} - {D(0.5)}) * {D(0.5)})"
+
+
+def _words_cte(name: str, src: str) -> str:
+    return f"""{name}w AS (SELECT id, unnest({WORDS("('Query: ' || coalesce(query, '') || ' [SEP] Answer: ' || coalesce(answer, ''))")}) AS w FROM ({src})),
+{name}f AS MATERIALIZED (SELECT id, {PHASH('w', '1')} % {FEATURES} AS f, ln(1 + count(*)) AS tf FROM {name}w GROUP BY 1, 2)"""
+
+
+def _forward(z: str, name: str, heads: str) -> str:
+    """Units, verdict exponentials and score of rows with sums z0, z1, ... and the heads' list p."""
+    a = f"{name}a AS (SELECT z.*, h.p, {_each(UNITS, lambda h: f'tanh(z{h} + h.p[{P_B + h}]) AS a{h}')} FROM {z} z, {heads} h)"
+    logit = lambda c: "exp(" + _plus(UNITS, lambda h: f"a{h} * p[{P_V + h * CLASSES + c}]") + f" + p[{P_C + c}])"
+    score = "10 / (1 + exp(-(" + _plus(UNITS, lambda h: f"a{h} * p[{P_U + h}]") + f" + p[{P_D}])))"
+    return f"""{a},
+{name}b AS (SELECT *, {_each(CLASSES, lambda c: f'{logit(c)} AS e{c}')}, {score} AS s FROM {name}a),
+{name} AS MATERIALIZED (SELECT *, {_each(CLASSES, lambda c: f'e{c} / (e0 + e1 + e2 + e3) AS q{c}')} FROM {name}b)"""
+
+
+def model_cte() -> str:
+    """Training restated: ``mhist`` (epoch, losses), ``mbest`` (epoch kept), ``mmodel`` (feature, idf, weights), ``mheads`` (list)."""
+    lab = f"""mlab AS MATERIALIZED (SELECT doc_id AS id, {FIRST_LINE('text')} AS query, text AS answer,
+  CASE WHEN {PHASH('text', '42')} % 100 < 80 THEN 0 WHEN {PHASH('text', '42')} % 100 < 90 THEN 1 ELSE 2 END AS split,
+  CASE WHEN quality = 1 AND toxic = 0 THEN 3 WHEN quality = 1 THEN 1 ELSE 0 END AS label,
+  CASE WHEN quality = 1 AND toxic = 0 THEN {D(9.5)} WHEN quality = 1 THEN {D(5.0)} ELSE {D(2.0)} END AS target
+  FROM documents JOIN labels USING (doc_id))"""
+    n = UNITS + UNITS * CLASSES + CLASSES + UNITS + 1
+    starts = ([D(0.0)] * UNITS + [_start("'v'", f"'{h}'", f"'{c}'") for h in range(UNITS) for c in range(CLASSES)] + [D(0.0)] * CLASSES
+              + [_start("'u'", f"'{h}'") for h in range(UNITS)] + [D(0.0)])
+    zeros = "list_transform(range(" + str(n) + f"), lambda x: {D(0.0)})"
+    out = [lab, _words_cte("m", "SELECT id, query, answer FROM mlab"),
+           "mn AS (SELECT count(*) AS n FROM mlab WHERE split = 0)",
+           "midf AS MATERIALIZED (SELECT f, ln((any_value(mn.n) + 1) / (count(*) + 1)) AS idf FROM mf JOIN mlab USING (id), mn WHERE split = 0 GROUP BY f)",
+           "mnorm AS (SELECT id, sqrt(sum(tf * idf * tf * idf)) AS norm FROM mf JOIN midf USING (f) GROUP BY id)",
+           "mx AS MATERIALIZED (SELECT id, f, tf * idf / norm AS x FROM mf JOIN midf USING (f) JOIN mnorm USING (id) WHERE norm > 0)",
+           f"mw0 AS MATERIALIZED (SELECT f, {_each(UNITS, lambda h: _start(chr(39) + 'w' + chr(39), 'f', str(h)) + f' AS w{h}')}, "
+           f"{_each(UNITS, lambda h: f'{D(0.0)} AS m{h}, {D(0.0)} AS s{h}')} FROM midf)",
+           f"mh0 AS MATERIALIZED (SELECT [{', '.join(starts)}] AS p, {zeros} AS m, {zeros} AS s)"]
+    for e in range(EPOCHS + 1):
+        z = f"mz{e}"
+        out.append(f"""{z} AS (SELECT l.id, l.label, l.target, l.split, {_each(UNITS, lambda h: f'coalesce(sum(x * w{h}), 0) AS z{h}')}
+  FROM mlab l LEFT JOIN (mx JOIN mw{e} USING (f)) ON mx.id = l.id GROUP BY ALL)""")
+        out.append(_forward(z, f"mo{e}", f"mh{e}"))
+        true_p = "CASE label " + " ".join(f"WHEN {c} THEN q{c}" for c in range(CLASSES)) + " END"
+        loss = f"-ln(greatest({true_p}, 1e-7)) + 0.5 * (s - target) * (s - target)"
+        out.append(f"""ml{e} AS (SELECT {e} AS e, avg({loss}) FILTER (split = 0) AS train, avg({loss}) FILTER (split = 1) AS val,
+  avg({loss}) FILTER (split = 2) AS test FROM mo{e})""")
+        if e == EPOCHS:
+            break
+        dv = [f"(q{c} - CASE WHEN label = {c} THEN 1 ELSE 0 END)" for c in range(CLASSES)]
+        du = "((s - target) * s * (1 - s / 10))"
+        dz = [f"({_plus(CLASSES, lambda c: f'{dv[c]} * p[{P_V + h * CLASSES + c}]')} + {du} * p[{P_U + h}]) * (1 - a{h} * a{h})" for h in range(UNITS)]
+        out.append(f"md{e} AS MATERIALIZED (SELECT *, {_each(UNITS, lambda h: f'{dz[h]} AS d{h}')} FROM mo{e} WHERE split = 0)")
+        grads = ([f"sum(d{h})" for h in range(UNITS)] + [f"sum(a{h} * {dv[c]})" for h in range(UNITS) for c in range(CLASSES)]
+                 + [f"sum({dv[c]})" for c in range(CLASSES)] + [f"sum(a{h} * {du})" for h in range(UNITS)] + [f"sum({du})"])
+        out.append(f"mg{e} AS MATERIALIZED (SELECT [{', '.join(f'{g} / count(*)' for g in grads)}] AS g FROM md{e})")
+        out.append(f"""mk{e} AS (SELECT f, {_each(UNITS, lambda h: f'sum(x * d{h}) / any_value(mn.n) AS g{h}')}
+  FROM mx JOIN md{e} USING (id), mn GROUP BY f)""")
+        step = lambda w, m, s: f"{w} - {D(RATE)} * ({m} / {D(1 - 0.9 ** (e + 1))}) / (sqrt({s} / {D(1 - 0.99 ** (e + 1))}) + {D(1e-6)})"
+        out.append(f"""mu{e} AS (SELECT w.f, {_each(UNITS, lambda h: f'w{h}, {D(0.9)} * m{h} + {D(1 - 0.9)} * coalesce(g{h}, 0) AS m{h}, '
+                   f'{D(0.99)} * s{h} + {D(1 - 0.99)} * coalesce(g{h}, 0) * coalesce(g{h}, 0) AS s{h}')} FROM mw{e} w LEFT JOIN mk{e} USING (f))""")
+        out.append(f"mw{e + 1} AS MATERIALIZED (SELECT f, {_each(UNITS, lambda h: step(f'w{h}', f'm{h}', f's{h}') + f' AS w{h}, m{h}, s{h}')} FROM mu{e})")
+        ms = f"list_transform(range(1, {n + 1}), lambda i: "
+        out.append(f"mv{e} AS (SELECT p, {ms}{D(0.9)} * m[i] + {D(1 - 0.9)} * g[i]) AS m, {ms}{D(0.99)} * s[i] + {D(1 - 0.99)} * g[i] * g[i]) AS s "
+                   f"FROM mh{e}, mg{e})")
+        out.append(f"mh{e + 1} AS MATERIALIZED (SELECT {ms}{step('p[i]', 'm[i]', 's[i]')}) AS p, m, s FROM mv{e})")
+    out.append("mhist AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM ml{e}" for e in range(EPOCHS + 1)) + ")")
+    out.append("mbest AS (SELECT arg_min(e, val) AS e FROM mhist)")
+    out.append("mmodel AS MATERIALIZED (" + " UNION ALL ".join(
+        f"SELECT f, idf, {_each(UNITS, lambda h: f'w{h}')} FROM mw{e} JOIN midf USING (f), mbest WHERE mbest.e = {e}" for e in range(EPOCHS + 1)) + ")")
+    out.append("mheads AS (" + " UNION ALL ".join(f"SELECT p FROM mh{e}, mbest WHERE mbest.e = {e}" for e in range(EPOCHS + 1)) + ")")
+    return ",\n".join(out)
+
+
+def model_score_cte(src: str) -> str:
+    """``mscore`` (id, score, verdict, confidence) of ``src`` (id, query, answer) under the model of ``model_cte``."""
+    names = ["poor", "acceptable", "good", "excellent"]
+    top = "greatest(q0, q1, q2, q3)"
+    return f"""{_words_cte('t', src)},
+tz AS (SELECT i.id, {_each(UNITS, lambda h: f'CASE WHEN n > 0 THEN y{h} / n ELSE 0 END AS z{h}')} FROM (SELECT id FROM ({src})) i LEFT JOIN
+  (SELECT id, sqrt(sum(tf * idf * tf * idf)) AS n, {_each(UNITS, lambda h: f'sum(tf * idf * w{h}) AS y{h}')} FROM tf JOIN mmodel USING (f) GROUP BY id) t
+  ON t.id = i.id),
+{_forward('tz', 'to_', 'mheads')},
+mscore AS MATERIALIZED (SELECT id, s AS score, {top} AS confidence,
+  CASE {' '.join(f"WHEN q{c} = {top} THEN '{v}'" for c, v in enumerate(names))} END AS verdict FROM to_)"""
+
+
 # ---------------------------------------------------------------- batch inference over stored completions
 N_DOCS = "(SELECT count(*) FROM documents)"
 KEY = "CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)"
 
 
-def loop_cte(runs: str) -> str:
-    """The loop over ``runs`` (key, n, query, answer), restated: yields ``done``, one row per run."""
+NO_FAST = "SELECT NULL AS key, NULL AS i, NULL AS score, NULL AS verdict WHERE false"
+
+
+def loop_cte(runs: str, fast: str = NO_FAST) -> str:
+    """The loop over ``runs`` (key, n, query, answer), restated: yields ``done``, one row per run. ``fast``: (key, i, score,
+    verdict) of the critiques that a learned critic gave without issues or cost."""
     return f"""{critic_expected_cte()},
 runs AS ({runs}),
+fast AS ({fast}),
 its AS (SELECT key, n, answer, i, (n + 17 * i) % {N_DOCS} AS d, (n + i) % 17 = 3 AS cfail, (n + i) % 19 = 4 AS rfail
         FROM runs, (SELECT unnest([1, 2, 3]) AS i)),
-sc AS (SELECT its.*, cx.score, cx.verdict, cx.n_hallucinations AS h, cx.n_factual_errors AS f FROM its JOIN cx ON cx.doc_id = d),
+sc AS (SELECT its.* EXCLUDE (cfail), fast.key IS NULL AND cfail AS cfail, coalesce(fast.score, cx.score) AS score,
+         coalesce(fast.verdict, cx.verdict) AS verdict, CASE WHEN fast.key IS NULL THEN cx.n_hallucinations ELSE 0 END AS h,
+         CASE WHEN fast.key IS NULL THEN cx.n_factual_errors ELSE 0 END AS f, CASE WHEN fast.key IS NULL THEN its.i ELSE 0 END AS cost
+       FROM its JOIN cx ON cx.doc_id = d LEFT JOIN fast ON fast.key = its.key AND fast.i = its.i),
 dl AS (SELECT *, {RND('score - lag(score) OVER (PARTITION BY key ORDER BY i)', 3)} AS delta FROM sc),
 ex AS (SELECT *, CASE WHEN cfail THEN 'error'
          WHEN h = 0 AND f = 0 AND score >= 7.0 AND verdict IN ('good', 'excellent') THEN 'converged'
@@ -585,7 +705,7 @@ le AS (SELECT *, min(CASE WHEN exit_at IS NOT NULL THEN i END) OVER (PARTITION B
 sm AS (SELECT key, any_value(last) AS last, bool_or(rfail AND i < last) AS rbad, max(CASE WHEN i = last THEN exit_at END) AS exit_at,
          max(CASE WHEN i = last THEN score END) AS score, max(CASE WHEN i = last THEN h END) AS h,
          array_to_string(list_transform(list(score ORDER BY i) FILTER (WHERE i <= last), lambda x: printf('%.3f', x)), ',') AS history,
-         sum(CASE WHEN i <= last THEN i ELSE 0 END) + sum(CASE WHEN i < last THEN i * 2 ELSE 0 END) AS spent
+         sum(CASE WHEN i <= last THEN cost ELSE 0 END) + sum(CASE WHEN i < last THEN i * 2 ELSE 0 END) AS spent
        FROM le GROUP BY key),
 er AS (SELECT sm.*, runs.n, runs.query, runs.answer,
          CASE WHEN n % 13 = 5 THEN 'RuntimeError: generator unavailable' WHEN rbad THEN 'RuntimeError: refiner unavailable'
@@ -614,8 +734,7 @@ def inference_sql() -> dict[str, str]:
     systems = ["A_Baseline", "B_LLM_Critic", "C_Learned_Critic", "D_Browser_Augmented"]
     under = " UNION ALL ".join(f"SELECT '{s}:' || {KEY} AS key, '{s}' AS system_name, conv_id * 31 + turn + {5 * i} AS n, query, answer FROM qa"
                                for i, s in enumerate(systems))
-    bench = f"""WITH {QA_PAIRS}, {loop_cte(under)}, {judge_cte('runs')},
-results AS (
+    results = f"""results AS (
   SELECT r.system_name, r.key AS run_id, CASE WHEN r.n % 13 = 5 THEN '' ELSE r.answer END AS final_answer, CAST(0 AS BIGINT) AS iterations_used,
     {D('r.n % 7')} AS latency_s, jd.factual_accuracy AS pipeline_critic_score,
     CAST(CASE WHEN jd.hallucinations_detected THEN 1 ELSE 0 END AS BIGINT) AS hallucination_count, jd.factual_accuracy,
@@ -626,6 +745,11 @@ results AS (
     CASE WHEN d.exit_reason = 'error' THEN {D(0.0)} ELSE jd.factual_accuracy END, d.exit_reason,
     d.exit_reason <> 'error' AND jd.hallucinations_detected
   FROM runs r JOIN done d USING (key) JOIN jd USING (key) WHERE r.system_name <> 'A_Baseline')"""
+    bench = f"WITH {QA_PAIRS}, {loop_cte(under)}, {judge_cte('runs')}, {results}"
+    revised = "answer || CASE WHEN i > 1 THEN ' (revision ' || (i - 1) || ')' ELSE '' END"
+    texts = f"""SELECT 'C_Learned_Critic:' || {KEY} || '#' || i AS id, query, {revised} AS answer FROM qa, (SELECT unnest([1, 2, 3]) AS i)"""
+    fast = "SELECT split_part(id, '#', 1) AS key, CAST(split_part(id, '#', 2) AS INTEGER) AS i, score, verdict FROM mscore WHERE score >= 8.5"
+    routed = f"WITH {QA_PAIRS}, {model_cte()}, {model_score_cte(texts)}, {loop_cte(under, fast)}, {judge_cte('runs')}, {results}"
     one = f"""WITH {QA_PAIRS}, {critic_expected_cte()}, p AS ({pairs}),
 k AS (SELECT p.*, (n + 1) % 17 = 3 AS fail, (n + 17) % {N_DOCS} AS d FROM p)"""
     c_err = "CASE WHEN fail THEN 'RuntimeError: critic unavailable' END"
@@ -646,6 +770,8 @@ SELECT conv_id, turn, factual_accuracy, hallucinations_detected FROM p JOIN jd U
         "i5_refine_batch": f"""WITH {QA_PAIRS}, {loop_cte(pairs)}
 SELECT key AS run_id, total_iterations, exit_reason, converged, final_score, final_answer, latency_s, score_history FROM done""",
         "i6_benchmark": f"{bench} SELECT * FROM results",
+        "i6_benchmark_learned": f"""{routed} SELECT * EXCLUDE (pipeline_critic_score), {RND('pipeline_critic_score', 6)} AS pipeline_critic_score
+FROM results""",
         "i7_error_rows": f"""{bench} SELECT system_name, count(*) AS query_count,
   {RND('CAST(sum(CAST(factual_accuracy AS DECIMAL(28,6))) AS DOUBLE) / count(*)', 3)} AS avg_factual_accuracy,
   {RND('avg(CASE WHEN hallucination_count > 0 THEN 1.0 ELSE CAST(0.0 AS DOUBLE) END)', 3)} AS hallucination_rate,
@@ -674,16 +800,21 @@ def learned_sql() -> dict[str, str]:
     argmax = ("(CASE WHEN confidence >= (1.0 - confidence) / 3.0 THEN " + _rank('verdict')
               + " WHEN " + _rank('verdict') + " = 0 THEN 1 ELSE 0 END)")
     mis = "(verdict IN ('good', 'excellent') AND slow_score < 4.0)"
+    docs = f"SELECT doc_id AS id, {FIRST_LINE('text')} AS query, text AS answer FROM documents"
     return {
         "f3_route_hybrid": f"""{base} SELECT doc_id, CASE WHEN score < 8.5 THEN 'slow' ELSE 'fast' END AS route,
   CASE WHEN score < 8.5 THEN slow_score ELSE score END AS score, CASE WHEN score < 8.5 THEN slow_verdict ELSE verdict END AS verdict FROM j""",
         "j5_misalignment": f"""{base} SELECT doc_id, verdict AS learned_verdict, slow_score, {mis} AS misaligned FROM j""",
         "x4_misaligned_rate": f"""{base} SELECT count(*) AS n_pairs, CAST(sum(CASE WHEN {mis} THEN 1 ELSE 0 END) AS BIGINT) AS n_misaligned,
   avg(CASE WHEN {mis} THEN 1.0 ELSE CAST(0.0 AS DOUBLE) END) AS misaligned_rate FROM j""",
-        "d6_train_learned_critic": f"""SELECT count(*) AS n, true AS beats_shares FROM documents JOIN labels USING (doc_id)
-WHERE {PHASH('text', '42')} % 100 >= 90""",
-        "d7_score_learned_critic": """SELECT doc_id, true AS known_verdict, true AS confident, true AS in_range, CAST(0 AS BIGINT) AS n_issues
-FROM documents""",
+        "d6_train_learned_critic": f"""WITH {model_cte()} SELECT h.e AS epoch, {RND('h.train', 6)} AS train_loss, {RND('h.val', 6)} AS val_loss,
+  h.e = b.e AS is_best, CASE WHEN h.e = b.e THEN {RND('h.test', 6)} END AS test_loss FROM mhist h, mbest b""",
+        "d7_score_learned_critic": f"""WITH {model_cte()}, {model_score_cte(docs)}
+SELECT id AS doc_id, verdict, {RND('confidence', 6)} AS confidence, {RND('score', 6)} AS score, CAST(0 AS BIGINT) AS n_issues FROM mscore""",
+        "f3_route_learned": f"""{cte}, {model_cte()}, {model_score_cte(docs)}
+SELECT m.id AS doc_id, CASE WHEN m.score < 8.5 THEN 'slow' ELSE 'fast' END AS route,
+  {RND('CASE WHEN m.score < 8.5 THEN s.score ELSE m.score END', 6)} AS score
+FROM mscore m JOIN cx s ON s.doc_id = (m.id + 17) % {N_DOCS}""",
         "a6_critic_eval": f"""{cte}, p AS (
   SELECT cx.*, CASE WHEN l.quality = 1 THEN 2 ELSE 0 END AS label_index, cx.score AS pred_score,
          (CASE WHEN l.quality = 1 THEN CAST(8.0 AS DOUBLE) ELSE 3.0 END) - 2.0 * l.toxic AS label_score
