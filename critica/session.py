@@ -125,6 +125,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    """``spark.sql.shuffle.partitions``, or the default parallelism where a platform has no number there."""
+    try:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    except (TypeError, ValueError):
+        return spark.sparkContext.defaultParallelism
+
+
 def stored(df, name: str):
     """Write the rows once under the shared folder and go on from the written table: lineage is cut there, and every
     branch reads the same rows."""
