@@ -73,8 +73,9 @@ OP2_SQL = "WITH c AS (" + warc.CAPTURES_SQL.replace(
     "pages CROSS_CAPTURES", "pages, (SELECT unnest([0, 1, 2, 3]) AS c)") + r"""),
 u AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM c),
 k AS (SELECT *, concat(regexp_replace(lower(regexp_extract(bare, '^[^/?]*', 0)), '^(www|m)[.]|:(80|443)$', '', 'g'),
-      regexp_replace(regexp_replace(regexp_extract(bare, '^[^/?]*(.*)$', 1), '(utm_[a-z]+|ref)=[^&]*&?', '', 'g'),
-                     '[?&/]+$', '')) AS canonical_url FROM u),
+      rtrim(regexp_extract(bare, '^[^/?]*([^?]*)', 1) || '?' || array_to_string([x FOR x IN string_split(
+        CASE WHEN contains(bare, '?') THEN substr(bare, strpos(bare, '?') + 1) ELSE '' END, '&')
+        IF NOT (starts_with(x, 'ref=') OR regexp_matches(x, '^utm_[a-z]+='))], '&'), '?&/')) AS canonical_url FROM u),
 p AS (SELECT canonical_url AS pu, ts AS pt, max(record_id) AS pid FROM k WHERE kind = 'response' GROUP BY 1, 2),
 q AS (SELECT p.*, k.etag AS pe, k.modified AS pm, k.served AS ps, k.length AS pl, k.digest AS pd
       FROM p JOIN k ON k.record_id = p.pid),

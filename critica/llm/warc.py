@@ -26,11 +26,15 @@ MAX_SLICES = 256
 
 
 def canonical_url(url: Column) -> Column:
-    """Scheme, ``www.`` or ``m.``, default port, fragment, tracking parameters and closing slash removed; host in lower case."""
+    """Scheme, ``www.`` or ``m.``, default port, fragment, tracking parameters and closing slash removed; host in lower case.
+
+    Only whole parameters of the query string count as tracking ones: ``xref=`` and a path that holds ``ref=`` stay."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(url), "#.*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.regexp_replace(F.lower(F.regexp_extract(bare, "^[^/?]*", 0)), "^(www|m)[.]|:(80|443)$", "")
-    rest = F.regexp_replace(F.regexp_extract(bare, "^[^/?]*(.*)$", 1), "(utm_[a-z]+|ref)=[^&]*&?", "")
-    return F.concat(host, F.regexp_replace(rest, "[?&/]+$", ""))
+    path = F.regexp_extract(bare, "^[^/?]*([^?]*)", 1)
+    query = F.regexp_extract(bare, r"^[^?]*\?(.*)$", 1)
+    kept = F.array_join(F.filter(F.split(query, "&", -1), lambda p: ~p.rlike("^(utm_[a-z]+|ref)=")), "&")
+    return F.concat(host, F.regexp_replace(F.concat(path, F.lit("?"), kept), "[?&/]+$", ""))
 
 
 def lowered(headers: Column) -> Column:
