@@ -5,28 +5,33 @@ an ignored position does not hide a match. Seeds of benchmark items and of train
 meet in a join. Each hit fixes an alignment (document position minus item position); on it, the item's
 words are compared with the document's one by one. A document is contaminated by an item if some
 aligned window of ``window`` item words (the whole item, where shorter) agrees in at least
-``min_agree`` of its positions.
+``min_agree`` of its positions. Items of ``SHORT`` words up to the window have masks of their own over their first
+``SHORT`` words; shorter ones must occur whole.
 
 Words are the white-space separated words, A-Z lower-cased. Null and empty texts have no seeds:
 such documents are clean, such items match nothing. Repeated rows are judged alike; items of equal
 text all match.
 
 The item side is broadcast only while its seeds number at most ``BROADCAST_SEEDS``; beyond that,
-both sides shuffle on the seed hash. Document words are cut into blocks, so a very long text is
-many rows of bounded size."""
+both sides shuffle on the seed hash, frequent seeds dealt to several tasks. Document words are cut into blocks, so a very
+long text is many rows of bounded size. Empty tables give empty or clean results. Input columns named like a
+result are replaced, all others stay, whatever their names."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from critica.llm.common import let, lower_ascii, stored, words
+from critica.llm.common import fresh, let, lower_ascii, salted_join, stored, words
 
 # 8 words compared each. Of the places of any two substitutions in 13 words, every pair is
 # ignored by one of the masks at some place in the window (found by search, checked by a test): no
 # window of 13 words with 11 or more equal is without a common seed.
 MASKS = ("1101110111", "111101111", "11111001011", "110001011111", "1110111000011")
 SPAN = 13
+# Any two of 8 words lie in two of four pairs: each mask ignores two pairs.
+SHORT_MASKS = ("11110000", "11001100", "11000011", "00111100", "00110011", "00001111")
+SHORT = 8
 WINDOW = 13
 MIN_AGREE = 0.8
 BLOCK = 2048
@@ -44,7 +49,7 @@ def block_rows(df: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
         *keys, "b.base", "b.w")
 
 
-def seeds(df: DataFrame, keys: list[str]) -> DataFrame:
+def seeds(df: DataFrame, keys: list[str], masks: tuple[str, ...] = MASKS) -> DataFrame:
     """keys, pos, mask, seed: every masked window of every text."""
     blocks = block_rows(df, keys).select(*keys, "base", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     shifted = [F.when(F.size("h") > i, F.slice("h", i + 1, BLOCK)).otherwise(F.array().cast("array<bigint>")).alias(f"w{i}")
@@ -52,37 +57,46 @@ def seeds(df: DataFrame, keys: list[str]) -> DataFrame:
     rows = blocks.select(*keys, "base", F.posexplode(F.arrays_zip(*shifted)).alias("i", "w"))
     at = rows.select(*keys, (F.col("base") + F.col("i")).alias("pos"), *[f"w.w{i}" for i in range(SPAN)])
     hashes = [F.struct(F.lit(n).alias("mask"), F.xxhash64(F.lit(n), *[
-        F.col(f"w{i}") for i, bit in enumerate(mask) if bit == "1"]).alias("seed")) for n, mask in enumerate(MASKS)]
-    last = [mask.rindex("1") for mask in MASKS]
+        F.col(f"w{i}") for i, bit in enumerate(mask) if bit == "1"]).alias("seed")) for n, mask in enumerate(masks)]
+    last = [mask.rindex("1") for mask in masks]
     full = F.array(*[F.when(F.col(f"w{e}").isNotNull(), h) for h, e in zip(hashes, last)])
     return at.select(*keys, "pos", F.explode(full).alias("s")).filter("s is not null").select(*keys, "pos", "s.mask", "s.seed")
 
 
-def short_items(items: DataFrame, window: int) -> tuple[DataFrame, list[int]]:
-    """Items of fewer words than the window, and their word counts (each below ``window``)."""
-    short = items.withColumn("n", F.size("item_words")).filter((F.col("n") > 0) & (F.col("n") < window))
-    return short, sorted(r["n"] for r in short.select("n").distinct().collect())
-
-
 def find_hits(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     """Stored: distinct (doc_id, text_hash, item, shift) with a common seed; shift = document position of the
     item's first word."""
     keys = ["doc_id", "text_hash"]
-    item_seeds = stored(seeds(items.filter(F.size("item_words") >= window), ["item"]), "item_seeds")
-    item_side = item_seeds.select("item", "seed", F.col("pos").alias("item_pos"))
-    if item_side.count() <= BROADCAST_SEEDS:
-        item_side = F.broadcast(item_side)
-    hits = seeds(docs, keys).join(item_side, "seed").select(*keys, "item", (F.col("pos") - F.col("item_pos")).alias("shift"))
-    short, lengths = short_items(items, window)
-    for n in lengths:
-        grams = block_rows(docs, keys).select(*keys, "base", F.posexplode(let(F.col("w"), lambda w: F.transform(
-            F.sequence(F.lit(1), F.size(w)), lambda i: F.xxhash64(F.slice(w, i, n))))).alias("i", "seed"))
-        whole = short.filter(F.col("n") == n).select("item", F.xxhash64("item_words").alias("seed"))
-        hits = hits.unionByName(grams.join(whole, "seed").select(
-            *keys, "item", (F.col("base") + F.col("i")).alias("shift")))
+    sized = items.withColumn("n", F.size("item_words")).filter("n > 0")
+    short = sized.filter(F.col("n") < window)
+    lengths = sorted(r["n"] for r in short.select("n").distinct().collect())  # below ``window`` each
+    masked = [("long", sized.filter(F.col("n") >= window), MASKS)]
+    if any(n >= SHORT for n in lengths):
+        masked.append(("short", short.filter(F.col("n") >= SHORT), SHORT_MASKS))
+    hits = None
+    for name, some, masks in masked:
+        side = seeds(some, ["item"], masks)
+        side = stored(side if name == "long" else side.filter("pos = 0"), f"{name}_seeds")
+        found = meet(seeds(docs, keys, masks), side.select("item", "seed", F.col("pos").alias("item_pos"))).select(
+            *keys, "item", (F.col("pos") - F.col("item_pos")).alias("shift"))
+        hits = found if hits is None else hits.unionByName(found)
+    whole = [n for n in lengths if n < SHORT]
+    if whole:  # one pass for all lengths
+        grams = block_rows(docs, keys).select(*keys, "base", F.posexplode(F.transform(
+            F.sequence(F.lit(1), F.size("w")), lambda i: F.array(*[F.xxhash64(F.slice("w", i, n)) for n in whole]))).alias("i", "g"))
+        grams = grams.select(*keys, (F.col("base") + F.col("i")).alias("pos"), F.explode("g").alias("seed"))
+        items_whole = stored(short.filter(F.col("n") < SHORT).select("item", F.xxhash64("item_words").alias("seed")), "whole_seeds")
+        hits = hits.unionByName(meet(grams, items_whole).select(*keys, "item", F.col("pos").alias("shift")))
     return stored(hits.distinct(), "hits")
 
 
+def meet(texts: DataFrame, side: DataFrame) -> DataFrame:
+    """Seeds of documents joined to a stored table of item seeds."""
+    if side.count() <= BROADCAST_SEEDS:
+        return texts.join(F.broadcast(side), "seed")
+    return salted_join(texts, side, "seed", "pos")
+
+
 def best_agreement(doc_words: Column, item_words: Column, shift: Column, window: int) -> Column:
     """The most agreeing positions in any aligned window, as a share of the window's length."""
     n = F.size(item_words)
@@ -113,7 +127,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_agree
     scored = pairs.select("doc_id", "text_hash", "item_id", let(F.col("doc_words"), lambda dw: F.array_max(F.transform(
         "shifts", lambda s: F.struct(best_agreement(dw, F.col("item_words"), s, window).alias("agreement"),
                                      (-s).alias("back"))))).alias("best"), F.size("item_words").alias("n"))
-    enough = F.when(F.col("n") < window, F.lit(1.0)).otherwise(F.lit(min_agree))
+    enough = F.when(F.col("n") < min(window, SHORT), F.lit(1.0)).otherwise(F.lit(min_agree))
     return scored.filter(F.col("best.agreement") >= enough).select(
         "doc_id", "text_hash", "item_id", (-F.col("best.back")).alias("shift"), F.col("best.agreement").alias("agreement"))
 
@@ -125,12 +139,13 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_agree:
     found = (leaks(docs, benchmark, window, min_agree).groupBy("doc_id", "text_hash").agg(
         F.count_distinct("item_id").alias("n_items"),
         F.max(F.struct("agreement", (-F.col("item_id")).alias("item"))).alias("best")))
-    found = found.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "n_items", "best")
+    d, t, best = (fresh(docs.columns, n) for n in ("d", "t", "best"))
+    found = found.select(F.col("doc_id").alias(d), F.col("text_hash").alias(t), "n_items", F.col("best").alias(best))
     keep = [f"`{c}`" for c in docs.columns if c not in made]
-    out = docs.select(*keep).join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("t")), "left")
-    return out.select(*keep, F.col("best").isNotNull().alias("contaminated"),
+    out = docs.select(*keep).join(found, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(t)), "left")
+    return out.select(*keep, F.col(best).isNotNull().alias("contaminated"),
                       F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
-                      (-F.col("best.item")).alias("best_item"), F.col("best.agreement").alias("best_agreement"))
+                      (-F.col(f"{best}.item")).alias("best_item"), F.col(f"{best}.agreement").alias("best_agreement"))
 
 
 def op5(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
