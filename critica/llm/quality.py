@@ -13,7 +13,8 @@ Line rules (a line without a word is always kept):
 Document rules: fewer than 10 words; more than a fifth of the words in 5-word windows that occur
 twice or more; more than half of the words in failed lines.
 
-Null or empty text has no words, so it is rejected; repeated rows are judged alike."""
+Null or empty text has no words, so it is rejected; repeated rows are judged alike; an empty table stays empty. Texts of any
+length are judged whole and exactly. Input columns named like a result are replaced, all others stay."""
 
 from __future__ import annotations
 
@@ -50,26 +51,42 @@ def repeated_words(text: Column, width: int = 5) -> Column:
 
     Most texts have no equal windows: their hashes are all distinct, which is cheap to see. Otherwise a window's
     hash and its position are packed into one long, so one sort brings equal windows together, and
-    neighbours of equal hash are compared word for word before they count."""
+    neighbours of equal hash are compared word for word. Where two of them differ all the same, or the text has more
+    words than positions fit, the windows themselves are sorted instead."""
     low = (1 << POSITION_BITS) - 1
 
     def windows(ws: Column) -> Column:
         hashes = F.transform(F.sequence(F.lit(1), F.size(ws) - width + 1), lambda i: F.xxhash64(F.slice(ws, i, width)))
-        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(
-            F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~low)).bitwiseOR((i + 1).cast("long")))),
-            lambda order: covered(ws, order))))
-
-    def at(order: Column, i: Column) -> Column:
-        return F.get(order, i).bitwiseAND(F.lit(low)).cast("int")
-
-    def same(ws: Column, order: Column, i: Column, j: Column) -> Column:
-        a, b = F.get(order, i), F.get(order, j)
-        return F.when((j >= 0) & (j < F.size(order)) & (a.bitwiseXOR(b).bitwiseAND(F.lit(~low)) == 0),
-                      F.slice(ws, at(order, i), width) == F.slice(ws, at(order, j), width)).otherwise(F.lit(False))
-
-    def covered(ws: Column, order: Column) -> Column:
-        hit = F.filter(F.transform(order, lambda x, i: F.when(
-            same(ws, order, i, i - 1) | same(ws, order, i, i + 1), at(order, i))), lambda x: x.isNotNull())
+        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(
+            F.when(F.size(h) > low - 1, by_words(ws)).otherwise(by_hash(ws, h))))
+
+    def by_hash(ws: Column, h: Column) -> Column:
+        packed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~low)).bitwiseOR((i + 1).cast("long"))))
+        return let(packed, lambda order: let(
+            F.transform(order, lambda x, i: next_one(ws, order, i)),
+            lambda pairs: F.when(F.array_contains(pairs, 2), by_words(ws)).otherwise(
+                covered(F.transform(order, position), F.transform(pairs, lambda k: k == 1)))))
+
+    def position(x: Column) -> Column:
+        return x.bitwiseAND(F.lit(low)).cast("int")
+
+    def next_one(ws: Column, order: Column, i: Column) -> Column:
+        """0: the next hash is another one; 1: the next window is equal; 2: equal hashes, different windows."""
+        a, b = F.get(order, i), F.get(order, i + 1)
+        return F.when(b.isNull() | (a.bitwiseXOR(b).bitwiseAND(F.lit(~low)) != 0), F.lit(0)).when(
+            F.slice(ws, position(a), width) == F.slice(ws, position(b), width), F.lit(1)).otherwise(F.lit(2))
+
+    def by_words(ws: Column) -> Column:
+        """The exact way for every case: windows sorted as words."""
+        order = F.sort_array(F.transform(F.sequence(F.lit(1), F.size(ws) - width + 1), lambda i: F.struct(
+            F.slice(ws, i, width).alias("w"), i.alias("at"))))
+        return let(order, lambda o: covered(F.transform(o, lambda x: x["at"]), F.transform(o, lambda x, i: F.coalesce(
+            x["w"] == F.get(o, i + 1)["w"], F.lit(False)))))
+
+    def covered(places: Column, with_next: Column) -> Column:
+        """Words in the windows that equal the one before or after them in the order."""
+        hit = let(with_next, lambda same: F.filter(F.transform(places, lambda at, i: F.when(
+            F.get(same, i) | F.coalesce(F.get(same, i - 1), F.lit(False)), at)), lambda x: x.isNotNull()))
         return let(F.sort_array(hit), lambda h: F.aggregate(
             h, F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
             lambda acc, x: F.struct((x + width).alias("end"),
