@@ -1,15 +1,16 @@
 """Line dedup with two Bloom filters (once seen, twice seen).
 
-1. Each task hashes the distinct line keys of its documents into a *once* filter; a key whose
-   bits are all set already goes into the *twice* filter too. Filters are plain bit arrays of a
-   fixed size (``log2_bits``, a documented parameter), so a task emits at most that many bytes,
-   cut into segments and compressed.
+1. Filters are plain bit arrays with ``BITS_PER_KEY`` bits for each distinct key (counted approximately first), so
+   they filter alike at every corpus size; ``log2_bits`` fixes the size instead. Each task hashes the
+   distinct line keys of its documents into a *once* filter; a key whose bits are all set already goes into the *twice*
+   filter too. A task emits its filters cut into segments and compressed.
 2. Segments merge in a tree (``FAN_IN`` at a time, so a group stays small however many tasks
    there are). ``twice = twice1 | twice2 | once1 & once2``: a bit set in both halves is a suspect.
 3. Only lines whose bits are all set in the merged *twice* filter shuffle, by their whole key,
    for the exact document count. A full filter makes more lines suspects; it never loses one.
 
-The twice filter is a broadcast of exactly ``2**log2_bits / 8`` bytes, whatever the corpus.
+The twice filter is a broadcast of ``2**log2_bits / 8`` bytes, at most ``2**MAX_LOG2_BITS / 8`` (128 MB). A corpus with more
+distinct keys than that holds is worked in key ranges: each range reads the documents once, with its own filter.
 
 Definitions. A line's key is the line stripped of ASCII white space with A-Z lower-cased. Each row
 is a document, also where ``doc_id`` repeats or is null. Null text is one empty line. Keys shorter
@@ -21,6 +22,7 @@ repeated lines are copied text, which would otherwise be gone with its last copy
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 
@@ -28,20 +30,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from critica.llm.common import TO_LOWER, salted_join, stored
+from critica.llm.common import TO_LOWER, lower_ascii, salted_join, stored
 
-LOG2_BITS = 26
+BITS_PER_KEY = 8
+MIN_LOG2_BITS, MAX_LOG2_BITS = 20, 30
 SEGMENT = 1 << 16
 FAN_IN = 64
 SPACES = b" \t\n\x0b\x0c\r"
 ROW_KEY = ("doc_id", "text_hash")
 
 
-def with_row_key(docs: DataFrame, *columns: str) -> DataFrame:
+def with_row_key(docs: DataFrame, *columns: Column) -> DataFrame:
     """doc_id, a hash of the text, the text. Equal rows get equal keys, and equal results."""
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"),
                        F.coalesce("text", F.lit("")).alias("text"), *columns)
@@ -70,7 +73,11 @@ def _set(bits: np.ndarray, pos: np.ndarray) -> None:
     np.bitwise_or.at(bits, (pos >> 3).ravel(), (1 << (pos & 7)).astype(np.uint8).ravel())
 
 
-def _filters(log2_bits: int, min_chars: int):
+def _of_range(keys: list[bytes], part: int, parts: int) -> list[bytes]:
+    return keys if parts == 1 else [k for k in keys if zlib.crc32(k) % parts == part]
+
+
+def _filters(log2_bits: int, min_chars: int, key_range: tuple[int, int]):
     size = 1 << (log2_bits - 3)
 
     def build(batches):
@@ -81,6 +88,7 @@ def _filters(log2_bits: int, min_chars: int):
             for text in batch.column("text").to_pylist():
                 keys = list({k for line in text.encode().split(b"\n")
                              if _long_enough(k := line_key(line), min_chars)})
+                keys = _of_range(keys, *key_range)
                 if keys:
                     pos = _positions(keys, log2_bits)
                     _set(twice, pos[:, _test(once, pos)])
@@ -108,9 +116,18 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
 FILTER_SCHEMA = "segment int, part int, once binary, twice binary"
 
 
-def twice_filter(docs: DataFrame, log2_bits: int, min_chars: int) -> np.ndarray:
-    """The merged twice filter, ``2**log2_bits`` bits."""
-    segments = stored(docs.select("text").mapInArrow(_filters(log2_bits, min_chars), FILTER_SCHEMA), "bloom")
+def filter_size(docs: DataFrame) -> tuple[int, int]:
+    """(log2 of the bits of a filter, key ranges) for the corpus: ``BITS_PER_KEY`` bits for each distinct line key."""
+    line = F.explode(F.split("text", "\n", -1))
+    key = lower_ascii(F.btrim(F.col("line"), F.lit(SPACES.decode())))
+    distinct = docs.select(line.alias("line")).agg(F.approx_count_distinct(key, 0.02)).first()[0]
+    need = max(MIN_LOG2_BITS, math.ceil(math.log2(max(distinct, 1) * BITS_PER_KEY)))
+    return min(need, MAX_LOG2_BITS), 1 << max(0, need - MAX_LOG2_BITS)
+
+
+def twice_filter(docs: DataFrame, log2_bits: int, min_chars: int, key_range: tuple[int, int] = (0, 1)) -> np.ndarray:
+    """The merged twice filter, ``2**log2_bits`` bits, of the keys of one range (number, of so many)."""
+    segments = stored(docs.select("text").mapInArrow(_filters(log2_bits, min_chars, key_range), FILTER_SCHEMA), "bloom")
     parts = (segments.agg(F.max("part")).first()[0] or 0) + 1
     while parts > 1:
         segments = (segments.withColumn("group", F.col("part").cast("int") / F.lit(FAN_IN))
@@ -123,11 +140,21 @@ def twice_filter(docs: DataFrame, log2_bits: int, min_chars: int) -> np.ndarray:
     return bits
 
 
-def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int, log2_bits: int) -> tuple[DataFrame, DataFrame]:
+def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int, log2_bits: int | None) -> tuple[DataFrame, DataFrame]:
     """(suspects: row key, key, first line number, bytes of the key's lines and of all lines; repeated keys with their
     exact document count)."""
-    spark = docs.sparkSession
-    twice = spark.sparkContext.broadcast(twice_filter(docs, log2_bits, min_chars))
+    bits, ranges = (log2_bits, 1) if log2_bits else filter_size(docs)
+    found = None
+    for r in range(ranges):
+        part = stored(suspected(docs, min_chars, bits, (r, ranges)), "suspects")
+        found = part if found is None else found.unionByName(part)
+    counts = found.groupBy("key").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
+    return found, counts
+
+
+def suspected(docs: DataFrame, min_chars: int, log2_bits: int, key_range: tuple[int, int]) -> DataFrame:
+    """The lines of one key range whose bits are all set in the range's twice filter."""
+    twice = docs.sparkSession.sparkContext.broadcast(twice_filter(docs, log2_bits, min_chars, key_range))
 
     def suspects(batches):
         bits = twice.value
@@ -142,8 +169,8 @@ def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int, log2_bits: in
                     if _long_enough(k, min_chars):
                         first.setdefault(k, n)
                         found[k] += 1
-                if first:
-                    keys = list(first)
+                keys = _of_range(list(first), *key_range)
+                if keys:
                     hit = _test(bits, _positions(keys, log2_bits))
                     for k in (k for k, ok in zip(keys, hit) if ok):
                         rows.append(i)
@@ -158,10 +185,8 @@ def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int, log2_bits: in
                  pa.array(out_bytes, pa.int64()), pa.array(out_totals, pa.int64())],
                 ["doc_id", "text_hash", "key", "line", "bytes", "total"])
 
-    found = stored(docs.select("doc_id", "text_hash", "text")
-                   .mapInArrow(suspects, "doc_id long, text_hash long, key binary, line int, bytes long, total long"), "suspects")
-    counts = found.groupBy("key").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
-    return found, counts
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(
+        suspects, "doc_id long, text_hash long, key binary, line int, bytes long, total long")
 
 
 def _grouped(drops: DataFrame) -> DataFrame:
@@ -182,13 +207,13 @@ def _spared(drops: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none",
-                log2_bits: int = LOG2_BITS) -> DataFrame:
+                log2_bits: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_dropped, text (without the dropped lines) and the input's other columns.
 
-    Extra columns may have any name but ``text_hash``, ``drops``, ``n_lines`` and ``n_dropped``;
-    those are replaced."""
-    extra = [c for c in docs.columns if c not in ("doc_id", "text", "text_hash", "drops", "n_lines", "n_dropped")]
-    docs = with_row_key(docs, *extra)
+    Extra columns may have any name; ``n_lines`` and ``n_dropped`` are replaced. An empty table stays empty."""
+    names = [c for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_dropped")]
+    extra = [f"extra_{i}" for i in range(len(names))]  # out of the way of the names used here
+    docs = with_row_key(docs, *[F.col(f"`{n}`").alias(e) for n, e in zip(names, extra)])
     found, counts = repeated_lines(docs, min_docs, min_chars, log2_bits)
     drops = salted_join(found, counts, "key", "text_hash", "left_semi")
     if keep == "text":
@@ -203,9 +228,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
     joined = docs.alias("a").join(
         drops.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
         & (F.col("a.text_hash") == F.col("b.text_hash")), "left").select(
-        "a.doc_id", "a.text", *[F.col(f"a.`{c}`") for c in extra], "b.drops")
-    cut = joined.select("doc_id", "text", F.col("drops.key").alias("keys"), F.col("drops.spare").alias("spares"),
-                        *[f"`{c}`" for c in extra])
+        "a.doc_id", "a.text", *[f"a.{c}" for c in extra], "b.drops")
+    cut = joined.select("doc_id", "text", F.col("drops.key").alias("keys"), F.col("drops.spare").alias("spares"), *extra)
     schema = T.StructType([cut.schema["doc_id"], T.StructField("text", T.StringType()),
                            T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()),
                            *[cut.schema[c] for c in extra]])
@@ -224,7 +248,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
                 [batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()),
                  pa.array(n_dropped, pa.int64()), *(batch.column(c) for c in extra)], schema.names)
 
-    return cut.mapInArrow(drop, schema)
+    return cut.mapInArrow(drop, schema).withColumnsRenamed(dict(zip(extra, names)))
 
 
 def op9(docs: DataFrame) -> DataFrame:
