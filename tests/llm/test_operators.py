@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 import corpus_pipeline
 from critica.llm import (batches, decontaminate, line_dedup, lm_score, near_dup, packing, pii, quality, queries, secret_scan,
                          substring_dedup, warc)
+from critica.llm.common import stored
 from tests.conftest import SF_SMALL
 from tests.llm import brute
 
@@ -43,7 +44,7 @@ def odd(spark):
     """Odd texts, a repeated row, null in every column."""
     texts = odd_texts()
     rows = [(i, t, "en", f"s{i % 3}", None) for i, t in enumerate(texts)]
-    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -94,7 +95,7 @@ def test_secret_model_learns_rare_secrets(spark):
     rows = [(i, "parse_config_file customer_order_history") for i in range(400_000)]
     for i in range(0, 400_000, 10_000):
         rows[i] = (i, f"token={rand(400)}")
-    docs = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     whole, part = secret_scan.ratio_table(docs), secret_scan.ratio_table(docs.filter("doc_id % 10000 = 0 or doc_id < 15000"))
     at = lambda t, x: t[secret_scan.ALPHABET.index(x[0]) * secret_scan.CLASSES + secret_scan.ALPHABET.index(x[1])]
     assert at(whole, "7Q") > 1 and abs(at(whole, "7Q") - at(part, "7Q")) < 6
@@ -418,6 +419,82 @@ def test_warc_cases(spark):
         assert two["merged_headers"] == 'content-length: 9\ndate: d\netag: "e1"\nserver: s' and two["payload_digest"] == "p1"
 
 
+def test_only_whole_parameters_are_dropped_from_urls(spark):
+    same = [("a.org/p?xref=5", "a.org/p?xref=5"), ("a.org/p?href=a&x=1", "a.org/p?href=a&x=1"), ("a.org/p/ref=abc", "a.org/p/ref=abc"),
+            ("a.org/p?ref=1", "a.org/p"), ("a.org/p?a=1&utm_source=x&b=2", "a.org/p?a=1&b=2"), ("a.org/p?utm_x=1&ref=2&c=", "a.org/p?c="),
+            ("a.org?pref=1&ref=", "a.org?pref=1"), ("HTTP://WWW.a.org:80/?#x", "a.org"), ("a.org/utm_a=1/?b", "a.org/utm_a=1/?b")]
+    got = spark.createDataFrame(same, "url string, want string").select("want", warc.canonical_url(F.col("url")).alias("c")).collect()
+    assert [r["c"] for r in got] == [r["want"] for r in got]
+    rows = [(1, "a.org/p?xref=5", 1, "response", {"etag": "e"}, "five"), (2, "a.org/p?xref=6", 2, "revisit", {"etag": "e"}, None)]
+    schema = "record_id long, url string, ts long, kind string, headers map<string,string>, payload_digest string"
+    assert warc.resolve(spark.createDataFrame(rows, schema)).first()["status"] == "no_earlier"
+
+
+def test_short_items_survive_substitutions(spark):
+    rng = random.Random(21)
+    items, docs = [], []
+    for n in range(1, 16):
+        words = [f"i{n}w{j}" for j in range(n)]
+        items.append((n, " ".join(words)))
+        for subs in range(4):
+            for _ in range(4):
+                changed = [*words]
+                for j in rng.sample(range(n), min(subs, n)):
+                    changed[j] = "zz"
+                docs.append((len(docs), " ".join([*words_of(rng, 20), *changed, *words_of(rng, 20)])))
+    got = by_id(decontaminate.op5(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    for i, text in docs:
+        best = {n: brute.agreement(text, t, 13) for n, t in items}
+        want = {n for n, a in best.items() if a >= (1.0 if n < decontaminate.SHORT else 0.8)}
+        assert got[i]["n_items"] == len(want), (text, want)
+
+
+def test_short_masks_find_any_two_substitutions():
+    from itertools import combinations
+    for gone in combinations(range(decontaminate.SHORT), 2):
+        assert any(all(mask[j] == "0" for j in gone) for mask in decontaminate.SHORT_MASKS)
+
+
+@pytest.mark.parametrize("bits", [3, 24, 58])
+def test_repeated_words_are_exact_whatever_the_hash(spark, monkeypatch, bits):
+    """Few position bits: every text has more words than fit; few hash bits: different windows collide all the time."""
+    monkeypatch.setattr(quality, "POSITION_BITS", bits)
+    rng = random.Random(bits)
+    rows = [(i, " ".join(words_of(rng, rng.randrange(0, 120), rng.choice([2, 4, 30])))) for i in range(150)]
+    got = by_id(quality.op6(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all(got[i]["n_repeat_words"] == brute.quality(t)[4] for i, t in rows)
+
+
+def test_line_filter_grows_with_the_corpus(spark, monkeypatch):
+    rng = random.Random(9)
+    common = [" ".join(words_of(rng, 8, 90_000)) for _ in range(300)]
+
+    def corpus(n):
+        return [(i, "\n".join([" ".join(words_of(rng, 8, 90_000)) for _ in range(6)] + rng.sample(common, 2)), "k", "s") for i in range(n)]
+
+    monkeypatch.setattr(line_dedup, "MIN_LOG2_BITS", 10)
+    for n in (400, 4000):
+        rows = corpus(n)
+        docs = line_dedup.with_row_key(spark.createDataFrame(rows, "doc_id long, text string, keys string, spares string").repartition(4))
+        bits, ranges = line_dedup.filter_size(docs)
+        keys = [k for _, t, *_ in rows for k in {line_dedup.line_key(x.encode()) for x in t.split("\n")}]
+        times = {}
+        for k in keys:
+            times[k] = times.get(k, 0) + 1
+        assert ranges == 1 and len(times) * 7 < 1 << bits < len(times) * 18
+        true = sum(c for c in times.values() if c > 1)
+        found, _ = line_dedup.repeated_lines(docs, 10, 1, None)
+        assert true <= found.count() <= 1.2 * true
+    want = brute.line_dedup([t for _, t, *_ in rows], 10)
+    df = spark.createDataFrame(rows, "doc_id long, text string, keys string, spares string").repartition(4)
+    monkeypatch.setattr(line_dedup, "MAX_LOG2_BITS", 12)  # work in key ranges
+    assert line_dedup.filter_size(docs)[1] > 1
+    small = rows[:500]
+    got = by_id(line_dedup.dedup_lines(df.filter("doc_id < 500")))
+    want = brute.line_dedup([t for _, t, *_ in small], 10)
+    assert all((got[i]["n_lines"], got[i]["n_dropped"], got[i]["text"]) == w for (i, *_), w in zip(small, want))
+
+
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
@@ -435,7 +512,9 @@ def test_empty_tables(spark):
 
 def test_clashing_columns_and_null_ids(spark):
     """Extra columns named like the operators' own, null ids, a row twice."""
-    names = ["label", "node", "n", "kept", "uid", "spans", "kind", "piece", "text_hash", "drops", "batch", "seed", "k", "b", "c0", "kd"]
+    names = ["label", "node", "n", "kept", "uid", "spans", "kind", "piece", "text_hash", "drops", "batch", "seed", "k", "b", "c0", "kd",
+             "keys", "spares", "d", "t", "best", "n_items", "item", "extra_0", "line", "key", "total", "n_lines", "shift", "pos", "w", "h",
+             "c", "j", "e", "__in", "__salt", "hit_texts", "members", "bucket", "bin", "ids", "p", "r", "at", "base", "words"]
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
                            *[T.StructField(n, T.StringType()) for n in names]])
     rows = [(i, t, *["x"] * len(names)) for i, t in [(None, "a b c a@b.org"), (1, None), (2, "a b c d"), (2, "a b c d"), (None, None)]]
@@ -452,22 +531,22 @@ def test_clashing_columns_and_null_ids(spark):
 
 def test_pipeline_stage_by_stage(spark):
     """Each stage against its plain version on the stage's own input."""
-    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").cache()
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["quality_rules", "line_dedup", "near_dedup", "decontaminate", "best_fit_packing"]
-    first = stages["quality_rules"](spark, docs, SF_SMALL).cache()
+    first = stored(stages["quality_rules"](spark, docs, SF_SMALL), "first")
     assert first.columns == docs.columns
     judged = by_id(quality.judge(docs))
     assert texts_of(first) == {i: r["cleaned"] for i, r in judged.items() if r["kept"]}
     rows = first.collect()
-    second = stages["line_dedup"](spark, first, SF_SMALL).cache()
+    second = stored(stages["line_dedup"](spark, first, SF_SMALL), "second")
     want = brute.line_dedup([r["text"] for r in rows], 10)
     assert texts_of(second) == {r["doc_id"]: kept for r, (_, _, kept) in zip(rows, want)}
     rows = sorted(second.collect(), key=lambda r: r["doc_id"])
-    third = stages["near_dedup"](spark, second, SF_SMALL).cache()
+    third = stored(stages["near_dedup"](spark, second, SF_SMALL), "third")
     assert set(texts_of(third)) == {r["doc_id"] for i, (r, (_, c)) in enumerate(
         zip(rows, brute.near_dups([r["text"] for r in rows], 5))) if c == i}
-    fourth = stages["decontaminate"](spark, third, SF_SMALL).cache()
+    fourth = stored(stages["decontaminate"](spark, third, SF_SMALL), "fourth")
     marks = by_id(decontaminate.op5(third, spark.read.parquet(f"{SF_SMALL}/benchmark.parquet")))
     assert set(texts_of(fourth)) == {i for i, r in marks.items() if not r["contaminated"]}
     last = [r.asDict() for r in stages["best_fit_packing"](spark, fourth, SF_SMALL).collect()]
@@ -508,8 +587,20 @@ def test_oracles(spark, duck, name):
     assert sorted(map(str, (tuple(r) for r in df.select(*cols).collect()))) == want
 
 
-def test_native_operators_run_no_python(spark, given):
-    bench = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet")
-    for df in (pii.op3(given), decontaminate.op5(given, bench), quality.op6(given), secret_scan.op8(given)):
+def test_native_operators_run_no_python(spark, given, monkeypatch):
+    """The plan of every written intermediate and of the result."""
+    seen = []
+
+    def native(df):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+        seen.append(plan)
+        return df
+
+    for module in (pii, decontaminate, secret_scan):
+        monkeypatch.setattr(module, "stored", lambda df, name: stored(native(df), name))
+    bench = spark.createDataFrame([(1, "one two three"), (2, "a b c d e f g h i j"), (3, " ".join(f"w{i}" for i in range(20)))],
+                                  "item_id long, text string")
+    for op in (pii.op3, lambda d: decontaminate.op5(d, bench), quality.op6, secret_scan.op8):
+        native(op(given))
+    assert len(seen) > 8
