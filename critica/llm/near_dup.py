@@ -10,7 +10,9 @@
   members are in more than one component.
 * A star may miss a link between two non-centres. So the members that are still outside their bucket's main
   component meet all of its members, on the full sets, in blocks; only links leave a block. (Copies
-  of one original have met in its component by then, so few members are outside.)
+  of one original have met in its component by then, so few members are outside.) Before that, nodes are left out that
+  cannot link to another component: a link needs ``percent`` of a node's shingles, so too few of them found in any other
+  component rule it out. That is one count by shingle, whatever the size of a bucket, and clears texts that share a template.
 * Every link is confirmed on the full sets: 100 * intersection >= ``percent`` * union.
 
 Definitions. Words are separated by ASCII white space, A-Z lower-cased; a set holds the distinct
@@ -141,13 +143,29 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """Stored (bucket, node, n, label, main, members, outside) of the buckets with members of more than one component:
     the commonest component, the number of members, and of those outside it."""
-    now = buckets.select("bucket", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return sized(buckets.select("bucket", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+
+
+def sized(now: DataFrame) -> DataFrame:
+    """``open_buckets`` of (bucket, node, n, label)."""
     many = (now.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket").agg(
         F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("members"), F.count("*").alias("labels")).filter("labels > 1")
         .select("bucket", F.col("top.label").alias("main"), "members", (F.col("members") - F.col("top.c")).alias("outside")))
     return stored(now.join(many, "bucket"), "open")
 
 
+def able_to_link(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``open_`` (bucket, node, n, label) without the nodes whose shingles are too seldom found in other components."""
+    mark = F.col("label")
+    rows = open_.groupBy("node").agg(F.first("n").alias("n"), F.xxhash64(F.first(mark)).alias("x"), F.xxhash64(F.lit(1), F.first(mark)).alias("y"))
+    rows = rows.join(sets, "node").select("node", "n", "x", "y", F.explode("shingles").alias("s"))
+    ends = rows.groupBy("s").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("x", "y")])
+    several = ends.filter("min_x != max_x OR min_y != max_y").select("s")
+    able = salted_join(rows.select("node", "n", "s"), several, "s", "node").groupBy("node", "n").agg(F.count("*").alias("c")).filter(
+        F.col("c") * 100 >= F.col("n") * percent)
+    return open_.select("bucket", "node", "n", "label").join(able.select("node"), "node", "left_semi")
+
+
 def _cross_links(asked: list[dict], members: list[dict], percent: int) -> list[tuple[bytes, bytes]]:
     """Links of the asked rows to members of other components: the first linked member of each."""
     sets = [np.asarray(m["shingles"], np.int64) for m in members]
@@ -245,7 +263,8 @@ def link(docs: DataFrame, width: int, percent: int) -> DataFrame:
     pairs = now.join(center, "bucket").filter(F.col("label") != F.col("top.label")).select(
         *ordered(F.col("node"), F.col("top.node"))).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
     labels = merged(labels, confirm(with_sizes(pairs), sets, percent).filter("linked").select("a", "b"))
-    labels = merged(labels, rest(open_buckets(buckets, labels), sets, percent))
+    left = sized(able_to_link(open_buckets(buckets, labels), sets, percent))
+    labels = merged(labels, rest(left, sets, percent))
     return feats.select("doc_id", "text_hash", "n", "node").join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node"))
 
