@@ -557,6 +557,36 @@ def test_pipeline_stage_by_stage(spark):
         (r["doc_id"], r["piece"], r["ids_crc32"]) for r in last)
 
 
+def test_texts_of_one_template_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Texts that share six tenths of their shingles: compared blocks grow with the texts, components stay exact."""
+    compared = []
+    original = near_dup.rest
+
+    def counted(open_, sets, percent):
+        compared.append(open_.select("bucket", "members", "outside").distinct().agg(
+            F.sum(F.col("members") * F.col("outside"))).first()[0] or 0)
+        return original(open_, sets, percent)
+
+    monkeypatch.setattr(near_dup, "rest", counted)
+    for n in (300, 1200):
+        rng = random.Random(n)
+        template = words_of(rng, 150, 10_000)
+        texts = [" ".join([*template, *words_of(rng, 45, 10**7)]) for _ in range(n)]
+        for i in range(0, n, 50):  # some near copies, some of them of another copy only
+            near = texts[i].split()
+            near[-10:-5] = words_of(rng, 5, 10**7)
+            texts[i + 1] = " ".join(near)
+            near[20:26] = words_of(rng, 6, 10**7)
+            texts[i + 2] = " ".join(near)
+        got = by_id(near_dup.near_dups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), 5))
+        links = [(i + b, i + a) for i in range(0, n, 50) for a, b in ((0, 1), (1, 2), (0, 2))]
+        sets = {i: set(zip(*(texts[i].split()[k:] for k in range(5)))) for pair in links for i in pair}
+        links = [p for p in links if 100 * len(sets[p[0]] & sets[p[1]]) >= 80 * len(sets[p[0]] | sets[p[1]])]
+        assert [got[i]["component_id"] for i in range(n)] == brute.components(n, links)
+    small, large = (sum(c for c in compared[i::2]) for i in (0, 1))
+    assert large <= 5 * max(small, 300)
+
+
 def test_pipeline_keeps_one_of_many_copies(spark, tmp_path, monkeypatch):
     rng = random.Random(5)
     line = lambda: " ".join(words_of(rng, 12, 5000)) + "."
