@@ -7,6 +7,8 @@ RE2 agree (see functions.common / functions.text). DuckDB lambdas use ``lambda x
 
 from __future__ import annotations
 
+from critica import oracle_texts as pr
+
 # The operators' fixed values, written out again: a wrong one in the library shows as a difference.
 _WS = r"\t\n\x{0b}\x{0c}\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WS_CLASS, NON_WS_CLASS = f"[{_WS}]", f"[^{_WS}]"
@@ -483,7 +485,6 @@ def FIRST_LINE(x: str) -> str:
 
 
 def prompts_sql() -> dict[str, str]:
-    from critica.functions import prompts as pr
     cte = "WITH " + critic_expected_cte()
     gen = f"'Question: ' || query || chr(10) || chr(10) || 'Answer:'"
     critic = (f"{_q(pr.CRITIC_RULES + chr(10) * 2 + pr.CRITIC_SCORING_GUIDE + chr(10) * 2 + 'QUERY TO ANSWER:' + chr(10))} "

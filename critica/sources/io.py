@@ -22,6 +22,7 @@ from critica.operators.ordering import number_rows, with_position
 from critica.session import stored
 from critica.sources import json_array as ja
 
+# The field names of training records.
 FEEDBACK_SCHEMA = T.StructType([
     T.StructField("factual_errors", T.ArrayType(T.StringType())),
     T.StructField("hallucinations", T.ArrayType(T.StringType())),

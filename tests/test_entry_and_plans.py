@@ -4,16 +4,16 @@ import math
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as se
 from tests.conftest import SF_SMALL
 
 # Queries with heavy side effects or model training are exercised by tools/check_oracle.py at
 # sf0.01; the rest run here against their oracle on sf0.001.
-SLOW = {"d6_train_learned_critic", "d7_score_learned_critic", "st1_stagnation_monitor",
-        "st2_score_stream", "i5_refine_batch", "i6_benchmark", "s2_read_training", "s5_write_report",
-        "d4_split_prefix", "i7_error_rows", "s2_read_training_array"}
-ROWS_ONLY = {"i6_benchmark_learned", "f3_route_learned"}
+SLOW = {"d6_train_learned_critic", "d7_score_learned_critic", "f3_route_learned", "i6_benchmark_learned",
+        "st2_score_stream", "i5_refine_batch", "i6_benchmark", "i7_error_rows"}
+ROWS_ONLY = set()
 
 
 def own(names):
@@ -81,3 +81,20 @@ def test_scan_prunes_columns(spark):
     df = se.queries()["m4_has_structure"](spark, SF_SMALL)
     txt = _plan(df)
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in txt or "struct<doc_id:bigint,text:string>" in txt
+
+
+def test_written_out_texts_equal_the_library():
+    from critica import oracle_texts
+    from critica.functions import prompts
+    names = [n for n in vars(oracle_texts) if n.isupper()]
+    assert len(names) > 15 and all(getattr(oracle_texts, n) == getattr(prompts, n) for n in names)
+
+
+def test_block_search_reads_each_posting_once(spark):
+    """J3's written steps: no plan of it joins queries with pages themselves."""
+    from critica.operators import evidence as ev
+    asked = spark.createDataFrame([(1, [1, 2, 3])], "q long, kws array<long>")
+    pages = spark.createDataFrame([(i + 1, [i % 5, 3]) for i in range(300)], "at long, kws array<long>")
+    plan = ev.Postings(pages, asked, 3).counted(asked.select("q", F.explode("kws").alias("kw")), ["q"], F.lit(True))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text and "partial_sum" in text
