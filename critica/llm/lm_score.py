@@ -11,10 +11,11 @@ lower-cased, then one end; the end also stands before the first word.
 3. Each batch adds up its documents' scores.
 
 The trie (one file a shard, memory-mapped, removed after use) has monotone levels in Elias-Fano form (low
-parts in whole bytes, high parts in unary): context ids, pointers to each context's successors, and
-successor ranks made monotone by adding what came before their context. Its payload is one byte a
+parts in whole bytes, high parts in unary with a directory of the ones before every 512 bits): context ids, pointers to each
+context's successors, and successor ranks made monotone by adding what came before their context. Its payload is one byte a
 pair: log10 of the smoothed share (1 - MIX) * c12 / (c1 + PRIOR), in steps of ``STEP``; 0 is no pair.
-Successors are looked up relative to their context: rank plus the context's base, by search in the level.
+Levels are searched where they lie (select on the unary part, then the low parts of one high value). Successors are looked
+up relative to their context: rank plus the context's base, between the context's two pointers.
 
 p(w2 | w1) = share + p(w2) * (MIX + (1 - MIX) * PRIOR / (c1 + PRIOR)), with p(w2) = (c + 0.1) / (N + 0.1 * (V + 1)).
 
@@ -137,28 +138,101 @@ def _send_pairs(shards: int, bases):
 # --- the trie ---------------------------------------------------------------------------------------
 
 
+BLOCK = 8  # 64-bit words of the high part for each entry of the directory
+_BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
+_SELECT = np.argsort(1 - _BITS, axis=1, kind="stable").astype(np.uint8)  # place of the k-th one in a byte
+_ONES = _BITS.sum(1).astype(np.uint8)
+
+
 def ef_encode(x: np.ndarray) -> list[np.ndarray]:
-    """Monotone numbers as (bytes in a low part, count; low parts; unary high parts)."""
+    """Monotone numbers as (bytes in a low part, count, zeros of the high part), low parts, the unary high part in words, and
+    the ones before every ``BLOCK`` words."""
     n, top = len(x), int(x[-1]) + 1 if len(x) else 1
     low = 0
-    while low < 8 and n and (top >> (8 * low)) > n:
+    while low < 7 and n and (top >> (8 * low)) > n:
         low += 1
-    lows = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :low].copy()
-    high = (x >> np.uint64(8 * low)).astype(np.int64) if low < 8 else np.zeros(n, np.int64)
-    bits = np.zeros((int(high[-1]) if n else 0) + n + 1, np.uint8)
+    lows = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :low]
+    high = (x >> np.uint64(8 * low)).astype(np.int64)
+    zeros = int(high[-1]) + 1 if n else 1
+    bits = np.zeros(-(-(zeros + n) // (64 * BLOCK)) * 64 * BLOCK, np.uint8)
     bits[high + np.arange(n)] = 1
-    return [np.array([low, n], np.uint64).view(np.uint8), lows.reshape(-1), np.packbits(bits)]
+    words = np.packbits(bits, bitorder="little")
+    ones = np.append(0, np.cumsum(_ONES[words].reshape(-1, 8 * BLOCK).sum(1, dtype=np.int64)))
+    return [np.array([low, n, zeros], np.uint64).view(np.uint8), np.ascontiguousarray(lows).reshape(-1), words,
+            ones.astype(np.uint64).view(np.uint8)]
+
+
+def _step(counts: np.ndarray, left: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the column in which the ``left``-th of ``counts`` falls, what is left of it there), row by row."""
+    upto = np.cumsum(counts, axis=1, dtype=np.int16)
+    at = (upto <= left[:, None]).sum(1)
+    return at, left - upto[row, at] + counts[row, at]
+
+
+class Monotone:
+    """Elias-Fano numbers, read and searched where they lie."""
+
+    def __init__(self, head: np.ndarray, lows: np.ndarray, words: np.ndarray, ones: np.ndarray):
+        self.low, self.n, self.zeros = (int(v) for v in np.frombuffer(head.tobytes(), np.uint64))
+        self.lows, self.words = lows.reshape(self.n, self.low), words.view(np.uint64).reshape(-1, BLOCK)
+        self.ones = ones.view(np.int64)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
+        """The place of the k-th one (zero) of the high part: by the directory, then by word, byte and bit."""
+        before = self.ones if ones else np.arange(len(self.ones)) * (64 * BLOCK) - self.ones
+        block = np.searchsorted(before, k, "right") - 1
+        data = self.words[block] if ones else ~self.words[block]
+        left, row = (k - before[block]).astype(np.int16), np.arange(len(k))
+        word, left = _step(np.bitwise_count(data), left, row)
+        octets = np.ascontiguousarray(data[row, word]).view(np.uint8).reshape(-1, 8)
+        byte, left = _step(_ONES[octets], left, row)
+        return block * (64 * BLOCK) + word * 64 + byte * 8 + _SELECT[octets[row, byte], left]
+
+    def _low_at(self, i: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), np.uint64)
+        for j in range(self.low):
+            out |= self.lows[i, j].astype(np.uint64) << np.uint64(8 * j)
+        return out
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        return (self._select(i, True) - i).astype(np.uint64) << np.uint64(8 * self.low) | self._low_at(i)
 
+    def _below(self, high: np.ndarray) -> np.ndarray:
+        """How many numbers have a high part less than ``high``."""
+        out = np.where(high > self.zeros - 1, self.n, 0)
+        some = np.flatnonzero((high > 0) & (high <= self.zeros - 1))
+        if len(some):
+            out[some] = self._select(high[some] - 1, False) - (high[some] - 1)
+        return out
 
-def ef_decode(low: int, n: int, lows: np.ndarray, high: np.ndarray) -> np.ndarray:
-    wide = np.zeros((n, 8), np.uint8)
-    wide[:, :low] = lows.reshape(n, low)
-    tops = np.flatnonzero(np.unpackbits(high))[:n] - np.arange(n)
-    return wide.reshape(-1).view("<u8") + (tops.astype(np.uint64) << np.uint64(8 * low) if low < 8 else np.uint64(0))
+    def successor(self, x: np.ndarray, lo: np.ndarray | int = 0, hi: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the first number >= x in [lo, hi), whether it is x), for each x."""
+        high = (x >> np.uint64(8 * self.low)).astype(np.int64)
+        hi = self.n if hi is None else hi
+        a = np.clip(self._below(high), lo, hi)
+        end = np.clip(self._below(high + 1), lo, hi)
+        part = x & np.uint64((1 << (8 * self.low)) - 1)
+        b = end.copy()
+        open_ = np.flatnonzero(a < b)
+        while len(open_):
+            middle = (a[open_] + b[open_]) >> 1
+            less = self._low_at(middle) < part[open_]
+            a[open_[less]] = middle[less] + 1
+            b[open_[~less]] = middle[~less]
+            open_ = open_[a[open_] < b[open_]]
+        equal = np.zeros(len(x), bool)
+        inside = np.flatnonzero(a < end)
+        equal[inside] = self._low_at(a[inside]) == part[inside]
+        return a, equal
 
 
 class Trie:
-    """A shard's levels in one memory-mapped file."""
+    """A shard's levels in one memory-mapped file; nothing is decoded but what a search reads."""
+
+    PARTS = 4  # of a level
 
     def __init__(self, keys: np.ndarray, codes: np.ndarray):
         context, first = np.unique(keys >> np.uint64(32), return_index=True)
@@ -172,37 +246,44 @@ class Trie:
                   rank + np.repeat(base, sizes).astype(np.uint64)]
         parts = [p for x in levels for p in ef_encode(x)] + [codes]
         handle, self.path = tempfile.mkstemp(suffix=".trie")
+        self.spans, at = [], 0
         with os.fdopen(handle, "wb") as f:
             for p in parts:
-                f.write(p.tobytes())
-        self.edges = np.append(0, np.cumsum([p.nbytes for p in parts]))
-        self.map = np.memmap(self.path, np.uint8, "r") if self.edges[-1] else np.empty(0, np.uint8)
-        self.context, self.pointer, self.base, self.vocabulary, self.level = (self._level(i) for i in range(5))
-        self.codes = self._part(15)
+                self.spans.append((at, at + p.nbytes))
+                f.write(p.tobytes() + bytes(-p.nbytes % 8))
+                at += p.nbytes + -p.nbytes % 8
+        self.map = np.memmap(self.path, np.uint8, "r")
+        self.context, self.pointer, self.base, self.vocabulary, self.level = (
+            Monotone(*(self._part(self.PARTS * i + j) for j in range(self.PARTS))) for i in range(5))
+        self.codes = self._part(5 * self.PARTS)
 
     def _part(self, i: int) -> np.ndarray:
-        return self.map[self.edges[i]:self.edges[i + 1]]
-
-    def _level(self, i: int) -> np.ndarray:
-        low, n = (int(v) for v in np.frombuffer(self._part(3 * i).tobytes(), np.uint64))
-        return ef_decode(low, n, self._part(3 * i + 1), self._part(3 * i + 2))
+        return np.asarray(self.map[slice(*self.spans[i])])
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The payload of each (context, successor), 0 where absent."""
+        """The payload of each (context, successor), 0 where absent. A context is looked up once for neighbours that share it;
+        successors are searched between their context's pointers only."""
         out = np.zeros(len(keys), np.uint8)
         if not len(self.level) or not len(keys):
             return out
-        context, successor = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
-        c = np.minimum(np.searchsorted(self.context, context), len(self.context) - 1)
-        v = np.minimum(np.searchsorted(self.vocabulary, successor), len(self.vocabulary) - 1)
-        at = np.minimum(np.searchsorted(self.level, self.base[c] + v.astype(np.uint64)), len(self.level) - 1)
-        ok = ((self.context[c] == context) & (self.vocabulary[v] == successor) & (self.level[at] == self.base[c] + v.astype(np.uint64))
-              & (at >= self.pointer[c].astype(np.int64)) & (at < self.pointer[c + 1].astype(np.int64)))
-        out[ok] = self.codes[at[ok]]
+        context = keys >> np.uint64(32)
+        starts = np.append(0, np.flatnonzero(context[1:] != context[:-1]) + 1)
+        sizes = np.diff(np.append(starts, len(keys)))
+        c, known = self.context.successor(context[starts])
+        keep = np.flatnonzero(np.repeat(known, sizes))
+        if not len(keep):
+            return out
+        spread = lambda x: np.repeat(x, sizes[known])
+        c = c[known]
+        v, is_word = self.vocabulary.successor(keys[keep] & np.uint64(0xFFFFFFFF))
+        lo, hi, base = self.pointer.get(c).astype(np.int64), self.pointer.get(c + 1).astype(np.int64), self.base.get(c)
+        at, found = self.level.successor(spread(base) + v.astype(np.uint64), spread(lo), spread(hi))
+        ok = is_word & found
+        out[keep[ok]] = self.codes[at[ok]]
         return out
 
     def close(self) -> None:
-        self.map = self.codes = None
+        del self.map, self.codes, self.context, self.pointer, self.base, self.vocabulary, self.level
         os.unlink(self.path)
 
 
