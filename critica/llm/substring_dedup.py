@@ -12,12 +12,14 @@ symbols from one symbol's start on that span at least ``ANCHOR`` words. Of the a
 ``SPREAD`` words after a window's edge, the least names the window: equal windows have equal names.
 
 1. Names that occur once in the corpus rule their windows out. Names are counted by exchange.
-2. The windows left are hashed word for word, and the hashes counted by exchange: a window whose hash
-   occurs again is a repeat.
+2. The windows left are hashed word for word, and the hashes counted by exchange together with a second, independent hash: a
+   window whose two hashes both occur again is a repeat.
 3. Words covered by repeats go.
 
-A window is named by a 64-bit hash; two different windows are taken for equal with a chance of 2^-64 a
-pair. Null text has no words; repeated rows are repeats of each other."""
+A window is confirmed by 64 bits and 56 bits of two hashes of all its words: two different windows of different batches are taken
+for equal with a chance of 2^-120 a pair (2^-64 inside a batch of a few MB). Null text has no words; repeated rows are
+repeats of each other. Very long texts are read whole; extra columns are not read, so their names cannot clash; an
+empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from critica.llm.batches import (SHARD_NAMES, SHARD_SCHEMA, SHARD_TYPES, answer, batch_table, concat_replies, merged, pack,
-                                 rows_to_batch, send, shards_for, unpack, with_replies)
+                                 rows_to_batch, send, shards_for, unpack, unpack_sorted, with_replies)
 from critica.llm.common import stored
 from critica.llm.word_hash import WordHashes, combine, mix
 
@@ -36,6 +38,7 @@ ROUNDS = 3
 RUN = np.uint64(0xA24BAED4963EE407)
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 BASE = 0xD1342543DE82EF95
+LOW = np.uint64(0xFF)  # the count, beside 56 bits of the second hash
 
 
 class Geometry:
@@ -100,8 +103,10 @@ def window_names(words: np.ndarray, first: np.ndarray, g: Geometry) -> tuple[np.
     return least[g.edge:] if n > g.edge else least[:0], close
 
 
-def window_hashes(words: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
-    """A hash of the window at each place, all of its words."""
+def window_hashes(words: np.ndarray, at: np.ndarray, window: int, second: bool = False) -> np.ndarray:
+    """A hash of the window at each place, all of its words; ``second``: one independent of the first."""
+    if second:
+        words = mix(words ^ RUN)
     powers, inverse = _powers(len(words))
     sums = np.append(np.uint64(0), np.cumsum(words * powers, dtype=np.uint64))
     return mix((sums[at + window] - sums[at]) * inverse[at])
@@ -170,6 +175,27 @@ def _twice(pdf: pd.DataFrame) -> pd.DataFrame:
                          "reply": [pack((totals[p] > 1).astype(np.uint8)) for p in places]})
 
 
+def _confirmed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each sent window: whether its hash occurs twice with the same second hash."""
+    parts = [unpack_sorted(k) for k in pdf["keys"]]
+    sent = [unpack(c, np.uint64) for c in pdf["counts"]]
+    keys, place = np.unique(np.concatenate(parts), return_inverse=True)
+    data = np.concatenate(sent)
+    check, seen = data & ~LOW, (data & LOW).astype(np.int64)
+    first = np.zeros(len(keys), np.uint64)
+    first[place] = check  # any one of a key's second hashes
+    other = np.flatnonzero(first[place] != check)
+    if len(other):  # two windows under one hash: counted by both hashes
+        mixed = np.isin(place, place[other])
+        pairs = np.rec.fromarrays([place, check])
+        _, where = np.unique(pairs[mixed], return_inverse=True)
+        place[mixed] = len(keys) + where
+    twice = np.bincount(place, weights=seen) > 1
+    ends = np.cumsum([len(p) for p in parts])
+    return pd.DataFrame({"batch": pdf["batch"], "shard": pdf["shard"],
+                         "reply": [pack(x.astype(np.uint8)) for x in np.split(twice[place], ends[:-1])]})
+
+
 def _send_windows(g: Geometry, shards: int):
     """The shards' rows, and one row (shard -1) with the batch's own candidate windows."""
     def run(batches):
@@ -183,8 +209,9 @@ def _send_windows(g: Geometry, shards: int):
                 hot[~hot] = shared[np.searchsorted(keys, name[~hot])]
                 own = at[np.repeat(hot, length)]
                 found = window_hashes(toks[1], own, g.window)
-                keys, seen = np.unique(found, return_counts=True)
-                rows = send(batch, keys, np.minimum(seen, 2).astype(np.uint8), shards)
+                keys, place, seen = np.unique(found, return_index=True, return_counts=True)
+                check = window_hashes(toks[1], own[place], g.window, second=True)
+                rows = send(batch, keys, check & ~LOW | np.minimum(seen, 2).astype(np.uint64), shards)
                 steps = np.diff(own, prepend=0).astype(np.int64)
                 yield rows_to_batch([*rows, (batch, -1, pack(steps), b"")], SHARD_NAMES, SHARD_TYPES)
     return run
@@ -226,7 +253,7 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     names = answer(batches.select("batch", "text").mapInArrow(_send_names(g, shards), SHARD_SCHEMA), _twice)
     sent = stored(with_replies(batches.select("batch", "text"), names, "names").mapInArrow(
         _send_windows(g, shards), SHARD_SCHEMA), "windows")
-    replies = answer(sent.filter("shard >= 0"), _twice)
+    replies = answer(sent.filter("shard >= 0"), _confirmed)
     mine = sent.filter("shard = -1").select("batch", F.col("keys").alias("mine"))
     joined = with_replies(batches, replies, "windows").join(mine.hint("shuffle_hash"), "batch", "left")
     return joined.mapInArrow(_cut(g), "doc_id long, n_words long, n_removed long, kept_text string")
