@@ -340,19 +340,60 @@ def test_lm_words_of_equal_upper_hash(spark, monkeypatch):
         assert abs(got[i]["score"] - full) <= lm_score.STEP / 2 * n + 1e-9
 
 
-def test_elias_fano_round_trip():
+def test_windows_under_one_hash_are_told_apart():
+    """A collision of the first hash: counted by both hashes, the true repeat found, the false one not."""
+    import numpy as np
+    import pandas as pd
+    key = np.array([5, 9], np.uint64)
+    row = lambda b, c5, c9: {"batch": b, "shard": 0, "keys": batches.pack_sorted(key), "counts": batches.pack(
+        np.array([c5 << 8 | 1, c9 << 8 | 1], np.uint64))}
+    for checks, want in (([(1, 7), (2, 7)], [(0, 1), (0, 1)]), ([(1, 7), (2, 8), (1, 9)], [(1, 0), (0, 0), (1, 0)])):
+        got = substring_dedup._confirmed(pd.DataFrame([row(i, *c) for i, c in enumerate(checks)]))
+        assert [tuple(batches.unpack(r, np.uint8)) for r in got["reply"]] == want
+
+
+def test_elias_fano_is_read_and_searched_in_place():
     import numpy as np
     rng = np.random.default_rng(1)
-    for x in (np.empty(0, np.uint64), np.zeros(3, np.uint64), np.sort(rng.integers(0, 1 << 32, 5000)).astype(np.uint64),
-              np.cumsum(rng.integers(0, 1 << 50, 100)).astype(np.uint64)):
-        head, lows, high = lm_score.ef_encode(x)
-        low, n = (int(v) for v in head.view(np.uint64))
-        assert (lm_score.ef_decode(low, n, lows, high) == x).all()
-    keys = np.unique(rng.integers(0, 1 << 12, 3000).astype(np.uint64) << np.uint64(32) | rng.integers(0, 50, 3000).astype(np.uint64))
+    cases = [np.empty(0, np.uint64), np.zeros(3, np.uint64), np.arange(2000, dtype=np.uint64), np.full(1500, 7, np.uint64),
+             np.sort(rng.integers(0, 1 << 32, 5000)).astype(np.uint64), np.cumsum(rng.integers(0, 1 << 50, 100)).astype(np.uint64),
+             np.sort(rng.integers(0, 300, 4000)).astype(np.uint64), np.array([1 << 62], np.uint64)]
+    for x in cases:
+        m = lm_score.Monotone(*lm_score.ef_encode(x))
+        assert len(m) == len(x) and (not len(x) or (m.get(np.arange(len(x))) == x).all())
+        asked = np.concatenate([x, x + np.uint64(1), np.maximum(x, np.uint64(1)) - np.uint64(1), rng.integers(0, 1 << 40, 300).astype(np.uint64)])
+        at, equal = m.successor(asked)
+        assert (at == np.searchsorted(x, asked)).all() and (equal == np.isin(asked, x)).all()
+        if len(x) > 10:  # between two bounds
+            lo, hi = np.sort(rng.integers(0, len(x) + 1, (2, 500)), axis=0)
+            some = rng.choice(x, 500)
+            at, equal = m.successor(some, lo, hi)
+            for i in range(500):
+                part = x[lo[i]:hi[i]]
+                assert at[i] == lo[i] + np.searchsorted(part, some[i]) and equal[i] == (some[i] in part)
+
+
+def test_trie_is_compact_and_context_relative():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 12, 30_000).astype(np.uint64) << np.uint64(32) | rng.integers(0, 500, 30_000).astype(np.uint64))
     codes = rng.integers(1, 256, len(keys)).astype(np.uint8)
     trie = lm_score.Trie(keys[::2], codes[::2])
     assert (trie.find(keys[::2]) == codes[::2]).all() and not trie.find(keys[1::2]).any()
+    shuffled = rng.permutation(len(keys))
+    assert (trie.find(keys[shuffled]) == np.where(shuffled % 2 == 0, codes[shuffled], 0)).all()
+    # nothing but views of the map and the directories is held: a few bytes a pair instead of 16
+    assert trie.map.nbytes < 6 * len(keys[::2])
+    for level in (trie.context, trie.pointer, trie.base, trie.vocabulary, trie.level):
+        for held in (level.lows, level.words, level.ones):
+            assert np.shares_memory(held, trie.map) or not held.size
+    # a successor that another context has, just outside the pointers of this one
+    absent = np.array([k for k in (keys[::2] + np.uint64(1)) if k not in set(keys[::2].tolist())], np.uint64)
+    assert not trie.find(absent).any()
     trie.close()
+    empty = lm_score.Trie(np.empty(0, np.uint64), np.empty(0, np.uint8))
+    assert not empty.find(keys[:5]).any()
+    empty.close()
 
 
 def test_packing(docs):
