@@ -731,9 +731,8 @@ def _stream(spark, sf, name):
         f"{sf.rstrip('/')}/{name}.parque[t]")
 
 
-def st1_stagnation_monitor(spark, sf):
-    """ST1 over the events in four files, one a micro-batch, in time order: state is carried from batch to batch. Without
-    the critiques after an exit it equals W1-W6 after truncation."""
+def _monitored(spark, sf):
+    """ST1 over the events in four files, one a micro-batch, in time order: state is carried from batch to batch."""
     events, base = table(spark, sf, "events"), scratch_path(spark, "st1")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     cuts = events.agg(F.percentile_approx(micros, [0.25, 0.5, 0.75])).first()[0] or []
@@ -742,8 +741,19 @@ def st1_stagnation_monitor(spark, sf):
         events.filter(part == i).write.parquet(f"{base}/in/part{i}")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/part*")
     mon = sm.stagnation_monitor(sm.critique_events(stream), ttl_ms=None)
-    out = sm.run_available_now(spark, mon, f"{base}/run").filter("not after_exit")
-    return out.select("run_id", "iteration", "improvement_delta", "is_stagnated", "exit_reason", "strict_mode")
+    return sm.run_available_now(spark, mon, f"{base}/run")
+
+
+def st1_stagnation_monitor(spark, sf):
+    """Without the critiques after an exit the monitor equals W1-W6 after truncation."""
+    return _monitored(spark, sf).filter("not after_exit").select(
+        "run_id", "iteration", "improvement_delta", "is_stagnated", "exit_reason", "strict_mode")
+
+
+def st1_every_event(spark, sf):
+    """Every event of the stream comes out once: as a critique of its run, or flagged as one after the run's exit."""
+    return _monitored(spark, sf).select("event_id", "run_id", F.coalesce("iteration", F.lit(0)).alias("iteration"),
+                                        "improvement_delta", "exit_reason", "strict_mode", "after_exit")
 
 
 def st2_score_stream(spark, sf):
@@ -788,6 +798,6 @@ def queries() -> dict[str, Query]:
                  "i6_benchmark", "i6_benchmark_learned", "i7_error_rows", "i8_generate_batch", "d2_label_records",
                  "f3_route_hybrid", "f3_route_learned", "a6_critic_eval", "j5_misalignment", "x4_misaligned_rate",
                  "d6_train_learned_critic", "d7_score_learned_critic",
-                 "st1_stagnation_monitor", "st2_score_stream"):
+                 "st1_stagnation_monitor", "st1_every_event", "st2_score_stream"):
         out[name] = globals()[name]
     return out

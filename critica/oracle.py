@@ -833,6 +833,11 @@ def streaming_sql() -> dict[str, str]:
     return {
         "st1_stagnation_monitor": f"""WITH {traj_cte()} SELECT run_id, iteration, improvement_delta, is_stagnated,
   exit_reason, strict_mode FROM traj""",
+        "st1_every_event": f"""WITH {traj_cte(cut=False)},
+x AS (SELECT fx.*, coalesce(first_exit < fx.iteration, false) AS after_exit, t.strict_mode FROM fx LEFT JOIN (SELECT event_id, strict_mode FROM traj) t USING (event_id))
+SELECT event_id, run_id, CASE WHEN after_exit THEN 0 ELSE iteration END AS iteration,
+  CASE WHEN after_exit THEN {D(0.0)} ELSE improvement_delta END AS improvement_delta,
+  CASE WHEN NOT after_exit THEN exit_reason END AS exit_reason, coalesce(strict_mode, false) AS strict_mode, after_exit FROM x""",
         "st2_score_stream": f"""WITH {m_doc}, {critic_expected_cte()}
 SELECT m.doc_id, m.word_count, m.sentence_count, m.lexical_diversity, m.composite_score, cx.score, cx.verdict
 FROM m_final m JOIN cx USING (doc_id)""",

@@ -12,7 +12,7 @@ from tests.conftest import SF_SMALL
 # Queries with heavy side effects or model training are exercised by tools/check_oracle.py at
 # sf0.01; the rest run here against their oracle on sf0.001.
 SLOW = {"d6_train_learned_critic", "d7_score_learned_critic", "f3_route_learned", "i6_benchmark_learned",
-        "st2_score_stream", "i5_refine_batch", "i6_benchmark", "i7_error_rows"}
+        "st1_every_event", "st2_score_stream", "i5_refine_batch", "i6_benchmark", "i7_error_rows"}
 ROWS_ONLY = set()
 
 
