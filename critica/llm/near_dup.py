@@ -155,15 +155,15 @@ def sized(now: DataFrame) -> DataFrame:
 
 
 def able_to_link(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``open_`` (bucket, node, n, label) without the nodes whose shingles are too seldom found in other components."""
-    mark = F.col("label")
-    rows = open_.groupBy("node").agg(F.first("n").alias("n"), F.xxhash64(F.first(mark)).alias("x"), F.xxhash64(F.lit(1), F.first(mark)).alias("y"))
-    rows = rows.join(sets, "node").select("node", "n", "x", "y", F.explode("shingles").alias("s"))
-    ends = rows.groupBy("s").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("x", "y")])
-    several = ends.filter("min_x != max_x OR min_y != max_y").select("s")
-    able = salted_join(rows.select("node", "n", "s"), several, "s", "node").groupBy("node", "n").agg(F.count("*").alias("c")).filter(
-        F.col("c") * 100 >= F.col("n") * percent)
-    return open_.select("bucket", "node", "n", "label").join(able.select("node"), "node", "left_semi")
+    """``open_`` (bucket, node, n, label) without the nodes whose shingles are too seldom found in other components.
+
+    Nodes and labels are counted as 64-bit hashes: two nodes under one hash add up, which leaves out less."""
+    who = stored(open_.groupBy("node").agg(F.first("n").alias("n"), F.xxhash64(F.first("label")).alias("x")), "who")
+    rows = who.join(sets, "node").select(F.xxhash64("node").alias("at"), "x", F.explode("shingles").alias("s"))
+    several = rows.groupBy("s").agg(F.min("x").alias("a"), F.max("x").alias("b")).filter("a != b").select("s")
+    able = rows.select("at", "s").join(several, "s").groupBy("at").agg(F.count("*").alias("c"))
+    fits = who.withColumn("at", F.xxhash64("node")).join(able, "at").filter(F.col("c") * 100 >= F.col("n") * percent)
+    return open_.select("bucket", "node", "n", "label").join(fits.select("node"), "node", "left_semi")
 
 
 def _cross_links(asked: list[dict], members: list[dict], percent: int) -> list[tuple[bytes, bytes]]:
