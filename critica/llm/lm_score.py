@@ -44,6 +44,7 @@ MIX = 0.3
 PRIOR = 4.0
 STEP = 0.04
 HOT_CONTEXT = 500_000
+LOOKUPS = 100_000  # pairs looked up at once
 END = b"\n"  # no word holds white space
 PAIR_SCHEMA = "batch long, shard long, contexts binary, sizes binary, totals binary, successors binary, counts binary"
 PAIR_NAMES = ["batch", "shard", "contexts", "sizes", "totals", "successors", "counts"]
@@ -306,19 +307,21 @@ def _answer_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         contexts.append(context)
         totals.append(unpack(total, np.int64))
         counts.append(unpack(n, np.uint32))
-    keys = np.unique(np.concatenate(asked))
-    c12 = np.zeros(len(keys), np.int64)
-    for a, n in zip(asked, counts):
-        c12[np.searchsorted(keys, a)] += n
+    pairs = np.unique(np.concatenate(asked))
+    c12 = np.zeros(len(pairs), np.int64)
+    places = [np.searchsorted(pairs, a).astype(np.uint32) for a in asked]
+    for p, n in zip(places, counts):
+        c12[p] += n
     learnt = c12 > 0
-    keys, c12 = keys[learnt], c12[learnt]
+    keys, c12 = pairs[learnt], c12[learnt]
     context, first = np.unique(np.concatenate(contexts), return_index=True)
     c1 = np.concatenate(totals)[first][np.searchsorted(context, keys >> np.uint64(32))]
     trie = Trie(keys, quantise((1 - MIX) * c12 / (np.maximum(c1, c12) + PRIOR)))
-    try:
-        replies = [pack(trie.find(a)) for a in asked]
+    try:  # each distinct pair that any batch asks is looked up once, in order
+        codes = np.concatenate([trie.find(pairs[i:i + LOOKUPS]) for i in range(0, len(pairs), LOOKUPS)])
     finally:
         trie.close()
+    replies = [pack(codes[p]) for p in places]
     return pd.DataFrame({"batch": pdf["batch"], "shard": pdf["shard"], "reply": replies})
 
 

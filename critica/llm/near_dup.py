@@ -18,7 +18,9 @@
 Definitions. Words are separated by ASCII white space, A-Z lower-cased; a set holds the distinct
 ``width``-word windows, or the whole sequence where there are fewer words. Null, empty and blank texts
 have no set and link with nothing. A component's id is its least doc_id (nulls aside; a document
-with a null doc_id and no other in its component gets null)."""
+with a null doc_id and no other in its component gets null). Repeated rows are copies of each other. Texts of any length
+are hashed whole; a set is one row of 8 bytes a shingle. ``near_dups`` reads doc_id and text only and ``keep_one`` renames the
+other columns while it works, so names cannot clash. Empty tables give empty results."""
 
 from __future__ import annotations
 

@@ -16,7 +16,9 @@ dealt to its pieces by (length, rank). An island stops as soon as its best reach
 ceil(tokens / size). At the end the worst-filled sequences of all shards are dealt to fewer shards and packed
 once more, so the number of part-filled sequences does not grow with the number of shards.
 
-Null text counts as empty (the end id alone). Repeated rows are packed one by one."""
+Null text counts as empty (the end id alone). Repeated rows are packed one by one; pieces of equal length tie and are dealt by
+rank. Texts of any length are encoded whole, one row at a time. Input columns named like a result are replaced, all
+others stay. An empty table gives an empty result."""
 
 from __future__ import annotations
 

@@ -15,7 +15,8 @@ an ``@``, an ip three dots, a card 12 and a phone 7 digits).
 
 The graph is pre-aggregated to distinct (pattern, instance) edges before any join, so a frequent
 word pair is one row per instance. Null text counts as empty; a document without any match keeps
-its row; repeated rows get equal results."""
+its row; repeated rows get equal results. Very long texts are searched whole; contexts are at most ``CONTEXT`` characters.
+Only doc_id and text are read, so other columns cannot clash; an empty table gives an empty result."""
 
 from __future__ import annotations
 

@@ -12,7 +12,8 @@ A token of 16 or more characters with letters and digits in it, outside every ba
 (kind ``random``) if its ratio reaches ``min_ratio`` bits a character. Without any sample of random
 strings the table is flat and nothing is added.
 
-Null text counts as empty; repeated rows give repeated results."""
+Null text counts as empty; repeated rows give repeated results. Very long texts are searched whole. Only doc_id and text
+are read, so other columns cannot clash; an empty table gives an empty result."""
 
 from __future__ import annotations
 
