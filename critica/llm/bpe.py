@@ -33,6 +33,7 @@ from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -48,7 +49,9 @@ SLICE = 1 << 16      # characters fed at once
 HOLD = 1024          # characters of a pre-token before it is left open
 CHUNK = 512          # bytes that a transducer gathers beyond its lookahead
 CACHED_BYTES = 64    # longest pre-token kept in the cache
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
+GROUP = 1 << 21      # characters of short texts whose new pre-tokens are merged together
+TOGETHER = 4096      # pre-tokens merged at once
 NO_RULE = 1 << 60
 
 
@@ -100,6 +103,8 @@ class Model:
         self.byte_ids = [vocab.get(c) for c in letters]
         self.ranks = {vocab[a] << 32 | vocab[b]: rank for rank, (a, b) in enumerate(merges)}
         self.made = [vocab[a + b] for a, b in merges]
+        self.numbers = np.array(range(max(vocab.values(), default=0) + 1), object)  # one int object for each id
+        self.pairs, self.pair_ranks = np.array(sorted(self.ranks.items()), np.int64).reshape(-1, 2).T.copy()
         self.lookahead = sufficient_lookahead(merges)
         self.bytes = {i: bytes(to_byte[c] for c in t) for t, i in vocab.items()}
         self.added = {}
@@ -131,6 +136,49 @@ class Model:
                 ranks[i - 1] = rank_of(sym[i - 1] << 32 | new, NO_RULE)
         return sym
 
+    def merge_many(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """``merge`` of many runs of at most ``CACHED_BYTES`` bytes: in each round every run merges its pair of least rank, the leftmost.
+
+        A run is a row of places, with an empty place at either end; a place knows its neighbours, its id and the rank of the pair it begins."""
+        if None in self.byte_ids or not self.made:
+            return [tuple(self.merge(w)) for w in words]
+        byte_ids, made, none = np.array(self.byte_ids, np.int64), np.array(self.made, np.int64), np.iinfo(np.int32).max
+
+        def rank(a, b):
+            code = np.where(b < 0, -1, a << 32 | b)
+            at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+            return np.where(self.pairs[at] == code, self.pair_ranks[at], none).astype(np.int32)
+
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        width = int(sizes.max()) + 2
+        sym = np.full((len(words), width), -1, np.int64)
+        inner = np.arange(width) - 1
+        inner = (inner >= 0) & (inner < sizes[:, None])
+        sym[inner] = byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        key = np.full(sym.shape, none, np.int32)
+        key[:, :-1] = rank(sym[:, :-1], sym[:, 1:])
+        after, before = np.arange(1, sym.size + 1), np.arange(-1, sym.size - 1)
+        live, ids = np.arange(len(words)), sym.reshape(-1)
+        while True:
+            first = key.argmin(1)
+            r = key[np.arange(len(live)), first]
+            going = r != none
+            if not going.all():
+                live, key, first, r = live[going], key[going], first[going], r[going]
+            if not len(live):
+                break
+            base, row = live * width, np.arange(len(live))
+            i = base + first
+            j, h = after[i], before[i]
+            k = after[j]
+            ids[i], ids[j] = new, _ = made[r], -1
+            after[i], before[k] = k, i
+            key[row, j - base] = none
+            key[row, first] = rank(new, ids[k])
+            key[row, h - base] = rank(ids[h], new)
+        flat, ends = self.numbers[ids[ids >= 0]].tolist(), np.cumsum((sym >= 0).sum(1)).tolist()
+        return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends)]
+
     def _merge_long(self, sym: list[int | None]) -> list[int]:
         """A heap of candidate pairs over a linked list."""
         rank_of, made, n = self.ranks.get, self.made, len(sym)
@@ -214,13 +262,37 @@ class Classes:
 
 
 class Words(dict):
-    """pre-token -> ids; long ones go through a transducer and are not kept, and all are forgotten at ``CACHE_WORDS``."""
+    """pre-token -> ids; long ones go through a transducer and are not kept, and all are forgotten at ``CACHE_WORDS``.
+
+    A tuple of ids stands for itself, so that a text is a list of units: pre-tokens, and ids that are known already."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
 
-    def __missing__(self, word: str) -> Iterable[int]:
+    def ids(self, units: list[str | tuple[int, ...]]) -> list[int]:
+        return list(chain.from_iterable(map(self.__getitem__, units)))
+
+    def learn(self, units: set[str | tuple[int, ...]]) -> None:
+        """Merges the new pre-tokens among ``units`` together, those of like length side by side."""
+        new = [u for u in units if u not in self]
+        if len(self) + len(new) > CACHE_WORDS:
+            self.clear()
+            new = units
+        new = [u for u in new if isinstance(u, str) and len(u) <= CACHED_BYTES]
+        new.sort(key=len)
+        for at in range(0, len(new), TOGETHER):
+            some = new[at:at + TOGETHER]
+            data = [u.encode() for u in some]
+            if max(map(len, data)) > CACHED_BYTES:
+                some = [u for u, d in zip(some, data) if len(d) <= CACHED_BYTES]
+                data = [u.encode() for u in some]
+            if some:
+                self.update(zip(some, self.model.merge_many(data)))
+
+    def __missing__(self, word: str | tuple[int, ...]) -> Iterable[int]:
+        if isinstance(word, tuple):
+            return word
         data = word.encode()
         if len(data) > CACHED_BYTES:
             stream = Transducer(self.model)
@@ -232,44 +304,44 @@ class Words(dict):
 
 
 class Encoder:
-    """Text in slices in, ids out. ``close`` ends the text."""
+    """Text in slices in, units (``Words``) out. ``close`` ends the text."""
 
-    def __init__(self, model: Model, words: Words, classes: Classes, added: bool = True):
-        self.model, self.words, self.classes = model, words, classes
+    def __init__(self, model: Model, classes: Classes, added: bool = True):
+        self.model, self.classes = model, classes
         self.added = model.added_pattern if added else None
         self.keep = max(map(len, model.added)) - 1 if self.added else 0
         self.held, self.open, self.stream = "", None, None
 
-    def feed(self, text: str) -> list[int]:
+    def feed(self, text: str) -> list[str | tuple[int, ...]]:
         return self._take(text, False)
 
-    def close(self) -> list[int]:
-        return self._take("", True)
+    def close(self, text: str = "") -> list[str | tuple[int, ...]]:
+        return self._take(text, True)
 
-    def _take(self, text: str, last: bool) -> list[int]:
+    def _take(self, text: str, last: bool) -> list[str | tuple[int, ...]]:
         text, out, at = self.held + text, [], 0
         if self.added:
             for m in self.added.finditer(text):
                 self._part(text[at:m.start()], True, out)
-                out.append(self.model.added[m[0]])
+                out.append((self.model.added[m[0]],))
                 at = m.end()
         end = len(text) if last else max(at, len(text) - self.keep)
         used = self._part(text[at:end], last, out)
         self.held = text[at + used:]
         return out
 
-    def _part(self, text: str, last: bool, out: list[int]) -> int:
-        """Ids of the pre-tokens that no further text can change; the characters used."""
+    def _part(self, text: str, last: bool, out: list[str | tuple[int, ...]]) -> int:
+        """Units of the pre-tokens that no further text can change; the characters used."""
         plain, start = self.classes.plain(text), 0
         if self.open:
             start = _CONTINUE[self.open].match(plain).end()
             closed = start < len(plain)
             if self.open == "space" and (closed or not last):
                 start = max(start - 1, 0)  # the last blank may belong to the next word
-            out.extend(self.stream.feed(text[:start].encode()))
+            out.append(tuple(self.stream.feed(text[:start].encode())))
             if not (closed or last):
                 return start
-            out.extend(self.stream.close())
+            out.append(tuple(self.stream.close()))
             self.open = None
         if plain is text:
             tokens = _PRE.findall(text, start)
@@ -280,13 +352,13 @@ class Encoder:
             end -= len(tokens.pop())
             if tokens and tokens[-1][0] == "'" and end - len(tokens[-1]) + 3 > len(text):
                 end -= len(tokens.pop())
-        out.extend(chain.from_iterable(map(self.words.__getitem__, tokens)))
+        out.extend(tokens)
         if len(text) - end > HOLD:
             tail = plain[-1]
             self.open = next(k for k, p in _CONTINUE.items() if p.fullmatch(tail))
             self.stream = Transducer(self.model)
             stop = len(text) - (self.open == "space")
-            out.extend(self.stream.feed(text[end:stop].encode()))
+            out.append(tuple(self.stream.feed(text[end:stop].encode())))
             end = stop
         return end
 
@@ -322,10 +394,37 @@ def loaded(path: str) -> tuple[Model, Words, Classes]:
 
 def pieces(text: str | None, path: str, added: bool = True) -> Iterator[list[int]]:
     """The ids of a text, slice by slice."""
-    encoder = Encoder(*loaded(path), added)
+    model, words, classes = loaded(path)
+    encoder = Encoder(model, classes, added)
     for at in range(0, len(text or ""), SLICE):
-        yield encoder.feed(text[at:at + SLICE])
-    yield encoder.close()
+        yield words.ids(encoder.feed(text[at:at + SLICE]))
+    yield words.ids(encoder.close())
+
+
+def encoded(texts: list[str | None], path: str, added: bool = True) -> Iterator[Iterable[list[int]]]:
+    """``pieces`` of each text. Texts of one slice are taken ``GROUP`` characters at a time and their new pre-tokens merged together."""
+    model, words, classes = loaded(path)
+    group, size = [], 0
+
+    def done():
+        words.learn(set().union(*group))
+        for units in group:
+            yield [words.ids(units)]
+        group.clear()
+
+    for text in texts:
+        text = text or ""
+        if len(text) > SLICE:
+            yield from done()
+            yield pieces(text, path, added)
+            size = 0
+            continue
+        group.append(Encoder(model, classes, added).close(text))
+        size += len(text)
+        if size >= GROUP:
+            yield from done()
+            size = 0
+    yield from done()
 
 
 def _with(df: DataFrame, column: str, out: str, kind: T.DataType, value) -> DataFrame:
@@ -344,7 +443,7 @@ def encode(df: DataFrame, tokenizer: str | None = None, column: str = "text", ou
     """``df`` with the ids of ``column``; ``added=False`` reads the strings of added tokens as ordinary text."""
     path = tokenizer or default_tokenizer()
     return _with(df, column, out, T.ArrayType(T.IntegerType()), lambda texts: pa.array(
-        [[i for part in pieces(t, path, added) for i in part] for t in texts], pa.list_(pa.int32())))
+        [[i for part in parts for i in part] for parts in encoded(texts, path, added)], pa.list_(pa.int32())))
 
 
 def decode(df: DataFrame, tokenizer: str | None = None, column: str = "ids", out: str = "text") -> DataFrame:
@@ -374,9 +473,9 @@ def op12(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         decimal = model.decimal.__getitem__
         for b in batches:
             counts, ids_sha, text_sha = [], [], []
-            for text in b.column("text").to_pylist():
+            for parts in encoded(b.column("text").to_pylist(), path):
                 n, of_ids, of_text, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(model)
-                for ids in pieces(text, path):
+                for ids in parts:
                     if ids:
                         of_ids.update(("," * (n > 0) + ",".join(map(decimal, ids))).encode())
                         of_text.update(decoder.feed(ids).encode())
