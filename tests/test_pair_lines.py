@@ -3,6 +3,7 @@
 from collections import Counter
 from hashlib import md5
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -49,3 +50,16 @@ def test_routed_rows_have_the_columns_asked_for(spark):
     assert out.columns == ["id", "feedback", "route"]
     assert sorted((r["id"], r["feedback"]["score"], r["route"]) for r in out.collect()) == [(1, 9.0, "fast"), (2, 5.0, "slow")]
     assert lc.route_hybrid(fast, slow, has_fallback=False).columns == ["id", "answer", "feedback", "route"]
+
+
+def test_gradients_of_some_rows_at_a_time(monkeypatch):
+    rng, n, net = np.random.default_rng(2), 300, lc._Net(64, 3)
+    sizes = rng.integers(0, 9, n)
+    sizes[[0, 1, 7, -1]] = 0  # rows without a known word
+    at = np.append(0, np.cumsum(sizes))
+    index, value = rng.integers(0, 64, at[-1]).astype(np.int32), rng.random(at[-1])
+    rest = rng.integers(0, 4, n), rng.random(n) * 10, rng.integers(0, 3, n), (1.0, 0.5)
+    whole = net.batch(index.astype(np.int64), value, at[:-1], *rest)
+    for size in (1, 20, 1 << 17):
+        monkeypatch.setattr(lc, "ENTRIES_AT_ONCE", size)
+        assert np.allclose(net.batches(index, value, at, *rest), whole, rtol=1e-12, atol=1e-9)
